@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, packing, sharding, tokencount, urlfilter
+from . import decontam, fingerprint, neardup, packing, sharding, tokencount, urlfilter
 from .shared import table
 
 
@@ -38,6 +38,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_likeness(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_url_filter": op2_url_filter,
         "op5_hilbert_shards": op5_hilbert_shards,
         "op6_decontamination": op6_decontamination,
+        "op7_near_duplicates": op7_near_duplicates,
         "op8_fingerprints": op8_fingerprints,
         "op10_packing": op10_packing,
     }
