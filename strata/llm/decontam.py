@@ -8,7 +8,6 @@ The benchmark is sent in blocks of bounded size, so documents never meet it in a
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -93,10 +92,15 @@ def merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
+def benchmark_sizes(benchmark: DataFrame, text: str, block_bytes: int) -> range:
+    """The numbers of the blocks."""
+    total = benchmark.agg(F.sum(F.octet_length(F.col(text))).alias("n")).first()["n"] or 0
+    return range(max(1, -(-total // block_bytes)))
+
+
 def benchmark_blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, list[str]]]]:
     """The items' words in blocks of about ``block_bytes`` of text; items without an id or words have no part."""
-    total = benchmark.agg(F.sum(F.octet_length(F.col(text))).alias("n")).first()["n"] or 0
-    n = max(1, -(-total // block_bytes))
+    n = len(benchmark_sizes(benchmark, text, block_bytes))
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     for k in range(n):
         yield [(r["item"], w) for r in rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).distinct().toLocalIterator() if (w := words_of(r["text"]))]
@@ -158,5 +162,25 @@ def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * ratio >= F.col("n_words"))).select(key, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans")
 
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+def clean(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, ratio: int = 20, block_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of ``documents`` that aren't contaminated, with all their columns; see ``contamination``.
+
+    A benchmark of one block is searched inside the scan, without a shuffle. A larger one needs the union of
+    hits, after which contaminated keys leave by an anti join (equal keys then share a fate).
+    """
+    if len(benchmark_sizes(benchmark, item_text, block_bytes)) > 1:
+        gone = contamination(documents, benchmark, key, text, item, item_text, window, ratio, block_bytes).where("contaminated").select(key).distinct()
+        return documents.join(gone, key, "left_anti").select(documents.columns)
+    searcher = Searcher(next(benchmark_blocks(benchmark, item, item_text, block_bytes)), window)
+    sent = documents.sparkSession.sparkContext.broadcast(searcher)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 256):
+            keep = []
+            for x in columns_of(batch, text)[0]:
+                w = words_of(x)
+                n_hit = sum(b - a for a, b in sent.value.hits(w)[0])
+                keep.append(not (n_hit > 0 and n_hit * ratio >= len(w)))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

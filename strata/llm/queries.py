@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, neardup, packing, sharding, tokencount, urlfilter
+from . import decontam, fingerprint, neardup, packing, quality, sharding, suffixdedup, tokencount, toxicity, urlfilter
 from .shared import table
 
 
@@ -29,6 +29,16 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality.quality_scores(documents, quality.train(documents, table(spark, sf_dir, "labels")))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
+
+
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(table(spark, sf_dir, "documents"), 8)
 
@@ -46,6 +56,10 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_likeness(table(spark, sf_dir, "documents"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -54,10 +68,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_url_filter": op2_url_filter,
+        "op3_quality": op3_quality,
+        "op4_toxicity": op4_toxicity,
         "op5_hilbert_shards": op5_hilbert_shards,
         "op6_decontamination": op6_decontamination,
         "op7_near_duplicates": op7_near_duplicates,
         "op8_fingerprints": op8_fingerprints,
+        "op9_repeated_passages": op9_repeated_passages,
         "op10_packing": op10_packing,
     }
 
