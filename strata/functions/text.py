@@ -82,7 +82,7 @@ def trim_at_sentence(text: Column, most: int) -> Column:
     """Cut to ``most`` characters, at the last sentence end if that keeps 55 % of them."""
     head = F.substring(text, 1, most)
     end = F.greatest(*(last_place(head, m) for m in (". ", "; ", "\n")))
-    return F.when(F.length(text) <= most, text).when(end >= most * 0.55, trim(head.substr(F.lit(1), end + 1))).otherwise(trim(head))
+    return F.when(F.length(text) <= most, text).when(end * 100 >= most * 55, trim(head.substr(F.lit(1), end + 1))).otherwise(trim(head))
 
 
 def encode_symbolic(text: Column) -> Column:

@@ -30,7 +30,7 @@ def consolidate_fuzzy(df: DataFrame, threshold: float = 0.72) -> DataFrame:
     exact = df.select("id", "createdAt", F.sha1(F.concat_ws("\x01", "projectId", "kind", F.lower(F.trim("title")))).alias("t"))
     lead = exact.groupBy("t").agg(F.min_by("id", F.struct("createdAt", "id")).alias("lead"), F.count("*").alias("c")).where("c > 1")
     same = exact.join(lead, "t").where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
-    pairs = fuzzy_pairs(df, threshold).select("a", "b").unionByName(same).distinct()
+    pairs = fuzzy_pairs(df, threshold).select("a", "b").unionByName(same).distinct().persist()
     found = groups(pairs)
     order = df.select("id", "createdAt")
     tagged = pairs.join(found.select(F.col("id").alias("a"), "g"), "a").join(order.select(F.col("id").alias("a"), F.col("createdAt").alias("ta")), "a").join(order.select(F.col("id").alias("b"), F.col("createdAt").alias("tb")), "b")
@@ -58,7 +58,7 @@ def consolidate_fuzzy(df: DataFrame, threshold: float = 0.72) -> DataFrame:
 
 def groups(pairs: DataFrame, most_rounds: int = 30) -> DataFrame:
     """(id, g): the connected group of each id, by passing on the least id until nothing changes."""
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().persist()
     label = both.select(F.col("a").alias("id")).distinct().withColumn("g", F.col("id"))
     for _ in range(most_rounds):
         passed = both.join(label, both.b == label.id).groupBy(F.col("a").alias("id")).agg(F.min("g").alias("near"))

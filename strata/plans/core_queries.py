@@ -130,13 +130,21 @@ def store_stats(spark, d):
     return F.broadcast(kinds).join(got, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("important", F.lit(0)).alias("important"))
 
 
-@query(f"""WITH {MEM}, k AS (SELECT *, lower(trim(title)) AS t FROM mem)
+def by_language(spark: SparkSession, d: str) -> DataFrame:
+    """Memories with the language as their project and one kind, so that copies meet."""
+    return T.memories(spark, d).withColumn("projectId", F.col("tags")[0]).withColumn("kind", F.lit("semantic"))
+
+
+MEM2 = MEM.replace("mem AS (", "mem0 AS (", 1) + ", mem AS (SELECT * REPLACE (tags[1] AS projectId, 'semantic' AS kind) FROM mem0)"
+
+
+@query(f"""WITH {MEM2}, k AS (SELECT *, lower(trim(title)) AS t FROM mem)
 SELECT projectId, kind, t AS titleKey, count(*) AS n, arg_max(id, struct_pack(l := length(summary), o := -createdAt)) AS summaryOf, arg_max(id, struct_pack(l := length(content), o := -createdAt)) AS contentOf,
   max(importance) AS importance, max(confidence) AS confidence, max(lastAccessedAt) AS lastAccessedAt FROM k GROUP BY projectId, kind, t HAVING count(*) > 1""")
 def consolidate_exact(spark, d):
     from ..operators.consolidation import consolidate_exact as run
 
-    return run(T.memories(spark, d)).where("n > 1").select("projectId", "kind", "titleKey", "n", "summaryOf", "contentOf", "importance", "confidence", "lastAccessedAt")
+    return run(by_language(spark, d)).where("n > 1").select("projectId", "kind", "titleKey", "n", "summaryOf", "contentOf", "importance", "confidence", "lastAccessedAt")
 
 
 def sql_shingle(x: str) -> str:
@@ -144,18 +152,18 @@ def sql_shingle(x: str) -> str:
     return f"list_distinct(list_concat({w}, list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1])))"
 
 
-@query(f"""WITH {MEM}, s AS (SELECT id, projectId, kind, {sql_shingle("title || ' ' || summary")} AS s FROM mem), e AS (SELECT id, projectId, kind, len(s) AS n, unnest(s) AS x FROM s),
+@query(f"""WITH {MEM2}, s AS (SELECT id, projectId, kind, {sql_shingle("title || ' ' || summary")} AS s FROM mem), e AS (SELECT id, projectId, kind, len(s) AS n, unnest(s) AS x FROM s),
 p AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.projectId = b.projectId AND a.kind = b.kind AND a.x = b.x AND a.id < b.id GROUP BY ALL)
 SELECT a, b, round(c::DOUBLE / (na + nb - c), 6) AS jaccard FROM p WHERE c::DOUBLE / (na + nb - c) >= 0.72""")
 def jaccard_fuzzy_join(spark, d):
-    return rounded(retrieval.fuzzy_pairs(T.memories(spark, d)))
+    return rounded(retrieval.fuzzy_pairs(by_language(spark, d)))
 
 
 @query()
 def consolidate_fuzzy(spark, d):
     from ..operators.consolidation import consolidate_fuzzy as run
 
-    return run(T.memories(spark, d)).select("id", "projectId", "kind", "n")
+    return run(by_language(spark, d)).select("id", "projectId", "kind", "n")
 
 
 @query(f"WITH {MEM} SELECT id, projectId, lastAccessedAt FROM mem ORDER BY lastAccessedAt DESC, id LIMIT 100")
