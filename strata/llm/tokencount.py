@@ -91,7 +91,7 @@ def token_counts(documents: DataFrame, path: str, key: str = "doc_id", text: str
                 at.append(k)
                 found.append(f"\0{row}")  # the document's own row; such keys spread, while nulls would meet in one task
                 times.append(-1 - total)
-            taken = batch.take(pa.array(at, pa.int32()))
+            taken = batch.select(["key", "n_bytes"]).take(pa.array(at, pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), taken.column(0), taken.column(1), pa.array(found, pa.string()), pa.array(times, pa.int64())], ["row", "key", "n_bytes", "pretoken", "times"])
 
     slim = documents.select(F.col(key).alias("key"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).alias("text"))
