@@ -48,13 +48,12 @@ def bucket_counts(data: bytes) -> np.ndarray:
     total = np.zeros(BUCKETS, np.int64)
     for at in range(0, max(1, len(data) - 2), CHUNK):
         x = np.frombuffer(data[at : at + CHUNK + 4], np.uint8)
-        whole = at + CHUNK + 4 >= len(data)
-        n = len(x) - 2 if whole else CHUNK
+        n = min(CHUNK, len(x) - 2)
         if n <= 0:
             break
         pair = PAIR[x[:-1].astype(np.uint16) * 256 + x[1:]]  # of neighbours
         total += np.bincount(MIX[pair[:n] ^ x[2 : n + 2]], minlength=BUCKETS)
-        m = min(n, len(x) - 4)
+        m = min(CHUNK, len(x) - 4)
         if m > 0:
             total += np.bincount(MIX[pair[:m] ^ x[4 : m + 4] ^ 0x5A], minlength=BUCKETS)
     return total
