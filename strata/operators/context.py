@@ -80,3 +80,39 @@ def compile_context(ranked: DataFrame, max_tokens: int = 4000) -> DataFrame:
     used = pack_prefix(parts, "g", "place", "body", max(256, max_tokens - 300))
     made = used.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "body"))), lambda x: x["body"]), "\n").alias("context"), F.count("*").alias("used"))
     return made.crossJoin(parts.agg(F.count("*").alias("n"))).select("context", "used", (F.col("n") - F.col("used")).alias("dropped"), text.estimate_tokens(F.col("context")).alias("tokens"))  # one row each
+
+
+def render_atoms(atoms: DataFrame, mode: str = "compact") -> DataFrame:
+    """``text`` of each atom (title, kind, body, tags, sourceRef, priority, recency, relevance) in one of three modes."""
+    c = F.col
+    two = lambda n: F.format_number(c(n), 2)
+    tags = F.when(F.size("tags") > 0, F.array_join("tags", ", "))
+    dot = F.concat(F.lit("• "), c("title"))
+    if mode == "symbolic":
+        out = F.concat(dot, F.lit(" :: "), F.upper("kind"), F.lit(" p="), two("priority"), F.lit(" r="), two("relevance"), F.coalesce(F.concat(F.lit(" tags="), F.array_join("tags", ",")), F.lit("")))
+    elif mode == "compact":
+        out = F.concat_ws("\n", dot, F.concat(F.lit("  "), text.cut(text.compact(c("body")), 240)), F.concat(F.lit("  tags: "), tags), F.concat(F.lit("  source: "), c("sourceRef")))
+    else:
+        out = F.concat_ws("\n", dot, F.concat(F.lit("kind: "), c("kind")), F.concat(F.lit("priority: "), two("priority"), F.lit("  recency: "), two("recency"), F.lit("  relevance: "), two("relevance")), F.concat(F.lit("source: "), c("sourceRef")), F.concat(F.lit("tags: "), tags), c("body"))
+    return atoms.withColumn("text", out)
+
+
+# Token and atom budgets and render modes by agent.
+HUB_POLICIES = {"copilot": (2000, 20, "compact"), "cli": (4000, 40, "full"), "gpt": (8000, 60, "compact"), "daemon": (4000, 24, "compact")}
+
+
+def resolve_context(atoms: DataFrame, agent: str = "daemon") -> DataFrame:
+    """The atoms that an agent's budget takes, best first, with their text: at most its number, then greedily its tokens."""
+    tokens, most, mode = HUB_POLICIES[agent]
+    ranked = atoms.withColumn("rank", atom_rank(F.col("priority"), F.col("recency"), F.col("relevance"), F.col("tags"))).orderBy(F.desc("rank"), "id").limit(3 * most)
+    packed = pack_greedy(ranked.withColumns({"g": F.lit(0), "whole": F.concat_ws("\n", "title", "body")}), "g", "rank", "id", "whole", tokens).where("accepted").select("id")
+    return render_atoms(ranked.join(F.broadcast(packed), "id").orderBy(F.desc("rank"), "id").limit(most), mode)
+
+
+def retrieve_top_k(scored: DataFrame, k: int, project: str | None = None, least: float = 0.0) -> DataFrame:
+    """Of scored rows: those with a summary, of the project, the best per id, scoring enough; then by score and similarity."""
+    from .retrieval import dedupe_best
+
+    rows = scored.where(F.length(text.trim(F.col("summary"))) > 0)
+    rows = rows.where(F.col("projectId") == project) if project else rows
+    return dedupe_best(rows).where(F.col("score") >= least).orderBy(F.desc("score"), F.desc("similarity"), "id").limit(k)

@@ -81,3 +81,65 @@ def changed_sources(new: DataFrame, old: DataFrame, keys: tuple[str, ...] = ("pr
 def stale(existing: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that this run hasn't produced again."""
     return existing.join(current.select(*keys).distinct(), keys, "left_anti")
+
+
+def chat_sessions(raw: DataFrame, column: str = "value") -> DataFrame:
+    """(session, turn, role, text) of chat documents, one JSON document per row: a list of messages, or of requests
+    with a response, or a single prompt; in the order they stand. Malformed documents and blank texts drop."""
+    message = "struct<role: string, text: string, content: string>"
+    request = "struct<prompt: string, message: struct<text: string>, response: string, result: string>"
+    parsed = raw.select("session", F.from_json(column, f"messages array<{message}>, turns array<{message}>, requests array<{request}>, prompt string, response string").alias("j")).where("j IS NOT NULL")
+    said = F.transform(F.coalesce("j.messages", "j.turns"), lambda m: F.struct(m["role"].alias("role"), F.coalesce(m["text"], m["content"]).alias("text")))
+    asked = F.flatten(F.transform("j.requests", lambda r: F.array(F.struct(F.lit("user").alias("role"), F.coalesce(r["prompt"], r["message"]["text"]).alias("text")), F.struct(F.lit("assistant").alias("role"), F.coalesce(r["response"], r["result"]).alias("text")))))
+    single = F.array(F.struct(F.lit("user").alias("role"), F.col("j.prompt").alias("text")), F.struct(F.lit("assistant").alias("role"), F.col("j.response").alias("text")))
+    each = parsed.select("session", F.posexplode(F.coalesce(said, asked, single)).alias("turn", "m"))
+    return each.select("session", "turn", "m.role", text.trim(F.col("m.text")).alias("text")).where("text <> ''")
+
+
+def entities(files: DataFrame) -> DataFrame:
+    """(path, name, kind, signature, id) of Python functions and classes, by line patterns; files without any are modules."""
+    line = rf"(?m)^[ \t]*(?:async[ \t]+)?(?:def|class)[ \t]+{NAME}[^\n]*"
+    each = files.select("path", F.explode_outer(F.regexp_extract_all("source", F.lit(line), F.lit(0))).alias("signature"))
+    name = F.coalesce(F.nullif(F.regexp_extract("signature", rf"(?:def|class)[ \t]+({NAME})", 1), F.lit("")), text.basename(F.col("path")))
+    kind = F.when(F.col("signature").isNull(), "module").when(F.trim("signature").startswith("class"), "class").otherwise("function")
+    out = each.select("path", name.alias("name"), kind.alias("kind"), text.trim(F.coalesce("signature", F.lit(""))).alias("signature"))
+    return out.withColumn("id", hashing.stable_id("code", F.col("path"), F.col("name"), F.col("signature"))).dropDuplicates(["id"])
+
+
+def feature_vector(stats: dict[str, Column], n: int = 15) -> Column:
+    """Structural counts as floats, filled with zeros to ``n``."""
+    return F.slice(F.concat(F.array(*(c.cast("float") for c in stats.values())), F.array_repeat(F.lit(0.0).cast("float"), n)), 1, n)
+
+
+def training_pairs(chunks: DataFrame, key: str = "id", seed: int = 42) -> DataFrame:
+    """(left, right, label): each chunk with its own summary at 0.92, and with the summary of the next chunk in a
+    seeded order of hashes at 0.08; neighbours in that order are found by ranges, not by one sorted task."""
+    h = F.xxhash64(F.lit(seed), key)
+    own = chunks.select(F.col("text").alias("left"), F.col("summary").alias("right"), F.lit(0.92).alias("label"))
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucketed = chunks.select("text", "summary", h.alias("h")).withColumn("b", F.pmod(F.col("h"), F.lit(64 * n)))
+    w = Window.partitionBy("b").orderBy("h", "text")
+    other = bucketed.withColumn("right", F.lead("summary").over(w)).where("right IS NOT NULL").select(F.col("text").alias("left"), "right", F.lit(0.08).alias("label"))
+    return own.unionByName(other)
+
+
+def run_ingestion(files: DataFrame, stored: DataFrame, memories: DataFrame, policy, now: int, force: bool = False) -> dict[str, DataFrame]:
+    """memories, fingerprints and one-row report after reading (projectId, path, bytes, source) under a policy:
+    unchanged sources are skipped, chunks redacted and stored, chunks that a changed source no longer has removed."""
+    from ..sources.policy import extensions, path_matches
+    from .records import upsert_fingerprints
+    from .temporal import merge_rows
+
+    kept = files.where((F.col("bytes") <= policy.max_file_bytes) & path_matches(F.col("path"), policy.include, policy.exclude))
+    if policy.languages:
+        kept = kept.where(text.extension(F.col("path")).isin(*extensions(policy.languages)[0]))
+    prints = fingerprints(kept.withColumnRenamed("path", "sourceRef").withColumn("sourceType", F.lit("code")))
+    state = changed_sources(prints, stored)
+    work = state if force else state.where("state <> 'unchanged'")
+    chunks = parse_code(work.select("projectId", F.col("sourceRef").alias("path"), "source"))
+    fresh = chunks.select("id", F.lit("code_entity").alias("kind"), "title", "content", "tags", "importance", "confidence", F.col("path").alias("sourceRef"), F.lit(now).alias("createdAt"), F.lit(now).alias("lastAccessedAt"))
+    touched = memories.join(work.select("sourceRef").distinct(), "sourceRef", "left_semi")
+    gone = stale(touched, fresh, ["id"])
+    left = memories.join(gone.select("id"), "id", "left_anti")
+    report = state.agg(F.count("*").alias("filesScanned"), F.count_if(F.col("state") == "unchanged").alias("filesUnchanged")).crossJoin(fresh.agg(F.count("*").alias("chunksStored"))).crossJoin(gone.agg(F.count("*").alias("chunksStale")))  # one row each
+    return {"memories": merge_rows(left, fresh, ["id"]), "fingerprints": upsert_fingerprints(stored, prints.select("projectId", "sourceType", "sourceRef", "contentHash", "ingestVersion"), now), "report": report}

@@ -67,7 +67,7 @@ def remove_node(spark, d):
     return graph.remove_node(gone, e, gone)[1].select("fromNode", "toNode", "type")
 
 
-@query(f"WITH {EDGES}, x AS (SELECT fromNode, toNode, type, weight FROM edges UNION ALL SELECT fromNode, toNode, type, weight / 2 FROM edges) SELECT fromNode, toNode, type, round(max(weight), 6) AS weight, 'gx_edge_' || substr(sha1('p0|' || fromNode || '|' || toNode || '|' || type), 1, 24) AS id FROM x GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY fromNode, toNode, type"))
+@query(f"WITH {EDGES}, x AS (SELECT fromNode, toNode, type, weight FROM edges UNION ALL SELECT fromNode, toNode, type, weight / 2 FROM edges) SELECT fromNode, toNode, type, round(max(weight), 6) AS weight, 'gx_edge_' || substr(sha1('p0|' || fromNode || '|' || toNode || '|' || type), 1, 24) AS id FROM x GROUP BY fromNode, toNode, type")
 def upsert_graph_rows(spark, d):
     e = T.edges(spark, d)
     return graph.merge_edges(e.unionByName(e.withColumn("weight", F.col("weight") / 2))).select("fromNode", "toNode", "type", F.round("weight", 6).alias("weight"), "id")

@@ -99,13 +99,12 @@ def path_labels(spark, d):
     return T.read(spark, d, "pages").select("page_id", text.route_label(F.col("url")).alias("label"), text.basename(F.col("url")).alias("base"), text.extension(F.col("url")).alias("ext"))
 
 
-@query(f"WITH {MEM} SELECT id, list_distinct(list_concat(tags, [kind, projectId])) AS tags0, len(list_distinct(list_concat(tags, [kind, projectId]))) AS n FROM mem".replace("list_distinct(list_concat(tags, [kind, projectId])) AS tags0, ", ""))
+@query(f"WITH {MEM} SELECT id, len(list_distinct(list_concat(tags, [kind, projectId]))) AS n FROM mem")
 def merge_tags(spark, d):
     return T.memories(spark, d).select("id", F.size(text.merge_tags(F.col("tags"), F.array("kind", "projectId"))).cast("long").alias("n"))
 
 
-@query("""SELECT page_id, length(regexp_extract_all(html, '<a[ >]')) AS n FROM pages WHERE false UNION ALL
-SELECT page_id, len(list_distinct(regexp_extract_all(html, '\\bclass\\s+([A-Za-z_][A-Za-z0-9_]*)', 1))) + 1000 * len(regexp_extract_all(html, '\\b(?:for|while)\\b')) + 1000000 * len(regexp_extract_all(html, '\\b(?:if|switch|case)\\b')) AS n FROM pages""".split("UNION ALL\n")[1])
+@query("""SELECT page_id, len(list_distinct(regexp_extract_all(html, '\\bclass\\s+([A-Za-z_][A-Za-z0-9_]*)', 1))) + 1000 * len(regexp_extract_all(html, '\\b(?:for|while)\\b')) + 1000000 * len(regexp_extract_all(html, '\\b(?:if|switch|case)\\b')) AS n FROM pages""")
 def extract_ast_facts(spark, d):
     f = ingest.code_facts(F.col("html"))
     return T.read(spark, d, "pages").select("page_id", (F.size(f["classes"]) + 1000 * f["loops"] + 1_000_000 * f["branches"]).cast("long").alias("n"))
