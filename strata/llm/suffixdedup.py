@@ -25,8 +25,8 @@ from .shared import columns_of, pieces, written
 from .words import HASHES, WORD, run_hashes
 
 GRAM = 16
-#: Suffixes with the same start that one task sorts.
-HOT = 2048
+#: Suffixes with the same start that one task sorts: some 20 MB.
+HOT = 1 << 15
 #: Windows whose minimisers are sought at a time.
 CHUNK = 1 << 15
 
@@ -58,53 +58,67 @@ def repeated_in(rows: list[tuple[int, int, int, int, bytes]], length: int) -> It
     """Of suffixes (key, place, low, high, words from low on) with the same start: runs of repeated windows.
 
     Each is (key, low, high, first_key, first_low), where the first occurrence is the least (key, place).
+    Suffixes with the same words around them are one context, which is compared once.
     """
-    rows = sorted(rows, key=lambda r: (r[0], r[1]))
-    arrays = [np.frombuffer(r[4], np.uint64) for r in rows]
-    cut = [r[1] - r[2] for r in rows]  # words to the left
-    n = len(rows)
+    contexts: dict[tuple[int, int, bytes], list[tuple[int, int]]] = {}
+    for key, place, low, high, words in rows:
+        contexts.setdefault((place - low, place - high, words), []).append((key, place))
+    for places in contexts.values():
+        places.sort()
+    made = sorted(contexts.items(), key=lambda c: c[1][0])
+    if len(made) == 1:
+        (most, least, _), places = made[0]
+        found = [(0, least, most, 0)] if len(places) > 1 else []
+    else:
+        found = repeated_contexts([c for c, _ in made], [len(p) for _, p in made], length)
+    for k, least, most, f in found:
+        first_key, first_place = made[f][1][0]
+        for key, place in made[k][1]:
+            yield key, place - most, place - least, first_key, first_place - most
+
+
+def repeated_contexts(contexts: list[tuple[int, int, bytes]], weights: list[int], length: int) -> list[tuple[int, int, int, int]]:
+    """(context, least, most, first): the windows that start ``least`` to ``most`` words before the suffix occur again.
+
+    Contexts are (most, least words to the left, words) in order of their first occurrence, of which ``first``
+    is the earliest for these windows.
+    """
+    n = len(contexts)
+    arrays = [np.frombuffer(w, np.uint64) for _, _, w in contexts]
     # sort the suffixes and compare neighbours
-    order = sorted(range(n), key=lambda k: rows[k][4][8 * cut[k] :])
+    order = sorted(range(n), key=lambda k: contexts[k][2][8 * contexts[k][0] :])
     agree = np.zeros(n, np.int64)  # words that agree with the suffix before
-    for x, y in zip(order, order[1:], strict=False):
-        a, b = arrays[x][cut[x] :], arrays[y][cut[y] :]
+    for at, (x, y) in enumerate(zip(order, order[1:], strict=False), 1):
+        a, b = arrays[x][contexts[x][0] :], arrays[y][contexts[y][0] :]
         m = min(len(a), len(b))
-        apart = np.flatnonzero(a[:m] != b[:m])
-        agree[y] = apart[0] if len(apart) else m
-    sorted_agree = agree[order]
-    least, most = np.array([r[1] - r[3] for r in rows]), np.array(cut)
-    low, high = int(least.min()), int(most.max())
-    # hashes of the words to the left, by how many
-    left = np.zeros((n, high + 1), np.uint64)
+        apart = a[:m] != b[:m]
+        k = int(apart.argmax())
+        agree[at] = k if apart[k] else m
+    most, least = (np.array([c[i] for c in contexts]) for i in (0, 1))
+    lefts = np.arange(most.max() + 1)
+    # runs of suffixes that agree far enough to the right, for each number of words to the left
+    run = np.empty((n, len(lefts)), np.int64)
+    run[order] = np.cumsum(agree[:, None] < length - lefts[None], axis=0)
+    # and extended to the left: a hash of so many words
+    left = np.zeros((n, len(lefts)), np.uint64)
+    for k, w in enumerate(arrays):
+        left[k, 1 : most[k] + 1] = w[: most[k]][::-1]
+    left = np.cumsum(left * (2 * lefts.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), axis=1)
+    key = (left ^ (run.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))) * np.uint64(0x94D049BB133111EB) + lefts.astype(np.uint64)[None]
+    inside = (least[:, None] <= lefts[None]) & (lefts[None] <= most[:, None])
+    rows = np.broadcast_to(np.arange(n)[:, None], inside.shape)[inside]
+    _, first, group = np.unique(key[inside], return_index=True, return_inverse=True)
+    often = np.bincount(group, np.array(weights)[rows])
+    # np.unique names the earliest place of each key, which is the earliest context
+    of = np.full(inside.shape, -1)
+    of[inside] = np.where(often[group] > 1, rows[first[group]], -1)
+    change = np.ones((n, len(lefts) + 1), bool)
+    change[:, 1:-1] = of[:, 1:] != of[:, :-1]
+    out = []
     for k in range(n):
-        w = arrays[k][: cut[k]][::-1]
-        if len(w):
-            grown = np.cumsum(w * (2 * np.arange(1, len(w) + 1, dtype=np.uint64) + np.uint64(1)))
-            left[k, 1 : len(w) + 1] = grown * np.uint64(0x9E3779B97F4A7C15)
-    order = np.array(order)
-    open_runs: dict[int, list[int]] = {}  # row: [first row, low, high]
-    for a in range(high, low - 1, -1):  # windows from left to right
-        run = np.empty(n, np.int64)
-        run[order] = np.cumsum(sorted_agree < length - a)
-        mine = np.flatnonzero((least <= a) & (a <= most))
-        first: dict[tuple[int, int], int] = {}
-        seen = list(zip(run[mine].tolist(), left[mine, a].tolist(), strict=True))
-        twice: dict[tuple[int, int], int] = {}
-        for k, v in zip(mine.tolist(), seen, strict=True):
-            first.setdefault(v, k)
-            twice[v] = twice.get(v, 0) + 1
-        found = {k: first[v] for k, v in zip(mine.tolist(), seen, strict=True) if twice[v] > 1}
-        for k in [k for k, r in open_runs.items() if found.get(k) != r[0]]:
-            f, lo, hi = open_runs.pop(k)
-            yield rows[k][0], lo, hi, rows[f][0], rows[f][1] - (rows[k][1] - lo)
-        for k, f in found.items():
-            s = rows[k][1] - a
-            if k in open_runs:
-                open_runs[k][2] = s
-            else:
-                open_runs[k] = [f, s, s]
-    for k, (f, lo, hi) in open_runs.items():
-        yield rows[k][0], lo, hi, rows[f][0], rows[f][1] - (rows[k][1] - lo)
+        cuts = np.flatnonzero(change[k])
+        out += [(k, int(a), int(b) - 1, int(of[k, a])) for a, b in zip(cuts, cuts[1:], strict=False) if of[k, a] >= 0]
+    return out
 
 
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -127,7 +141,7 @@ def repeated_windows(documents: DataFrame, key: str, text: str, length: int) ->
             keys = batch.column(0).take(pa.array(np.concatenate(rows)))
             yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(counts).astype(np.int32))], ["key", "start", "c"])
 
-    per_text = slim.mapInArrow(starts, "key long, start long, c int")
+    per_text = written(slim.mapInArrow(starts, "key long, start long, c int"), "starts")
     often = per_text.groupBy("start").agg(F.sum("c").alias("c")).where("c > 1").select("start", (F.col("c") > HOT).alias("hot"))
     hits = per_text.select("key", "start").join(often, "start").groupBy("key").agg(F.collect_list(F.struct("start", "hot")).alias("starts"))  # at most one per word of the text
 
