@@ -16,14 +16,17 @@ def tokens(docs: DataFrame, column: str = "text") -> DataFrame:
 
 
 def vocabulary(docs: DataFrame, size: int = 4096, column: str = "text") -> DataFrame:
-    """(tokenId, token, n, unigramQ): the most frequent tokens; id 0 stands for all others."""
+    """(tokenId, token, n, unigramQ): the most frequent tokens; id 0 stands for all others.
+
+    Counted at once: a model's vocabulary is used many times, and ``size`` bounds its rows.
+    """
     counted = tokens(docs, column).select(F.explode("ts").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     top = counted.orderBy(F.desc("n"), "token").limit(size - 1)  # bounded, so one task may number it
     order = Window.orderBy(F.desc("n"), "token")
     most = F.max("n").over(Window.partitionBy())
     known = top.select(F.row_number().over(order).alias("tokenId"), "token", "n", scoring.quantize_weight(F.col("n") / most).alias("unigramQ"))
     unknown = docs.sparkSession.createDataFrame([(0, "<unk>", 0, 0)], "tokenId int, token string, n long, unigramQ int")
-    return unknown.unionByName(known)
+    return docs.sparkSession.createDataFrame([*unknown.collect(), *known.collect()], unknown.schema)
 
 
 def bigrams(docs: DataFrame, vocab: DataFrame, *keep: str, column: str = "text") -> DataFrame:
@@ -36,10 +39,11 @@ def bigrams(docs: DataFrame, vocab: DataFrame, *keep: str, column: str = "text")
 
 
 def transitions(docs: DataFrame, vocab: DataFrame, most: int = 24, column: str = "text") -> DataFrame:
-    """(fromId, toId, rank, q): the ``most`` frequent followers of each token, their shares quantised."""
+    """(fromId, toId, rank, q): the ``most`` frequent followers of each token, their shares quantised; kept, as at
+    most the vocabulary's size times ``most`` rows."""
     counted = bigrams(docs, vocab, column=column).groupBy("fromId", "toId").agg(F.count("*").alias("n"))
     top = counted.withColumn("rank", F.row_number().over(Window.partitionBy("fromId").orderBy(F.desc("n"), "toId"))).where(F.col("rank") <= most)
-    return top.select("fromId", "toId", "rank", scoring.quantize_weight(F.col("n") / F.sum("n").over(Window.partitionBy("fromId"))).alias("q"))
+    return top.select("fromId", "toId", "rank", scoring.quantize_weight(F.col("n") / F.sum("n").over(Window.partitionBy("fromId"))).alias("q")).persist()
 
 
 def novelty(docs: DataFrame, vocab: DataFrame, model: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
