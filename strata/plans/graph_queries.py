@@ -94,3 +94,17 @@ def debounce(spark, d):
 @query("""SELECT CAST(epoch_us(time_bucket(INTERVAL 5 MINUTES, ts)) // 1000000 AS BIGINT) AS start, CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'unlink' ELSE 'change' END AS type, count(*) AS n FROM events GROUP BY ALL""")
 def windowed_counts(spark, d):
     return suggestions.windowed_counts(watcher_events(spark, d)).select(F.unix_seconds("start").alias("start"), "type", "n")
+
+
+@query("""WITH e AS (SELECT 'p' || user_id % 5 AS projectId, event_id, epoch_us(ts) // 1000 AS atMs, event_type AS category FROM events), g AS (SELECT *, CASE WHEN lag(category) OVER w IS NOT DISTINCT FROM category THEN 0 ELSE 1 END AS n FROM e WINDOW w AS (PARTITION BY projectId ORDER BY atMs, event_id)),
+r AS (SELECT *, sum(n) OVER (PARTITION BY projectId ORDER BY atMs, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g), s AS (SELECT event_id AS eventId, row_number() OVER (PARTITION BY projectId, run ORDER BY atMs, event_id) AS seen FROM r)
+SELECT eventId, CAST(seen AS BIGINT) AS seen, round(CASE WHEN seen > 1 THEN least(0.12::DOUBLE, 0.02::DOUBLE * seen) ELSE 0 END, 6) AS bonus FROM s""")
+def intent_history(spark, d):
+    e = watcher_events(spark, d).join(T.read(spark, d, "events").select(F.col("event_id").alias("eventId"), F.col("event_type").alias("category")), "eventId")
+    return suggestions.with_history(e).select("eventId", F.col("seen").cast("long").alias("seen"), F.round("bonus", 6).alias("bonus"))
+
+
+@query("""WITH e AS (SELECT CAST(user_id % 50 AS VARCHAR) AS h, epoch_us(ts) // 1000 AS atMs, event_type FROM events) SELECT a.h AS suggestionHash, a.atMs, a.atMs + 600000 AS expiresAt FROM e a WHERE event_type = 'view' AND NOT EXISTS (SELECT 1 FROM e b WHERE b.event_type = 'purchase' AND b.h = a.h AND b.atMs BETWEEN a.atMs AND a.atMs + 600000)""")
+def suggestion_ttl(spark, d):
+    e = T.read(spark, d, "events").select((F.col("user_id") % 50).cast("string").alias("suggestionHash"), F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("atMs"), "event_type")
+    return suggestions.expired(e.where("event_type = 'view'"), e.where("event_type = 'purchase'").withColumn("status", F.lit("applied")), 600_000)

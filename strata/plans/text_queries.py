@@ -245,3 +245,35 @@ def proactive_suggestion(spark, d):
 
     t = F.expr(INTENT_TEXT)
     return rounded(infer_intent(T.read(spark, d, "pages").select("page_id", t.alias("query")), "query").select("page_id", "category", "confidence", (F.col("confidence") >= 0.55).alias("emit")))
+
+
+@query()
+def generate_continuation(spark, d):
+    from ..functions import udfs
+
+    v = ngram.vocabulary(docs(spark, d), 256)
+    names = {r["tokenId"]: r["token"] for r in v.collect()}  # 256 rows
+    model: dict[str, list] = {}
+    for r in ngram.transitions(docs(spark, d), v, 24).where("fromId > 0 AND toId > 0").orderBy("fromId", "rank").collect():  # at most 256 * 24 rows
+        model.setdefault(names[r["fromId"]], []).append((names[r["toId"]], r["q"]))
+
+    @F.pandas_udf("string")
+    def run(values):
+        return values.map(lambda x: udfs.continuation(model, x, 20))
+
+    return docs(spark, d).select("doc_id", run(F.substring("text", 1, 40)).alias("continuation"))
+
+
+@query("SELECT doc_id, CAST(round(least(127.0::DOUBLE, greatest(1.0::DOUBLE, round((doc_id % 100) / 100.0::DOUBLE * 127)))) AS INT) AS q, round(least(0.98::DOUBLE, 0.55::DOUBLE + 0.25::DOUBLE * (doc_id % 4) / 4 + 0.18::DOUBLE + 0.02::DOUBLE * 0.5), 4) AS weight FROM documents")
+def quantize_and_link_weight(spark, d):
+    k = F.col("doc_id")
+    return docs(spark, d).select("doc_id", scoring.quantize_weight(k % 100 / 100).alias("q"), scoring.link_weight(k % 4 / 4, F.lit(1.0), F.lit(0.5)).alias("weight"))
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda t: length(t) > 1))) AS word FROM documents), e AS (SELECT DISTINCT regexp_extract(lower(text), '[a-z0-9_]{4,}') AS word FROM benchmark) SELECT doc_id, word AS name, 0.81::DOUBLE AS weight FROM w JOIN e USING (word)""")
+def link_memory_entity(spark, d):
+    from ..operators.evolution import link_entities
+
+    names = T.read(spark, d, "benchmark").select(F.regexp_extract(F.lower("text"), "[a-z0-9_]{4,}", 0).alias("name"), F.array().cast("array<string>").alias("dependencies")).distinct()
+    m = docs(spark, d).select(F.col("doc_id").alias("id"), F.lit(0.5).alias("importance"), F.col("text").alias("content"))
+    return link_entities(m, names).select(F.col("id").alias("doc_id"), "name", "weight")

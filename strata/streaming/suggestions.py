@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text
@@ -102,3 +103,24 @@ def valid_deltas(lines: DataFrame, column: str = "value", most_bytes: int = 262_
 def client_filter(deltas: DataFrame, project: str) -> DataFrame:
     """What a client of one project receives: its own deltas and those without a project."""
     return deltas.where(F.col("projectId").isNull() | (F.col("projectId") == project))
+
+
+def expired(emitted: DataFrame, acks: DataFrame, ttl_ms: int = 60_000) -> DataFrame:
+    """(suggestionHash, atMs, expiresAt) of suggestions that nobody applied or suppressed within their time to live.
+
+    A plain acknowledgement doesn't stop the expiry.
+    """
+    final = acks.where(F.col("status").isin("applied", "suppressed")).select("suggestionHash", F.col("atMs").alias("ackedAt"))
+    within = [final["suggestionHash"] == emitted["suggestionHash"], final["ackedAt"] >= emitted["atMs"], final["ackedAt"] <= emitted["atMs"] + ttl_ms]
+    return emitted.join(final, within, "left_anti").select("suggestionHash", "atMs", (F.col("atMs") + ttl_ms).alias("expiresAt"))
+
+
+def with_history(events: DataFrame, category: str = "category") -> DataFrame:
+    """``seen``: how often a (project, branch) has had the same category in a row up to this event, and the bonus
+    of min(0.12, 0.02 * seen) that repeats earn."""
+    w = Window.partitionBy("projectId", "branch").orderBy("atMs", "eventId")
+    new = F.when(F.lag(category).over(w).eqNullSafe(F.col(category)), 0).otherwise(1)
+    numbered = events.withColumn("__new", new).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    seen = F.row_number().over(Window.partitionBy("projectId", "branch", "__run").orderBy("atMs", "eventId"))
+    out = numbered.withColumn("seen", seen)
+    return out.withColumn("bonus", F.when(F.col("seen") > 1, F.least(F.lit(0.12), F.lit(0.02) * F.col("seen"))).otherwise(0.0)).drop("__new", "__run")
