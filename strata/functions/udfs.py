@@ -35,7 +35,7 @@ def embedding(text: Column, n: int = 256, kind: str = "core") -> Column:
 
 
 # Marks that join to the left, and that join to the right.
-CLOSING, OPENING = set(".,;:!?)]}"), set("([{")
+CLOSING, OPENING = set(".,!?;:)]}%"), set("([{")
 
 
 def detokenize(tokens: list[str]) -> str:

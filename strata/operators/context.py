@@ -116,3 +116,18 @@ def retrieve_top_k(scored: DataFrame, k: int, project: str | None = None, least:
     rows = scored.where(F.length(text.trim(F.col("summary"))) > 0)
     rows = rows.where(F.col("projectId") == project) if project else rows
     return dedupe_best(rows).where(F.col("score") >= least).orderBy(F.desc("score"), F.desc("similarity"), "id").limit(k)
+
+
+# The steps before and after the anchors of a plan.
+PLAN_HEAD = (("Confirm objective and constraints", "Clarify the primary goal for: "), ("Collect relevant context", "Review top-ranked memory/code entities and extract high-confidence facts."))
+PLAN_ANCHOR = ("Inspect memory anchor: ", "Validate dependencies and potential side effects before execution.")
+PLAN_TAIL = (("Execute change in bounded increments", "Apply updates in small steps, validate after each change, and track regressions early."), ("Verify and summarize", "Run validation checks, capture outcomes, and document follow-up actions."))
+
+
+def execution_plan(ranked: DataFrame, query: str, anchors: int = 5) -> DataFrame:
+    """(step, title, detail): two fixed steps, one per best memory with a title, two fixed steps."""
+    top = ranked.where(text.trim(F.col("title")) != "").orderBy(F.desc("score"), "id").limit(anchors)
+    titles = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", F.substring(text.trim(F.col("title")), 1, 160).alias("t")))), lambda x: F.struct(F.concat(F.lit(PLAN_ANCHOR[0]), x["t"]).alias("title"), F.lit(PLAN_ANCHOR[1]).alias("detail")))
+    fixed = lambda steps: F.array(*(F.struct(F.lit(t).alias("title"), F.lit(d).alias("detail")) for t, d in steps))
+    head = ((PLAN_HEAD[0][0], PLAN_HEAD[0][1] + query), PLAN_HEAD[1])
+    return top.agg(F.concat(fixed(head), titles, fixed(PLAN_TAIL)).alias("p")).select(F.posexplode("p").alias("i", "x")).select((F.col("i") + 1).alias("step"), "x.title", "x.detail")

@@ -139,3 +139,33 @@ def parse_chat_session(spark, d):
     c = T.read(spark, d, "conversations")
     raw = c.groupBy(F.col("conv_id").alias("session")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("messages")).select("session", F.to_json(F.struct("messages")).alias("value"))  # a conversation is one document
     return ingest.chat_sessions(raw).groupBy(F.col("session").alias("conv_id")).agg(F.count("*").alias("turns"), F.count_if(F.col("role") == "user").alias("asked"))
+
+
+NW = "regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '^[ \\t\\n\\r\\f\\x0B\\x{00a0}\\x{feff}]+|[ \\t\\n\\r\\f\\x0B\\x{00a0}\\x{feff}]+$', '', 'g')"
+
+
+@query(f"WITH c AS (SELECT source, doc_id, {NW} AS s FROM documents), f AS (SELECT * FROM c WHERE length(s) >= 32), b AS (SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f) SELECT doc_id, substr(s, 1, CAST(20000 - before AS BIGINT)) AS snippet FROM b WHERE before < 20000")
+def scan_project_corpus(spark, d):
+    from ..sources.corpus import project_corpus
+
+    return project_corpus(docs(spark, d), 20_000, 32, "source", "doc_id", "text").select("doc_id", "snippet")
+
+
+@query(f"WITH {MEM} SELECT id, substr('# memory:' || id || chr(10) || title || chr(10) || summary || chr(10) || content, 1, 4000) AS snippet FROM mem ORDER BY lastAccessedAt DESC, id LIMIT 200")
+def scan_memory_corpus(spark, d):
+    from ..sources.corpus import memory_corpus
+
+    return memory_corpus(T.memories(spark, d), 200)
+
+
+@query()
+def scan_dataset_rows(spark, d):
+    from ..sources.corpus import dataset_corpus
+
+    return dataset_corpus(T.read(spark, d, "pages"), "html").select("page_id", "snippet")
+
+
+@query(f"""WITH {MEM}, s AS (SELECT title, row_number() OVER (ORDER BY importance DESC, id) AS k FROM mem QUALIFY k <= 5) SELECT CAST(k + 2 AS INT) AS step, 'Inspect memory anchor: ' || title AS title FROM s UNION ALL SELECT * FROM (VALUES (1, 'Confirm objective and constraints'), (2, 'Collect relevant context'), (8, 'Execute change in bounded increments'), (9, 'Verify and summarize'))""")
+def execution_plan(spark, d):
+    ranked = T.memories(spark, d).withColumn("score", F.col("importance"))
+    return context.execution_plan(ranked, "the goal").select("step", "title")
