@@ -45,7 +45,7 @@ class Known(dict):
         self.weights = weights
 
     def __missing__(self, word: str) -> tuple[str, ...]:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = out = tuple(f for f in features_of(word) if f in self.weights)
         return out
