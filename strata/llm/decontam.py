@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checked_broadcast, columns_of, lowered, pieces
+from .shared import checked_broadcast, columns_of, lowered, pieces, text_rows
 
 #: Runs of digits, a-z and everything beyond ASCII; for texts whose A-Z are lower-cased.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -114,7 +114,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
     repeated rows stay separate rows; repeated items count once per id; an empty benchmark hits nothing; other
     columns are ignored.
     """
-    spark = documents.sparkSession
+    spark = text_rows(documents).sparkSession
     key_type = documents.schema[key].dataType.simpleString()
     slim = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = f"row long, key {key_type}, n_words long, items array<string>, spans array<array<int>>"
@@ -172,7 +172,7 @@ def clean(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         gone = contamination(documents, benchmark, key, text, item, item_text, window, ratio, block_bytes).where("contaminated").select(key).distinct()
         return documents.join(gone, key, "left_anti").select(documents.columns)
     searcher = Searcher(next(benchmark_blocks(benchmark, item, item_text, block_bytes)), window)
-    sent = documents.sparkSession.sparkContext.broadcast(searcher)
+    sent = text_rows(documents).sparkSession.sparkContext.broadcast(searcher)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 256):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import columns_of, lowered, pieces, written
+from .shared import columns_of, lowered, pieces, text_rows, written
 from .words import HASHES, WORD, shingles
 
 #: Rows, and bytes of sets, in a block of a group.
@@ -211,7 +211,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     Two sets as similar as asked share at least half of ``k`` retained values but for a chance of about
     2e-6 at the threshold itself, far less above it, and no chance where either has at most ``k`` shingles.
     """
-    sketched = written(sketches(documents, key, text, n, k), "sketches")
+    sketched = written(sketches(text_rows(documents), key, text, n, k), "sketches")
     classes = written(sketched.where("set_id IS NOT NULL AND key IS NOT NULL").groupBy("set_id").agg(F.min("key").alias("class")), "classes")
     members = sketched.select("key", "size", "set_id").join(classes, "set_id", "left")
     of_class = classes.select(F.col("class").alias("key"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import pretokenizer
-from .shared import columns_of, pieces
+from .shared import columns_of, pieces, text_rows
 
 #: Pre-tokens whose ids a worker remembers.
 REMEMBERED = 1_000_000
@@ -105,7 +105,7 @@ def pack(documents: DataFrame, path: str, key: str = "doc_id", text: str = "text
     piece. Null and empty texts are the end id alone. Rows with equal or null keys are documents of their own;
     other columns are ignored; an empty table gives no rows.
     """
-    key_type = documents.schema[key].dataType.simpleString()
+    key_type = text_rows(documents).schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = pretokenizer(path)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, sample
-from .shared import columns_of, pieces
+from .shared import columns_of, pieces, text_rows
 from .words import HASHES, WORD, run_hashes
 
 FEATURES = (
@@ -184,7 +184,7 @@ def feature_rows(texts: DataFrame, *keep: str) -> DataFrame:
             x = [features(t) for t in columns_of(batch, "text")[0]]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(x, pa.list_(pa.float64()))], [*keep, "x"])
 
-    kinds = dict(texts.dtypes)
+    kinds = dict(text_rows(texts).dtypes)
     return texts.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", x array<double>")
 
 
@@ -207,6 +207,6 @@ def quality_scores(documents: DataFrame, model: Model, key: str = "doc_id", text
             x = np.array([features(t) for t in columns_of(batch, "text")[0]], float).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["key", "score"])
 
-    kind = documents.schema[key].dataType.simpleString()
+    kind = text_rows(documents).schema[key].dataType.simpleString()
     scored = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, score double")
     return scored.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -25,6 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of text that travel to Python at once; Spark's default of 10,000 long texts is several times as large.
+TEXT_ROWS = 2000
+
+
+def text_rows(df: DataFrame) -> DataFrame:
+    """``df``, after the session's Arrow batches have been limited to ``TEXT_ROWS`` rows, if they were larger."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage and outlives executors."""
     spark = df.sparkSession

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import columns_of, pieces, written
+from .shared import columns_of, pieces, text_rows, written
 from .words import HASHES, WORD, run_hashes
 
 GRAM = 16
@@ -127,7 +127,7 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
 
 def repeated_windows(documents: DataFrame, key: str, text: str, length: int) -> DataFrame:
     """(key, low, high, first_key, first_low): runs of windows that occur more than once."""
-    n_parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = int(text_rows(documents).sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slim = documents.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
 
     def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import sample
-from .shared import columns_of, pieces, written
+from .shared import columns_of, pieces, text_rows, written
 from .words import HASHES, shingles
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -45,7 +45,7 @@ class Known(dict):
         self.weights = weights
 
     def __missing__(self, word: str) -> tuple[str, ...]:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = out = tuple(f for f in features_of(word) if f in self.weights)
         return out
@@ -128,7 +128,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", key: st
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0], pa.list_(pa.string())), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.list_(pa.int64()))], ["key", "label", "words", "counts", "sketch"])
 
-    rows = sample(documents, labels, label, key, text, most_rows).select("key", "label", "text")
+    rows = sample(text_rows(documents), labels, label, key, text, most_rows).select("key", "label", "text")
     made = written(rows.mapInArrow(run, "key long, label int, words array<string>, counts array<int>, sketch array<long>"), "toxic-sample")
     copies = copies_of((r["key"], r["sketch"]) for r in made.select("key", "sketch").orderBy("key").toLocalIterator())
     if copies:
@@ -169,7 +169,7 @@ def toxicity(documents: DataFrame, model: Model, key: str = "doc_id", text: str
     wordless texts get the score of a text without known words. Only the text enters a score, all of it;
     repeated rows stay; other columns are ignored; an empty table gives no rows.
     """
-    kind = documents.schema[key].dataType.simpleString()
+    kind = text_rows(documents).schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 512):

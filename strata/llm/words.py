@@ -11,7 +11,7 @@ import xxhash
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 #: Words whose hashes a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
