@@ -12,16 +12,19 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checked_broadcast, columns_of, lowered, pieces, text_rows
+from .shared import checked_broadcast, columns_of, lowered, pieces, text_rows, written
 
 #: Runs of digits, a-z and everything beyond ASCII; for texts whose A-Z are lower-cased.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+#: The column that numbers rows while the hits of several blocks are put together.
+ROW = "__strata_row"
+
+
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(lowered(text)) if text else []
 
@@ -114,10 +117,23 @@ def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
     repeated rows stay separate rows; repeated items count once per id; an empty benchmark hits nothing; other
     columns are ignored.
     """
-    spark = text_rows(documents).sparkSession
-    key_type = documents.schema[key].dataType.simpleString()
-    slim = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    schema = f"row long, key {key_type}, n_words long, items array<string>, spans array<array<int>>"
+    many = len(benchmark_sizes(benchmark, item_text, block_bytes)) > 1
+    slim = text_rows(documents).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    slim = numbered(slim) if many else slim.withColumn(ROW, F.lit(0).cast("long"))
+    out = judged(slim, benchmark, item, item_text, window, ratio, block_bytes)
+    return out.select(F.col("key").alias(key), "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with a number in ``ROW`` that is written, so that every later scan sees the same one."""
+    return written(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def judged(slim: DataFrame, benchmark: DataFrame, item: str, item_text: str, window: int, ratio: int, block_bytes: int) -> DataFrame:
+    """``contamination`` of rows (key, text, ``ROW``), which keep their ``ROW``. Each block of the benchmark scans
+    the rows once; the hits of a row are put together by ``ROW``, which must be stable if there are several blocks."""
+    spark = slim.sparkSession
+    schema = f"{ROW} long, key {slim.schema['key'].dataType.simpleString()}, n_words long, items array<string>, spans array<array<int>>"
 
     def scan(block: list[tuple[str, list[str]]]) -> DataFrame:
         searcher = Searcher(block, window)
@@ -126,20 +142,17 @@ def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hits = sent.value.hits
-            row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
             for batch in pieces(batches, 256):
-                rows, counts, items, spans = [], [], [], []
+                counts, items, spans = [], [], []
                 for x in columns_of(batch, "text")[0]:
                     w = words_of(x)
                     s, i = hits(w)
-                    row += 1
-                    rows.append(row)
                     counts.append(len(w))
                     items.append(sorted(i))
                     spans.append(s)
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), batch.column(0), pa.array(counts, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int32())))], ["row", "key", "n_words", "items", "spans"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int32())))], [ROW, "key", "n_words", "items", "spans"])
 
-        return slim.mapInArrow(run, schema)
+        return slim.select(ROW, "key", "text").mapInArrow(run, schema)
 
     found: DataFrame | None = None
     n_blocks = 0
@@ -148,29 +161,31 @@ def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
         found = part if found is None else found.unionByName(part.where(F.size("spans") > 0))
         n_blocks += 1
     if n_blocks > 1:
-        found = found.groupBy("row").agg(F.first("key").alias("key"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+        found = found.groupBy(ROW).agg(F.first("key").alias("key"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
 
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 spans = [merged(x) for x in columns_of(batch, "spans")[0]]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(spans, pa.list_(pa.list_(pa.int32())))], batch.schema.names)
 
-        found = found.select("row", "key", "n_words", "items", "spans").mapInArrow(merge, schema)
+        found = found.select(ROW, "key", "n_words", "items", "spans").mapInArrow(merge, schema)
 
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + (s[1] - s[0]))
-    out = found.select(F.col("key").alias(key), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "items", "spans")
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * ratio >= F.col("n_words"))).select(key, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans")
+    out = found.select(ROW, "key", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "items", "spans")
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * ratio >= F.col("n_words")))
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, ratio: int = 20, block_bytes: int = 4 << 20) -> DataFrame:
     """The rows of ``documents`` that aren't contaminated, with all their columns; see ``contamination``.
 
-    A benchmark of one block is searched inside the scan, without a shuffle. A larger one needs the union of
-    hits, after which contaminated keys leave by an anti join (equal keys then share a fate).
+    A benchmark of one block is searched inside the scan, without a shuffle. For a larger one the rows
+    are numbered and written, and those whose hits of all blocks contaminate them leave by their number.
     """
     if len(benchmark_sizes(benchmark, item_text, block_bytes)) > 1:
-        gone = contamination(documents, benchmark, key, text, item, item_text, window, ratio, block_bytes).where("contaminated").select(key).distinct()
-        return documents.join(gone, key, "left_anti").select(documents.columns)
+        rows = numbered(text_rows(documents))
+        slim = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), ROW)
+        gone = judged(slim, benchmark, item, item_text, window, ratio, block_bytes).where("contaminated").select(ROW)
+        return rows.join(gone, ROW, "left_anti").select(documents.columns)
     searcher = Searcher(next(benchmark_blocks(benchmark, item, item_text, block_bytes)), window)
     sent = text_rows(documents).sparkSession.sparkContext.broadcast(searcher)
 

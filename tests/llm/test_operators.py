@@ -212,6 +212,24 @@ def test_decontamination(spark, docs, rows, no_docs, block_bytes):
     assert decontam.contamination(docs, bench.limit(0)).where("n_hit > 0").isEmpty() and decontam.contamination(no_docs, bench).count() == 0
 
 
+def test_decontamination_adds_up_the_hits_of_all_blocks(spark):
+    rng = random.Random(8)
+    item_words = [[f"i{k}w{j}" for j in range(30)] for k in range(24)]
+    filler = lambda n: [f"f{rng.randrange(10**6)}" for _ in range(n)]
+    # each passage is 13 words of 500: under 1 in 20 alone, over it with those of the other items
+    spread = sum((item_words[k][5:18] + filler(487 // 4) for k in (0, 7, 15, 23)), [])
+    alone = item_words[3][5:18] + filler(487)
+    made = [(1, " ".join(spread)), (1, "the same key, but clean"), (2, " ".join(alone)), (None, " ".join(spread)), (3, " ".join(filler(50)))]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    items = [(k, " ".join(w)) for k, w in enumerate(item_words)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert len(decontam.benchmark_sizes(bench, "text", 400)) >= 3
+    got = [tuple(r)[:6] for r in decontam.contamination(docs, bench, block_bytes=400).collect()]
+    assert sorted(got, key=str) == sorted(((i, *hit_brute(x, items)) for i, x in made), key=str)
+    kept = decontam.clean(docs, bench, block_bytes=400).collect()
+    assert sorted(map(tuple, kept)) == sorted([made[1], made[2], made[4]])
+
+
 def near_brute(rows, percent=75):
     def shingles(x):
         w = re.findall(r"[^\x20\x09-\x0D]+", (x or "").encode().lower().decode())
