@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.functions import codec
-from strata.operators import compaction, context, evolution, graph, ingest, ngram, retrieval, scheduler, temporal
+from strata.operators import compaction, context, evolution, graph, ingest, ngram, records, retrieval, scheduler, temporal
 from strata.plans.engine import MemoryEngine
 from strata.sources import tables as T
 
@@ -186,3 +186,25 @@ def test_fuzzy_pairs_equal_brute_force(spark):
 
     want = {(f"m{i}", f"m{j}") for i in range(5) for j in range(i + 1, 5) if len(s(texts[i]) & s(texts[j])) / len(s(texts[i]) | s(texts[j])) >= 0.72}
     assert {(r["a"], r["b"]) for r in retrieval.fuzzy_pairs(m).collect()} == want
+
+
+def test_evolution_finds_neighbours_by_common_words(spark):
+    titles = ["common words of all"] * 70 + [f"common note {i % 9}" for i in range(60)] + ["common alone zeta", "none"]
+    contents = [f"{t} and more" if i % 2 else f"common note {i % 5} words" for i, t in enumerate(titles)]
+    m = memories(spark, contents).withColumn("title", F.element_at(F.array(*map(F.lit, titles)), (F.col("createdAt") + 1).cast("int")))
+
+    def words(x):
+        return {w for w in x.split() if len(w) > 1}
+
+    def near(i):
+        shared = [(-len(words(contents[i]) & words(t)), f"m{j}", j) for j, t in enumerate(titles) if j != i]
+        return [j for s, _, j in sorted(shared) if s][:3]
+
+    got = {r["id"]: r["novelty"] for r in records.evolve(m, m, 200)[0].collect()}
+    want = {f"m{i}": 1 - sum(titles[j] in contents[i] for j in near(i)) / len(near(i)) if near(i) else 1.0 for i in range(len(titles))}
+    assert got == pytest.approx(want) and got["m1"] == 0.0
+    records.TITLES, records.CANDIDATES, kept = 4, 16, (records.TITLES, records.CANDIDATES)
+    try:
+        assert {r["id"]: r["novelty"] for r in records.evolve(m, m, 200)[0].collect()} == pytest.approx(want)
+    finally:
+        records.TITLES, records.CANDIDATES = kept
