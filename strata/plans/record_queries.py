@@ -106,8 +106,9 @@ def retrieve_top_k(spark, d):
 
 @query()
 def evolve_with_progression(spark, d):
+    """Every memory is a candidate, judged against all others of its project."""
     m = T.memories(spark, d)
-    return records.evolve(m.where(F.col("createdAt") % 420_000 == 0), m, NOW)[1]
+    return records.evolve(m, m, NOW)[1]
 
 
 @query("""WITH t AS (SELECT doc_id, lower(text || CASE doc_id % 3 WHEN 0 THEN ' duplicate state' WHEN 1 THEN ' nested error' ELSE '' END) AS t FROM documents) SELECT doc_id, greatest(1, CAST(regexp_matches(t, 'duplicate|redundant') AS INT) + CAST(regexp_matches(t, 'long|complex|nested') AS INT) + CAST(regexp_matches(t, 'state|mutable') AS INT) + CAST(regexp_matches(t, 'recursion|stack') AS INT) + CAST(regexp_matches(t, 'error|exception') AS INT)) AS n FROM t""")

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import codec
 from strata.operators import compaction, context, evolution, graph, ingest, ngram, records, retrieval, scheduler, temporal
+from strata.plans import catalog
 from strata.plans.engine import MemoryEngine
 from strata.sources import tables as T
 
@@ -208,3 +209,9 @@ def test_evolution_finds_neighbours_by_common_words(spark):
         assert {r["id"]: r["novelty"] for r in records.evolve(m, m, 200)[0].collect()} == pytest.approx(want)
     finally:
         records.TITLES, records.CANDIDATES = kept
+
+
+def test_evolution_query_judges_every_memory(spark, tmp_path):
+    spark.createDataFrame([(i, f"text {i} of some words", "en", "s") for i in range(20)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert sum(r["n"] for r in catalog.QUERIES["evolve_with_progression"](spark, str(tmp_path)).collect()) == 20
