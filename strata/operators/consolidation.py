@@ -56,15 +56,26 @@ def consolidate_fuzzy(df: DataFrame, threshold: float = 0.72) -> DataFrame:
     return full.where("id = keptId").join(sizes, "keptId").select("id", "projectId", "kind", "n")
 
 
-def groups(pairs: DataFrame, most_rounds: int = 30) -> DataFrame:
-    """(id, g): the connected group of each id, by passing on the least id until nothing changes."""
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().persist()
-    label = both.select(F.col("a").alias("id")).distinct().withColumn("g", F.col("id"))
+def groups(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(id, g): the least id of the connected group of each id, by alternating large and small stars.
+
+    The links become stars after a logarithmic number of rounds, so long chains end too; labels that aren't final
+    are never returned.
+    """
+    links = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().localCheckpoint()
+    before = None
     for _ in range(most_rounds):
-        passed = both.join(label, both.b == label.id).groupBy(F.col("a").alias("id")).agg(F.min("g").alias("near"))
-        new = label.join(passed, "id").select("id", F.least("g", "near").alias("g"), (F.col("near") < F.col("g")).alias("moved")).persist()
-        moved = not new.where("moved").isEmpty()
-        label = new.drop("moved")
-        if not moved:
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        links = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct().localCheckpoint()
+        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before:
             break
-    return label
+        before = now
+    else:
+        raise RuntimeError(f"groups: not done after {most_rounds} rounds")
+    return links.select(F.col("a").alias("id"), F.col("b").alias("g")).unionByName(links.select(F.col("b").alias("id"), F.col("b").alias("g"))).distinct()

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.functions import codec
-from strata.operators import compaction, context, evolution, graph, ingest, ngram, records, retrieval, scheduler, temporal
+from strata.operators import compaction, consolidation, context, evolution, graph, ingest, ngram, records, retrieval, scheduler, temporal
 from strata.plans import catalog
 from strata.plans.engine import MemoryEngine
 from strata.sources import tables as T
@@ -215,3 +215,11 @@ def test_evolution_query_judges_every_memory(spark, tmp_path):
     spark.createDataFrame([(i, f"text {i} of some words", "en", "s") for i in range(20)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert sum(r["n"] for r in catalog.QUERIES["evolve_with_progression"](spark, str(tmp_path)).collect()) == 20
+
+
+def test_groups_of_a_long_chain(spark):
+    links = [(f"n{i:03}", f"n{i + 1:03}") for i in range(70)] + [("x", "y")]
+    got = {r["id"]: r["g"] for r in consolidation.groups(spark.createDataFrame(links, "a string, b string")).collect()}
+    assert got == {f"n{i:03}": "n000" for i in range(71)} | {"x": "x", "y": "x"}
+    with pytest.raises(RuntimeError):
+        consolidation.groups(spark.createDataFrame(links, "a string, b string"), most_rounds=1)
