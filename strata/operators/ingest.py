@@ -111,15 +111,24 @@ def feature_vector(stats: dict[str, Column], n: int = 15) -> Column:
     return F.slice(F.concat(F.array(*(c.cast("float") for c in stats.values())), F.array_repeat(F.lit(0.0).cast("float"), n)), 1, n)
 
 
+#: Buckets of hashes in which the order of pairs is made; a fixed number, so that no setting changes the pairs.
+PAIR_BUCKETS = 4096
+
+
 def training_pairs(chunks: DataFrame, key: str = "id", seed: int = 42) -> DataFrame:
     """(left, right, label): each chunk with its own summary at 0.92, and with the summary of the next chunk in a
-    seeded order of hashes at 0.08; neighbours in that order are found by ranges, not by one sorted task."""
-    h = F.xxhash64(F.lit(seed), key)
+    seeded ring of hashes at 0.08; a single chunk has no other. Neighbours are found by buckets of hashes, and the
+    last chunk of a bucket goes on with the first of the next one that has any."""
     own = chunks.select(F.col("text").alias("left"), F.col("summary").alias("right"), F.lit(0.92).alias("label"))
-    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucketed = chunks.select("text", "summary", h.alias("h")).withColumn("b", F.pmod(F.col("h"), F.lit(64 * n)))
-    w = Window.partitionBy("b").orderBy("h", "text")
-    other = bucketed.withColumn("right", F.lead("summary").over(w)).where("right IS NOT NULL").select(F.col("text").alias("left"), "right", F.lit(0.08).alias("label"))
+    h = F.xxhash64(F.lit(seed), key)
+    bucketed = chunks.select("text", "summary", h.alias("h")).withColumn("b", F.pmod(F.col("h"), F.lit(PAIR_BUCKETS)))
+    order = ("h", "text", "summary")
+    firsts = bucketed.groupBy("b").agg(F.min(F.struct(*order)).alias("f"), F.count("*").alias("n")).select("b", F.struct("f.summary").alias("first"), "n")
+    ring, whole = Window.orderBy("b"), Window.partitionBy()  # at most a row per bucket
+    after = firsts.select("b", F.coalesce(F.lead("first").over(ring), F.min_by("first", "b").over(whole)).alias("first"), F.sum("n").over(whole).alias("total"))
+    following = F.lead(F.struct(*order)).over(Window.partitionBy("b").orderBy(*order))
+    linked = bucketed.withColumn("following", following).join(F.broadcast(after), "b").where("total > 1")
+    other = linked.select(F.col("text").alias("left"), F.when(F.col("following").isNotNull(), F.col("following.summary")).otherwise(F.col("first.summary")).alias("right"), F.lit(0.08).alias("label"))
     return own.unionByName(other)
 
 

@@ -223,3 +223,19 @@ def test_groups_of_a_long_chain(spark):
     assert got == {f"n{i:03}": "n000" for i in range(71)} | {"x": "x", "y": "x"}
     with pytest.raises(RuntimeError):
         consolidation.groups(spark.createDataFrame(links, "a string, b string"), most_rounds=1)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 50])
+def test_every_chunk_has_a_negative_pair(spark, n):
+    chunks = spark.createDataFrame([(str(i), f"text {i}", f"summary {i}") for i in range(n)], "id string, text string, summary string")
+    got = sorted(map(tuple, ingest.training_pairs(chunks).collect()))
+    negative = [(a, b) for a, b, label in got if label < 0.5]
+    assert len(got) - len(negative) == n and len(negative) == (n if n > 1 else 0)
+    assert len({a for a, _ in negative}) == len({b for _, b in negative}) == len(negative)
+    assert all(a.split()[1] != b.split()[1] for a, b in negative)
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        assert sorted(map(tuple, ingest.training_pairs(chunks).collect())) == got
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
