@@ -261,7 +261,7 @@ def generate_continuation(spark, d):
     def run(values):
         return values.map(lambda x: udfs.continuation(model, x, 20))
 
-    return docs(spark, d).select("doc_id", run(F.substring("text", 1, 40)).alias("continuation"))
+    return docs(spark, d).select("doc_id", run("text").alias("continuation"))
 
 
 @query("SELECT doc_id, CAST(round(least(127.0::DOUBLE, greatest(1.0::DOUBLE, round((doc_id % 100) / 100.0::DOUBLE * 127)))) AS INT) AS q, round(least(0.98::DOUBLE, 0.55::DOUBLE + 0.25::DOUBLE * (doc_id % 4) / 4 + 0.18::DOUBLE + 0.02::DOUBLE * 0.5), 4) AS weight FROM documents")

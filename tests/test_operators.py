@@ -239,3 +239,10 @@ def test_every_chunk_has_a_negative_pair(spark, n):
         assert sorted(map(tuple, ingest.training_pairs(chunks).collect())) == got
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+
+
+def test_continuation_query_goes_on_from_the_end(spark, tmp_path):
+    long = "beginning " * 10 + "alpha beta"
+    spark.createDataFrame([(1, long), (2, "beta gamma delta " * 5)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["continuation"] for r in catalog.QUERIES["generate_continuation"](spark, str(tmp_path)).collect()}
+    assert got[1].startswith("gamma delta") and got[2].startswith("beta gamma")
