@@ -172,7 +172,7 @@ def heuristic_tags(spark, d):
 
 @query()
 def suggest_tags(spark, d):
-    v = ngram.vocabulary(docs(spark, d), 256)
+    v = ngram.vocabulary(docs(spark, d), 4096)
     return ngram.suggest_tags(docs(spark, d), v, ngram.transitions(docs(spark, d), v, 24), 6)
 
 
@@ -251,10 +251,10 @@ def proactive_suggestion(spark, d):
 def generate_continuation(spark, d):
     from ..functions import udfs
 
-    v = ngram.vocabulary(docs(spark, d), 256)
-    names = {r["tokenId"]: r["token"] for r in v.collect()}  # 256 rows
+    v = ngram.vocabulary(docs(spark, d), 4096)
+    names = {r["tokenId"]: r["token"] for r in v.collect()}  # 4,096 rows
     model: dict[str, list] = {}
-    for r in ngram.transitions(docs(spark, d), v, 24).where("fromId > 0 AND toId > 0").orderBy("fromId", "rank").collect():  # at most 256 * 24 rows
+    for r in ngram.transitions(docs(spark, d), v, 24).where("fromId > 0 AND toId > 0").orderBy("fromId", "rank").collect():  # at most 4,096 * 24 rows
         model.setdefault(names[r["fromId"]], []).append((names[r["toId"]], r["q"]))
 
     @F.pandas_udf("string")

@@ -246,3 +246,12 @@ def test_continuation_query_goes_on_from_the_end(spark, tmp_path):
     spark.createDataFrame([(1, long), (2, "beta gamma delta " * 5)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["continuation"] for r in catalog.QUERIES["generate_continuation"](spark, str(tmp_path)).collect()}
     assert got[1].startswith("gamma delta") and got[2].startswith("beta gamma")
+
+
+def test_tags_and_continuations_know_rarer_tokens(spark, tmp_path):
+    many = " ".join(f"t{i:03}" for i in range(400))
+    spark.createDataFrame([(1, many), (2, "t350")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["continuation"] for r in catalog.QUERIES["generate_continuation"](spark, str(tmp_path)).collect()}
+    assert got[2].startswith("t351 t352")
+    tags = {r["token"] for r in catalog.QUERIES["suggest_tags"](spark, str(tmp_path)).where("doc_id = 2").collect()}
+    assert tags == {"t350", "t351"}
