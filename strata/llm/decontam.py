@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checked_broadcast, columns_of, lowered, pieces, text_rows, written
+from .shared import checked_broadcast, columns_of, lowered, pieces, text_batches, written
 
 #: Runs of digits, a-z and everything beyond ASCII; for texts whose A-Z are lower-cased.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -118,7 +118,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
     columns are ignored.
     """
     many = len(benchmark_sizes(benchmark, item_text, block_bytes)) > 1
-    slim = text_rows(documents).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    slim = text_batches(documents).select(F.col(key).alias("key"), F.col(text).alias("text"))
     slim = numbered(slim) if many else slim.withColumn(ROW, F.lit(0).cast("long"))
     out = judged(slim, benchmark, item, item_text, window, ratio, block_bytes)
     return out.select(F.col("key").alias(key), "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans")
@@ -182,12 +182,12 @@ def clean(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     are numbered and written, and those whose hits of all blocks contaminate them leave by their number.
     """
     if len(benchmark_sizes(benchmark, item_text, block_bytes)) > 1:
-        rows = numbered(text_rows(documents))
+        rows = numbered(text_batches(documents))
         slim = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), ROW)
         gone = judged(slim, benchmark, item, item_text, window, ratio, block_bytes).where("contaminated").select(ROW)
         return rows.join(gone, ROW, "left_anti").select(documents.columns)
     searcher = Searcher(next(benchmark_blocks(benchmark, item, item_text, block_bytes)), window)
-    sent = text_rows(documents).sparkSession.sparkContext.broadcast(searcher)
+    sent = text_batches(documents).sparkSession.sparkContext.broadcast(searcher)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 256):

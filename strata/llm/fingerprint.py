@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import columns_of, pieces, text_rows
+from .shared import columns_of, pieces, text_batches
 
 BUCKETS = 256
 #: The most the length codes may add to a difference, and the most bucket codes can.
@@ -116,7 +116,7 @@ def edit_likeness(documents: DataFrame, key: str = "doc_id", text: str = "text",
     also to the run before. A single row is its own next. An empty table gives no rows; other columns are
     ignored. Keys are integers.
     """
-    spark = text_rows(documents).sparkSession
+    spark = text_batches(documents).sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     bounds = slim.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10 * n).alias("b")).first()["b"] if n > 1 else []

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import columns_of, lowered, pieces, text_rows, written
-from .words import HASHES, WORD, shingles
+from .shared import columns_of, lowered, pieces, text_batches, written
+from .words import WORD, forgetting, hashes_of, shingles
 
 #: Rows, and bytes of sets, in a block of a group.
 BLOCK_ROWS, BLOCK_BYTES = 512, 16 << 20
@@ -35,7 +35,7 @@ SENT_IDS = 1_000_000
 
 
 def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
-    return shingles(HASHES.of(WORD.findall(lowered(text))), n) if text else np.zeros(0, np.uint64)
+    return shingles(hashes_of(WORD.findall(lowered(text))), n) if text else np.zeros(0, np.uint64)
 
 
 def needed(size: int, k: int) -> int:
@@ -56,7 +56,7 @@ def sketches(documents: DataFrame, key: str, text: str, n: int, k: int) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(low.view(np.int64)))], ["key", "size", "set_id", "sketch"])
 
     slim = documents.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return slim.mapInArrow(run, "key long, size long, set_id binary, sketch array<long>")
+    return slim.mapInArrow(forgetting(run), "key long, size long, set_id binary, sketch array<long>")
 
 
 def verified(sets: list[np.ndarray], label: list[int], left: np.ndarray, k: int, percent: int) -> list[tuple[int, int]]:
@@ -163,7 +163,7 @@ def full_sets(documents: DataFrame, wanted: DataFrame, key: str, text: str, n: i
             made = [shingle_set(x, n).tobytes() for x in columns_of(batch, "text")[0]]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["key", "set"])
 
-    return slim.mapInArrow(run, "key long, set binary").where(F.octet_length("set") > 0).dropDuplicates(["key"])
+    return slim.mapInArrow(forgetting(run), "key long, set binary").where(F.octet_length("set") > 0).dropDuplicates(["key"])
 
 
 def similar_links(documents: DataFrame, sketched: DataFrame, key: str, text: str, n: int, k: int, percent: int) -> DataFrame:
@@ -211,7 +211,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     Two sets as similar as asked share at least half of ``k`` retained values but for a chance of about
     2e-6 at the threshold itself, far less above it, and no chance where either has at most ``k`` shingles.
     """
-    sketched = written(sketches(text_rows(documents), key, text, n, k), "sketches")
+    sketched = written(sketches(text_batches(documents), key, text, n, k), "sketches")
     classes = written(sketched.where("set_id IS NOT NULL AND key IS NOT NULL").groupBy("set_id").agg(F.min("key").alias("class")), "classes")
     members = sketched.select("key", "size", "set_id").join(classes, "set_id", "left")
     of_class = classes.select(F.col("class").alias("key"))

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, sample
-from .shared import columns_of, pieces, text_rows
-from .words import HASHES, WORD, run_hashes
+from .shared import columns_of, pieces, text_batches
+from .words import WORD, forgetting, hashes_of, run_hashes
 
 FEATURES = (
     "log_chars", "letters", "upper", "digits", "symbols", "bars", "exclamations", "stops", "spaces", "beyond_ascii", "word_length",
@@ -48,7 +48,7 @@ def features(text: str | None) -> list[float]:
     upper, beyond = int(count @ UPPER), int(count[128:].sum())
     letters = upper + int(count @ LOWER) + beyond
     found = WORD.findall(text)
-    words = HASHES.of(found)
+    words = hashes_of(found)
     m = max(1, len(words))
     _, often = np.unique(words, return_counts=True)
     runs = run_hashes(words, 3)
@@ -184,8 +184,8 @@ def feature_rows(texts: DataFrame, *keep: str) -> DataFrame:
             x = [features(t) for t in columns_of(batch, "text")[0]]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(x, pa.list_(pa.float64()))], [*keep, "x"])
 
-    kinds = dict(text_rows(texts).dtypes)
-    return texts.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", x array<double>")
+    kinds = dict(text_batches(texts).dtypes)
+    return texts.mapInArrow(forgetting(run), ", ".join(f"{c} {kinds[c]}" for c in keep) + ", x array<double>")
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", most_rows: int = 20_000) -> Model:
@@ -207,6 +207,6 @@ def quality_scores(documents: DataFrame, model: Model, key: str = "doc_id", text
             x = np.array([features(t) for t in columns_of(batch, "text")[0]], float).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["key", "score"])
 
-    kind = text_rows(documents).schema[key].dataType.simpleString()
-    scored = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, score double")
+    kind = text_batches(documents).schema[key].dataType.simpleString()
+    scored = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(forgetting(run), f"key {kind}, score double")
     return scored.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,21 +20,28 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="strata-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-#: Rows of text that travel to Python at once; Spark's default of 10,000 long texts is several times as large.
-TEXT_ROWS = 2000
+#: Bytes of rows that travel to Python at once; Spark's own default is 64 MB.
+BATCH_BYTES = 4 << 20
 
 
-def text_rows(df: DataFrame) -> DataFrame:
-    """``df``, after the session's Arrow batches have been limited to ``TEXT_ROWS`` rows, if they were larger."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
-        conf.set(key, str(TEXT_ROWS))
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session's Arrow batches have been limited to ``BATCH_BYTES``, if they were larger.
+
+    A longer text travels alone and whole. The setting is read when a query starts, so it stays.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.match(r"(\d+)([kmg]?)b?$", conf.get(key).strip().lower())
+    factor = {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    if not now or not 0 < int(now[1]) * factor[now[2]] <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
     return df
 
 

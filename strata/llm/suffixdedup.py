@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import columns_of, pieces, text_rows, written
-from .words import HASHES, WORD, run_hashes
+from .shared import columns_of, pieces, text_batches, written
+from .words import WORD, forgetting, hashes_of, run_hashes
 
 GRAM = 16
 #: Suffixes with the same start that one task sorts: some 20 MB.
@@ -50,8 +50,8 @@ def minimisers(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray,
     return owner[first], runs[owner[first]], first, np.concatenate([first[1:], [windows]]) - 1
 
 
-def hashes_of(text: str | None) -> np.ndarray:
-    return HASHES.of(WORD.findall(text)) if text else np.zeros(0, np.uint64)
+def text_hashes(text: str | None) -> np.ndarray:
+    return hashes_of(WORD.findall(text)) if text else np.zeros(0, np.uint64)
 
 
 def repeated_in(rows: list[tuple[int, int, int, int, bytes]], length: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -127,21 +127,21 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
 
 def repeated_windows(documents: DataFrame, key: str, text: str, length: int) -> DataFrame:
     """(key, low, high, first_key, first_low): runs of windows that occur more than once."""
-    n_parts = int(text_rows(documents).sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = int(text_batches(documents).sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slim = documents.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
 
     def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 512):
             rows, hashes, counts = [], [], []
             for k, x in enumerate(columns_of(batch, "text")[0]):
-                h, c = np.unique(minimisers(hashes_of(x), length)[1], return_counts=True)
+                h, c = np.unique(minimisers(text_hashes(x), length)[1], return_counts=True)
                 rows.append(np.full(len(h), k, np.int32))
                 hashes.append(h)
                 counts.append(c)
             keys = batch.column(0).take(pa.array(np.concatenate(rows)))
             yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(counts).astype(np.int32))], ["key", "start", "c"])
 
-    per_text = written(slim.mapInArrow(starts, "key long, start long, c int"), "starts")
+    per_text = written(slim.mapInArrow(forgetting(starts), "key long, start long, c int"), "starts")
     often = per_text.groupBy("start").agg(F.sum("c").alias("c")).where("c > 1").select("start", (F.col("c") > HOT).alias("hot"))
     hits = per_text.select("key", "start").join(often, "start").groupBy("key").agg(F.collect_list(F.struct("start", "hot")).alias("starts"))  # at most one per word of the text
 
@@ -149,7 +149,7 @@ def repeated_windows(documents: DataFrame, key: str, text: str, length: int) ->
         for batch in pieces(batches, 128):
             out: list[list] = [[] for _ in range(7)]
             for k, x, wanted in zip(*columns_of(batch, "key", "text", "starts"), strict=True):
-                words = hashes_of(x)
+                words = text_hashes(x)
                 hot = {s["start"]: s["hot"] for s in wanted}
                 place, run, low, high = minimisers(words, length)
                 whole = run_hashes(words, length) if any(hot.values()) else None
@@ -161,7 +161,7 @@ def repeated_windows(documents: DataFrame, key: str, text: str, length: int) ->
                             column.append(value)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())), strict=True))], ["start", "key", "place", "low", "high", "words", "windows"])
 
-    found = written(slim.join(hits, "key").mapInArrow(suffixes, "start long, key long, place int, low int, high int, words binary, windows array<long>"), "suffixes")
+    found = written(slim.join(hits, "key").mapInArrow(forgetting(suffixes), "start long, key long, place int, low int, high int, words binary, windows array<long>"), "suffixes")
 
     def sort_and_compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import pretokenizer
-from .shared import checked_broadcast, columns_of, pieces, text_rows, written
+from .shared import checked_broadcast, columns_of, pieces, text_batches, written
 
 #: Distinct pre-tokens a worker holds before it hands them on.
 FLUSH = 200_000
@@ -64,7 +64,7 @@ def token_counts(documents: DataFrame, path: str, key: str = "doc_id", text: str
     columns are ignored; an empty table gives an empty result. ``head`` only decides which pre-tokens take
     the broadcast: any value gives the same result.
     """
-    spark = text_rows(documents).sparkSession
+    spark = text_batches(documents).sparkSession
     counted = written(piece_counts(pretoken_counts(documents, path, text), path), "pieces")
     most = {r[0]: r[1] for r in counted.where(F.octet_length("pretoken") <= 64).orderBy(F.desc("n"), "pretoken").limit(head).select("pretoken", "n_pieces").toLocalIterator()}
     sent = checked_broadcast(most, 160 * len(most), spark, "frequent pre-tokens")

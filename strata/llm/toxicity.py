@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import sample
-from .shared import columns_of, pieces, text_rows, written
-from .words import HASHES, shingles
+from .shared import columns_of, pieces, text_batches, written
+from .words import forgetting, hashes_of, shingles
 
 LETTERS = re.compile(r"[^\W\d_]+")
 GRADES = 4
 #: Rows of the sample that share COPY of their SKETCH least shingle hashes count as one.
 SKETCH, COPY = 16, 4
+#: Words whose features a task remembers.
+MOST_WORDS = 50_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -45,9 +47,11 @@ class Known(dict):
         self.weights = weights
 
     def __missing__(self, word: str) -> tuple[str, ...]:
-        if len(self) > 150_000:
+        out = tuple(f for f in features_of(word) if f in self.weights)
+        if len(self) > MOST_WORDS:
             self.clear()
-        self[word] = out = tuple(f for f in features_of(word) if f in self.weights)
+        if len(word) <= 64:
+            self[word] = out
         return out
 
 
@@ -123,13 +127,16 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", key: st
             out: list[list] = [[] for _ in range(3)]
             for t in columns_of(batch, "text")[0]:
                 found = words_of(t)
-                counts = Counter(f for w, n in Counter(found).items() for f in features_of(w) for _ in range(min(n, 64)))
-                for column, value in zip(out, (list(counts), list(counts.values()), shingles(HASHES.of(found), 5)[:SKETCH].view(np.int64).tolist()), strict=True):
+                counts: Counter = Counter()
+                for w, n in Counter(found).items():
+                    for f in features_of(w):
+                        counts[f] += n
+                for column, value in zip(out, (list(counts), list(counts.values()), shingles(hashes_of(found), 5)[:SKETCH].view(np.int64).tolist()), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0], pa.list_(pa.string())), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.list_(pa.int64()))], ["key", "label", "words", "counts", "sketch"])
 
-    rows = sample(text_rows(documents), labels, label, key, text, most_rows).select("key", "label", "text")
-    made = written(rows.mapInArrow(run, "key long, label int, words array<string>, counts array<int>, sketch array<long>"), "toxic-sample")
+    rows = sample(text_batches(documents), labels, label, key, text, most_rows).select("key", "label", "text")
+    made = written(rows.mapInArrow(forgetting(run), "key long, label int, words array<string>, counts array<int>, sketch array<long>"), "toxic-sample")
     copies = copies_of((r["key"], r["sketch"]) for r in made.select("key", "sketch").orderBy("key").toLocalIterator())
     if copies:
         gone = made.sparkSession.createDataFrame([(k,) for k in copies], "key long")
@@ -169,7 +176,7 @@ def toxicity(documents: DataFrame, model: Model, key: str = "doc_id", text: str
     wordless texts get the score of a text without known words. Only the text enters a score, all of it;
     repeated rows stay; other columns are ignored; an empty table gives no rows.
     """
-    kind = text_rows(documents).schema[key].dataType.simpleString()
+    kind = text_batches(documents).schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 512):

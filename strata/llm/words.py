@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: Runs without white space (ASCII).
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-#: Words whose hashes a worker remembers.
-REMEMBERED = 200_000
+#: Words whose hashes a worker remembers during a task, and their greatest length: some 20 MB.
+REMEMBERED, LENGTH = 100_000, 64
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -20,7 +22,9 @@ class WordHashes(dict):
     """word -> hash, each hashed once; emptied when it has grown too large."""
 
     def __missing__(self, word: str) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LENGTH:
+            self[word] = h
         return h
 
     def of(self, words: list[str]) -> np.ndarray:
@@ -33,6 +37,26 @@ class WordHashes(dict):
 HASHES = WordHashes()
 
 
+def hashes_of(words: list[str]) -> np.ndarray:
+    return HASHES.of(words)
+
+
+def forget() -> None:
+    HASHES.clear()
+
+
+def forgetting(run: Callable) -> Callable:
+    """``run`` for mapInArrow; the words that a task has remembered go at its end, as workers are used again."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            forget()
+
+    return task
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -352,7 +352,21 @@ def test_packing(spark, docs, rows, no_docs):
     for w in windows.values():
         w.sort(key=lambda r: r["offset"])
         assert [r["offset"] for r in w] == list(np.cumsum([0, *(r["length"] for r in w)])[:-1]) and sum(r["length"] for r in w) <= 64
-    assert sum(sum(r["length"] for r in w) < 64 for w in windows.values()) <= 3 and packing.pack(no_docs, tokenizer_path()).count() == 0
+    fills = [sum(r["length"] for r in w) for w in windows.values()]
+    assert all(n & n - 1 == 0 for n in fills)  # 64 or another power of two: nothing is padded
+    assert sum(n < 64 for n in fills) <= 3 * 6 and packing.pack(no_docs, tokenizer_path()).count() == 0
+
+
+def test_ids_are_those_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    t, made = Tokenizer.from_file(tokenizer_path()), PreTokenizer(tokenizer_path())
+    assert made.fast is not None
+    hard = [" " * 300_000, " " * 300_000 + "x", "a" * 50_000, "\U0001fae8\ue000 unassigned \u0378", "x\x85y\x1c\x1f \u2028\u3000z", "<|endoftext|><|endoftext|> <|endoftext|", "'s 'S ' ll'll", "\r\n \t\n x", "e\u0301\u200d\ufeff"]
+    for x in [*hard, *(x or "" for x in texts())]:
+        want = t.encode(x, add_special_tokens=False).ids
+        assert made.ids(x).tolist() == want
+        assert [i for ids in made.encode(made.cut(x)) for i in ids] == want
 
 
 def test_packer_takes_the_level_of_least_squares():
@@ -363,6 +377,6 @@ def test_packer_takes_the_level_of_least_squares():
     q = packing.Packer(10, 4)
     for k in range(100):
         q.add((k, 0, np.zeros(7, "<u4"), 7))
-        assert q.levels.sum() <= 5
+        assert q.n_open <= 5
     rest = q.rest()  # this may fill windows
     assert sum(sum(len(x[2]) for x in w) for w in [*q.done, *rest]) == 700
