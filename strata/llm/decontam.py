@@ -3,26 +3,31 @@
 The patterns are all windows of 13 consecutive words of the benchmark's items; an item of fewer words is one
 pattern. A table of shifts by the last block of words under the window skips positions where no pattern can
 end; where the shift is 0, the block's bucket selects patterns, their first word is compared, then all words.
-The benchmark is sent in blocks of bounded size, so documents never meet it in a join.
+The benchmark is cut into blocks, each with tables of its own, and one scan searches a row for all of them, so
+documents never meet it in a join. A benchmark whose tables exceed ``SCAN_BYTES`` takes several scans, over rows
+that are numbered and written first; results don't depend on the number of blocks or scans.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import checked_broadcast, columns_of, lowered, pieces, text_batches, written
+from .shared import checked_broadcast, columns_of, fresh, lowered, pieces, text_batches, written
+from .words import forgetting
 
 #: Runs of digits, a-z and everything beyond ASCII; for texts whose A-Z are lower-cased.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-#: The column that numbers rows while the hits of several blocks are put together.
-ROW = "__strata_row"
+#: Bytes of benchmark text in a block, and of all tables that a scan may hold, as estimated.
+BLOCK_BYTES, SCAN_BYTES = 4 << 20, 256 << 20
 
 
 def words_of(text: str | None) -> list[str]:
@@ -95,107 +100,128 @@ def merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def benchmark_sizes(benchmark: DataFrame, text: str, block_bytes: int) -> range:
-    """The numbers of the blocks."""
-    total = benchmark.agg(F.sum(F.octet_length(F.col(text))).alias("n")).first()["n"] or 0
-    return range(max(1, -(-total // block_bytes)))
+def table_bytes(block: list[tuple[str, list[str]]]) -> int:
+    """About what the tables of a block take in memory."""
+    return sum(sum(map(len, ws)) + 400 * len(ws) for _, ws in block)
+
 
+def benchmark_scans(benchmark: DataFrame, item: str, text: str, window: int, block_bytes: int, scan_bytes: int) -> list[list]:
+    """Broadcast searchers for all blocks, grouped by scan; items without an id or words have no part.
 
-def benchmark_blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, list[str]]]]:
-    """The items' words in blocks of about ``block_bytes`` of text; items without an id or words have no part."""
-    n = len(benchmark_sizes(benchmark, text, block_bytes))
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    Each block is read, built and sent in turn: the driver holds the tables of one.
+    """
+    spark = benchmark.sparkSession
+    total = benchmark.agg(F.sum(F.octet_length(F.col(text))).alias("n")).first()["n"] or 0
+    n = max(1, -(-total // block_bytes))
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL").distinct()
+    scans: list[list] = [[]]
+    held = 0
     for k in range(n):
-        yield [(r["item"], w) for r in rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).distinct().toLocalIterator() if (w := words_of(r["text"]))]
+        block = [(r["item"], w) for r in rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).toLocalIterator() if (w := words_of(r["text"]))]
+        size = table_bytes(block)
+        if scans[-1] and held + size > scan_bytes:
+            scans.append([])
+            held = 0
+        held += size
+        scans[-1].append(checked_broadcast(Searcher(block, window), size, spark, "a block of the benchmark", scan_bytes))
+    return scans
+
+
+def hits_of(words: list[str], searchers: list) -> tuple[list[list[int]], list[str]]:
+    """What all searchers find together."""
+    found = [s.value.hits(words) for s in searchers]
+    if len(found) == 1:
+        return found[0][0], sorted(found[0][1])
+    return merged([x for spans, _ in found for x in spans]), sorted({i for _, items in found for i in items})
+
+
+HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType())))])
+
+
+def with_hits(rows: DataFrame, searchers: list) -> DataFrame:
+    """``rows`` (one column, text) as (that column, n_words, items, spans)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 256):
+            counts, items, spans = [], [], []
+            for x in columns_of(batch, "text")[0]:
+                w = words_of(x)
+                s, i = hits_of(w, searchers)
+                counts.append(len(w))
+                items.append(i)
+                spans.append(s)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int32())))], [batch.schema.names[0], "n_words", "items", "spans"])
 
+    return rows.mapInArrow(forgetting(run), T.StructType([rows.schema.fields[0], *HITS.fields]))
 
-def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, ratio: int = 20, block_bytes: int = 4 << 20) -> DataFrame:
+
+def numbered(rows: DataFrame) -> tuple[DataFrame, str]:
+    """``rows`` with a number that is written, so that every scan sees the same one, and its name."""
+    name = fresh(rows, "row")
+    return written(rows.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+def of_all_scans(rows: DataFrame, scans: list[list]) -> DataFrame:
+    """``with_hits`` of numbered rows (number, text), each scan's hits put together by the number."""
+    number = rows.columns[0]
+    parts = [with_hits(rows, s) for s in scans]
+    hits = reduce(DataFrame.unionByName, [parts[0], *(p.where(F.size("spans") > 0) for p in parts[1:])])
+    lists = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")  # one of each a scan
+    together = hits.groupBy(number).agg(F.first("n_words").alias("n_words"), *lists)
+
+    def grown(done: Column, s: Column) -> Column:  # overlapping and touching spans become one
+        last = F.element_at(done, -1)
+        one = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.array(last[0], F.greatest(last[1], s[1]))))
+        return F.when(F.size(done) == 0, F.array(s)).when(s[0] <= last[1], one).otherwise(F.concat(done, F.array(s)))
+
+    return together.withColumn("spans", F.aggregate("spans", F.array().cast("array<array<int>>"), grown))
+
+
+def n_hit(spans: str) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda t, s: t + (s[1] - s[0]))
+
+
+def contaminated(hit: Column, words: Column, ratio: int) -> Column:
+    return (hit > 0) & (hit * ratio >= words)
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, ratio: int = 20, block_bytes: int = BLOCK_BYTES, scan_bytes: int = SCAN_BYTES) -> DataFrame:
     """One row per row of ``documents``: key, n_words, n_hit, n_items, items_sha256, contaminated, items, spans.
 
     ``spans`` are the hit words as [start, end) in words. A document is contaminated if it has hit words and
-    they are at least one in ``ratio``. Null, empty and wordless texts have no words and aren't contaminated;
-    repeated rows stay separate rows; repeated items count once per id; an empty benchmark hits nothing; other
-    columns are ignored.
+    they are at least one in ``ratio``. Null, empty and wordless texts have no words and aren't contaminated; a
+    text of any length is searched whole; repeated rows stay separate rows; repeated items count once per id; an
+    empty benchmark hits nothing, and an empty table gives no rows; other columns are ignored.
     """
-    many = len(benchmark_sizes(benchmark, item_text, block_bytes)) > 1
+    scans = benchmark_scans(benchmark, item, item_text, window, block_bytes, scan_bytes)
     slim = text_batches(documents).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    slim = numbered(slim) if many else slim.withColumn(ROW, F.lit(0).cast("long"))
-    out = judged(slim, benchmark, item, item_text, window, ratio, block_bytes)
-    return out.select(F.col("key").alias(key), "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans")
-
-
-def numbered(df: DataFrame) -> DataFrame:
-    """``df`` with a number in ``ROW`` that is written, so that every later scan sees the same one."""
-    return written(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-
-
-def judged(slim: DataFrame, benchmark: DataFrame, item: str, item_text: str, window: int, ratio: int, block_bytes: int) -> DataFrame:
-    """``contamination`` of rows (key, text, ``ROW``), which keep their ``ROW``. Each block of the benchmark scans
-    the rows once; the hits of a row are put together by ``ROW``, which must be stable if there are several blocks."""
-    spark = slim.sparkSession
-    schema = f"{ROW} long, key {slim.schema['key'].dataType.simpleString()}, n_words long, items array<string>, spans array<array<int>>"
-
-    def scan(block: list[tuple[str, list[str]]]) -> DataFrame:
-        searcher = Searcher(block, window)
-        n_bytes = sum(len(w) + 60 for _, ws in block for w in ws) + 200 * sum(len(ws) for _, ws in block)
-        sent = checked_broadcast(searcher, n_bytes, spark, "a block of the benchmark", 1 << 30)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hits = sent.value.hits
-            for batch in pieces(batches, 256):
-                counts, items, spans = [], [], []
-                for x in columns_of(batch, "text")[0]:
-                    w = words_of(x)
-                    s, i = hits(w)
-                    counts.append(len(w))
-                    items.append(sorted(i))
-                    spans.append(s)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int32())))], [ROW, "key", "n_words", "items", "spans"])
-
-        return slim.select(ROW, "key", "text").mapInArrow(run, schema)
-
-    found: DataFrame | None = None
-    n_blocks = 0
-    for block in benchmark_blocks(benchmark, item, item_text, block_bytes):
-        part = scan(block)
-        found = part if found is None else found.unionByName(part.where(F.size("spans") > 0))
-        n_blocks += 1
-    if n_blocks > 1:
-        found = found.groupBy(ROW).agg(F.first("key").alias("key"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-
-        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                spans = [merged(x) for x in columns_of(batch, "spans")[0]]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(spans, pa.list_(pa.list_(pa.int32())))], batch.schema.names)
-
-        found = found.select(ROW, "key", "n_words", "items", "spans").mapInArrow(merge, schema)
-
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + (s[1] - s[0]))
-    out = found.select(ROW, "key", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "items", "spans")
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * ratio >= F.col("n_words")))
-
-
-def clean(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, ratio: int = 20, block_bytes: int = 4 << 20) -> DataFrame:
+    if len(scans) == 1:
+        found = with_hits(slim, scans[0])
+    else:
+        rows, number = numbered(slim)
+        found = rows.select(number, "key").join(of_all_scans(rows.select(number, "text"), scans), number)
+    out = found.select("key", "n_words", n_hit("spans").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "items", "spans")
+    return out.select(F.col("key").alias(key), "n_words", "n_hit", "n_items", "items_sha256", contaminated(F.col("n_hit"), F.col("n_words"), ratio).alias("contaminated"), "items", "spans")
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, ratio: int = 20, block_bytes: int = BLOCK_BYTES, scan_bytes: int = SCAN_BYTES) -> DataFrame:
     """The rows of ``documents`` that aren't contaminated, with all their columns; see ``contamination``.
 
-    A benchmark of one block is searched inside the scan, without a shuffle. For a larger one the rows
-    are numbered and written, and those whose hits of all blocks contaminate them leave by their number.
+    Each row is judged by itself, whatever its key: repeated rows stay or go together, rows without a key too.
     """
-    if len(benchmark_sizes(benchmark, item_text, block_bytes)) > 1:
-        rows = numbered(text_batches(documents))
-        slim = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), ROW)
-        gone = judged(slim, benchmark, item, item_text, window, ratio, block_bytes).where("contaminated").select(ROW)
-        return rows.join(gone, ROW, "left_anti").select(documents.columns)
-    searcher = Searcher(next(benchmark_blocks(benchmark, item, item_text, block_bytes)), window)
-    sent = text_batches(documents).sparkSession.sparkContext.broadcast(searcher)
+    scans = benchmark_scans(benchmark, item, item_text, window, block_bytes, scan_bytes)
+    if len(scans) > 1:
+        rows, number = numbered(text_batches(documents))
+        gone = of_all_scans(rows.select(number, F.col(text).alias("text")), scans).where(contaminated(n_hit("spans"), F.col("n_words"), ratio))
+        return rows.join(gone.select(number), number, "left_anti").select(documents.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 256):
             keep = []
             for x in columns_of(batch, text)[0]:
                 w = words_of(x)
-                n_hit = sum(b - a for a, b in sent.value.hits(w)[0])
-                keep.append(not (n_hit > 0 and n_hit * ratio >= len(w)))
+                hit = sum(b - a for a, b in hits_of(w, scans[0])[0])
+                keep.append(not (hit > 0 and hit * ratio >= len(w)))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return text_batches(documents).mapInArrow(forgetting(run), documents.schema)

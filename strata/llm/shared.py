@@ -45,14 +45,37 @@ def text_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Paths of the tables that ``written`` has made in this process, in order.
+MADE: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage and outlives executors."""
+    """``df`` as a Parquet table in the shared folder: cuts lineage and outlives executors; see ``remove_written``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strata-{name}-{uuid.uuid4().hex}"
+    MADE.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_written(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
+    """Removes the tables made since the ``since``-th, but those that ``but`` reads; results made from them must be stored by then."""
+    kept = {x.split("?")[0].rsplit("/", 1)[0] for x in but.inputFiles()} if but is not None else set()
+    jvm = spark.sparkContext._jvm
+    for path in [p for p in MADE[since:] if not any(k.endswith(p.split(":", 1)[-1].lstrip("/")) for k in kept)]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        MADE.remove(path)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front as long as ``df`` has a column that is called so."""
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name = f"_{name}"
+    return name
+
+
 def checked_broadcast(values: object, n_bytes: int, spark: SparkSession, what: str, limit: int = BROADCAST_BYTES):
     """A broadcast variable, refused beyond ``limit`` bytes."""
     if n_bytes > limit:

@@ -43,10 +43,11 @@ def hashes_of(words: list[str]) -> np.ndarray:
 
 def forget() -> None:
     HASHES.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def forgetting(run: Callable) -> Callable:
-    """``run`` for mapInArrow; the words that a task has remembered go at its end, as workers are used again."""
+    """``run`` for mapInArrow; what a task has remembered goes at its end, as workers are used again."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -64,12 +65,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+def run_hashes(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     """The hash of each run of ``n`` words, by position; empty if there are fewer."""
     count = len(words) - n + 1
     if count <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(count, np.uint64)
+    out = np.full(count, seed, np.uint64)
     for k in range(n):
         out = (out ^ words[k : k + count]) * MULTIPLIER
         out ^= out >> np.uint64(29)
