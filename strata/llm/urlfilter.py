@@ -41,8 +41,12 @@ def rest_of(url: Column) -> Column:
     return F.when(at > 0, url.substr(at + 3, F.length(url))).otherwise("")
 
 
+#: A key is its 128-bit hash, as two 64-bit halves.
+KEY = np.dtype([("a", np.uint64), ("b", np.uint64)])
+
+
 class Bloom:
-    """A Bloom filter over 64-bit keys; ``has`` answers for an array of them."""
+    """A Bloom filter over hashed keys; ``has`` answers for an array of them."""
 
     def __init__(self, bits: int, hashes: int, seed: int):
         self.bits, self.hashes, self.seed = max(64, bits), hashes, seed
@@ -50,9 +54,9 @@ class Bloom:
 
     def places(self, keys: np.ndarray) -> np.ndarray:
         """Places of each key, one row per hash."""
-        x = keys.astype(np.uint64) ^ np.uint64(self.seed * 0x9E3779B97F4A7C15 & 2**64 - 1)
+        x = keys["a"] ^ np.uint64(self.seed * 0x9E3779B97F4A7C15 & 2**64 - 1)
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        y = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) | np.uint64(1)
+        y = (x ^ keys["b"]) * np.uint64(0x94D049BB133111EB) | np.uint64(1)
         return (x[None] + np.arange(self.hashes, dtype=np.uint64)[:, None] * y[None] >> np.uint64(11)) % np.uint64(self.bits)
 
     def add(self, keys: np.ndarray) -> None:
@@ -94,7 +98,8 @@ class Cascade:
 
 
 def hashed(keys: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
+    """Two of 10^12 distinct keys have one hash with a chance of about 1 in 10^14."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(k) for k in keys), KEY)
 
 
 def candidates(host: str, path: str, lengths: list[int]) -> list[str]:
@@ -106,46 +111,57 @@ def candidates(host: str, path: str, lengths: list[int]) -> list[str]:
     return [e + p for e, p in sorted(((e, p) for e in ends if e for p in fronts), key=lambda x: (-len(x[0]) - len(x[1]), -len(x[0])))]
 
 
-def build_cascade(parts: DataFrame, listed: np.ndarray, lengths: list[int], rate: float, most_bytes: int) -> Cascade:
-    """The cascade of ``listed`` against all candidate keys of ``parts`` (host, path), built level by level.
+def build_cascades(parts: DataFrame, listed: dict[str, np.ndarray], lengths: list[int], rate: float | None, most_bytes: int) -> dict[str, Cascade]:
+    """A cascade of each name's ``listed`` keys against all candidate keys of ``parts`` (host, path).
 
-    Only a Bloom filter's false positives come to the driver: about ``rate`` of the distinct keys at level 1,
-    and their number is checked against ``most_bytes`` first.
+    Only a Bloom filter's false positives come to the driver, about ``rate`` of the distinct keys at level 1; their
+    number is checked first. Without a rate it follows from an estimate of the distinct urls.
     """
     spark = parts.sparkSession
-    first = Bloom.of(listed, rate, 1)
-    sent = checked_broadcast((first, np.sort(listed), lengths), first.words.nbytes + listed.nbytes, spark, "a cascade's first level", most_bytes)
+    most = most_bytes // KEY.itemsize // max(1, len(listed))
+    if rate is None:
+        n = parts.agg(F.approx_count_distinct(F.struct("host", "path")).alias("n")).first()["n"]
+        rate = min(1e-3, most / (100.0 * max(1, n)))  # a url has some ten candidates; ten times as few as fit
+    first = {v: Bloom.of(k, rate, 1) for v, k in listed.items()}
+    sent = checked_broadcast((first, listed, lengths), sum(b.words.nbytes for b in first.values()) + sum(k.nbytes for k in listed.values()), spark, "the first levels", most_bytes)
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, true, sizes = sent.value
+        blooms, true, sizes = sent.value
         for batch in batches:
-            keys = hashed([k for h, p in zip(*columns_of(batch, "host", "path"), strict=True) for k in candidates(h, p, sizes)])
-            keys = np.unique(keys)
-            keys = keys[bloom.has(keys)]
-            wrong = keys[~np.isin(keys, true, assume_unique=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(wrong.view(np.int64))], ["k"])
-
-    wrong = parts.mapInArrow(passing, "k long").distinct()
-    most = most_bytes // 8
-    got = wrong.limit(most + 1).toArrow().column("k").to_numpy().view(np.uint64)
-    if len(got) > most:
-        raise ValueError(f"over {most} false positives at level 1; lower the rate")
-    levels, include, exclude = [first], np.sort(got), listed
-    while len(include):
-        levels.append(Bloom.of(include, 0.5, len(levels) + 1))
-        exclude = exclude[levels[-1].has(exclude)]
-        include, exclude = exclude, include
-    return Cascade(levels)
-
-
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id", url: str = "url", default: str = "allow", rate: float = 1e-3, most_bytes: int = 32 << 20) -> DataFrame:
+            keys = np.unique(hashed([k for h, p in zip(*columns_of(batch, "host", "path"), strict=True) for k in candidates(h, p, sizes)]))
+            for v, bloom in blooms.items():
+                through = keys[bloom.has(keys)]
+                wrong = through[~np.isin(through, true[v])]
+                yield pa.RecordBatch.from_arrays([pa.array([v] * len(wrong), pa.string()), pa.array(wrong["a"].view(np.int64)), pa.array(wrong["b"].view(np.int64))], ["name", "a", "b"])
+
+    wrong = parts.mapInArrow(passing, "name string, a long, b long").distinct()
+    got = wrong.limit(most * len(listed) + 1).toArrow()
+    if got.num_rows > most * len(listed):
+        raise ValueError(f"over {most * len(listed)} false positives at level 1; lower the rate")
+    names = np.array(got.column("name").to_pylist(), object)
+    pairs = np.empty(got.num_rows, KEY)
+    for half in ("a", "b"):
+        pairs[half] = got.column(half).to_numpy().view(np.uint64)
+    out = {}
+    for v in listed:
+        levels, include, exclude = [first[v]], np.sort(pairs[names == v]), listed[v]
+        while len(include):
+            levels.append(Bloom.of(include, 0.5, len(levels) + 1))
+            exclude = exclude[levels[-1].has(exclude)]
+            include, exclude = exclude, include
+        out[v] = Cascade(levels)
+    return out
+
+
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id", url: str = "url", default: str = "allow", rate: float | None = None, most_bytes: int = 32 << 20) -> DataFrame:
     """One row per row of ``pages``: key, host, path, rule, verdict.
 
     ``rules``: (verdict, host + path prefix), e.g. ("block", "net/es/"); the longest fitting rule wins, of
     equally long ones the one with the longer host. Urls that no rule fits get ``default``: they aren't
-    listed. Null urls and those without ``://`` have an empty host and path, and no rule. Repeated rows stay;
-    other columns are ignored; an empty table gives an empty result; without rules all get ``default``.
-    ``rate`` sizes level 1 and doesn't change results; a cascade above ``most_bytes`` is refused.
+    listed. Null urls and those without ``://`` have an empty host and path, and no rule. Null and repeated keys
+    and rows stay; urls may be of any length; other columns are ignored; an empty table gives an empty result;
+    without rules all get ``default``. ``rate`` sizes level 1 and doesn't change results; cascades above
+    ``most_bytes`` are refused.
     """
     spark = pages.sparkSession
     names = sorted({v for v, _ in rules})
@@ -154,7 +170,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_
     slim = slim.withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit(""))})
     parts = slim.select("host", "path")
     # one cascade per verdict: which keys are listed at all, and to which end
-    cascades = {v: build_cascade(parts, np.unique(hashed([r for w, r in rules if w == v])), lengths, rate, most_bytes) for v in names}
+    cascades = build_cascades(parts, {v: np.unique(hashed([r for w, r in rules if w == v])) for v in names}, lengths, rate, most_bytes) if names else {}
     sent = checked_broadcast((cascades, lengths), sum(c.n_bytes for c in cascades.values()), spark, "the cascades", most_bytes)
     key_type = pages.schema[key].dataType.simpleString()
 
