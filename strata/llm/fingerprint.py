@@ -9,12 +9,13 @@ difference: bucket codes by their distance (3 apart counts double), the length c
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,40 +108,62 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def edit_likeness(documents: DataFrame, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
+#: Bytes of texts that a run of neighbouring rows should have, and the most runs there are.
+RUN_BYTES, MOST_RUNS = 128 << 20, 1 << 16
+
+
+def literal(values: list, kind: str) -> Column:
+    """A constant array."""
+    return F.expr(f"from_json('{json.dumps(values)}', '{kind}')")
+
+
+def count_below(edges: list[int], key: Column) -> Column:
+    """How many of the sorted ``edges`` are less than ``key``, found in two steps of about the root of their number."""
+    g = max(1, math.isqrt(len(edges)))
+    groups = [edges[i : i + g] for i in range(0, len(edges), g)]
+    below = lambda a: F.size(F.filter(a, lambda e: e < key))
+    at = below(literal([x[-1] for x in groups], "array<bigint>"))
+    return at * g + F.coalesce(below(F.get(literal(groups, "array<array<bigint>>"), at)), F.lit(0))
+
+
+def edit_likeness(documents: DataFrame, key: str = "doc_id", text: str = "text", partitions: int | None = None, run_bytes: int = RUN_BYTES) -> DataFrame:
     """One row per row: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Rows are ordered by descending ``key`` (null keys last; rows of one key by their text). Each is compared
-    with its edited text, whose last third comes from the next row, and with the next row; the last row's
-    next is the first. Texts travel once: rows go to runs of neighbouring keys, and the first key of each run
-    also to the run before. A single row is its own next. An empty table gives no rows; other columns are
-    ignored. Keys are integers.
+    Rows are ordered by descending ``key`` (null keys last; rows of one key by a hash of their text). Each is
+    compared with its edited text, whose last third comes from the next row, and with the next row; the last
+    row's next is the first. Texts travel once: rows go to runs of neighbouring rows, whose number follows from
+    their bytes, and the first row of each run also to the run before. A key of many rows has runs of its own;
+    only rows equal in key and text are never parted, and a task streams through its run. A single row is its own
+    next. Null texts are empty, texts of any length are used whole; an empty table gives no rows; other columns
+    are ignored. Keys are integers.
     """
     spark = text_batches(documents).sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slim = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    bounds = slim.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10 * n).alias("b")).first()["b"] if n > 1 else []
-    bounds = sorted(set(bounds or []))
-    # run 0 has the largest keys; null keys are after all others
-    run_of = F.lit(0)
-    if bounds:
-        edges = F.expr(f"array({', '.join(f'{b}L' for b in bounds)})")
-        run_of = F.size(F.filter(edges, lambda e: e >= F.col("key")))
-    run_of = F.when(F.col("key").isNull(), F.lit(len(bounds) + 1)).otherwise(run_of).cast("int")
-    runs = [r["run"] for r in slim.select(run_of.alias("run")).distinct().collect()]  # a number per run
-    runs.sort()
-    before = {r: runs[i - 1] for i, r in enumerate(runs)}
-    tops = {r["run"]: r["top"] for r in slim.groupBy(run_of.alias("run")).agg(F.max("key").alias("top")).collect()}
-    placed = slim.withColumn("run", run_of)
-    if len(runs) > 0:
-        previous = F.expr("CASE run " + " ".join(f"WHEN {a} THEN {b}" for a, b in before.items()) + " END")
-        top = F.expr("CASE run " + " ".join(f"WHEN {a} THEN {'NULL' if b is None else f'{b}L'}" for a, b in tops.items()) + " END")
-        # copies for the run before, marked as such; with a single run its own first rows follow its last
-        both = F.when(F.col("key").eqNullSafe(top), F.array(F.struct(F.col("run").alias("to"), F.lit(False).alias("copy")), F.struct(previous.alias("to"), F.lit(True).alias("copy")))).otherwise(F.array(F.struct(F.col("run").alias("to"), F.lit(False).alias("copy"))))
-        placed = placed.select("key", "text", F.explode(both).alias("x")).select("key", "text", F.col("x.to").alias("to"), F.col("x.copy").alias("copy"))
-    else:
-        placed = placed.select("key", "text", F.col("run").alias("to"), F.lit(False).alias("copy"))
-    dealt = placed.repartition(max(n, len(runs)), "to").sortWithinPartitions("to", "copy", F.desc_nulls_last("key"), "text")
+    parallel = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    whole = documents.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    sizes = whole.select("key", (F.octet_length("text") + 1).cast("long").alias("bytes"))
+    total = sizes.agg(F.sum("bytes").alias("b")).first()["b"] or 0
+    n = min(MOST_RUNS, max(parallel, -(-total // run_bytes)))
+    bounds = sizes.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10 * n).alias("b")).first()["b"] if n > 1 else []
+    large = max(run_bytes, 4 * total // n)
+    heavy = {r["key"]: min(MOST_RUNS, -(-r["b"] // run_bytes)) for r in sizes.groupBy("key").agg(F.sum("bytes").alias("b")).where(F.col("b") > large).collect()}  # fewer than n
+    parts_of_null = heavy.pop(None, 1)
+    edges = sorted({*(bounds or []), *heavy, *(k - 1 for k in heavy)})
+    # place 0 has the largest keys; a heavy key lies alone between two edges, null keys after all others
+    place = (F.lit(len(edges)) - count_below(edges, F.col("key"))) if edges else F.lit(0)
+    place = F.when(F.col("key").isNull(), F.lit(len(edges) + 1)).otherwise(place)
+    keys = sorted(heavy)
+    part_count = F.coalesce(F.get(literal([heavy[k] for k in keys], "array<int>"), F.array_position(literal(keys, "array<bigint>"), F.col("key")).cast("int") - 1), F.lit(1)) if keys else F.lit(1)
+    part_count = F.when(F.col("key").isNull(), F.lit(parts_of_null)).otherwise(part_count)
+    part = F.least(part_count - 1, F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * part_count).cast("int"))
+    placed = whole.withColumn("to", place.cast("long") * MOST_RUNS + F.greatest(F.lit(0), part))
+    # the first row of each run: its largest key, then its least hash
+    firsts = placed.groupBy("to").agg(F.min(F.struct((-F.col("key")).alias("k"), "h")).alias("f")).orderBy("to").collect()  # a row per run
+    runs = [r["to"] for r in firsts]
+    before = [(r["to"], runs[i - 1], None if r["f"]["k"] is None else -r["f"]["k"], r["f"]["h"]) for i, r in enumerate(firsts)]
+    copies = spark.createDataFrame(before, "to long, previous long, first_key long, first_h long")
+    first = placed.join(F.broadcast(copies), "to").where(F.col("key").eqNullSafe(F.col("first_key")) & (F.col("h") == F.col("first_h"))).dropDuplicates(["to"])
+    both = placed.select("key", "text", "h", "to", F.lit(False).alias("copy")).unionByName(first.select("key", "text", "h", F.col("previous").alias("to"), F.lit(True).alias("copy")))
+    dealt = both.repartition(max(parallel, len(runs)), "to").sortWithinPartitions("to", "copy", F.desc_nulls_last("key"), "h", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = None
@@ -163,8 +186,6 @@ def edit_likeness(documents: DataFrame, key: str = "doc_id", text: str = "text",
         for batch in pieces(batches, 256):
             kind = batch.schema.field("key").type
             for k, x, to, copy in zip(*columns_of(batch, "key", "text", "to", "copy"), strict=True):
-                if copy and (held is None or held[2] != to):
-                    continue  # only the first copy of a run is used
                 row = (k, x, to, digest(x))
                 if held is not None and held[2] == to:
                     emit(held, row)
@@ -172,6 +193,6 @@ def edit_likeness(documents: DataFrame, key: str = "doc_id", text: str = "text",
             if out[0]:
                 yield batch_out()
 
-    kind = documents.schema[key].dataType
-    schema = T.StructType([T.StructField("key", kind), T.StructField("n_chars", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())])
-    return dealt.mapInArrow(run, schema).withColumnRenamed("key", key)
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("n_chars", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())])
+    made = dealt.select("key", "text", "to", "copy").mapInArrow(run, schema)
+    return made.withColumn("key", F.col("key").cast(documents.schema[key].dataType)).withColumnRenamed("key", key)
