@@ -9,8 +9,10 @@ are one group. Inside a group the overlap of sketches estimates each pair's simi
 sketch, which filters; the exact Jaccard of the full sets verifies. Pairs that are linked already by others
 needn't be verified, as only components are wanted.
 
-Large groups are compared in blocks: first each block with itself and with the first, then, once components
-are known, the rows outside a group's main component with all others. No task holds more than two blocks.
+Large groups are compared in blocks: first each block with itself and with the first. Once components are known,
+rows outside a group's main component still have to meet the others. For that a large group is cut again, by the
+rarest values of the whole sets, so that a passage which many texts share brings together only those that hardly
+have anything else; these are compared block by block. No task holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -30,7 +32,7 @@ from .words import WORD, forgetting, hashes_of, shingles
 #: Rows, and bytes of sets, in a block of a group.
 BLOCK_ROWS, BLOCK_BYTES = 512, 16 << 20
 
-#: Candidates up to this many are sent to the scan; beyond it they meet the texts in a join.
+#: Candidates up to this many, of 8 bytes each, are sent to the scan; beyond it they meet the texts in a join.
 SENT_IDS = 1_000_000
 
 
@@ -38,12 +40,7 @@ def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
     return shingles(hashes_of(WORD.findall(lowered(text))), n) if text else np.zeros(0, np.uint64)
 
 
-def needed(size: int, k: int) -> int:
-    """How many retained values a similar pair shares at least."""
-    return -(-min(size, k) // 2)
-
-
-def sketches(documents: DataFrame, key: str, text: str, n: int, k: int) -> DataFrame:
+def sketches(documents: DataFrame, key: str, text: str, n: int, k: int | None) -> DataFrame:
     """(key, size, set_id, sketch): set_id is a 128-bit hash of the whole set, null for an empty one."""
     import xxhash
 
@@ -51,7 +48,7 @@ def sketches(documents: DataFrame, key: str, text: str, n: int, k: int) -> DataF
         for batch in pieces(batches, 512):
             sets = [shingle_set(x, n) for x in columns_of(batch, "text")[0]]
             ids = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            ends = np.concatenate([[0], np.cumsum([min(k, len(s)) for s in sets])]).astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum([len(s[:k]) for s in sets])]).astype(np.int32)
             low = np.concatenate([s[:k] for s in sets]) if sets else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(low.view(np.int64)))], ["key", "size", "set_id", "sketch"])
 
@@ -59,7 +56,7 @@ def sketches(documents: DataFrame, key: str, text: str, n: int, k: int) -> DataF
     return slim.mapInArrow(forgetting(run), "key long, size long, set_id binary, sketch array<long>")
 
 
-def verified(sets: list[np.ndarray], label: list[int], left: np.ndarray, k: int, percent: int) -> list[tuple[int, int]]:
+def verified(sets: list[np.ndarray], label: list[int], left: np.ndarray, k: int | None, percent: int) -> list[tuple[int, int]]:
     """Links among ``sets`` that join their components, each checked on the full sets.
 
     ``label`` has what is linked already; ``left`` marks rows that pairs must have at least one of, if any.
@@ -78,6 +75,7 @@ def verified(sets: list[np.ndarray], label: list[int], left: np.ndarray, k: int,
         return i
 
     sizes = np.array([len(s) for s in sets], np.int64)
+    k = k or int(sizes.max())
     low = [s[:k] for s in sets]
     values, at = np.unique(np.concatenate(low), return_inverse=True)
     rows = np.repeat(np.arange(n), [len(x) for x in low])
@@ -114,7 +112,7 @@ def verified(sets: list[np.ndarray], label: list[int], left: np.ndarray, k: int,
     return out
 
 
-def links_of(tasks: DataFrame, k: int, percent: int) -> DataFrame:
+def links_of(tasks: DataFrame, k: int | None, percent: int) -> DataFrame:
     """(a, b): verified links of rows (g, i, j, key, label, outer, set) that share (g, i, j)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,24 +137,58 @@ def links_of(tasks: DataFrame, k: int, percent: int) -> DataFrame:
     return tasks.repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j", "key").mapInArrow(run, "a long, b long")
 
 
-def candidates(sketched: DataFrame, k: int) -> DataFrame:
-    """(g, key): groups of classes that may hold similar pairs, from inverted lists of retained values."""
-    values = sketched.select("key", F.size("sketch").alias("n"), F.explode("sketch").alias("v"))
-    often = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    listed = values.join(often, "v").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("s"))  # at most k each
+def listed_groups(rows: DataFrame, needed: Column) -> DataFrame:
+    """(g, key): smaller groups of rows (g, key, n, values) that may hold similar pairs.
+
+    Rows of one group that are similar share ``needed`` of their n values at least, so they share one of the
+    n - ``needed`` + 1 that are the rarest in the group. Rows are listed under these, and lists with the same
+    leading member are one group.
+    """
+    values = rows.select("g", "key", "n", F.explode("values").alias("v"))
+    often = values.groupBy("g", "v").agg(F.count("*").alias("df")).where("df > 1")
+    listed = values.join(often, ["g", "v"]).groupBy("g", "key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("s"))  # at most n each
     # values that no other has are the rarest; they take the first places and list nobody
-    places = F.col("n") - F.ceil(F.col("n") / 2).cast("int") + 1 - (F.col("n") - F.size("s"))
-    entries = listed.where(places > 0).select("key", F.explode(F.slice("s", 1, places)).alias("x")).select("key", F.col("x.v").alias("v"))
+    places = F.col("n") - needed + 1 - (F.col("n") - F.size("s"))
+    entries = listed.where(places > 0).select("g", "key", F.explode(F.slice("s", F.lit(1), places)).alias("x")).select("g", "key", F.col("x.v").alias("v"))
     entries = written(entries, "entries")
-    leaders = entries.groupBy("v").agg(F.min(F.struct(F.xxhash64("key").alias("h"), F.col("key").alias("g"))).alias("m"), F.count("*").alias("c")).where("c > 1").select("v", F.col("m.g").alias("g"))
-    return entries.join(leaders, "v").select("g", "key").distinct()
+    leaders = entries.groupBy("g", "v").agg(F.min(F.struct(F.xxhash64("key").alias("h"), F.col("key").alias("k"))).alias("m"), F.count("*").alias("c")).where("c > 1").select("g", "v", F.xxhash64("g", "m.k").alias("leader"))
+    return entries.join(leaders, ["g", "v"]).select(F.col("leader").alias("g"), "key").distinct()
+
+
+def candidates(sketched: DataFrame, k: int | None, percent: int) -> DataFrame:
+    """(g, key): groups of classes that may hold similar pairs, from inverted lists of retained values."""
+    n = F.size("sketch")
+    share = 50 if k else percent  # whole sets share as many values as asked; two sketches about half of them
+    return listed_groups(sketched.select(F.lit(0).cast("long").alias("g"), "key", n.alias("n"), F.col("sketch").alias("values")), F.ceil(F.col("n") * share / 100).cast("int"))
+
+
+def narrowed(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(g, key): rows (g, key, outer) of large groups in the groups that the rarest values of their whole sets make.
+
+    A template that many rows have is among the rarest values only of rows that have little else. Groups without
+    an outer row are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 256):
+            made = [np.frombuffer(x, np.int64) for x in columns_of(batch, "set")[0]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in made], pa.int32()), pa.array(made, pa.list_(pa.int64()))], ["g", "key", "n", "values"])
+
+    rows = many.select("g", "key").join(sets, "key").select("g", "key", "set").mapInArrow(run, "g long, key long, n int, values array<long>")
+    groups = written(listed_groups(rows, F.ceil(F.col("n") * percent / 100).cast("int")), "narrowed")
+    outer = groups.join(many.where("outer").select("key").distinct(), "key").select("g").distinct()
+    return groups.join(outer, "g", "left_semi")
+
+
+def sent(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """``rows`` with or without those of ``ids``, which are sent to them up to ``SENT_IDS``."""
+    return rows.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, key, how)
 
 
 def full_sets(documents: DataFrame, wanted: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """(key, set) of the documents whose keys are ``wanted``."""
     slim = documents.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    count = wanted.count()
-    slim = slim.join(F.broadcast(wanted) if count <= SENT_IDS else wanted, "key", "left_semi")
+    slim = sent(slim, wanted, "key", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 256):
@@ -166,9 +198,9 @@ def full_sets(documents: DataFrame, wanted: DataFrame, key: str, text: str, n: i
     return slim.mapInArrow(forgetting(run), "key long, set binary").where(F.octet_length("set") > 0).dropDuplicates(["key"])
 
 
-def similar_links(documents: DataFrame, sketched: DataFrame, key: str, text: str, n: int, k: int, percent: int) -> DataFrame:
+def similar_links(documents: DataFrame, sketched: DataFrame, key: str, text: str, n: int, k: int | None, percent: int) -> DataFrame:
     """(node, component) of the classes that are linked with another."""
-    groups = written(candidates(sketched, k), "groups")
+    groups = written(candidates(sketched, k, percent), "groups")
     sets = written(full_sets(documents, groups.select("key").distinct(), key, text, n), "sets")
     sized = groups.join(sets.select("key", F.octet_length("set").alias("bytes")), "key")
     sizes = sized.groupBy("g").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")).where("rows > 1")
@@ -180,15 +212,15 @@ def similar_links(documents: DataFrame, sketched: DataFrame, key: str, text: str
     tasks = placed.select("g", "key", F.explode(first).alias("t")).select("g", "t.i", "t.j", "key", F.col("key").alias("label"), F.lit(True).alias("outer"))
     links = written(links_of(tasks.join(sets, "key"), k, percent), "links")
     found = components(links)
-    many = placed.where("nb > 2")
+    many = placed.where("nb > 2").select("g", "key")
     if many.isEmpty():
         return found
     found = written(found, "found")
-    labelled = many.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("component", "key"))
-    main = labelled.groupBy("g", "label").agg(F.count("*").alias("c")).groupBy("g").agg(F.max(F.struct("c", "label")).alias("m")).select("g", F.col("m.label").alias("main"))
-    labelled = labelled.join(main, "g").withColumn("outer", F.col("label") != F.col("main"))
-    outside = labelled.where("outer").groupBy("g").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("no"))
-    labelled = labelled.join(outside, "g").withColumn("own", F.pmod(F.xxhash64("key"), F.col("no")).cast("int"))
+    label = found.withColumnRenamed("node", "key").withColumnRenamed("component", "label")
+    outside = written(with_outer(many, label), "outside")
+    small = written(with_outer(narrowed(outside, sets, percent), label), "again")
+    counts = small.groupBy("g").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("nb"), F.ceil(F.count_if("outer") / BLOCK_ROWS).cast("int").alias("no")).where("no > 0")
+    labelled = small.join(counts, "g").withColumns({"block": F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"), "own": F.pmod(F.xxhash64("key"), F.col("no")).cast("int")})
     # outer block i meets every outer block and every block of the main component
     with_own = F.transform(F.sequence(F.lit(0), F.col("no") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j")))
     with_main = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.col("own").alias("i"), (-1 - j).alias("j")))
@@ -199,7 +231,14 @@ def similar_links(documents: DataFrame, sketched: DataFrame, key: str, text: str
     return components(more.unionByName(stars))
 
 
-def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, k: int = 64) -> DataFrame:
+def with_outer(groups: DataFrame, label: DataFrame) -> DataFrame:
+    """(g, key, label, outer): the component that each row is known to be in, and whether it isn't the group's most frequent one."""
+    labelled = groups.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    main = labelled.groupBy("g", "label").agg(F.count("*").alias("c")).groupBy("g").agg(F.max(F.struct("c", "label")).alias("m")).select("g", F.col("m.label").alias("main"))
+    return labelled.join(main, "g").select("g", "key", "label", (F.col("label") != F.col("main")).alias("outer"))
+
+
+def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, k: int | None = 64) -> DataFrame:
     """One row per row of ``documents``: key, n_shingles, component_id, kept.
 
     Documents are linked if 100 * intersection >= ``percent`` * union of their shingle sets. Null, empty and
@@ -210,6 +249,8 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
 
     Two sets as similar as asked share at least half of ``k`` retained values but for a chance of about
     2e-6 at the threshold itself, far less above it, and no chance where either has at most ``k`` shingles.
+    With ``k`` None whole sets are listed and no link is lost, at the price of larger lists. Texts of any length
+    are used whole.
     """
     sketched = written(sketches(text_batches(documents), key, text, n, k), "sketches")
     classes = written(sketched.where("set_id IS NOT NULL AND key IS NOT NULL").groupBy("set_id").agg(F.min("key").alias("class")), "classes")
