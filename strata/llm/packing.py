@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .pretokens import pretokenizer
 from .shared import columns_of, pieces, text_batches
+from .words import forgetting
 
 Piece = tuple  # (document's key, start, ids, document's ids in all)
 
@@ -169,5 +170,5 @@ def pack(documents: DataFrame, path: str, key: str = "doc_id", text: str = "text
             yield rows(packer.done + last)
 
     slim = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    packed = slim.mapInArrow(run, f"key {key_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    packed = slim.mapInArrow(forgetting(run), f"key {key_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return packed.withColumnRenamed("key", key)

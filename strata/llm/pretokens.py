@@ -14,7 +14,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -71,9 +71,8 @@ class PreTokenizer:
         import json
 
         import regex
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         if made.get("normalizer") or (made.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or made["pre_tokenizer"].get("add_prefix_space"):
@@ -87,6 +86,13 @@ class PreTokenizer:
         self.known: dict[str, bool] = {}
         self.fast = quick_encoder(made, self.special)
 
+    @cached_property
+    def tokenizer(self):
+        """Read when it is needed first, as it takes far more memory than the rest."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def assigned(self, text: str) -> bool:
         """Whether all libraries know every character of the text."""
         known = self.known

@@ -198,8 +198,8 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", key:
 def quality_scores(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
     """One row per row: key, held_out, score (higher: better text), predicted (1 if score >= ``threshold``).
 
-    Null and empty texts are scored as empty. Nothing but the text enters a score, so equal texts have equal
-    scores; repeated rows stay; other columns are ignored; an empty table gives no rows.
+    Null and empty texts are scored as empty. Nothing but the text enters a score, all of it however long, so equal
+    texts have equal scores; null keys and repeated rows stay; other columns are ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

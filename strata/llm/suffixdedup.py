@@ -7,8 +7,8 @@ by the words that follow; neighbours are compared, which gives how far each run
 right; then matches are extended to the left. A window belongs to its own minimiser alone, so it is decided
 once, and every window that occurs twice is found.
 
-Starts with more occurrences than ``HOT`` aren't gathered in one task: their windows are hashed, counted with
-partial aggregation, and joined back.
+Starts with more occurrences than ``HOT`` aren't gathered in one task: their windows are hashed to 128 bits,
+counted with partial aggregation, and joined back.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import columns_of, pieces, text_batches, written
+from .shared import columns_of, fresh, pieces, text_batches, written
 from .words import WORD, forgetting, hashes_of, run_hashes
 
 GRAM = 16
@@ -152,16 +152,17 @@ def repeated_windows(documents: DataFrame, key: str, text: str, length: int) ->
                 words = text_hashes(x)
                 hot = {s["start"]: s["hot"] for s in wanted}
                 place, run, low, high = minimisers(words, length)
-                whole = run_hashes(words, length) if any(hot.values()) else None
+                # of all windows, two independent hashes
+                whole = np.stack([run_hashes(words, length), run_hashes(words, length, 0x5DEECE66D)], axis=1).view(np.int64) if any(hot.values()) else None
                 for p, r, lo, hi in zip(place.tolist(), run.view(np.int64).tolist(), low.tolist(), high.tolist(), strict=True):
                     is_hot = hot.get(r)
                     if is_hot is not None:
-                        shown = (None, whole[lo : hi + 1].view(np.int64).tolist()) if is_hot else (words[lo : hi + length].tobytes(), None)
+                        shown = (None, whole[lo : hi + 1].tolist()) if is_hot else (words[lo : hi + length].tobytes(), None)
                         for column, value in zip(out, (r, k, p, lo, hi, *shown), strict=True):
                             column.append(value)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())), strict=True))], ["start", "key", "place", "low", "high", "words", "windows"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.list_(pa.int64()))), strict=True))], ["start", "key", "place", "low", "high", "words", "windows"])
 
-    found = written(slim.join(hits, "key").mapInArrow(forgetting(suffixes), "start long, key long, place int, low int, high int, words binary, windows array<long>"), "suffixes")
+    found = written(slim.join(hits, "key").mapInArrow(forgetting(suffixes), "start long, key long, place int, low int, high int, words binary, windows array<array<long>>"), "suffixes")
 
     def sort_and_compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -179,9 +180,9 @@ def repeated_windows(documents: DataFrame, key: str, text: str, length: int) ->
         yield batch_of(out)
 
     usual = found.where("words IS NOT NULL").drop("windows").repartition(n_parts, "start").sortWithinPartitions("start").mapInArrow(sort_and_compare, "key long, low int, high int, first_key long, first_low int")
-    windows = found.where("windows IS NOT NULL").select("key", F.posexplode("windows").alias("i", "w"), "low").select("key", (F.col("low") + F.col("i")).alias("low"), "w").distinct()
-    first = windows.groupBy("w").agg(F.count("*").alias("c"), F.min(F.struct("key", "low")).alias("f")).where("c > 1").select("w", "f")
-    hot = windows.join(first, "w").select("key", "low", F.col("low").alias("high"), F.col("f.key").alias("first_key"), F.col("f.low").alias("first_low"))
+    windows = found.where("windows IS NOT NULL").select("key", F.posexplode("windows").alias("i", "w"), "low").select("key", (F.col("low") + F.col("i")).alias("low"), F.col("w")[0].alias("w"), F.col("w")[1].alias("v")).distinct()
+    first = windows.groupBy("w", "v").agg(F.count("*").alias("c"), F.min(F.struct("key", "low")).alias("f")).where("c > 1").select("w", "v", "f")
+    hot = windows.join(first, ["w", "v"]).select("key", "low", F.col("low").alias("high"), F.col("f.key").alias("first_key"), F.col("f.low").alias("first_low"))
     return usual.unionByName(hot)
 
 
@@ -233,7 +234,7 @@ def repeated_passages(documents: DataFrame, key: str = "doc_id", text: str = "te
     occur more than once, in other texts or the same. ``first`` marks the stretch whose windows occur here
     first, by key and place; the others name the first occurrence of their first window. Words are runs
     without ASCII white space, compared exactly. Null, empty and shorter texts and rows without a key have
-    no passages. Rows with the same key count as one document, so that a repeated row repeats nothing; other
+    no passages; longer ones are searched whole. Rows with the same key count as one document, so that a repeated row repeats nothing; other
     columns are ignored; an empty table gives no rows. Keys are integers.
     """
     runs = repeated_windows(documents, key, text, length)
@@ -264,14 +265,19 @@ def without_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def cut_passages(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
-    """``documents`` with every repeated passage cut from all but its first occurrence; all rows and columns stay."""
-    spans = repeated_passages(documents, key, text, length).where("NOT first").groupBy(F.col(key).alias("__key")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("__spans"))
-    joined = documents.join(spans, F.col(key) == F.col("__key"), "left").drop("__key")
+    """``documents`` with every repeated passage cut from all but its first occurrence; all rows and columns stay.
+
+    Null texts and rows without a key stay as they are; rows with the same key are cut in the same places; columns
+    of any name stay; an empty table stays empty.
+    """
+    at_key, at_spans = fresh(documents, "key_of_spans"), fresh(documents, "spans")
+    spans = repeated_passages(documents, key, text, length).where("NOT first").groupBy(F.col(key).alias("key")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    joined = documents.join(spans.select(F.col("key").alias(at_key), F.col("spans").alias(at_spans)), F.col(key) == F.col(at_key), "left").drop(at_key)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 512):
             at = batch.schema.get_field_index(text)
-            texts, found = columns_of(batch, text, "__spans")
+            texts, found = columns_of(batch, text, at_spans)
             made = pa.array([without_words(x, [(s["start_word"], s["end_word"]) for s in f]) if f and x else x for x, f in zip(texts, found, strict=True)], batch.schema.field(at).type)
             arrays = [made if i == at else c for i, c in enumerate(batch.columns)][:-1]
             yield pa.RecordBatch.from_arrays(arrays, batch.schema.names[:-1])

@@ -60,9 +60,11 @@ def token_counts(documents: DataFrame, path: str, key: str = "doc_id", text: str
     """One row per row of ``documents``: key, n_bytes, n_tokens, over_limit (n_tokens > ``limit``).
 
     Null and empty texts have 0 bytes and 0 tokens. Special strings inside texts count as the tokenizer's
-    default has them (one id each). Rows with the same key, null keys among them, stay separate rows; other
-    columns are ignored; an empty table gives an empty result. ``head`` only decides which pre-tokens take
-    the broadcast: any value gives the same result.
+    default has them (one id each). Rows with the same key, null keys among them, stay separate rows; texts of any
+    length count whole; other columns are ignored; an empty table gives an empty result. ``head`` only decides
+    which pre-tokens take the broadcast: any value gives the same result. Rows are told apart by their place in
+    a partition, so ``documents`` must come in the same order when a lost task is run again, as tables do: write
+    the result of a shuffle first.
     """
     spark = text_batches(documents).sparkSession
     counted = written(piece_counts(pretoken_counts(documents, path, text), path), "pieces")

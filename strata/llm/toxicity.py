@@ -173,8 +173,8 @@ def toxicity(documents: DataFrame, model: Model, key: str = "doc_id", text: str
     """One row per row: key, severity (expected grade, 0 to 3), p_toxic (chance of a grade above 0), grade, rejected.
 
     ``grade`` is the likeliest one; a text is rejected if ``p_toxic`` >= ``reject_at``. Null, empty and
-    wordless texts get the score of a text without known words. Only the text enters a score, all of it;
-    repeated rows stay; other columns are ignored; an empty table gives no rows.
+    wordless texts get the score of a text without known words. Only the text enters a score, all of it however
+    long; null keys and repeated rows stay; other columns are ignored; an empty table gives no rows.
     """
     kind = text_batches(documents).schema[key].dataType.simpleString()
 
@@ -185,7 +185,7 @@ def toxicity(documents: DataFrame, model: Model, key: str = "doc_id", text: str
             grade = -np.diff(np.concatenate([one, above, 0 * one], axis=1), axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array(grade.argmax(1).astype(np.int32)), pa.array(above[:, 0] >= reject_at)], ["key", "severity", "p_toxic", "grade", "rejected"])
 
-    scored = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, severity double, p_toxic double, grade int, rejected boolean")
+    scored = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(forgetting(run), f"key {kind}, severity double, p_toxic double, grade int, rejected boolean")
     return scored.withColumnRenamed("key", key)
 
 
@@ -197,4 +197,4 @@ def without_toxic(documents: DataFrame, model: Model, text: str = "text", reject
             keep = model.above(model.sums(columns_of(batch, text)[0]))[:, 0] < reject_at
             yield batch.filter(pa.array(keep))
 
-    return documents.mapInArrow(run, documents.schema)
+    return text_batches(documents).mapInArrow(forgetting(run), documents.schema)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from strata.llm import decontam, fingerprint, neardup, packing, quality, sharding, suffixdedup, tokencount, toxicity, urlfilter
@@ -198,21 +199,23 @@ def hit_brute(x, items, window=13, ratio=20):
     return len(w), len(hit), len(met), hashlib.sha256(",".join(sorted(met)).encode()).hexdigest(), bool(hit) and ratio * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("block_bytes", [4 << 20, 400])
-def test_decontamination(spark, docs, rows, no_docs, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "scan_bytes"), [(4 << 20, 256 << 20), (400, 256 << 20), (400, 60_000)])
+def test_decontamination(spark, docs, rows, no_docs, block_bytes, scan_bytes):
+    limits = {"block_bytes": block_bytes, "scan_bytes": scan_bytes}
     all_texts = [t for _, t in rows]
     items = [(10, " ".join(all_texts[6].split()[20:60]).upper()), (9, " ".join(all_texts[12].split()[35:48])), (2, "two, WORDS"), (3, "é"), (4, ""), (5, None), (6, "nothing of this occurs"), (9, " ".join(all_texts[12].split()[35:48])), (None, "one")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontam.contamination(docs, bench, block_bytes=block_bytes)
+    got = decontam.contamination(docs, bench, **limits)
     want = {i: hit_brute(x, [p for p in items if p[0] is not None]) for i, x in all_rows(rows)}
     assert got.count() == docs.count()
     assert {r[0]: tuple(r)[1:6] for r in got.collect()} == want
-    kept = {r["doc_id"] for r in decontam.clean(docs, bench, block_bytes=block_bytes).collect()}
-    assert kept == {i for i, w in want.items() if not w[4]} and decontam.clean(docs, bench).columns == docs.columns
+    kept = {r["doc_id"] for r in decontam.clean(docs, bench, **limits).collect()}
+    assert kept == {i for i, w in want.items() if not w[4]} and decontam.clean(docs, bench, **limits).columns == docs.columns
     assert decontam.contamination(docs, bench.limit(0)).where("n_hit > 0").isEmpty() and decontam.contamination(no_docs, bench).count() == 0
 
 
-def test_decontamination_adds_up_the_hits_of_all_blocks(spark):
+@pytest.mark.parametrize("scan_bytes", [256 << 20, 60_000])
+def test_decontamination_adds_up_the_hits_of_all_blocks(spark, scan_bytes):
     rng = random.Random(8)
     item_words = [[f"i{k}w{j}" for j in range(30)] for k in range(24)]
     filler = lambda n: [f"f{rng.randrange(10**6)}" for _ in range(n)]
@@ -223,10 +226,11 @@ def test_decontamination_adds_up_the_hits_of_all_blocks(spark):
     docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
     items = [(k, " ".join(w)) for k, w in enumerate(item_words)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    assert len(decontam.benchmark_sizes(bench, "text", 400)) >= 3
-    got = [tuple(r)[:6] for r in decontam.contamination(docs, bench, block_bytes=400).collect()]
+    scans = decontam.benchmark_scans(bench, "item_id", "text", 13, 400, scan_bytes)
+    assert sum(map(len, scans)) >= 3 and (len(scans) > 2) == (scan_bytes < 1 << 20)
+    got = [tuple(r)[:6] for r in decontam.contamination(docs, bench, block_bytes=400, scan_bytes=scan_bytes).collect()]
     assert sorted(got, key=str) == sorted(((i, *hit_brute(x, items)) for i, x in made), key=str)
-    kept = decontam.clean(docs, bench, block_bytes=400).collect()
+    kept = decontam.clean(docs, bench, block_bytes=400, scan_bytes=scan_bytes).collect()
     assert sorted(map(tuple, kept)) == sorted([made[1], made[2], made[4]])
 
 
@@ -276,7 +280,8 @@ def test_near_duplicate_chains_in_blocks(spark, monkeypatch):
 
 
 def test_fingerprints(spark, docs, rows, no_docs):
-    ordered = sorted(((i, x) for i, x in all_rows(rows)), key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    of_text = lambda x: np.uint64(xxhash.xxh64_intdigest((x or "").encode(), 42)).astype(np.int64)
+    ordered = sorted(((i, x) for i, x in all_rows(rows)), key=lambda r: (r[0] is None, -(r[0] or 0), of_text(r[1]), r[1] or ""))
     want = []
     for k, (i, x) in enumerate(ordered):
         x, y = x or "", ordered[(k + 1) % len(ordered)][1] or ""
@@ -284,8 +289,8 @@ def test_fingerprints(spark, docs, rows, no_docs):
         e = x[: len(x) - n] + y[:n]
         a, b, c = map(fingerprint.digest, (x, e, y))
         want.append((i, len(x), hashlib.sha256(e.encode()).hexdigest(), a, b, fingerprint.compare(a, b), fingerprint.compare(a, c)))
-    for n in (1, 2, 7):
-        assert by_id(fingerprint.edit_likeness(docs, partitions=n)) == sorted(want, key=str)
+    for n, size in ((1, 1 << 27), (2, 1 << 27), (7, 1 << 27), (3, 500), (2, 4000)):
+        assert by_id(fingerprint.edit_likeness(docs, partitions=n, run_bytes=size)) == sorted(want, key=str)
     assert fingerprint.edit_likeness(no_docs).count() == 0
     one = docs.where("doc_id = 0").limit(1)
     assert fingerprint.edit_likeness(one).count() == 1
@@ -293,6 +298,15 @@ def test_fingerprints(spark, docs, rows, no_docs):
     assert len(plain) == docs.count() and all(len(r["fingerprint"]) == 132 for r in plain)
 
 
+def test_a_key_of_many_rows_is_parted(spark):
+    made = [(i if i % 3 else 40, f"text {i} of this key " * 3) for i in range(120)] + [(None, f"no key {i} " * 4) for i in range(60)] + [(7, "the same")] * 5
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    whole = by_id(fingerprint.edit_likeness(docs, partitions=1))
+    assert len(whole) == len(made)
+    for n, size in ((2, 200), (5, 900), (3, 3000)):
+        assert by_id(fingerprint.edit_likeness(docs, partitions=n, run_bytes=size)) == whole
+
+
 def test_bucket_counts_do_not_depend_on_chunks(monkeypatch):
     data = bytes(random.Random(1).randrange(256) for _ in range(1000))
     whole = fingerprint.bucket_counts(data)

@@ -58,3 +58,35 @@ def test_stages(spark, tmp_path):
     packed = corpus_pipeline.run(spark, d)
     assert ids(packed) == ids(docs)
     assert packed.groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("t")).where("n <> t").isEmpty()
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, repeated rows, rows without an id, null and empty texts, and columns of any name."""
+    made = [(1, "some words of a text that is here twice", 1), (1, "some words of a text that is here twice", 2), (1, "another text of the same id", 3), (None, "no id", 4), (None, None, 5), (2, None, 6), (2, None, 7), (3, "", 8)]
+    names = "doc_id long, text string, key long, row string, spans int, kept int, h int, rejected string, key_of_spans int"
+    rows = spark.createDataFrame([(i, t, k, "x", 1, 0, 2, "r", 3) for i, t, k in made], names)
+    for name, docs, labels, bench in (("full", rows, [(1, 0), (3, 1)], [(1, "words of nothing here")]), ("bare", rows, [], []), ("empty", rows.limit(0), [], [])):
+        d = str(tmp_path / name)
+        docs.write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        now = spark.read.parquet(f"{d}/documents.parquet")
+        for stage, run in corpus_pipeline.STAGES[:-1]:
+            now = run(spark, now, d).cache()
+            assert now.columns == docs.columns
+            if name != "empty":
+                assert now.where("doc_id IS NULL").count() == 2
+                assert now.count() == (5 if stage in ("near_duplicates", "repeated_passages", "decontamination") else 8), stage
+        packed = corpus_pipeline.run(spark, d)
+        assert packed.select("doc_id").distinct().count() == (4 if name != "empty" else 0)
+
+
+def test_run_leaves_only_its_result(spark, tmp_path):
+    from strata.llm import shared
+
+    d = folder(spark, tmp_path)
+    before = len(shared.MADE)
+    packed = corpus_pipeline.run(spark, d)
+    assert len(shared.MADE) == before + 1 and packed.count() > 0
+    shared.remove_written(spark, before)
+    assert len(shared.MADE) == before
