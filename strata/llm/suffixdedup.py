@@ -5,7 +5,8 @@ least hash within some 50-word window. Equal windows have equal minimisers, so t
 share a retained suffix's start. Suffixes whose first 16 words occur once are dropped. The others are sorted
 by the words that follow; neighbours are compared, which gives how far each run of suffixes agrees to the
 right; then matches are extended to the left. A window belongs to its own minimiser alone, so it is decided
-once, and every window that occurs twice is found.
+once, and every window that occurs twice is found. By default those count that two documents have: what repeats
+inside one text only is left to it.
 
 Starts with more occurrences than ``HOT`` aren't gathered in one task: their windows are hashed to 128 bits,
 counted with partial aggregation, and joined back.
@@ -54,11 +55,12 @@ def text_hashes(text: str | None) -> np.ndarray:
     return hashes_of(WORD.findall(text)) if text else np.zeros(0, np.uint64)
 
 
-def repeated_in(rows: list[tuple[int, int, int, int, bytes]], length: int) -> Iterator[tuple[int, int, int, int, int]]:
+def repeated_in(rows: list[tuple[int, int, int, int, bytes]], length: int, across: bool = False) -> Iterator[tuple[int, int, int, int, int]]:
     """Of suffixes (key, place, low, high, words from low on) with the same start: runs of repeated windows.
 
-    Each is (key, low, high, first_key, first_low), where the first occurrence is the least (key, place).
-    Suffixes with the same words around them are one context, which is compared once.
+    Each is (key, low, high, first_key, first_low), where the first occurrence is the least (key, place). With
+    ``across`` a window counts only if two keys have it. Suffixes with the same words around them are one context,
+    which is compared once.
     """
     contexts: dict[tuple[int, int, bytes], list[tuple[int, int]]] = {}
     for key, place, low, high, words in rows:
@@ -68,16 +70,16 @@ def repeated_in(rows: list[tuple[int, int, int, int, bytes]], length: int) -> It
     made = sorted(contexts.items(), key=lambda c: c[1][0])
     if len(made) == 1:
         (most, least, _), places = made[0]
-        found = [(0, least, most, 0)] if len(places) > 1 else []
+        found = [(0, least, most, 0)] if len(places) > 1 and (not across or places[0][0] != places[-1][0]) else []
     else:
-        found = repeated_contexts([c for c, _ in made], [len(p) for _, p in made], length)
+        found = repeated_contexts([c for c, _ in made], [p for _, p in made], length, across)
     for k, least, most, f in found:
         first_key, first_place = made[f][1][0]
         for key, place in made[k][1]:
             yield key, place - most, place - least, first_key, first_place - most
 
 
-def repeated_contexts(contexts: list[tuple[int, int, bytes]], weights: list[int], length: int) -> list[tuple[int, int, int, int]]:
+def repeated_contexts(contexts: list[tuple[int, int, bytes]], places: list[list[tuple[int, int]]], length: int, across: bool) -> list[tuple[int, int, int, int]]:
     """(context, least, most, first): the windows that start ``least`` to ``most`` words before the suffix occur again.
 
     Contexts are (most, least words to the left, words) in order of their first occurrence, of which ``first``
@@ -108,10 +110,16 @@ def repeated_contexts(contexts: list[tuple[int, int, bytes]], weights: list[int]
     inside = (least[:, None] <= lefts[None]) & (lefts[None] <= most[:, None])
     rows = np.broadcast_to(np.arange(n)[:, None], inside.shape)[inside]
     _, first, group = np.unique(key[inside], return_index=True, return_inverse=True)
-    often = np.bincount(group, np.array(weights)[rows])
+    if across:
+        least_key, most_key = np.full(len(first), np.iinfo(np.int64).max), np.full(len(first), np.iinfo(np.int64).min)
+        np.minimum.at(least_key, group, np.array([p[0][0] for p in places], np.int64)[rows])
+        np.maximum.at(most_key, group, np.array([p[-1][0] for p in places], np.int64)[rows])
+        again = least_key < most_key
+    else:
+        again = np.bincount(group, np.array([len(p) for p in places])[rows]) > 1
     # np.unique names the earliest place of each key, which is the earliest context
     of = np.full(inside.shape, -1)
-    of[inside] = np.where(often[group] > 1, rows[first[group]], -1)
+    of[inside] = np.where(again[group], rows[first[group]], -1)
     change = np.ones((n, len(lefts) + 1), bool)
     change[:, 1:-1] = of[:, 1:] != of[:, :-1]
     out = []
@@ -125,8 +133,8 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(RUN)], schema=RUN)
 
 
-def repeated_windows(documents: DataFrame, key: str, text: str, length: int) -> DataFrame:
-    """(key, low, high, first_key, first_low): runs of windows that occur more than once."""
+def repeated_windows(documents: DataFrame, key: str, text: str, length: int, across: bool) -> DataFrame:
+    """(key, low, high, first_key, first_low): runs of windows that occur more than once, with ``across`` in two keys."""
     n_parts = int(text_batches(documents).sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slim = documents.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
 
@@ -173,7 +181,7 @@ def repeated_windows(documents: DataFrame, key: str, text: str, length: int) ->
         for _, group in groupby(rows(), key=lambda r: r[0]):
             mine = {(r[1], r[2]): r[1:] for r in group}  # rows of one key are one document
             if len(mine) > 1:
-                out += repeated_in(list(mine.values()), length)
+                out += repeated_in(list(mine.values()), length, across)
             if len(out) > 20_000:
                 yield batch_of(out)
                 out = []
@@ -181,7 +189,7 @@ def repeated_windows(documents: DataFrame, key: str, text: str, length: int) ->
 
     usual = found.where("words IS NOT NULL").drop("windows").repartition(n_parts, "start").sortWithinPartitions("start").mapInArrow(sort_and_compare, "key long, low int, high int, first_key long, first_low int")
     windows = found.where("windows IS NOT NULL").select("key", F.posexplode("windows").alias("i", "w"), "low").select("key", (F.col("low") + F.col("i")).alias("low"), F.col("w")[0].alias("w"), F.col("w")[1].alias("v")).distinct()
-    first = windows.groupBy("w", "v").agg(F.count("*").alias("c"), F.min(F.struct("key", "low")).alias("f")).where("c > 1").select("w", "v", "f")
+    first = windows.groupBy("w", "v").agg(F.count("*").alias("c"), F.min("key").alias("least"), F.max("key").alias("most"), F.min(F.struct("key", "low")).alias("f")).where("least < most" if across else "c > 1").select("w", "v", "f")
     hot = windows.join(first, ["w", "v"]).select("key", "low", F.col("low").alias("high"), F.col("f.key").alias("first_key"), F.col("f.low").alias("first_low"))
     return usual.unionByName(hot)
 
@@ -227,17 +235,17 @@ def passages(runs: list[tuple[int, int, int, int, int]], length: int) -> list[tu
     return sorted(kept + rest)
 
 
-def repeated_passages(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
+def repeated_passages(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, across: bool = True) -> DataFrame:
     """One row per passage: key, start_word, end_word, n_words, first, first_doc_id, first_start_word.
 
     A passage is a maximal stretch of words [start_word, end_word) under windows of ``length`` words that
-    occur more than once, in other texts or the same. ``first`` marks the stretch whose windows occur here
+    occur in more than one document, or, without ``across``, more than once, be it in one text. ``first`` marks the stretch whose windows occur here
     first, by key and place; the others name the first occurrence of their first window. Words are runs
     without ASCII white space, compared exactly. Null, empty and shorter texts and rows without a key have
     no passages; longer ones are searched whole. Rows with the same key count as one document, so that a repeated row repeats nothing; other
     columns are ignored; an empty table gives no rows. Keys are integers.
     """
-    runs = repeated_windows(documents, key, text, length)
+    runs = repeated_windows(documents, key, text, length, across)
     per_text = runs.groupBy("key").agg(F.collect_set(F.struct("key", "low", "high", "first_key", "first_low")).alias("runs"))  # at most one per word
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,14 +272,17 @@ def without_words(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out)
 
 
-def cut_passages(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
+def cut_passages(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, across: bool = True) -> DataFrame:
     """``documents`` with every repeated passage cut from all but its first occurrence; all rows and columns stay.
 
+    What repeats, and ``across``, as in ``repeated_passages``; of a passage that several documents have, further
+    occurrences in the first of them go as well.
+
     Null texts and rows without a key stay as they are; rows with the same key are cut in the same places; columns
     of any name stay; an empty table stays empty.
     """
     at_key, at_spans = fresh(documents, "key_of_spans"), fresh(documents, "spans")
-    spans = repeated_passages(documents, key, text, length).where("NOT first").groupBy(F.col(key).alias("key")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    spans = repeated_passages(documents, key, text, length, across).where("NOT first").groupBy(F.col(key).alias("key")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
     joined = documents.join(spans.select(F.col("key").alias(at_key), F.col("spans").alias(at_spans)), F.col(key) == F.col(at_key), "left").drop(at_key)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -316,7 +316,7 @@ def test_bucket_counts_do_not_depend_on_chunks(monkeypatch):
     assert whole.sum() == 998 + 996
 
 
-def passages_brute(rows, n=50):
+def passages_brute(rows, across, n=50):
     windows = defaultdict(set)
     for i, x in rows:
         w = tuple(suffixdedup.WORD.findall(x or ""))
@@ -324,21 +324,21 @@ def passages_brute(rows, n=50):
             windows[w[s : s + n]].add((i, s))
     first, other = defaultdict(set), defaultdict(set)
     for places in windows.values():
-        if len(places) > 1:
+        if len({i for i, _ in places} if across else places) > 1:
             for i, s in places:
                 (first if (i, s) == min(places) else other)[i].update(range(s, s + n))
     return {i: (first[i], other[i] - first[i]) for i in {*first, *other}}
 
 
-@pytest.mark.parametrize("hot", [2048, 2])
-def test_repeated_passages(spark, docs, rows, no_docs, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "across"), [(2048, True), (2048, False), (2, True), (2, False)])
+def test_repeated_passages(spark, docs, rows, no_docs, monkeypatch, hot, across):
     monkeypatch.setattr(suffixdedup, "HOT", hot)
     got = {}
-    for r in suffixdedup.repeated_passages(docs).collect():
+    for r in suffixdedup.repeated_passages(docs, across=across).collect():
         got.setdefault(r["doc_id"], (set(), set()))[0 if r["first"] else 1].update(range(r["start_word"], r["end_word"]))
-    want = passages_brute(rows)
-    assert got == want and len(want) > 10
-    cut = {r["doc_id"]: r["text"] for r in suffixdedup.cut_passages(docs).collect()}
+    want = passages_brute(rows, across)
+    assert got == want and len(want) > 10 and len(passages_brute(rows, False)) > len(passages_brute(rows, True))
+    cut = {r["doc_id"]: r["text"] for r in suffixdedup.cut_passages(docs, across=across).collect()}
     for i, x in rows:
         words = suffixdedup.WORD.findall(x or "")
         assert suffixdedup.WORD.findall(cut[i] or "") == [w for k, w in enumerate(words) if k not in want.get(i, ((), ()))[1]]
