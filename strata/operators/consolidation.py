@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .retrieval import fuzzy_pairs
+from ..functions import text
+from .lineage import checkpointed
+from .retrieval import fuzzy_classes
+
+
+def title_key(title: Column) -> Column:
+    """A title's lower case with single spaces."""
+    return F.lower(text.compact(title))
 
 
 def consolidate_exact(df: DataFrame) -> DataFrame:
@@ -21,39 +29,85 @@ def consolidate_exact(df: DataFrame) -> DataFrame:
     )
 
 
+class Pass:
+    """The pass over one connected group. A kept row shows the title and summary of its face: the row with the
+    longest summary merged so far. State grows with kept rows and distinct texts, not with copies."""
+
+    def __init__(self):
+        self.near: dict[str, list[str]] = {}  # class to similar classes
+        self.by_class: dict[str, set[int]] = {}  # kept rows, by number, whose face is of that class
+        self.by_title: dict[str, set[int]] = {}
+        self.kept: list[tuple] = []  # id, class, title and length of the summary of the face
+
+    def show(self, k: int, key: str, cls: str, title: str, length: int) -> None:
+        if k < len(self.kept):
+            self.by_class[self.kept[k][1]].discard(k)
+            self.by_title[self.kept[k][2]].discard(k)
+            self.kept[k] = (key, cls, title, length)
+        else:
+            self.kept.append((key, cls, title, length))
+        self.by_class.setdefault(cls, set()).add(k)
+        self.by_title.setdefault(title, set()).add(k)
+
+    def into(self, key: str, cls: str, title: str, length: int) -> str:
+        """The id of the first kept row that the row merges into, or its own; no class is like none."""
+        alike = [self.by_title.get(title), *(self.by_class.get(c) for c in (cls, *self.near.get(cls, ())) if c)]
+        k = min((min(x) for x in alike if x), default=len(self.kept))
+        if k == len(self.kept):
+            self.show(k, key, cls, title, length)
+        elif length > self.kept[k][3]:
+            self.show(k, self.kept[k][0], cls, title, length)
+        return self.kept[k][0]
+
+
 def consolidate_fuzzy(df: DataFrame, threshold: float = 0.72) -> DataFrame:
-    """The greedy pass: in order of creation each row joins the first kept row that is similar or has the same title, else it is kept.
+    """One row per kept memory: the columns of ``df`` after merging, and ``n``, how many rows it stands for.
+
+    In order of (createdAt, id) each row merges into the first kept row of its project and kind whose title is
+    the same or whose title and summary are similar, else it is kept. A merge takes title and summary of a row with
+    a longer summary, the longest content, all tags, the greatest scores and the first source that isn't null;
+    later rows are compared with that. Null texts count as empty.
 
-    The order matters only inside a connected group of similar rows, so groups are independent and small;
-    they come from the candidate pairs, and one task makes the pass over a group's pairs, not its texts.
+    The order matters only inside a connected group of similar rows. Rows of equal shingles are one class, so pairs
+    are among classes. A group's rows, without their texts, stream through one task in order.
     """
-    exact = df.select("id", "createdAt", F.sha1(F.concat_ws("\x01", "projectId", "kind", F.lower(F.trim("title")))).alias("t"))
-    lead = exact.groupBy("t").agg(F.min_by("id", F.struct("createdAt", "id")).alias("lead"), F.count("*").alias("c")).where("c > 1")
-    same = exact.join(lead, "t").where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
-    pairs = fuzzy_pairs(df, threshold).select("a", "b").unionByName(same).distinct().persist()
-    found = groups(pairs)
-    order = df.select("id", "createdAt")
-    tagged = pairs.join(found.select(F.col("id").alias("a"), "g"), "a").join(order.select(F.col("id").alias("a"), F.col("createdAt").alias("ta")), "a").join(order.select(F.col("id").alias("b"), F.col("createdAt").alias("tb")), "b")
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        born = dict(zip(rows.a, rows.ta, strict=True)) | dict(zip(rows.b, rows.tb, strict=True))
-        near: dict[str, set[str]] = {}
-        for a, b in zip(rows.a, rows.b, strict=True):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        kept: list[str] = []
-        into = []
-        for x in sorted(born, key=lambda k: (born[k], k)):
-            target = next((k for k in kept if k in near[x]), None)
-            if target is None:
-                kept.append(x)
-            into.append((x, target or x))
-        return pd.DataFrame(into, columns=["id", "keptId"])
-
-    merged = tagged.groupBy("g").applyInPandas(greedy, "id string, keptId string")
-    full = df.select("id", "projectId", "kind").join(merged, "id", "left").withColumn("keptId", F.coalesce("keptId", "id"))
-    sizes = full.groupBy("keptId").agg(F.count("*").alias("n"))
-    return full.where("id = keptId").join(sizes, "keptId").select("id", "projectId", "kind", "n")
+    title = title_key(F.coalesce("title", F.lit("")))
+    classes, pairs = fuzzy_classes(df, threshold)
+    rows = df.select("id", "createdAt", F.sha1(F.to_json(F.struct("projectId", "kind", title.alias("title")))).alias("title"), F.length(F.coalesce("summary", F.lit(""))).alias("length")).join(classes, "id", "left")
+    rows, pairs = checkpointed(rows), checkpointed(pairs.select("a", "b"))
+    node = lambda mark, c: F.concat(F.lit(mark), F.col(c))
+    # a class hangs on the title of each of its rows, and similar classes on each other
+    links = rows.where("class IS NOT NULL").select(node("c", "class").alias("a"), node("t", "title").alias("b")).unionByName(pairs.select(node("c", "a").alias("a"), node("c", "b").alias("b")))
+    found = groups(links)
+    told = rows.withColumn("id_of", F.coalesce(node("c", "class"), node("t", "title"))).join(found.select(F.col("id").alias("id_of"), "g"), "id_of", "left")
+    told = told.select(F.coalesce("g", "id_of").alias("g"), F.lit("").alias("other"), "createdAt", "id", F.coalesce("class", F.lit("")).alias("class"), "title", "length")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("id_of", node("c", "a"))
+    near = both.join(found.select(F.col("id").alias("id_of"), "g"), "id_of").select("g", F.col("b").alias("other"), F.lit(None).cast("long").alias("createdAt"), F.lit("").alias("id"), F.col("a").alias("class"), F.lit("").alias("title"), F.lit(0).alias("length"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, Pass()
+        for p in parts:
+            out = []
+            for g, other, key, cls, name, length in zip(p.g, p.other, p.id, p["class"], p.title, p.length, strict=True):
+                if g != at:
+                    at, state = g, Pass()
+                if other:
+                    state.near.setdefault(cls, []).append(other)
+                else:
+                    out.append((key, state.into(key, cls, name, int(length))))
+            yield pd.DataFrame(out, columns=["id", "keptId"])
+
+    # the similar classes of a group come before its rows
+    dealt = told.unionByName(near).repartition(n, "g").sortWithinPartitions("g", F.desc("other"), "createdAt", "id").select("g", "other", "id", "class", "title", "length")
+    full = df.join(checkpointed(dealt.mapInPandas(run, "id string, keptId string")), "id")
+    longest = lambda value, of: F.min_by(value, F.struct((-F.length(F.coalesce(of, F.lit("")))).alias("n"), "createdAt", "id"))
+    merged = {
+        "projectId": F.first("projectId"), "kind": F.first("kind"), "title": longest(F.struct("title"), "summary")["title"], "summary": longest(F.struct("summary"), "summary")["summary"], "content": longest(F.struct("content"), "content")["content"],
+        "tags": F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))), "importance": F.max("importance"), "confidence": F.max("confidence"), "createdAt": F.min("createdAt"), "lastAccessedAt": F.max("lastAccessedAt"),
+        "sourceRef": F.min_by("sourceRef", F.when(F.col("sourceRef").isNotNull(), F.struct("createdAt", "id"))) if "sourceRef" in df.columns else None,
+    }
+    return full.groupBy("keptId").agg(*(c.alias(k) for k, c in merged.items() if c is not None), F.count("*").alias("n")).withColumnRenamed("keptId", "id")
 
 
 def groups(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -62,7 +116,7 @@ def groups(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
     The links become stars after a logarithmic number of rounds, so long chains end too; labels that aren't final
     are never returned.
     """
-    links = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().localCheckpoint()
+    links = checkpointed(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = None
     for _ in range(most_rounds):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -71,7 +125,7 @@ def groups(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct().localCheckpoint()
+        links = checkpointed(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

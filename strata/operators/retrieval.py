@@ -85,20 +85,28 @@ def rerank(memories: DataFrame, query: str, now: int, k: int, diversify: bool =
     return ranked.join(F.broadcast(first), "kind").orderBy("turn", "kindRank").limit(k)
 
 
-def fuzzy_pairs(df: DataFrame, threshold: float = 0.72) -> DataFrame:
-    """(a, b, jaccard) of rows of one project and kind whose title and summary shingles are that similar.
+def fuzzy_classes(df: DataFrame, threshold: float = 0.72) -> tuple[DataFrame, DataFrame]:
+    """(classes, pairs): the class of each row that has words, and (a, b, jaccard) of similar classes, a < b.
 
-    Prefix filtering: sets of similarity t share one of their (1 - t) * n + 1 rarest shingles, so only those
-    are joined; the whole sets verify.
+    Rows of one project and kind whose titles and summaries have equal shingles are one class, named by its least
+    id. Prefix filtering: sets of similarity t share one of their (1 - t) * n + 1 rarest shingles, so only classes
+    that do, and whose sizes allow it, are joined; the whole sets verify.
     """
-    sets = df.select("id", "projectId", "kind", F.array_distinct(text.shingle(F.concat_ws(" ", "title", "summary"))).alias("s")).where(F.size("s") > 0)
-    each = sets.select("id", F.explode("s").alias("x"))
-    rare = each.groupBy("x").agg(F.count("*").alias("c"))
-    listed = each.join(rare, "x").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("o"))  # at most one per word
-    listed = listed.select("id", F.explode(F.slice("o", F.lit(1), (F.size("o") - F.ceil(F.size("o") * threshold) + 1).cast("int"))).alias("p")).where("p.c > 1").select("id", F.col("p.x").alias("x"))
-    keyed = listed.join(sets.select("id", "projectId", "kind"), "id")
-    left, right = keyed.select(F.col("id").alias("a"), "x", "projectId", "kind"), keyed.select(F.col("id").alias("b"), "x", "projectId", "kind")
-    pairs = left.join(right, ["projectId", "kind", "x"]).where("a < b").select("a", "b").distinct()
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    jaccard = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))
-    return both.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
+    keys = ["projectId", "kind"]
+    sets = df.select("id", *keys, F.array_distinct(text.shingle(F.concat_ws(" ", "title", "summary"))).alias("s")).where(F.size("s") > 0)
+    sets = sets.withColumn("h", F.sha1(F.concat_ws("\x01", F.array_sort("s"))))
+    first = sets.groupBy(*keys, "h").agg(F.min("id").alias("class"))
+    classes = sets.select("id", *keys, "h").join(first, [*keys, "h"]).select("id", "class")
+    sets = sets.join(first.select(F.col("class").alias("id")), "id", "left_semi").select("id", *keys, "s", F.size("s").alias("n"))
+    each = sets.select("id", *keys, "n", F.explode("s").alias("x"))
+    often = each.groupBy(*keys, "x").agg(F.count("*").alias("c")).where("c > 1")
+    listed = each.join(often, [*keys, "x"]).groupBy("id", *keys, "n").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("o"))  # at most one per word
+    # shingles that no other class has are the rarest; they take the first places and list nobody
+    places = (F.size("o") - F.ceil(F.col("n") * threshold) + 1).cast("int")
+    listed = listed.where(places > 0).select("id", *keys, "n", F.explode(F.slice("o", F.lit(1), places)).alias("p")).select("id", *keys, "n", F.col("p.x").alias("x"))
+    left, right = listed.withColumnsRenamed({"id": "a", "n": "na"}), listed.withColumnsRenamed({"id": "b", "n": "nb"})
+    sized = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
+    pairs = left.join(right, [*keys, "x"]).where(sized).select("a", "b").distinct()
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb")), "b")
+    both = both.withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+    return classes, both.select("a", "b", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard")).where(F.col("jaccard") >= threshold)

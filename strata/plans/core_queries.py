@@ -152,18 +152,22 @@ def sql_shingle(x: str) -> str:
     return f"list_distinct(list_concat({w}, list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1])))"
 
 
-@query(f"""WITH {MEM2}, s AS (SELECT id, projectId, kind, {sql_shingle("title || ' ' || summary")} AS s FROM mem), e AS (SELECT id, projectId, kind, len(s) AS n, unnest(s) AS x FROM s),
+@query(f"""WITH {MEM2}, s AS (SELECT id, projectId, kind, {sql_shingle("title || ' ' || summary")} AS s FROM mem), m AS (SELECT *, min(id) OVER (PARTITION BY projectId, kind, list_sort(s)) AS class FROM s WHERE len(s) > 0),
+e AS (SELECT id, projectId, kind, len(s) AS n, unnest(s) AS x FROM m WHERE id = class),
 p AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.projectId = b.projectId AND a.kind = b.kind AND a.x = b.x AND a.id < b.id GROUP BY ALL)
-SELECT a, b, round(c::DOUBLE / (na + nb - c), 6) AS jaccard FROM p WHERE c::DOUBLE / (na + nb - c) >= 0.72""")
+SELECT a, b, round(c::DOUBLE / (na + nb - c), 6) AS jaccard FROM p WHERE c::DOUBLE / (na + nb - c) >= 0.72 UNION ALL SELECT class, id, 1.0::DOUBLE FROM m WHERE id <> class""")
 def jaccard_fuzzy_join(spark, d):
-    return rounded(retrieval.fuzzy_pairs(by_language(spark, d)))
+    """Pairs of classes of equal shingles, and each further member with its class; copies aren't expanded into pairs."""
+    classes, pairs = retrieval.fuzzy_classes(by_language(spark, d))
+    members = classes.where("id <> class").select(F.col("class").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    return rounded(pairs.unionByName(members))
 
 
 @query()
 def consolidate_fuzzy(spark, d):
     from ..operators.consolidation import consolidate_fuzzy as run
 
-    return run(by_language(spark, d)).select("id", "projectId", "kind", "n")
+    return run(by_language(spark, d)).select("id", "projectId", "kind", "title", F.sha1("content").alias("content"), "tags", "importance", "confidence", "createdAt", "lastAccessedAt", "n")
 
 
 @query(f"WITH {MEM} SELECT id, projectId, lastAccessedAt FROM mem ORDER BY lastAccessedAt DESC, id LIMIT 100")

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,16 +180,72 @@ def test_model_and_novelty(spark):
     assert v.count() == 5 and t.where("q < 1 OR q > 127").isEmpty()
 
 
-def test_fuzzy_pairs_equal_brute_force(spark):
-    texts = ["alpha beta gamma delta", "alpha beta gamma delta epsilon", "alpha beta gamma", "other words here now", "alpha beta gamma delta"]
-    m = memories(spark, ["x"] * 5).withColumn("title", F.element_at(F.array(*map(F.lit, texts)), (F.col("createdAt") + 1).cast("int"))).withColumn("summary", F.lit(""))
-
-    def s(x):
-        w = x.split()
-        return set(w) | {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}
-
-    want = {(f"m{i}", f"m{j}") for i in range(5) for j in range(i + 1, 5) if len(s(texts[i]) & s(texts[j])) / len(s(texts[i]) | s(texts[j])) >= 0.72}
-    assert {(r["a"], r["b"]) for r in retrieval.fuzzy_pairs(m).collect()} == want
+def shingles(x):
+    w = [t for t in re.split("[^a-z0-9_]+", x.lower()) if len(t) > 1]
+    return set(w) | {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}
+
+
+def alike(x, y):
+    return len(x & y) / len(x | y) if x and y else 0
+
+
+def test_fuzzy_classes_equal_brute_force(spark):
+    texts = ["alpha beta gamma delta", "alpha beta gamma delta epsilon", "alpha beta gamma", "other words here now", "alpha beta gamma delta", "ALPHA beta, gamma delta", "", "x"]
+    m = memories(spark, ["x"] * len(texts)).withColumn("title", F.element_at(F.array(*map(F.lit, texts)), (F.col("createdAt") + 1).cast("int"))).withColumn("summary", F.lit(""))
+    sets = [shingles(x) for x in texts]
+    first = {i: f"m{next(j for j in range(len(texts)) if sets[j] == sets[i])}" for i in range(len(texts)) if sets[i]}
+    classes, pairs = retrieval.fuzzy_classes(m)
+    assert {r["id"]: r["class"] for r in classes.collect()} == {f"m{i}": c for i, c in first.items()}
+    want = {(first[i], first[j]) for i in first for j in first if first[i] < first[j] and alike(sets[i], sets[j]) >= 0.72}
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == want == {("m0", "m1")}
+
+
+def consolidated(rows):
+    """The pass, row by row: id, project, kind, title, summary, content, tags, importance, confidence, created, accessed, source."""
+    out = []
+    for r in sorted(rows, key=lambda r: (r[9], r[0])):
+        title, words = " ".join(r[3].lower().split()), shingles(f"{r[3]}\n{r[4]}")
+        for k in out:
+            if (k[1], k[2]) == (r[1], r[2]) and (" ".join(k[3].lower().split()) == title or alike(shingles(f"{k[3]}\n{k[4]}"), words) >= 0.72):
+                if len(r[4]) > len(k[4]):
+                    k[3:5] = r[3:5]
+                k[5] = r[5] if len(r[5]) > len(k[5]) else k[5]
+                k[6] = sorted({*k[6], *r[6]})
+                k[7], k[8], k[10], k[11] = max(k[7], r[7]), max(k[8], r[8]), max(k[10], r[10]), k[11] or r[11]
+                k[12] += 1
+                break
+        else:
+            out.append([*r[:6], sorted(set(r[6])), *r[7:], 1])
+    return sorted(map(tuple, out))
+
+
+FULL = "id string, projectId string, kind string, title string, summary string, content string, tags array<string>, importance double, confidence double, createdAt long, lastAccessedAt long, sourceRef string"
+
+
+def full_rows(titles, rng=None):
+    rng = rng or random.Random(0)
+    return [(f"m{i:04}", "p" if i % 7 else "q", "semantic", t, s, "c" * (i % 5), [f"t{i % 3}"], i % 10 / 10, i % 7 / 10, rng.randrange(50), i, None if i % 2 else f"s{i}") for i, (t, s) in enumerate(titles)]
+
+
+def test_consolidation_replays_the_merges(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    cases = [
+        # K, L near K, and two rows with the title of L
+        [("one", words), ("two", words + " more"), ("two", "nothing of that"), ("two", "and other things")],
+        # a merge brings a longer summary, and later rows are compared with that
+        [("one", words), ("three", words + " lambda mu"), ("four", " ".join(words.split()[2:]) + " lambda mu nu xi"), ("one", "short")],
+    ]
+    rng = random.Random(5)
+    pool = words.split()
+    cases.append([(rng.choice(pool[:6]), " ".join(rng.sample(pool, rng.randint(4, 9)))) for _ in range(150)])
+    chain = [f"w{i}" for i in range(240)]
+    cases.append([(f"t{i}", " ".join(chain[i : i + 12])) for i in range(200)])
+    cases.append([("the same", words)] * 60 + [("the same", words + " x")] * 40 + [("", "")] * 3)
+    for case in cases:
+        rows = full_rows(case, rng)
+        got = consolidation.consolidate_fuzzy(spark.createDataFrame(rows, FULL).repartition(3))
+        order = [c.split()[0] for c in FULL.split(", ")] + ["n"]
+        assert sorted(map(lambda r: (*r[:6], tuple(r[6]), *r[7:]), map(tuple, got.select(order).collect()))) == [(*r[:6], tuple(r[6]), *r[7:]) for r in consolidated(rows)]
 
 
 def test_evolution_finds_neighbours_by_common_words(spark):
