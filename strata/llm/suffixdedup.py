@@ -97,35 +97,37 @@ def repeated_contexts(contexts: list[tuple[int, int, bytes]], places: list[list[
         k = int(apart.argmax())
         agree[at] = k if apart[k] else m
     most, least = (np.array([c[i] for c in contexts]) for i in (0, 1))
-    lefts = np.arange(most.max() + 1)
-    # runs of suffixes that agree far enough to the right, for each number of words to the left
-    run = np.empty((n, len(lefts)), np.int64)
-    run[order] = np.cumsum(agree[:, None] < length - lefts[None], axis=0)
-    # and extended to the left: a hash of so many words
-    left = np.zeros((n, len(lefts)), np.uint64)
-    for k, w in enumerate(arrays):
-        left[k, 1 : most[k] + 1] = w[: most[k]][::-1]
-    left = np.cumsum(left * (2 * lefts.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), axis=1)
-    key = (left ^ (run.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))) * np.uint64(0x94D049BB133111EB) + lefts.astype(np.uint64)[None]
-    inside = (least[:, None] <= lefts[None]) & (lefts[None] <= most[:, None])
-    rows = np.broadcast_to(np.arange(n)[:, None], inside.shape)[inside]
-    _, first, group = np.unique(key[inside], return_index=True, return_inverse=True)
-    if across:
-        least_key, most_key = np.full(len(first), np.iinfo(np.int64).max), np.full(len(first), np.iinfo(np.int64).min)
-        np.minimum.at(least_key, group, np.array([p[0][0] for p in places], np.int64)[rows])
-        np.maximum.at(most_key, group, np.array([p[-1][0] for p in places], np.int64)[rows])
-        again = least_key < most_key
-    else:
-        again = np.bincount(group, np.array([len(p) for p in places])[rows]) > 1
-    # np.unique names the earliest place of each key, which is the earliest context
-    of = np.full(inside.shape, -1)
-    of[inside] = np.where(again[group], rows[first[group]], -1)
-    change = np.ones((n, len(lefts) + 1), bool)
-    change[:, 1:-1] = of[:, 1:] != of[:, :-1]
+    least_key, most_key = (np.array([p[i][0] for p in places], np.int64) for i in (0, -1))
+    many = np.array([len(p) > 1 for p in places])
+    # for each number of words to the left: runs of suffixes that agree far enough to the right, extended to the
+    # left by a hash of so many words; one number at a time, so that memory grows with the contexts alone
+    of = np.full((n, int(most.max()) + 1), -1, np.int32)
+    left = np.zeros(n, np.uint64)
+    for by in range(of.shape[1]):
+        if by:
+            reach = np.flatnonzero(most >= by)
+            word = np.fromiter((arrays[k][contexts[k][0] - by] for k in reach.tolist()), np.uint64, len(reach))
+            left[reach] += word * np.uint64(2 * by + 1) * np.uint64(0x9E3779B97F4A7C15)
+        run = np.empty(n, np.uint64)
+        run[order] = np.cumsum(agree < length - by)
+        inside = np.flatnonzero((least <= by) & (by <= most))
+        if not len(inside):
+            continue
+        key = (left ^ run * np.uint64(0xBF58476D1CE4E5B9)) * np.uint64(0x94D049BB133111EB)
+        # np.unique names the earliest place of each key, which is the earliest context
+        _, first, group = np.unique(key[inside], return_index=True, return_inverse=True)
+        if across:
+            lowest, highest = least_key[inside[first]], most_key[inside[first]]
+            np.minimum.at(lowest, group, least_key[inside])
+            np.maximum.at(highest, group, most_key[inside])
+            again = lowest < highest
+        else:
+            again = (np.bincount(group) > 1) | (np.bincount(group, many[inside]) > 0)
+        of[inside, by] = np.where(again[group], inside[first[group]], -1)
     out = []
     for k in range(n):
-        cuts = np.flatnonzero(change[k])
-        out += [(k, int(a), int(b) - 1, int(of[k, a])) for a, b in zip(cuts, cuts[1:], strict=False) if of[k, a] >= 0]
+        cuts = [0, *(np.flatnonzero(of[k, 1:] != of[k, :-1]) + 1).tolist(), of.shape[1]]
+        out += [(k, a, b - 1, int(of[k, a])) for a, b in zip(cuts, cuts[1:], strict=False) if of[k, a] >= 0]
     return out
 
 
@@ -180,11 +182,11 @@ def repeated_windows(documents: DataFrame, key: str, text: str, length: int, acr
         out: list[tuple] = []
         for _, group in groupby(rows(), key=lambda r: r[0]):
             mine = {(r[1], r[2]): r[1:] for r in group}  # rows of one key are one document
-            if len(mine) > 1:
-                out += repeated_in(list(mine.values()), length, across)
-            if len(out) > 20_000:
-                yield batch_of(out)
-                out = []
+            for found in repeated_in(list(mine.values()), length, across) if len(mine) > 1 else ():
+                out.append(found)
+                if len(out) > 20_000:
+                    yield batch_of(out)
+                    out = []
         yield batch_of(out)
 
     usual = found.where("words IS NOT NULL").drop("windows").repartition(n_parts, "start").sortWithinPartitions("start").mapInArrow(sort_and_compare, "key long, low int, high int, first_key long, first_low int")
