@@ -51,18 +51,35 @@ def parse_code(files: DataFrame, most: int = 1400) -> DataFrame:
 
 
 def pair_turns(turns: DataFrame) -> DataFrame:
-    """Each user turn with the assistant turn right after it; an unanswered one with an empty response."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    p = turns.withColumn("nextRole", F.lead("role").over(w)).withColumn("nextText", F.lead("text").over(w))
-    return p.where((F.col("role") == "user") & (F.trim("text") != "")).select("conv_id", "turn", F.col("text").alias("prompt"), F.when(F.col("nextRole") == "assistant", F.col("nextText")).otherwise("").alias("response"))
-
-
-def chat_memories(turns: DataFrame) -> DataFrame:
-    """Chat turns as memories."""
-    content = F.concat("prompt", F.lit("\n\n---\n\n"), "response")
-    return turns.select(
-        hashing.stable_id("chat", F.col("conv_id"), F.col("turn")).alias("id"), F.lit("chat_turn").alias("kind"), F.lit("chat").alias("sourceType"), F.lit("Assistant interaction").alias("title"), text.cut(F.col("prompt"), 240).alias("summary"), content.alias("content"),
-        F.array(F.lit("chat"), F.concat(F.lit("chat-file:"), F.col("conv_id").cast("string"))).alias("tags"), F.lit(0.65).alias("importance"), F.lit(0.75).alias("confidence"),
+    """(conv_id, turn, prompt, response): each user message with the assistant's right after it.
+
+    Other roles and blank messages don't count. An unanswered prompt has an empty response, an answer that doesn't
+    follow a prompt an empty prompt; ``turn`` is that of the prompt, if there is one.
+    """
+    t = turns.select("conv_id", "turn", F.lower(text.trim(F.col("role"))).alias("role"), text.trim(F.col("text")).alias("text")).where("role IN ('user', 'assistant') AND text <> ''")
+    w = Window.partitionBy("conv_id").orderBy("turn", "role")
+    p = t.withColumns({"before": F.lag("role").over(w), "after": F.lead("role").over(w), "reply": F.lead("text").over(w)})
+    asked = F.col("role") == "user"
+    kept = p.where(asked | F.col("before").isNull() | (F.col("before") == "assistant"))
+    answer = F.when(F.col("after") == "assistant", F.col("reply")).otherwise("")
+    return kept.select("conv_id", "turn", F.when(asked, F.col("text")).otherwise("").alias("prompt"), F.when(asked, answer).otherwise(F.col("text")).alias("response"))
+
+
+# Title, tags and scores of a chat turn, and how many of its files are tags.
+CHAT_TITLE, CHAT_TAGS, CHAT_FILES = "Copilot Interaction", ("copilot", "chat"), 25
+
+
+def chat_memories(turns: DataFrame, project: str = "default", ref: str = "conv_id") -> DataFrame:
+    """Turns (``ref``, turn, prompt, response, and timestamp and files if there are any) as redacted memories."""
+    prompt, response = text.redact(F.col("prompt")), text.redact(F.col("response"))
+    source = F.col(ref).cast("string")
+    at = F.col("timestamp") if "timestamp" in turns.columns else F.lit(None)
+    files = F.transform(F.slice("files", 1, CHAT_FILES), lambda f: F.concat(F.lit("file:"), text.trim(F.regexp_replace(f, r"\\", "/")))) if "files" in turns.columns else F.array().cast("array<string>")
+    made = turns.withColumns({"__p": prompt, "__r": response}).where("__p <> '' OR __r <> ''")
+    return made.select(
+        hashing.stable_id("chat", F.lit(project), source, F.col("turn"), at, F.col("prompt"), F.col("response")).alias("id"), F.lit(project).alias("projectId"), F.lit("chat_turn").alias("kind"), F.lit("chat").alias("sourceType"), F.lit(CHAT_TITLE).alias("title"),
+        text.cut(F.when(F.col("__p") != "", F.col("__p")).otherwise(F.col("__r")), 240).alias("summary"), text.trim(F.concat("__p", F.lit("\n\n---\n\n"), "__r")).alias("content"),
+        F.slice(F.array_distinct(F.concat(F.array(*map(F.lit, CHAT_TAGS), F.concat(F.lit("chat-file:"), source)), files)), 1, 24).alias("tags"), F.lit(0.65).alias("importance"), F.lit(0.75).alias("confidence"), source.alias("sourceRef"),
     )
 
 
@@ -83,17 +100,22 @@ def stale(existing: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame
     return existing.join(current.select(*keys).distinct(), keys, "left_anti")
 
 
-def chat_sessions(raw: DataFrame, column: str = "value") -> DataFrame:
-    """(session, turn, role, text) of chat documents, one JSON document per row: a list of messages, or of requests
-    with a response, or a single prompt; in the order they stand. Malformed documents and blank texts drop."""
-    message = "struct<role: string, text: string, content: string>"
-    request = "struct<prompt: string, message: struct<text: string>, response: string, result: string>"
-    parsed = raw.select("session", F.from_json(column, f"messages array<{message}>, turns array<{message}>, requests array<{request}>, prompt string, response string").alias("j")).where("j IS NOT NULL")
-    said = F.transform(F.coalesce("j.messages", "j.turns"), lambda m: F.struct(m["role"].alias("role"), F.coalesce(m["text"], m["content"]).alias("text")))
-    asked = F.flatten(F.transform("j.requests", lambda r: F.array(F.struct(F.lit("user").alias("role"), F.coalesce(r["prompt"], r["message"]["text"]).alias("text")), F.struct(F.lit("assistant").alias("role"), F.coalesce(r["response"], r["result"]).alias("text")))))
-    single = F.array(F.struct(F.lit("user").alias("role"), F.col("j.prompt").alias("text")), F.struct(F.lit("assistant").alias("role"), F.col("j.response").alias("text")))
-    each = parsed.select("session", F.posexplode(F.coalesce(said, asked, single)).alias("turn", "m"))
-    return each.select("session", "turn", "m.role", text.trim(F.col("m.text")).alias("text")).where("text <> ''")
+# Syntax nodes by what they stand for.
+NODE_KINDS = {
+    "method": ("method_definition",), "loop": ("for_statement", "while_statement", "do_statement", "for_in_statement", "for_of_statement"), "branch": ("if_statement", "switch_statement", "conditional_expression", "ternary_expression"),
+    "function": ("function_declaration", "function_definition", "arrow_function"), "interface": ("interface_declaration",), "class": ("class_declaration",), "struct": ("struct_specifier",), "module": ("program", "translation_unit"),
+}
+
+
+def classify_node(kind: Column) -> Column:
+    """What a syntax node stands for; null for others."""
+    return F.coalesce(*(F.when(kind.isin(*nodes), name) for name, nodes in NODE_KINDS.items()))
+
+
+def entity_summary(kind: Column, name: Column, signature: Column, hint: Column, dependencies: Column, preview: Column) -> Column:
+    """Five lines about an entity; at most 8 dependencies and 180 characters of its text."""
+    listed = F.array_join(F.slice(dependencies, 1, 8), ", ")
+    return F.concat_ws("\n", F.concat(F.upper(kind), F.lit(" "), name), F.concat(F.lit("signature: "), signature), F.concat(F.lit("complexity: "), hint), F.concat(F.lit("dependencies: "), F.when(listed == "", "none").otherwise(listed)), F.concat(F.lit("preview: "), text.cut(text.compact(preview), 180)))
 
 
 def entities(files: DataFrame) -> DataFrame:

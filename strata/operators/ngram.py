@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import re
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scoring, text
 
-STOP_WORDS = ("the", "and", "for", "that", "with", "this", "are", "was", "from")
+# Words that are no tags, for texts and for domain terms.
+STOP_WORDS = ("the", "and", "for", "with", "this", "that", "from", "into", "when", "where", "how", "what", "why", "should", "could", "would", "about", "using")
+DOMAIN_STOP_WORDS = (
+    "the", "and", "for", "with", "that", "this", "from", "into", "while", "when", "then", "your", "you", "our", "their", "them", "they", "there", "about", "have", "has", "had", "will", "would", "should", "could", "just",
+    "also", "more", "most", "some", "other", "using", "used", "need", "needs", "where", "what", "how", "why", "who", "which", "than", "over", "under", "across", "before", "after", "between", "inside", "outside", "through",
+)
 
+#: As text.tokenize_ngram has them.
+TOKEN = re.compile(r"[a-z0-9_]+|[^ \t\n\x0b\f\r]")
+TAG = re.compile(r"[a-z][a-z0-9_-]{2,}")
 
-def tokens(docs: DataFrame, column: str = "text") -> DataFrame:
-    return docs.select("*", text.tokenize_ngram(F.col(column)).alias("ts"))
+#: Distinct pairs of tokens that a task counts before it hands them on.
+FLUSH = 1 << 20
 
 
 def vocabulary(docs: DataFrame, size: int = 4096, column: str = "text") -> DataFrame:
@@ -20,7 +37,7 @@ def vocabulary(docs: DataFrame, size: int = 4096, column: str = "text") -> DataF
 
     Counted at once: a model's vocabulary is used many times, and ``size`` bounds its rows.
     """
-    counted = tokens(docs, column).select(F.explode("ts").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    counted = docs.select(F.explode(text.tokenize_ngram(F.col(column))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     top = counted.orderBy(F.desc("n"), "token").limit(size - 1)  # bounded, so one task may number it
     order = Window.orderBy(F.desc("n"), "token")
     most = F.max("n").over(Window.partitionBy())
@@ -29,43 +46,218 @@ def vocabulary(docs: DataFrame, size: int = 4096, column: str = "text") -> DataF
     return docs.sparkSession.createDataFrame([*unknown.collect(), *known.collect()], unknown.schema)
 
 
-def bigrams(docs: DataFrame, vocab: DataFrame, *keep: str, column: str = "text") -> DataFrame:
-    """(keep..., fromId, toId) of every pair of neighbours; the vocabulary is bounded by its size and is broadcast."""
-    t = tokens(docs, column).where(F.size("ts") > 1)
-    pairs = t.select(*keep, F.explode(F.zip_with(F.slice("ts", F.lit(1), F.size("ts") - 1), F.slice("ts", F.lit(2), F.size("ts") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
-    v = F.broadcast(vocab.select("token", "tokenId"))
-    at = pairs.select(*keep, "p.a", "p.b").join(v.select(F.col("token").alias("a"), F.col("tokenId").alias("fromId")), "a", "left").join(v.select(F.col("token").alias("b"), F.col("tokenId").alias("toId")), "b", "left")
-    return at.select(*keep, F.coalesce("fromId", F.lit(0)).alias("fromId"), F.coalesce("toId", F.lit(0)).alias("toId"))
+def ids_of(vocab: DataFrame) -> dict[str, int]:
+    """token to id of a vocabulary, which its size bounds."""
+    return {r["token"]: r["tokenId"] for r in vocab.select("token", "tokenId").where("tokenId > 0").collect()}
+
+
+def codes(value: str | None, ids: dict[str, int]) -> np.ndarray:
+    """The ids of a text's tokens."""
+    found = TOKEN.findall(value.lower()) if value else []
+    return np.fromiter((ids.get(t, 0) for t in found), np.int64, len(found))
+
+
+def bigrams(docs: DataFrame, vocab: DataFrame, column: str = "text") -> DataFrame:
+    """(fromId, toId, n): how often neighbours occur; a task adds them up before it hands them on."""
+    ids = ids_of(vocab)
+    size = len(ids) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys // size), pa.array(keys % size), pa.array(times)], ["fromId", "toId", "n"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                made = [codes(x, ids) for x in batch.column(0).slice(at, 512).to_pylist()]
+                new, n = np.unique(np.concatenate([c[:-1] * size + c[1:] for c in made]), return_counts=True)
+                keys, inverse = np.unique(np.concatenate([keys, new]), return_inverse=True)
+                times = np.bincount(inverse, np.concatenate([times, n]), len(keys)).astype(np.int64)
+                if len(keys) > FLUSH:
+                    yield out()
+                    keys, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        yield out()
+
+    return docs.select(F.col(column).alias("text")).mapInArrow(run, "fromId long, toId long, n long").groupBy("fromId", "toId").agg(F.sum("n").alias("n"))
 
 
 def transitions(docs: DataFrame, vocab: DataFrame, most: int = 24, column: str = "text") -> DataFrame:
-    """(fromId, toId, rank, q): the ``most`` frequent followers of each token, their shares quantised; kept, as at
-    most the vocabulary's size times ``most`` rows."""
-    counted = bigrams(docs, vocab, column=column).groupBy("fromId", "toId").agg(F.count("*").alias("n"))
-    top = counted.withColumn("rank", F.row_number().over(Window.partitionBy("fromId").orderBy(F.desc("n"), "toId"))).where(F.col("rank") <= most)
-    return top.select("fromId", "toId", "rank", scoring.quantize_weight(F.col("n") / F.sum("n").over(Window.partitionBy("fromId"))).alias("q")).persist()
+    """(fromId, toId, rank, q): the ``most`` frequent followers of each token, their shares quantised: at most the
+    vocabulary's size times ``most`` rows, counted at once."""
+    top = bigrams(docs, vocab, column).withColumn("rank", F.row_number().over(Window.partitionBy("fromId").orderBy(F.desc("n"), "toId"))).where(F.col("rank") <= most)
+    made = top.select(F.col("fromId").cast("int").alias("fromId"), F.col("toId").cast("int").alias("toId"), "rank", scoring.quantize_weight(F.col("n") / F.sum("n").over(Window.partitionBy("fromId"))).alias("q"))
+    return docs.sparkSession.createDataFrame(made.toArrow()) if not made.isEmpty() else made
+
+
+@dataclass
+class Model:
+    """A model in memory; its vocabulary and the followers of a token bound it."""
 
+    ids: dict[str, int]
+    names: list[str]
+    followers: dict[int, list[tuple[int, int]]]
+    unigrams: list[tuple[int, int]] = field(default_factory=list)
+    pairs: np.ndarray = None  # sorted codes of known pairs, and their weights
+    weights: np.ndarray = None
 
-def novelty(docs: DataFrame, vocab: DataFrame, model: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """Mean of 1 - q/127 over a text's bigrams, unseen ones counting fully; 0.5 below two tokens."""
-    seen = bigrams(docs, vocab, key, column=column).join(F.broadcast(model.select("fromId", "toId", "q")), ["fromId", "toId"], "left")
-    scored = seen.groupBy(key).agg(F.avg(1 - F.coalesce("q", F.lit(0)) / F.lit(127)).alias("novelty"))
-    return docs.select(key).join(scored, key, "left").select(key, F.coalesce("novelty", F.lit(0.5)).alias("novelty"))
+    def __post_init__(self):
+        size = len(self.names)
+        known = sorted((a * size + b, q) for a, after in self.followers.items() for b, q in after)
+        self.pairs = np.array([k for k, _ in known], np.int64)
+        self.weights = np.array([q for _, q in known], np.float64)
+
+    def novelty(self, value: str | None) -> float:
+        """Mean of 1 - q/127 over neighbours, unseen ones counting fully; 0.5 below two tokens."""
+        c = codes(value, self.ids)
+        if len(c) < 2:
+            return 0.5
+        if not len(self.pairs):
+            return 1.0
+        keys = c[:-1] * len(self.names) + c[1:]
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return float((1 - np.where(self.pairs[at] == keys, self.weights[at], 0) / 127).mean())
+
+
+def hydrated(vocab: DataFrame, model: DataFrame, most_unigrams: int = 64) -> Model:
+    """The model in memory: weights that aren't positive and ids out of range drop, followers by rank; the most frequent tokens."""
+    rows = vocab.orderBy("tokenId").collect()
+    names = [r["token"] for r in rows]
+    followers: dict[int, list[tuple[int, int]]] = {}
+    for r in model.where("q > 0 AND toId >= 0 AND fromId >= 0").orderBy("fromId", "rank").collect():
+        if r["toId"] < len(names) and r["fromId"] < len(names):
+            followers.setdefault(r["fromId"], []).append((r["toId"], r["q"]))
+    often = sorted(((r["tokenId"], r["unigramQ"]) for r in rows if r["unigramQ"] > 0), key=lambda x: (-x[1], x[0]))[:most_unigrams]
+    return Model({t: i for i, t in enumerate(names) if i}, names, followers, often)
+
+
+def novelty(docs: DataFrame, model: Model, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """(key, novelty) of each row, found inside it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.novelty(x) for x in batch.column(1).to_pylist()], pa.float64())], ["key", "novelty"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key).alias("key"), F.col(column).alias("text")).mapInArrow(run, f"key {kind}, novelty double").withColumnRenamed("key", key)
 
 
 def frequent_tags(docs: DataFrame, most: int, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """(key, token, n, place): the most frequent words of each text that aren't stop words."""
-    words = F.filter(text.tokenize_words(F.col(column)), lambda t: (F.length(t) > 2) & ~t.isin(*STOP_WORDS))
+    """(key, token, n, place): the most frequent words of each text that aren't stop words; of equals the shorter."""
+    words = F.filter(F.regexp_extract_all(F.lower(column), F.lit("[a-zA-Z][a-zA-Z0-9_-]{2,}"), F.lit(0)), lambda t: ~t.isin(*STOP_WORDS))
     counted = docs.select(key, F.explode(words).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
     return counted.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), F.length("token"), "token"))).where(F.col("place") <= most)
 
 
-def suggest_tags(docs: DataFrame, vocab: DataFrame, model: DataFrame, most: int = 6, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """Own frequent words (1.4 - 0.08 * place) and what the model expects to follow them (0.8 + share); the best ``most``."""
-    own = frequent_tags(docs, 12, key, column).select(key, "token", (F.lit(1.4) - F.lit(0.08) * (F.col("place") - 1)).alias("score"))
-    v = F.broadcast(vocab.select("token", "tokenId"))
-    after = own.join(v, "token").select(key, F.col("tokenId").alias("fromId")).join(F.broadcast(model.where("rank <= 4")), "fromId").select(key, F.col("toId").alias("tokenId"), (F.lit(0.8) + F.col("q") / 127).alias("score"))
-    follow = after.join(F.broadcast(vocab.where("tokenId > 0").select("token", "tokenId")), "tokenId").where(F.col("token").rlike("^[a-z][a-z0-9_-]{2,23}$") & ~F.col("token").isin(*STOP_WORDS)).select(key, "token", "score")
-    best = own.unionByName(follow).groupBy(key, "token").agg(F.sum("score").alias("score"))
-    w = Window.partitionBy(key).orderBy(F.desc(F.round("score", 4)), F.length("token"), "token")
-    return best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select(key, "token", F.round("score", 4).alias("score"), "place")
+def domain_terms(tokens: list[str], most: int = 12, prefix: int = 5) -> tuple[list[str], list[str]]:
+    """The first distinct terms of four letters and more, and beginnings of the longer ones."""
+    terms = list(dict.fromkeys(t for t in tokens if len(t) >= 4 and TAG.fullmatch(t) and t not in DOMAIN_STOP_WORDS))[:most]
+    return terms, list(dict.fromkeys(t[:prefix] for t in terms if len(t) > prefix + 1))
+
+
+# The scores of own tags and domain terms by place, of followers, and boosts for terms and their beginnings.
+OWN, DOMAIN, FOLLOWER, TERM_BOOST, PREFIX_BOOST, FOLLOWERS = (1.4, 0.08), (2.6, 0.1), 0.8, 1.35, 1.15, 10
+
+
+def tag_scores(value: str, model: Model | None, most: int) -> dict[str, float]:
+    scores: dict[str, float] = {}
+
+    def add(token: str, score: float) -> None:
+        if len(token) <= 24 and TAG.fullmatch(token) and token not in DOMAIN_STOP_WORDS:
+            scores[token] = scores.get(token, 0.0) + max(0.0001, score)
+
+    tokens = TOKEN.findall(value.strip().lower())
+    counts = Counter(t for t in tokens if len(t) <= 24 and TAG.fullmatch(t))
+    for i, (t, _) in enumerate(sorted(counts.items(), key=lambda x: -x[1])[: min(24, most * 4)]):  # of equals the first in the text
+        add(t, OWN[0] - OWN[1] * i)
+    terms, prefixes = domain_terms(tokens)
+    for i, t in enumerate(terms):
+        add(t, DOMAIN[0] - DOMAIN[1] * i)
+    for t in dict.fromkeys(tokens) if model else ():
+        after = model.followers.get(model.ids.get(t, -1), [])[:FOLLOWERS]
+        top = max([1, *(q for _, q in after)])
+        for to, q in after:
+            name = model.names[to].lower()
+            boost = TERM_BOOST if name in terms else PREFIX_BOOST if name.startswith(tuple(prefixes)) else 1.0
+            add(name, FOLLOWER + q / top * boost)
+    return scores
+
+
+def ranked_tags(scores: dict[str, float], most: int) -> list[tuple[str, float]]:
+    """The best tags; scores that agree in four places are ties, which the shorter and then the lesser token wins."""
+    return sorted(((t, round(s, 4)) for t, s in scores.items()), key=lambda x: (-x[1], len(x[0]), x[0]))[:most]
+
+
+def suggest_tags(docs: DataFrame, model: Model | None, most: int = 6, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """(key, token, score, place): the best tags of each whole text, from its frequent words, its first domain terms
+    and what the model expects to follow its words."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield pd.DataFrame([(k, t, s, i) for k, x in zip(p["key"], p["text"], strict=True) for i, (t, s) in enumerate(ranked_tags(tag_scores(x, model, most), most) if x else (), 1)], columns=["key", "token", "score", "place"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key).alias("key"), F.col(column).alias("text")).mapInPandas(run, f"key {kind}, token string, score double, place int").withColumnRenamed("key", key)
+
+
+def weighted(snippets: DataFrame, weight: int) -> DataFrame:
+    """Every snippet ``weight`` times, which is at least 1 and at most 4."""
+    n = min(4, max(1, int(weight)))
+    return snippets if n == 1 else snippets.withColumn("__copy", F.explode(F.array(*map(F.lit, range(n))))).drop("__copy")
+
+
+# How often the texts of projects, memories and datasets count.
+WEIGHTS = (2, 2, 1)
+
+
+def train(project: DataFrame, memory: DataFrame, dataset: DataFrame, size: int = 4096, most: int = 24, column: str = "snippet") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vocabulary, transitions, summary) over snippets of three kinds, weighted; those below two tokens don't count."""
+    parts = [weighted(df.select(F.col(column).alias("text")), w) for df, w in zip((project, memory, dataset), WEIGHTS, strict=True)]
+    corpus = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    tokens = F.size(text.tokenize_ngram(F.col("text")))
+    corpus = corpus.where(tokens >= 2)
+    vocab = vocabulary(corpus, size)
+    model = transitions(corpus, vocab, most)
+    counts = corpus.agg(F.count("*").alias("snippets"), F.coalesce(F.sum(tokens), F.lit(0)).alias("tokenCount"))
+    sources = [df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(column)), F.lit(0)).alias("chars")) for df in (project, memory, dataset)]
+    source = sources[0].unionByName(sources[1]).unionByName(sources[2]).agg(F.sum("n").alias("sourceCount"), F.sum("chars").alias("corpusChars"))
+    rows = model.groupBy("fromId").agg(F.count("*").alias("b")).agg(F.count("*").alias("transitionRows"), F.coalesce(F.avg("b"), F.lit(0.0)).alias("averageBranchingFactor"))
+    summary = counts.crossJoin(source).crossJoin(vocab.agg(F.count("*").alias("vocabSize"))).crossJoin(rows)  # one row each
+    return vocab, model, summary
+
+
+VERSION = "quantised-bigrams-v1"
+
+
+def save(vocab: DataFrame, model: DataFrame, path: str) -> None:
+    """The model as Parquet, with its version."""
+    vocab.write.mode("overwrite").parquet(f"{path}/vocabulary")
+    model.write.mode("overwrite").parquet(f"{path}/transitions")
+    vocab.sparkSession.createDataFrame([(json.dumps({"version": VERSION}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/version")
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(vocabulary, transitions) of a saved model; another version is refused."""
+    found = json.loads(spark.read.text(f"{path}/version").first()[0]).get("version")
+    if found != VERSION:
+        raise ValueError(f"{path}: a model of version {found!r}; this is {VERSION!r}")
+    return spark.read.parquet(f"{path}/vocabulary"), spark.read.parquet(f"{path}/transitions")
+
+
+def ephemeral(value: str, size: int = 512, most: int = 16) -> Model:
+    """A small model of one text alone, made on the driver."""
+    tokens = TOKEN.findall(value.lower())
+    counts = Counter(tokens)
+    names = ["<unk>", *(t for t, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: size - 1])]
+    ids = {t: i for i, t in enumerate(names) if i}
+    follow: dict[int, Counter] = {}
+    for a, b in zip(tokens, tokens[1:], strict=False):
+        follow.setdefault(ids.get(a, 0), Counter())[ids.get(b, 0)] += 1
+    quantised = lambda n, total: min(127, max(1, int(n / total * 127 + 0.5)))
+    followers = {}
+    for a, after in follow.items():
+        top = sorted(after.items(), key=lambda x: (-x[1], x[0]))[:most]
+        total = sum(n for _, n in top)
+        followers[a] = [(b, quantised(n, total)) for b, n in top]
+    most_often = max(counts.values(), default=1)
+    return Model(ids, names, followers, [(ids[t], quantised(counts[t], most_often)) for t in names[1:65]])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text, udfs
 from ..operators import context, evolution, ingest, records, retrieval
-from ..sources import policy
+from ..sources import corpus, policy
 from ..sources import tables as T
 from .core_queries import STATS, rounded
 from .registry import MEM, NOW, query
@@ -145,25 +145,23 @@ def parse_chat_session(spark, d):
 NW = "regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '^[ \\t\\n\\r\\f\\x0B\\x{00a0}\\x{feff}]+|[ \\t\\n\\r\\f\\x0B\\x{00a0}\\x{feff}]+$', '', 'g')"
 
 
-@query(f"WITH c AS (SELECT source, doc_id, {NW} AS s FROM documents), f AS (SELECT * FROM c WHERE length(s) >= 32), b AS (SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f) SELECT doc_id, substr(s, 1, CAST(20000 - before AS BIGINT)) AS snippet FROM b WHERE before < 20000")
+@query(f"WITH c AS (SELECT source, doc_id, {NW} AS s FROM documents), f AS (SELECT * FROM c WHERE length(s) >= 32), b AS (SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f) SELECT doc_id, substr(s, 1, CAST(2000000 - before AS BIGINT)) AS snippet FROM b WHERE before < 2000000")
 def scan_project_corpus(spark, d):
-    from ..sources.corpus import project_corpus
+    return corpus.project_corpus(docs(spark, d), group="source", order="doc_id", column="text").select("doc_id", "snippet")
 
-    return project_corpus(docs(spark, d), 20_000, 32, "source", "doc_id", "text").select("doc_id", "snippet")
 
-
-@query(f"WITH {MEM} SELECT id, substr('# memory:' || id || chr(10) || title || chr(10) || summary || chr(10) || content, 1, 4000) AS snippet FROM mem ORDER BY lastAccessedAt DESC, id LIMIT 200")
+@query(f"WITH {MEM} SELECT id, substr('# memory:' || id || chr(10) || title || chr(10) || summary || chr(10) || content, 1, 4000) AS snippet FROM mem ORDER BY lastAccessedAt DESC, id LIMIT 250")
 def scan_memory_corpus(spark, d):
-    from ..sources.corpus import memory_corpus
+    return corpus.memory_corpus(T.memories(spark, d))
 
-    return memory_corpus(T.memories(spark, d), 200)
 
+TECHNICAL = "|".join((*corpus.TECHNICAL, corpus.CODE)).replace("'", "''")
 
-@query()
-def scan_dataset_rows(spark, d):
-    from ..sources.corpus import dataset_corpus
 
-    return dataset_corpus(T.read(spark, d, "pages"), "html").select("page_id", "snippet")
+@query(f"""WITH c AS (SELECT doc_id, substr(array_to_string(list_filter([{NW.replace('text', 'source')}, {NW}], lambda x: length(x) >= 24), chr(10)), 1, 3000) AS joined FROM documents)
+SELECT doc_id, '# dataset:web' || chr(10) || joined AS snippet FROM c WHERE joined <> '' AND regexp_matches(lower(joined), '{TECHNICAL}')""")
+def scan_dataset_rows(spark, d):
+    return corpus.dataset_corpus(docs(spark, d), "source", "text", name="web").select("doc_id", "snippet")
 
 
 @query(f"""WITH {MEM}, s AS (SELECT title, row_number() OVER (ORDER BY importance DESC, id) AS k FROM mem QUALIFY k <= 5) SELECT CAST(k + 2 AS INT) AS step, 'Inspect memory anchor: ' || title AS title FROM s UNION ALL SELECT * FROM (VALUES (1, 'Confirm objective and constraints'), (2, 'Collect relevant context'), (8, 'Execute change in bounded increments'), (9, 'Verify and summarize'))""")

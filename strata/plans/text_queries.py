@@ -89,9 +89,10 @@ def chunk_text(spark, d):
     return docs(spark, d).select("doc_id", F.posexplode(text.fixed_chunks(F.col("text"), 800)).alias("i", "chunk"))
 
 
-@query("SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda t: length(t) > 1)) AS words, len(regexp_extract_all(lower(text), '[a-z0-9_]+|[^\\s]')) AS tokens FROM documents")
+@query("SELECT doc_id, sha1(array_to_string(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda t: length(t) > 1), ' ')) AS words, sha1(array_to_string(regexp_extract_all(lower(text), '[a-z0-9_]+|[^\\s]'), ' ')) AS tokens FROM documents")
 def tokenize(spark, d):
-    return docs(spark, d).select("doc_id", F.size(text.tokenize_words(F.col("text"))).cast("long").alias("words"), F.size(text.tokenize_ngram(F.col("text"))).cast("long").alias("tokens"))
+    """All words and all tokens of each text, as digests of their sequences."""
+    return docs(spark, d).select("doc_id", F.sha1(F.array_join(text.tokenize_words(F.col("text")), " ")).alias("words"), F.sha1(F.array_join(text.tokenize_ngram(F.col("text")), " ")).alias("tokens"))
 
 
 @query("SELECT page_id, substr(regexp_replace(regexp_replace(url, '[0-9a-fA-F]{8,}', ':id', 'g'), '/{2,}', '/', 'g'), 1, 180) AS label, regexp_replace(regexp_replace(url, '\\\\', '/', 'g'), '^.*/', '') AS base, lower(regexp_extract(url, '(\\.[^./\\\\]+)$', 1)) AS ext FROM pages")
@@ -99,29 +100,53 @@ def path_labels(spark, d):
     return T.read(spark, d, "pages").select("page_id", text.route_label(F.col("url")).alias("label"), text.basename(F.col("url")).alias("base"), text.extension(F.col("url")).alias("ext"))
 
 
-@query(f"WITH {MEM} SELECT id, len(list_distinct(list_concat(tags, [kind, projectId]))) AS n FROM mem")
+@query(f"WITH {MEM} SELECT id, CASE WHEN tags[1] = projectId THEN array_to_string([tags[1], kind], ',') WHEN tags[2] = projectId THEN array_to_string([tags[1], tags[2], kind], ',') ELSE array_to_string([tags[1], tags[2], kind, projectId], ',') END AS tags FROM mem")
 def merge_tags(spark, d):
-    return T.memories(spark, d).select("id", F.size(text.merge_tags(F.col("tags"), F.array("kind", "projectId"))).cast("long").alias("n"))
+    return T.memories(spark, d).select("id", F.array_join(text.merge_tags(F.col("tags"), F.array("kind", "projectId")), ",").alias("tags"))
 
 
-@query("""SELECT page_id, len(list_distinct(regexp_extract_all(html, '\\bclass\\s+([A-Za-z_][A-Za-z0-9_]*)', 1))) + 1000 * len(regexp_extract_all(html, '\\b(?:for|while)\\b')) + 1000000 * len(regexp_extract_all(html, '\\b(?:if|switch|case)\\b')) AS n FROM pages""")
+# Turns of conversations as lines of code, so that every pattern has something to find.
+CODE_OF = """CASE turn % 5 WHEN 0 THEN 'import { a } from "./m' || conv_id || '"' || chr(10) || 'function f' || turn || '(x) { for (;;) { if (x) { while (y) {} } } }' WHEN 1 THEN 'class K' || conv_id || ' { m() { switch (z) { case 1: } } }' || chr(10) || 'class K' || conv_id || ' {}'
+  WHEN 2 THEN 'const g' || turn || ' = (a, b) => a' || chr(10) || 'def h_' || turn || '(self):' || chr(10) || '  for i in x: pass' WHEN 3 THEN '#include <v' || conv_id || '.h>' || chr(10) || 'struct S { int a; }; if (a) b();' ELSE chr(10) || ' ' END"""
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, {CODE_OF} AS s FROM conversations), n AS (SELECT *, len(regexp_extract_all(s, '\\b(?:for|while)\\b')) AS loops, len(regexp_extract_all(s, '\\b(?:if|switch|case)\\b')) AS branches FROM c)
+SELECT conv_id, turn, loops, branches, array_to_string(list_transform(list_distinct(regexp_extract_all(s, '(?m)^\\s*(?:import\\s+.*from\\s+["''][^"'']+["'']|#include\\s+[<"][^>"]+[>"])')), lambda x: trim(x)), ',') AS imports,
+  CASE turn % 5 WHEN 0 THEN 'f' || turn WHEN 2 THEN 'h_' || turn || ',g' || turn ELSE '' END AS functions, CASE turn % 5 WHEN 1 THEN 'K' || conv_id WHEN 3 THEN 'S' ELSE '' END AS classes,
+  CASE WHEN turn % 5 = 4 THEN 'empty source' WHEN loops >= 2 THEN 'likely O(n^k) due to nested loops' WHEN loops = 1 AND branches > 0 THEN 'likely O(n) with branch-dependent flow' WHEN loops = 1 THEN 'likely O(n)' WHEN branches > 0 THEN 'branch-heavy, data-dependent complexity' ELSE 'likely bounded helper or direct mapping' END AS hint FROM n""")
 def extract_ast_facts(spark, d):
-    f = ingest.code_facts(F.col("html"))
-    return T.read(spark, d, "pages").select("page_id", (F.size(f["classes"]) + 1000 * f["loops"] + 1_000_000 * f["branches"]).cast("long").alias("n"))
+    f = ingest.code_facts(F.col("s"))
+    c = T.read(spark, d, "conversations").select("conv_id", "turn", F.expr(CODE_OF.replace("chr(10)", "'\\n'")).alias("s"))
+    return c.select("conv_id", "turn", f["loops"].cast("long").alias("loops"), f["branches"].cast("long").alias("branches"), *(F.array_join(f[k], ",").alias(k) for k in ("imports", "functions", "classes")), f["complexityHint"].alias("hint"))
+
+
+# Messages of user and assistant that aren't blank: a prompt with the answer right after it, prompts and answers that have none.
+TURNS = f"""m AS (SELECT conv_id, turn, role, {trim('text')} AS text FROM conversations WHERE role IN ('user', 'assistant') AND {trim('text')} <> ''),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS k FROM m),
+turns AS (SELECT u.conv_id, u.turn, u.text AS prompt, coalesce(a.text, '') AS response FROM o u LEFT JOIN o a ON a.conv_id = u.conv_id AND a.k = u.k + 1 AND a.role = 'assistant' WHERE u.role = 'user'
+  UNION ALL SELECT a.conv_id, a.turn, '', a.text FROM o a LEFT JOIN o u ON u.conv_id = a.conv_id AND u.k = a.k - 1 AND u.role = 'user' WHERE a.role = 'assistant' AND u.conv_id IS NULL)"""
+
+
+def odd_conversations(spark, d):
+    """``conversations`` without every 7th message, so that prompts and answers without each other occur."""
+    return T.read(spark, d, "conversations").where("(conv_id + turn) % 7 <> 3")
+
 
+ODD_TURNS = TURNS.replace("FROM conversations WHERE", "FROM conversations WHERE (conv_id + turn) % 7 <> 3 AND")
 
-@query("""WITH p AS (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-SELECT conv_id, turn, trim(text) AS prompt, CASE WHEN nr = 'assistant' THEN trim(nt) ELSE '' END AS response FROM p WHERE role = 'user' AND trim(text) <> ''""")
+
+@query(f"WITH {ODD_TURNS} SELECT * FROM turns")
 def turn_pairing(spark, d):
-    return ingest.pair_turns(T.read(spark, d, "conversations")).select("conv_id", "turn", F.trim("prompt").alias("prompt"), F.trim("response").alias("response"))
+    """Pairs of a log with gaps, which the adapter makes; the operator sees every row it is given."""
+    return ingest.pair_turns(odd_conversations(spark, d))
 
 
-@query("""WITH p AS (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-q AS (SELECT conv_id, turn, trim(text) AS prompt, CASE WHEN nr = 'assistant' THEN trim(nt) ELSE '' END AS response FROM p WHERE role = 'user' AND trim(text) <> '')
-SELECT 'chat_' || substr(sha1(conv_id || '|' || turn), 1, 24) AS id, prompt || chr(10) || chr(10) || '---' || chr(10) || chr(10) || response AS content, 0.65::DOUBLE AS importance, 0.75::DOUBLE AS confidence FROM q""")
+@query(f"""WITH {TURNS}, r AS (SELECT conv_id, turn, prompt, response, {replaced("prompt", (*text.SECRETS, *text.PERSONAL))} AS p, {replaced("response", (*text.SECRETS, *text.PERSONAL))} AS q FROM turns)
+SELECT 'chat_' || substr(sha1('default|' || conv_id || '|' || turn || '||' || prompt || '|' || response), 1, 24) AS id, {cut("CASE WHEN p <> '' THEN p ELSE q END", 240)} AS summary, {trim("p || chr(10) || chr(10) || '---' || chr(10) || chr(10) || q")} AS content, 'copilot,chat,chat-file:' || conv_id AS tags,
+  0.65::DOUBLE AS importance, 0.75::DOUBLE AS confidence FROM r""")
 def chat_to_memories(spark, d):
-    turns = ingest.pair_turns(T.read(spark, d, "conversations").withColumn("text", F.trim("text")))
-    return ingest.chat_memories(turns).select("id", "content", "importance", "confidence")
+    m = ingest.chat_memories(ingest.pair_turns(T.read(spark, d, "conversations")))
+    return m.select("id", "summary", "content", F.array_join("tags", ",").alias("tags"), "importance", "confidence")
 
 
 SOURCES = "src AS (SELECT source AS projectId, doc_id, 'src/' || doc_id || '.ts' AS sourceRef, sha1('ingest-v2|code|maxChunkChars:1400|' || text) AS contentHash FROM documents)"
@@ -146,25 +171,40 @@ def token_frequency(spark, d):
     return ngram.vocabulary(docs(spark, d), 4096).where("tokenId > 0").select("token", "n", F.col("tokenId").cast("long").alias("tokenId"), F.col("unigramQ").cast("long").alias("unigramQ"))
 
 
-NGRAM = """tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+|[^\\s]') AS ts FROM documents), v AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS tokenId FROM (SELECT token, count(*) AS n FROM (SELECT unnest(ts) AS token FROM tok) GROUP BY 1 ORDER BY n DESC, token LIMIT 255)),
+NGRAM = """tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+|[^\\s]') AS ts FROM documents), v AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS tokenId FROM (SELECT token, count(*) AS n FROM (SELECT unnest(ts) AS token FROM tok) GROUP BY 1 ORDER BY n DESC, token LIMIT 4095)),
 b AS (SELECT unnest(ts[:-2]) AS a, unnest(ts[2:]) AS b FROM tok WHERE len(ts) > 1), p AS (SELECT coalesce(x.tokenId, 0) AS f, coalesce(y.tokenId, 0) AS t, count(*) AS n FROM b LEFT JOIN v x ON a = x.token LEFT JOIN v y ON b = y.token GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY n DESC, t) AS rank FROM p QUALIFY rank <= 24), tr AS (SELECT f AS fromId, t AS toId, rank, least(127, greatest(1, round(n::DOUBLE / sum(n) OVER (PARTITION BY f) * 127))) AS q FROM k)"""
 
 
+def model_of(spark, d) -> ngram.Model:
+    v = ngram.vocabulary(docs(spark, d))
+    return ngram.hydrated(v, ngram.transitions(docs(spark, d), v))
+
+
 @query(f"WITH {NGRAM} SELECT fromId, toId, rank, CAST(q AS BIGINT) AS q FROM tr")
 def bigram_transitions(spark, d):
-    v = ngram.vocabulary(docs(spark, d), 256)
-    return ngram.transitions(docs(spark, d), v, 24).select(F.col("fromId").cast("long").alias("fromId"), F.col("toId").cast("long").alias("toId"), F.col("rank").cast("long").alias("rank"), F.col("q").cast("long").alias("q"))
+    v = ngram.vocabulary(docs(spark, d))
+    return ngram.transitions(docs(spark, d), v).select(F.col("fromId").cast("long").alias("fromId"), F.col("toId").cast("long").alias("toId"), F.col("rank").cast("long").alias("rank"), F.col("q").cast("long").alias("q"))
 
 
 @query(f"""WITH {NGRAM}, db AS (SELECT doc_id, unnest(ts[:-2]) AS a, unnest(ts[2:]) AS b FROM tok WHERE len(ts) > 1), s AS (SELECT doc_id, avg(1 - coalesce(q, 0) / 127) AS novelty FROM db LEFT JOIN v x ON a = x.token LEFT JOIN v y ON b = y.token LEFT JOIN tr ON fromId = coalesce(x.tokenId, 0) AND toId = coalesce(y.tokenId, 0) GROUP BY 1)
 SELECT d.doc_id, round(coalesce(novelty, 0.5), 6) AS novelty FROM documents d LEFT JOIN s USING (doc_id)""")
 def estimate_novelty(spark, d):
-    v = ngram.vocabulary(docs(spark, d), 256)
-    return rounded(ngram.novelty(docs(spark, d), v, ngram.transitions(docs(spark, d), v, 24)))
+    return rounded(ngram.novelty(docs(spark, d), model_of(spark, d)))
+
+
+@query(f"""WITH {NGRAM}, c AS (SELECT count(*) * 2 AS snippets, sum(len(ts)) * 2 AS tokenCount FROM tok WHERE len(ts) >= 2), m AS (SELECT fromId, count(*) AS b FROM tr GROUP BY 1)
+SELECT snippets, tokenCount, (SELECT count(*) FROM documents) AS sourceCount, (SELECT sum(length(text)) FROM documents) AS corpusChars, (SELECT count(*) + 1 FROM v) AS vocabSize, (SELECT count(*) FROM m) AS transitionRows, (SELECT round(avg(b), 6) FROM m) AS averageBranchingFactor FROM c""")
+def train_ngram(spark, d):
+    """The summary of a model of project texts, which count twice."""
+    s = docs(spark, d).select(F.col("text").alias("snippet"))
+    return rounded(ngram.train(s, s.limit(0), s.limit(0))[2])
+
+
+STOPS = ", ".join(f"'{w}'" for w in ngram.STOP_WORDS)
 
 
-@query("""WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda t: length(t) > 2 AND NOT list_contains(['the', 'and', 'for', 'that', 'with', 'this', 'are', 'was', 'from'], t))) AS token FROM documents),
+@query(f"""WITH t AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-zA-Z][a-zA-Z0-9_-]{{2,}}'), lambda t: t NOT IN ({STOPS}))) AS token FROM documents),
 c AS (SELECT doc_id, token, count(*) AS n FROM t GROUP BY ALL) SELECT doc_id, token, n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(token), token) AS BIGINT) AS place FROM c QUALIFY place <= 6""")
 def heuristic_tags(spark, d):
     return ngram.frequent_tags(docs(spark, d), 6).select("doc_id", "token", "n", F.col("place").cast("long").alias("place"))
@@ -172,8 +212,7 @@ def heuristic_tags(spark, d):
 
 @query()
 def suggest_tags(spark, d):
-    v = ngram.vocabulary(docs(spark, d), 4096)
-    return ngram.suggest_tags(docs(spark, d), v, ngram.transitions(docs(spark, d), v, 24), 6)
+    return ngram.suggest_tags(docs(spark, d), model_of(spark, d), 6)
 
 
 @query("""WITH s AS (SELECT doc_id, length(text) AS n, len(regexp_extract_all(text, '[.;:!?]')) AS p FROM documents), c AS (SELECT *, least(1.0::DOUBLE, least(1.0::DOUBLE, n / 350.0::DOUBLE) * 0.65::DOUBLE + least(1.0::DOUBLE, p / 6.0::DOUBLE) * 0.35::DOUBLE) AS clarity FROM s)
@@ -251,11 +290,8 @@ def proactive_suggestion(spark, d):
 def generate_continuation(spark, d):
     from ..functions import udfs
 
-    v = ngram.vocabulary(docs(spark, d), 4096)
-    names = {r["tokenId"]: r["token"] for r in v.collect()}  # 4,096 rows
-    model: dict[str, list] = {}
-    for r in ngram.transitions(docs(spark, d), v, 24).where("fromId > 0 AND toId > 0").orderBy("fromId", "rank").collect():  # at most 4,096 * 24 rows
-        model.setdefault(names[r["fromId"]], []).append((names[r["toId"]], r["q"]))
+    m = model_of(spark, d)
+    model = {m.names[a]: [(m.names[b], q) for b, q in after if b] for a, after in m.followers.items() if a}
 
     @F.pandas_udf("string")
     def run(values):

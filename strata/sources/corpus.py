@@ -8,8 +8,18 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 
-#: What a dataset text must mention, or look like, to count as technical.
-TECHNICAL = r"(?i)\b(?:function|class|import|return|const|def|api|database|algorithm|compile|runtime|refactor)\b|[{};]\s*$|=>|\(\)"
+# What a dataset text must mention anywhere, or look like, to count as technical.
+TECHNICAL = (
+    "api", "json", "schema", "memory", "cache", "model", "prompt", "token", "retrieval", "context", "agent", "llm", "embedding", "vector",
+    "typescript", "python", "node", "function", "class", "cli", "branch", "project", "merge", "critic", "score",
+)
+CODE = r"\b(function|class|const|let|var|return|async|await|import|export)\b|=>|\{\s*\""
+
+# Files and folders of a project whose texts a model learns from, or doesn't.
+EXTENSIONS = (
+    ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".json", ".md", ".txt", ".py", ".java", ".go", ".rs", ".c", ".cc", ".cpp", ".h", ".hpp", ".css", ".scss", ".html", ".yml", ".yaml", ".toml", ".ini",
+)
+SKIPPED_FOLDERS = (".git", "node_modules", "dist", "build", "coverage", "out", "data", "logs", "tmp", ".tmp", ".venv", "venv", ".cache", "target", ".next")
 
 
 def project_corpus(files: DataFrame, budget: int = 2_000_000, least: int = 32, group: str = "projectId", order: str = "path", column: str = "source") -> DataFrame:
@@ -20,13 +30,17 @@ def project_corpus(files: DataFrame, budget: int = 2_000_000, least: int = 32, g
     return kept.withColumn("snippet", F.substr("snippet", F.lit(1), (F.lit(budget) - F.col("before")).cast("int"))).drop("before")
 
 
-def memory_corpus(memories: DataFrame, limit: int = 1000, most: int = 4000) -> DataFrame:
+def memory_corpus(memories: DataFrame, limit: int = 250, most: int = 4000) -> DataFrame:
     """(id, snippet) of the newest memories."""
     newest = memories.orderBy(F.desc("lastAccessedAt"), "id").limit(limit)
     return newest.select("id", F.substring(F.concat(F.lit("# memory:"), "id", F.lit("\n"), F.concat_ws("\n", "title", "summary", "content")), 1, most).alias("snippet"))
 
 
-def dataset_corpus(rows: DataFrame, column: str, least: int = 24, most: int = 3000) -> DataFrame:
-    """Technical texts of a dataset, cut to ``most`` characters."""
-    clean = text.normalize_whitespace(F.col(column))
-    return rows.withColumn("snippet", F.substring(clean, 1, most)).where((F.length(clean) >= least) & clean.rlike(TECHNICAL))
+def dataset_corpus(rows: DataFrame, *columns: str, name: str = "dataset", least: int = 24, most: int = 3000) -> DataFrame:
+    """Technical rows of a dataset: their texts of ``least`` characters and more, joined, cut to ``most``, under a heading."""
+    clean = [text.normalize_whitespace(F.col(c)) for c in columns]
+    joined = F.substring(F.array_join(F.filter(F.array(*clean), lambda x: F.length(x) >= least), "\n"), 1, most)
+    low = F.lower("joined")
+    technical = low.rlike("|".join(TECHNICAL)) | low.rlike(CODE)
+    kept = rows.withColumn("joined", joined).where((text.trim(F.col("joined")) != "") & technical)
+    return kept.withColumn("snippet", F.concat(F.lit(f"# dataset:{name}\n"), "joined")).drop("joined")

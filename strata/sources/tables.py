@@ -85,10 +85,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def text_files(spark: SparkSession, root: str, extensions: tuple[str, ...] | None = None, most_bytes: int | None = None, most_files: int | None = None) -> DataFrame:
+def text_files(spark: SparkSession, root: str, extensions: tuple[str, ...] | None = None, most_bytes: int | None = None, most_files: int | None = None, skipped: tuple[str, ...] | None = None) -> DataFrame:
     """(path, bytes, source) of whole text files under ``root``: known extensions, no heavy folders, no large files."""
     files = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"), F.col("value").alias("source"))
-    files = files.where(~F.col("path").rlike("/(" + "|".join(map(lambda d: d.replace(".", "\\."), SKIPPED_FOLDERS)) + ")/"))
+    below = F.regexp_replace("path", rf"^.*?\Q{root.rstrip('/')}\E", "")
+    files = files.where(~below.rlike("/(" + "|".join(d.replace(".", "\\.") for d in skipped or SKIPPED_FOLDERS) + ")/"))
     if extensions:
         files = files.where(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*extensions))
     if most_bytes is not None:
@@ -96,11 +97,13 @@ def text_files(spark: SparkSession, root: str, extensions: tuple[str, ...] | Non
     return files.orderBy("path").limit(most_files) if most_files else files
 
 
-def chat_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Chat transcripts, one JSON object a line; lines that aren't JSON are dropped."""
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON objects, one a line, as of pairs for training; lines that aren't JSON are dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
 # Folders that are never read, extensions of code.
-SKIPPED_FOLDERS = (".git", "node_modules", "dist", "build", "out", "coverage", ".venv", "venv", "__pycache__", ".next", ".cache", "target", "vendor", ".idea", ".vscode")
-CODE_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".py", ".cpp", ".cc", ".c", ".h", ".hpp", ".java", ".go", ".rs")
+SKIPPED_FOLDERS = (
+    ".git", "node_modules", "dist", "build", "coverage", ".next", "out", ".venv", "venv", "__pycache__", ".tox", ".pytest_cache", ".mypy_cache", ".cache", ".pnpm-store", ".turbo", ".idea", "target",
+)
+CODE_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".py", ".cpp", ".cc", ".cxx", ".h", ".hpp", ".java", ".go", ".rs")

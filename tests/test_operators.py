@@ -1,3 +1,4 @@
+import json
 import random
 import re
 
@@ -8,6 +9,7 @@ from strata.functions import codec
 from strata.operators import compaction, consolidation, context, evolution, graph, ingest, ngram, records, retrieval, scheduler, temporal
 from strata.plans import catalog
 from strata.plans.engine import MemoryEngine
+from strata.sources import chat
 from strata.sources import tables as T
 
 
@@ -110,9 +112,54 @@ def test_slo_windows_and_failures(spark):
     assert {r["schedulerScope"]: r["consecutiveFailures"] for r in scheduler.consecutive_failures(runs).collect()} == {"s": 1, "t": 2}
 
 
-def test_turns_pair_and_unanswered_stay(spark):
-    t = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "q1"), (1, 2, "assistant", "a1"), (1, 3, "user", "q2"), (1, 4, "user", "q3")], "conv_id long, turn long, role string, text string")
-    assert [(r["prompt"], r["response"]) for r in ingest.pair_turns(t).orderBy("turn").collect()] == [("q1", "a1"), ("q2", ""), ("q3", "")]
+def test_turns_pair_and_the_rest_stays(spark):
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "q1"), (1, 2, "system", "between"), (1, 3, "assistant", "a1"), (1, 4, "user", "q2"), (1, 5, "user", " "), (1, 6, "user", "q3"), (2, 0, "assistant", "first"), (2, 1, "user", "q"), (2, 2, "assistant", "a"), (2, 3, "assistant", "again"), (3, 0, None, "x"), (3, 1, "user", None)]
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert sorted(map(tuple, ingest.pair_turns(t).collect())) == [(1, 1, "q1", "a1"), (1, 4, "q2", ""), (1, 6, "q3", ""), (2, 0, "", "first"), (2, 1, "q", "a"), (2, 3, "", "again")]
+
+
+SESSIONS = {
+    "list.json": ([{"role": "user", "content": "q1", "files": ["a.ts"]}, {"role": "assistant", "content": "a1", "references": [{"uri": "b.ts"}]}, {"role": "tool", "content": "x"}, {"role": "user", "text": "q2"}], [("q1", "a1", ["a.ts", "b.ts"]), ("q2", "", [])]),
+    "requests.json": ({"requests": [{"message": {"text": " ask "}, "response": [{"kind": "thinking", "value": "hm"}, {"value": "one"}, "two", {"value": "one"}], "timestamp": "1700"}, {"prompt": "only"}, {"nothing": 1}]}, [("ask", "one\ntwo", []), ("only", "", [])]),
+    "data.json": ({"events": [{"type": "user.message", "data": {"content": "hi"}}, {"type": "assistant.message", "data": {"content": "there"}}, {"type": "assistant.message", "data": {"content": "alone"}}]}, [("hi", "there", []), ("", "alone", [])]),
+    "parts.json": ({"prompt": "", "message": {"parts": [{"text": "a"}, "b", {"text": "a"}]}, "answer": {"output": "c"}}, [("a\nb", "c", [])]),
+    "broken.json": ("{", []),
+    "number.json": ("7", []),
+}
+
+
+def test_chat_sessions_of_every_form(spark, tmp_path):
+    log = [{"v": {"requests": [{"message": "first"}, {"message": {"text": "second"}}]}}, "no json", {"k": ["requests", 1, "response"], "v": [{"value": "late"}]}, {"k": ["requests", 0, "timestamp"], "v": 5}, {"k": ["other", 0, "response"], "v": "no"}]
+    rows = [(n, v if isinstance(v, str) else json.dumps(v)) for n, (v, _) in SESSIONS.items()] + [("log.jsonl", "\n".join(x if isinstance(x, str) else json.dumps(x) for x in log)), (None, None)]
+    got = chat.chat_turns(spark.createDataFrame(rows, "path string, value string")).orderBy("path", "turn").collect()
+    want = {n: w for n, (_, w) in SESSIONS.items()} | {"log.jsonl": [("first", "", []), ("second", "late", [])]}
+    for n, w in want.items():
+        assert [(r["prompt"], r["response"], r["files"]) for r in got if r["path"] == n] == w, n
+    assert [r["timestamp"] for r in got if r["path"] in ("log.jsonl", "requests.json")] == [5, None, 1700, None]
+    m = ingest.chat_memories(chat.chat_turns(spark.createDataFrame(rows[:1], "path string, value string")).withColumnRenamed("path", "ref"), "p", "ref").orderBy("summary").first()
+    assert m["tags"] == ["copilot", "chat", "chat-file:list.json", "file:a.ts", "file:b.ts"] and m["content"] == "q1\n\n---\n\na1"
+
+
+def test_transcripts_of_a_workspace(spark, tmp_path, monkeypatch):
+    for k in ("HOME", "USERPROFILE", "APPDATA"):
+        monkeypatch.delenv(k, raising=False)
+    project, root = tmp_path / "work" / "app", tmp_path / "storage"
+    project.mkdir(parents=True)
+    for name, folder in (("one", project.as_uri()), ("two", (project / "sub").as_uri()), ("three", "file:///elsewhere")):
+        (root / name / "chatSessions").mkdir(parents=True)
+        (root / name / "workspace.json").write_text(json.dumps({"folder": folder}))
+        (root / name / "chatSessions" / "s.json").write_text('[{"role": "user", "content": "hello"}]')
+        (root / name / "chatSessions" / "note.txt").write_text("no")
+    files = tmp_path / "app.code-workspace"
+    files.write_text(json.dumps({"folders": [{"path": "work"}]}))
+    (root / "four" / "GitHub.copilot-chat" / "transcripts").mkdir(parents=True)
+    (root / "four" / "workspace.json").write_text(json.dumps({"workspace": str(files)}))
+    (root / "four" / "GitHub.copilot-chat" / "transcripts" / "t.jsonl").write_text('{"role": "user", "content": "x"}\nbad\n')
+    found = chat.discover(str(project), [str(root)])
+    assert [f.split("/")[-3] for f in found] == ["GitHub.copilot-chat", "one", "two"] and len(chat.discover(str(project), [str(root)], most=2)) == 2
+    assert len(chat.discover(str(tmp_path / "other"), [str(root)])) == 4  # none belongs to it, so all
+    turns = chat.chat_turns(chat.chat_files(spark, found))
+    assert sorted(r["prompt"] for r in turns.collect()) == ["hello", "hello", "x"] and chat.chat_files(spark, []).count() == 0
 
 
 def test_changed_and_stale_sources(spark):
@@ -141,7 +188,7 @@ def test_text_files(spark, tmp_path):
     got = T.text_files(spark, str(tmp_path), T.CODE_EXTENSIONS, most_bytes=50)
     assert [r["source"] for r in got.collect()] == ["let a"]
     (tmp_path / "t.jsonl").write_text('{"role": "user"}\nnot json\n')
-    assert T.chat_lines(spark, str(tmp_path / "t.jsonl"), "role string").count() == 1
+    assert T.json_lines(spark, str(tmp_path / "t.jsonl"), "role string").count() == 1
 
 
 def test_traversal_ends_in_cycles_and_caps(spark):
@@ -175,7 +222,7 @@ def test_model_and_novelty(spark):
     d = spark.createDataFrame([(1, "a b a b a b"), (2, "x"), (3, "b a c")], "doc_id long, text string")
     v = ngram.vocabulary(d, 10)
     t = ngram.transitions(d, v, 2)
-    n = {r["doc_id"]: r["novelty"] for r in ngram.novelty(d, v, t).collect()}
+    n = {r["doc_id"]: r["novelty"] for r in ngram.novelty(d, ngram.hydrated(v, t)).collect()}
     assert n[2] == 0.5 and 0 <= n[1] < n[3] <= 1
     assert v.count() == 5 and t.where("q < 1 OR q > 127").isEmpty()
 
@@ -300,6 +347,57 @@ def test_every_chunk_has_a_negative_pair(spark, n):
         spark.conf.set("spark.sql.shuffle.partitions", shuffles)
 
 
+def scores_of(words, followers, names):
+    """Tag scores once more, for texts whose words are all tags."""
+    out = {}
+
+    def add(t, s):
+        if t not in ngram.DOMAIN_STOP_WORDS:
+            out[t] = out.get(t, 0) + s
+
+    often = sorted(dict.fromkeys(words), key=lambda t: -words.count(t))[:24]
+    for i, t in enumerate(often):
+        add(t, 1.4 - 0.08 * i)
+    terms = [t for t in dict.fromkeys(words) if len(t) >= 4 and t not in ngram.DOMAIN_STOP_WORDS][:12]
+    for i, t in enumerate(terms):
+        add(t, 2.6 - 0.1 * i)
+    for t in dict.fromkeys(words):
+        after = followers.get(t, [])[:10]
+        for name, q in after:
+            boost = 1.35 if name in terms else 1.15 if any(len(x) > 6 and name.startswith(x[:5]) for x in terms) else 1
+            add(name, 0.8 + q / max(x for _, x in after) * boost)
+    return [t for t, _ in sorted(out.items(), key=lambda x: (-round(x[1], 4), len(x[0]), x[0]))[:6]]
+
+
+def test_tags_come_from_words_terms_and_followers(spark):
+    made = [(1, "database index database query planner the query index planning database"), (2, "planner index the with cache"), (3, ""), (4, None), (5, "a b c 12 x9")]
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    v = ngram.vocabulary(d)
+    m = ngram.hydrated(v, ngram.transitions(d, v))
+    followers = {m.names[a]: [(m.names[b], q) for b, q in after] for a, after in m.followers.items()}
+    got = {}
+    for r in ngram.suggest_tags(d, m, 6).orderBy("doc_id", "place").collect():
+        got.setdefault(r["doc_id"], []).append(r["token"])
+    assert {i: got.get(i, []) for i in (1, 2, 3, 4)} == {i: scores_of((t or "").split(), followers, m.names) for i, t in made[:4]}
+    assert "the" not in got[1] and 5 not in got
+
+
+def test_models_are_saved_and_checked(spark, tmp_path):
+    d = spark.createDataFrame([("a b a b c",), ("b c d",), ("x",)], "snippet string")
+    v, t, summary = ngram.train(d, d.limit(1), d.limit(0), size=5, most=2)
+    s = summary.first()
+    assert (s["snippets"], s["tokenCount"], s["vocabSize"], s["sourceCount"]) == (6, 26, 5, 4) and s["averageBranchingFactor"] > 0
+    ngram.save(v, t, str(tmp_path / "m"))
+    assert [sorted(map(tuple, x.collect())) for x in ngram.load(spark, str(tmp_path / "m"))] == [sorted(map(tuple, x.collect())) for x in (v, t)]
+    spark.createDataFrame([('{"version": "other"}',)], "value string").write.mode("overwrite").text(str(tmp_path / "m" / "version"))
+    with pytest.raises(ValueError, match="other"):
+        ngram.load(spark, str(tmp_path / "m"))
+    bad = t.selectExpr("fromId", "toId", "rank", "IF(rank = 1, 0, q) AS q").unionByName(spark.createDataFrame([(0, 99, 3, 5)], "fromId int, toId int, rank int, q int"))
+    assert all(q > 0 and b < 5 for after in ngram.hydrated(v, bad).followers.values() for b, q in after)
+    e = ngram.ephemeral("a b a b c")
+    assert e.names[:2] == ["<unk>", "a"] and e.novelty("a b") < e.novelty("c a") == 1.0
+
+
 def test_continuation_query_goes_on_from_the_end(spark, tmp_path):
     long = "beginning " * 10 + "alpha beta"
     spark.createDataFrame([(1, long), (2, "beta gamma delta " * 5)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
