@@ -60,6 +60,7 @@ def audit(memories: DataFrame, limit: int = 5000, most_issues: int = 10) -> tupl
     rows = a.agg(*sums())
     c = F.col
     summary = finalised(rows).withColumns({"anomalyRate": F.when(c("compactedRows") > 0, c("anomalies") / c("compactedRows")).otherwise(0.0), "opportunityRate": F.when(c("totalRows") > 0, c("plainRows") / c("totalRows")).otherwise(0.0)})
+    summary = summary.withColumn("recommendations", recommendations(c("totalRows"), c("anomalies"), c("opportunityRate")))
     issue = F.when(c("decodeError"), "decode_error").otherwise("invalid_checksum")
     issues = a.where("decodeError OR invalidChecksum").select("id", "projectId", issue.alias("issue"), "lastAccessedAt").orderBy(F.desc("lastAccessedAt"), "id").limit(most_issues)
     return summary, issues
@@ -77,3 +78,31 @@ def backfill(memories: DataFrame, limit: int = 1000, least: int = 240) -> tuple[
     eligible = F.col("plain") & (F.length("content") >= least)
     summary = done.agg(F.count("*").alias("scanned"), F.count_if(eligible).alias("eligible"), F.count_if(shorter).alias("compacted"), F.count_if(~shorter).alias("skipped"), F.coalesce(F.sum(F.when(shorter, F.length("content") - F.length("new"))), F.lit(0)).cast("long").alias("savedChars"))
     return summary, done.where(shorter).withColumn("content", F.col("new")).drop("new", "plain")
+
+
+# What an audit recommends.
+NO_ROWS = "No memory rows were scanned. Ingest data first, then re-run memory audit."
+DAMAGED = "Integrity anomalies detected. Inspect issue samples and re-ingest affected sources to restore full resurrection fidelity."
+MANY_PLAIN = "A notable share of rows are still plain. Consider `memory backfill --apply` during a maintenance window."
+SOUND = "Resurrection integrity checks look healthy. Keep periodic audits enabled."
+
+
+def recommendations(rows: Column, anomalies: Column, opportunity: Column) -> Column:
+    """What to do after an audit, at least one thing."""
+    some = F.array_compact(F.array(F.when(anomalies > 0, DAMAGED), F.when(opportunity >= 0.2, MANY_PLAIN)))
+    return F.when(rows == 0, F.array(F.lit(NO_ROWS))).when(F.size(some) > 0, some).otherwise(F.array(F.lit(SOUND)))
+
+
+# Health of memory, and what it calls for.
+HEALTH = {
+    "critical": "Integrity anomalies detected. Run memory audit and re-ingest affected sources before critical agent tasks.", "coverage": "Compaction coverage is low for this memory volume. Consider running memory backfill --apply in maintenance.",
+    "savings": "Compression savings are low at current scale. Review compaction thresholds and run dashboard trend analysis.", "healthy": "Memory quality is healthy. Keep regular ingestion and dashboard snapshots running.",
+}
+
+
+def health(stats: DataFrame) -> DataFrame:
+    """Rows of ``stats`` or ``breakdown`` with status and recommendation, from 50 and from 120 rows on."""
+    c = F.col
+    why = F.when(c("anomalies") > 0, "critical").when((c("totalRows") >= 50) & (c("compactionRate") < 0.5), "coverage").when((c("totalRows") >= 120) & (c("savedPercent") < 5), "savings").otherwise("healthy")
+    said = F.when(why == "critical", HEALTH["critical"]).when(why == "coverage", HEALTH["coverage"]).when(why == "savings", HEALTH["savings"]).otherwise(HEALTH["healthy"])
+    return stats.withColumns({"status": F.when(why.isin("coverage", "savings"), "warning").otherwise(why), "recommendation": said})

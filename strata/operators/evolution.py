@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +22,22 @@ ADVICE = (
 NO_ADVICE = "Apply small, behavior-preserving refactors around the highest-friction area first."
 
 
+def quality(body: Column, length: int, marks: int, weights: tuple[float, float]) -> Column:
+    """Clarity from length and punctuation."""
+    return scoring.clamp01(scoring.clamp01(F.length(body) / F.lit(length)) * weights[0] + scoring.clamp01(F.regexp_count(body, F.lit("[.;:!?]")) / F.lit(marks)) * weights[1])
+
+
+def overlap_novelty(body: Column, snippets: Column) -> Column:
+    """1 - the share of snippets that the text has in it, without regard to case."""
+    low = F.lower(body)
+    return scoring.clamp01(1 - F.size(F.filter(snippets, lambda s: F.contains(low, F.lower(s)))) / F.greatest(F.lit(1), F.size(snippets)))
+
+
 def critic(body: Column, novelty: Column) -> list[Column]:
-    """clarity from length and punctuation, score with novelty, and whether that is accepted (0.35 or more)."""
-    clarity = scoring.clamp01(scoring.clamp01(F.length(body) / F.lit(350)) * 0.65 + scoring.clamp01(F.regexp_count(body, F.lit("[.;:!?]")) / F.lit(6)) * 0.35)
-    score = scoring.clamp01(novelty * 0.6 + clarity * 0.4)
+    """clarity from length and punctuation, score with novelty, and whether that is accepted (0.35 or more); blank texts score 0."""
+    blank = text.trim(body) == ""
+    clarity = F.when(blank, 0.0).otherwise(quality(body, 350, 6, (0.65, 0.35)))
+    score = F.when(blank, 0.0).otherwise(scoring.clamp01(novelty * 0.6 + clarity * 0.4))
     return [clarity.alias("clarity"), score.alias("score"), (score >= 0.35).alias("accepted")]
 
 
@@ -30,6 +45,43 @@ def critic_action(score: Column) -> Column:
     return F.when(score >= 0.8, "merge").when(score >= 0.6, "store").when(score >= 0.42, "compress").otherwise("reject")
 
 
+def reviewed(novelty: Column, redundancy: Column, clarity: Column, score: Column, low: Column, title: Column, otherwise: str) -> Column:
+    """A review as a struct; a merge has the title as its key."""
+    action = critic_action(score)
+    key = F.regexp_replace(F.lower(title), "[^a-z0-9]+", "-")
+    return F.struct((action != "reject").alias("accepted"), score.alias("score"), novelty.alias("novelty"), redundancy.alias("redundancy"), clarity.alias("clarity"), action.alias("action"), F.when(action == "reject", low).otherwise(otherwise).alias("reason"), F.when(action == "merge", key).alias("mergeKey"))
+
+
+def critic_fallback(title: Column, summary: Column, snippets: Column) -> Column:
+    """The review of a candidate against snippets, as the mean of two judges; an empty candidate is rejected."""
+    title, summary = text.trim(title), text.trim(summary)
+    body = text.trim(F.concat(title, F.lit("\n"), summary))
+    known = F.filter(F.transform(snippets, text.trim), lambda s: s != "")
+    novelty = overlap_novelty(body, known)
+    clarity = quality(body, 320, 5, (0.7, 0.3))
+    score = scoring.clamp01(novelty * 0.62 + clarity * 0.38)
+    other = quality(body, 350, 6, (0.65, 0.35))
+    other_score = scoring.clamp01(novelty * 0.6 + other * 0.4)
+    low = F.when(other_score >= 0.35, "accepted-by-heuristic").otherwise("low-signal")
+    made = reviewed(novelty, 1 - novelty, (clarity + other) / 2, (score + other_score) / 2, low, title, "fallback-heuristic")
+    none = F.lit(0.0)
+    return F.when(body != "", made).otherwise(F.struct(F.lit(False).alias("accepted"), none.alias("score"), none.alias("novelty"), F.lit(1.0).alias("redundancy"), none.alias("clarity"), F.lit("reject").alias("action"), F.lit("empty-candidate").alias("reason"), F.lit(None).cast("string").alias("mergeKey")))
+
+
+def critic_ngram(title: Column, summary: Column, snippets: Column, expected: Column) -> Column:
+    """The review with a model's novelty ``expected`` of title and summary."""
+    body = text.trim(F.concat(title, F.lit("\n"), summary))
+    blank = body == ""
+    base = F.when(blank, 0.0).otherwise(overlap_novelty(body, snippets))
+    clarity = F.when(blank, 0.0).otherwise(quality(body, 350, 6, (0.65, 0.35)))
+    novelty = scoring.clamp01(base * 0.7 + expected * 0.3)
+    clear = scoring.clamp01(clarity * 0.9 + F.least(F.lit(1.0), F.length(summary) / F.lit(300)) * 0.1)
+    score = scoring.clamp01(novelty * 0.62 + clear * 0.38)
+    low = F.when(blank, "empty-candidate").when(scoring.clamp01(base * 0.6 + clarity * 0.4) >= 0.35, "accepted-by-heuristic").otherwise("low-signal")
+    made = reviewed(novelty, scoring.clamp01(1 - novelty), clear, score, low, title, "ngram-review")
+    return made.withField("mergeKey", F.regexp_replace(made["mergeKey"], "^-+|-+$", ""))
+
+
 def choose(candidates: DataFrame, key: str) -> DataFrame:
     """The best candidate of each key: accepted first, then by action, score, novelty and id."""
     weight = F.element_at(F.create_map(*[F.lit(x) for p in {"merge": 3, "store": 2, "compress": 1, "reject": 0}.items() for x in p]), F.col("action"))
@@ -70,8 +122,92 @@ def advice(body: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(NO_ADVICE)))
 
 
-def link_entities(memories: DataFrame, entities: DataFrame) -> DataFrame:
-    """(id, name, weight): memories whose words contain an entity's name, met by an equi-join on the word."""
-    words = memories.select("id", "importance", F.explode(F.array_distinct(text.tokenize_words(F.col("content")))).alias("word"))
-    e = entities.select(F.lower("name").alias("word"), "name", "dependencies")
-    return words.join(e, "word").select("id", "name", scoring.link_weight(F.lit(1.0), F.when(F.size("dependencies") > 0, 1.0).otherwise(0.0), F.col("importance")).alias("weight"))
+KINDS_OF_MEMORY = ("episodic", "semantic", "procedural", "code_entity", "chat_turn", "refactor_plan")
+DEFAULT_TITLE, DEFAULT_CONTENT, DEFAULT_TAG = "Generated Memory", "Generated memory content.", "auto-generated"
+
+
+def shortened(value: Column, most: int) -> Column:
+    """At most ``most`` characters, the last an ellipsis after no white space."""
+    return F.when(F.length(value) <= most, value).otherwise(F.concat(F.regexp_replace(F.substring(value, 1, most - 1), f"{text.WHITE}+$", ""), F.lit("…")))
+
+
+def normalize_candidates(candidates: DataFrame, key: str, project: Column, most: int = 5) -> DataFrame:
+    """Candidates (``key``, place, kind, title, summary, content, tags, sourceRef) with bounded texts and defaults: the
+    first of each kind and title, without regard to case, and at most ``most`` of a key."""
+    given = lambda c: text.trim(F.coalesce(F.col(c), F.lit("")))
+    content = given("content")
+    summary = shortened(F.when(F.col("summary").isNull(), text.trim(F.substring(content, 1, 220))).otherwise(given("summary")), 220)
+    title = shortened(F.when(F.col("title").isNull(), text.trim(F.split(summary, "\r?\n")[0])).otherwise(given("title")), 120)
+    tags = F.slice(F.array_distinct(F.filter(F.transform(F.coalesce("tags", F.array().cast("array<string>")), text.trim), lambda t: t != "")), 1, 16)
+    source = F.coalesce(F.nullif(given("sourceRef"), F.lit("")), project)
+    made = candidates.select(
+        key, "place", F.when(F.col("kind").isin(*KINDS_OF_MEMORY), F.col("kind")).otherwise("semantic").alias("kind"), F.coalesce(F.nullif(title, F.lit("")), F.lit(DEFAULT_TITLE)).alias("title"), F.coalesce(F.nullif(summary, F.lit("")), F.substring(content, 1, 120)).alias("summary"),
+        F.coalesce(F.nullif(content, F.lit("")), F.nullif(summary, F.lit("")), F.nullif(title, F.lit("")), F.lit(DEFAULT_CONTENT)).alias("content"), F.when(F.size(tags) > 0, tags).otherwise(F.array(F.lit(DEFAULT_TAG))).alias("tags"), source.alias("sourceRef"),
+    )
+    first = made.groupBy(key, "kind", F.lower("title").alias("__t")).agg(F.min_by(F.struct(*made.columns), "place").alias("c"))
+    best = first.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct(F.col("c.place").alias("place"), "c"))), 1, most).alias("cs"))  # candidates of one text
+    return best.select(F.posexplode("cs").alias("i", "x")).select("x.c.*")
+
+
+def entity_blocks(entities: DataFrame, block_bytes: int) -> list[list[tuple]]:
+    """(id, lower-cased name, dependencies) in blocks of about so many bytes of names."""
+    blocks: list[list[tuple]] = [[]]
+    held = 0
+    for r in entities.select("id", text.compact(F.lower("name")).alias("name")).where("name <> ''").distinct().toLocalIterator():
+        if held > block_bytes:
+            blocks.append([])
+            held = 0
+        blocks[-1].append((r["id"], r["name"]))
+        held += len(r["name"]) + 80
+    return blocks
+
+
+def link_entities(memories: DataFrame, entities: DataFrame, block_bytes: int = 16 << 20) -> DataFrame:
+    """(id, entityId, weight, lexicalMatch, depMatch): memories (id, title, summary, tags, importance) and entities
+    (id, name, dependencies) whose name occurs anywhere in the title or summary, or that share a tag with a dependency.
+
+    Pairs with neither aren't linked. Names are sought inside the scan by one automaton for each ``block_bytes`` of
+    them, so names inside words and of any characters are found; tags meet dependencies in an equi-join.
+    """
+    spark = memories.sparkSession
+    norm = lambda c: text.compact(F.lower(c))
+    body = F.concat_ws("\x01", norm(F.coalesce("summary", F.lit(""))), norm(F.coalesce("title", F.lit(""))))
+    scanned = memories.select("id", body.alias("body"))
+    kind, entity_kind = memories.schema["id"].dataType.simpleString(), entities.schema["id"].dataType.simpleString()
+    found = None
+    for block in entity_blocks(entities, block_bytes):
+        sent = spark.sparkContext.broadcast(block)
+
+        def run(parts: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            by_name: dict[str, list] = {}
+            for i, name in sent.value:
+                by_name.setdefault(name, []).append(i)
+            automaton = ahocorasick.Automaton()
+            for name, ids in by_name.items():
+                automaton.add_word(name, ids)
+            automaton.make_automaton()
+            for p in parts:
+                rows = [(k, e) for k, x in zip(p.id, p.body, strict=True) for e in ({i for _, ids in automaton.iter(x) for i in ids} if by_name else ())]
+                yield pd.DataFrame(rows, columns=["id", "entityId"])
+
+        part = scanned.mapInPandas(run, f"id {kind}, entityId {entity_kind}")
+        found = part if found is None else found.unionByName(part)
+    tags = memories.select("id", F.size("tags").alias("nt"), F.explode("tags").alias("t")).select("id", "nt", norm("t").alias("t"))
+    deps = entities.select(F.col("id").alias("entityId"), F.size("dependencies").alias("nd"), F.explode(F.array_distinct(F.transform("dependencies", norm))).alias("t"))
+    shared = tags.join(deps, "t").groupBy("id", "entityId").agg((F.count("*") / F.greatest(F.first("nt"), F.first("nd"))).alias("dep"))
+    both = found.distinct().withColumn("lexical", F.lit(True)).join(shared, ["id", "entityId"], "full_outer").join(memories.select("id", "importance"), "id")
+    lexical, dep = F.coalesce("lexical", F.lit(False)), F.coalesce("dep", F.lit(0.0))
+    return both.select("id", "entityId", scoring.link_weight(lexical.cast("double"), dep, F.col("importance")).alias("weight"), lexical.alias("lexicalMatch"), F.round(dep, 4).alias("depMatch"))
+
+
+# Weights of a dependency that has the other's name, and of entities that are only at hand together.
+DEPENDS, TOGETHER = (0.82, "dependency-name-match"), (0.41, "co-located")
+
+
+def link_dependencies(pairs: DataFrame) -> DataFrame:
+    """Pairs of entities (fromId, dependencies, toId, toName) with the weight and reason of their edge."""
+    name = text.compact(F.lower("toName"))
+    relates = F.exists("dependencies", lambda d: F.contains(text.compact(F.lower(d)), name))
+    return pairs.select("fromId", "toId", F.lit("depends_on").alias("type"), F.when(relates, DEPENDS[0]).otherwise(TOGETHER[0]).alias("weight"), F.when(relates, DEPENDS[1]).otherwise(TOGETHER[1]).alias("reason"))

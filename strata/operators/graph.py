@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import hashing
+from ..functions import hashing, text
 
 
 def tag_values(prefix: str, tags: str = "tags"):
@@ -14,34 +16,122 @@ def tag_values(prefix: str, tags: str = "tags"):
     return F.transform(F.filter(tags, lambda t: F.startswith(t, F.lit(prefix))), lambda t: F.substr(t, F.lit(len(prefix) + 1)))
 
 
-def index_memories(memories: DataFrame, most_links: int = 12) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges). Nodes: memories, chat sessions, days. Edges: memory to day 0.62 and session 0.88, session to
-    day 0.67, chat to code 0.74 for shared files, at most ``most_links`` per chat."""
-    day = F.date_format(F.timestamp_millis(F.col("createdAt")), "yyyy-MM-dd")
-    rows = memories.select("id", "projectId", "kind", "title", "createdAt", day.alias("day"), F.get(tag_values("chat-file:"), F.lit(0)).alias("session"), tag_values("file:").alias("files"))
-    p = F.col("projectId")
-    rows = rows.withColumns({"memoryNode": hashing.stable_id("gx_mem", p, F.col("id")), "dayNode": hashing.stable_id("gx_time", p, F.col("day")), "sessionNode": F.when(F.col("session").isNotNull(), hashing.stable_id("gx_session", p, F.col("session")))})
-    nodes = rows.select(F.col("memoryNode").alias("id"), F.col("kind").alias("type"), F.col("title").alias("label"), "projectId", "createdAt")
-    nodes = nodes.unionByName(rows.select(F.col("dayNode").alias("id"), F.lit("concept").alias("type"), F.col("day").alias("label"), "projectId", "createdAt"))
-    nodes = nodes.unionByName(rows.where("session IS NOT NULL").select(F.col("sessionNode").alias("id"), F.lit("session").alias("type"), F.col("session").alias("label"), "projectId", "createdAt"))
+# Weights of edges, those of snapshots for upserts and deletes.
+MEMORY_DAY, MEMORY_SESSION, SESSION_DAY, CHAT_CODE, DAY_SNAPSHOT, SESSION_SNAPSHOT = 0.62, 0.88, 0.67, 0.74, (0.7, 0.45), (0.79, 0.42)
+
+
+def clean_ref(ref: Column) -> Column:
+    """A reference with forward slashes, trimmed; null where nothing is left."""
+    return F.nullif(text.trim(F.regexp_replace(ref, r"\\", "/")), F.lit(""))
+
+
+def session_ref(rows: DataFrame) -> Column:
+    """The transcript that a memory comes from: the source of chat memories, else the first tag that names one."""
+    chat = (F.col("sourceType") == "chat") | (F.col("kind") == "chat_turn")
+    tagged = F.get(F.filter(F.transform(tag_values("chat-file:"), clean_ref), lambda x: x.isNotNull()), F.lit(0))
+    return F.coalesce(F.when(chat, clean_ref(F.col("sourceRef"))), tagged)
+
+
+def file_refs(rows: DataFrame) -> Column:
+    """The files of a memory: the source of code, and tags that name files."""
+    code = (F.col("kind") == "code_entity") | (F.col("sourceType") == "code")
+    return F.array_distinct(F.array_compact(F.concat(F.array(F.when(code, clean_ref(F.col("sourceRef")))), F.transform(tag_values("file:"), clean_ref))))
+
+
+def node_type(kind: Column) -> Column:
+    return F.when(kind == "chat_turn", "chat").when(kind == "code_entity", "function").otherwise("memory")
+
+
+def edges_of(rows: DataFrame, a: str, b: str, kind: str, weight: Column, relation: str, branch: str, *scope: Column) -> DataFrame:
+    """Edges under an id that their scope makes distinct."""
+    ends = [F.col("projectId"), F.lit(branch), F.col(a), F.col(b), F.lit(kind), F.concat_ws(":", *(x.cast("string") for x in scope))]
+    operation = F.col("operation") if "operation" in rows.columns else F.lit(None).cast("string")
+    return rows.select(hashing.stable_id("gx_edge", *ends).alias("id"), F.col(a).alias("fromNode"), F.col(b).alias("toNode"), F.lit(kind).alias("type"), weight.alias("weight"), "projectId", F.lit(relation).alias("relation"), operation.alias("operation"))
+
+
+def placed(rows: DataFrame, at: Column, branch: str) -> DataFrame:
+    """Rows (projectId, logicalId, kind, sourceType, sourceRef, tags, title) with the nodes of the memory, its day and its session."""
+    p, b = F.col("projectId"), F.lit(branch)
+    made = rows.withColumns({"at": at, "day": F.date_format(F.timestamp_millis(at), "yyyy-MM-dd"), "session": session_ref(rows)})
+    return made.withColumns({
+        "memoryNode": hashing.stable_id("gx_mem", p, b, F.col("logicalId")), "dayNode": hashing.stable_id("gx_time", p, b, F.col("day")),
+        "sessionNode": F.when(F.col("session").isNotNull(), hashing.stable_id("gx_session", p, b, F.col("session"))),
+    })
 
-    def edge(df: DataFrame, a: str, b: str, kind: str, weight: float) -> DataFrame:
-        return df.select(F.col(a).alias("fromNode"), F.col(b).alias("toNode"), F.lit(kind).alias("type"), F.lit(weight).alias("weight"), "projectId")
 
+def nodes_of(rows: DataFrame, seen: int) -> DataFrame:
+    """Memories, days and sessions; ``seen`` says which of several rows of a node was written last."""
+    label = F.coalesce(F.nullif(text.trim(F.col("title")), F.lit("")), F.col("logicalId"))
+    named = F.concat(F.lit("Session "), F.coalesce(F.nullif(text.basename(F.col("session")), F.lit("")), F.col("session")))
+    kinds = [("memoryNode", node_type(F.col("kind")), label), ("dayNode", F.lit("concept"), F.concat(F.lit("Day "), "day")), ("sessionNode", F.lit("session"), named)]
+    return reduce(DataFrame.unionByName, [rows.where(F.col(c).isNotNull()).select(F.col(c).alias("id"), kind.alias("type"), name.alias("label"), "projectId", F.lit(c.removesuffix("Node")).alias("role"), F.lit(seen).alias("seen"), "at") for c, kind, name in kinds])
+
+
+def chat_links(rows: DataFrame, branch: str, most: int) -> DataFrame:
+    """Chats with the code of the files they name, in order of the files and the latest code first; a chat has at most
+    ``most``. A file's code is cut to as many before chats meet it."""
+    refs = rows.select("projectId", "logicalId", "kind", "memoryNode", "at", F.posexplode(file_refs(rows)).alias("place", "file"))
+    latest = Window.partitionBy("projectId", "file").orderBy(F.desc("at"), "logicalId")
+    code = refs.where("kind = 'code_entity'").withColumn("rank", F.row_number().over(latest)).where(F.col("rank") <= most).select("projectId", "file", "rank", F.col("memoryNode").alias("code"))
+    linked = refs.where("kind = 'chat_turn'").join(code, ["projectId", "file"]).where("memoryNode <> code")
+    k = F.row_number().over(Window.partitionBy("memoryNode").orderBy("place", "rank")) - 1
+    return edges_of(linked.withColumn("k", k).where(F.col("k") < most), "memoryNode", "code", "explains", F.lit(CHAT_CODE), "chat_to_code", branch, F.lit("chat-code"), F.col("file"), F.col("k"))
+
+
+def index_memories(memories: DataFrame, snapshots: DataFrame | None = None, branch: str = "main", since: int | None = None, most_links: int = 12) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of memories and of the snapshots of their history, both from ``since`` on.
+
+    Nodes: memories, chat sessions, days. Edges: memory to day and session, session to day, chat to code for
+    shared files; day and session to the memory of each snapshot, weaker for deletes. Nodes and edges with one id
+    are one: the latest label and type, the greatest weight.
+    """
+    rows = memories if "logicalId" in memories.columns else memories.withColumn("logicalId", F.col("id"))
+    rows = placed(rows, F.coalesce("lastAccessedAt", "createdAt"), branch)
+    rows = rows if since is None else rows.where(F.col("at") >= since)
     chat = rows.where("session IS NOT NULL")
-    edges = edge(rows, "memoryNode", "dayNode", "occurred_on", 0.62).unionByName(edge(chat, "memoryNode", "sessionNode", "part_of", 0.88)).unionByName(edge(chat, "sessionNode", "dayNode", "occurred_on", 0.67))
-    refs = rows.select("id", "projectId", "kind", "memoryNode", F.explode("files").alias("file"))
-    a, b = refs.where("kind = 'chat_turn'"), refs.where("kind = 'code_entity'").select("projectId", "file", F.col("memoryNode").alias("code"), F.col("id").alias("codeId"))
-    linked = a.join(b, ["projectId", "file"]).where("memoryNode <> code")
-    w = Window.partitionBy("memoryNode").orderBy("file", "codeId")
-    linked = linked.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most_links)
-    return merge_nodes(nodes), merge_edges(edges.unionByName(edge(linked, "memoryNode", "code", "explains", 0.74)))
+    edges = [
+        edges_of(rows, "memoryNode", "dayNode", "derived_from", F.lit(MEMORY_DAY), "memory_time_bucket", branch, F.lit("memory-day"), F.col("at")),
+        edges_of(chat, "memoryNode", "sessionNode", "derived_from", F.lit(MEMORY_SESSION), "memory_session", branch, F.lit("memory-session"), F.col("logicalId")),
+        edges_of(chat, "sessionNode", "dayNode", "derived_from", F.lit(SESSION_DAY), "session_time_bucket", branch, F.lit("session-day"), F.col("day")),
+        chat_links(rows, branch, most_links),
+    ]
+    nodes = nodes_of(rows, 0)
+    if snapshots is not None:
+        s = placed(snapshots.where(F.col("branch") == branch), F.col("validFrom"), branch).where("validFrom > 0")
+        s = s if since is None else s.where(F.col("at") >= since)
+        s = s.withColumn("title", F.coalesce(F.nullif(text.trim(F.col("title")), F.lit("")), F.concat(F.lit("Memory "), "logicalId")))
+        by = lambda w: F.when(F.col("operation") == "delete", w[1]).otherwise(w[0])
+        edges.append(edges_of(s, "dayNode", "memoryNode", "derived_from", by(DAY_SNAPSHOT), "snapshot_event", branch, F.lit("snapshot"), F.col("logicalId"), F.col("validFrom"), F.col("operation")))
+        edges.append(edges_of(s.where("session IS NOT NULL"), "sessionNode", "memoryNode", "derived_from", by(SESSION_SNAPSHOT), "session_snapshot", branch, F.lit("snapshot-session"), F.col("logicalId"), F.col("validFrom")))
+        nodes = nodes.unionByName(nodes_of(s, 1))
+    return merge_nodes(nodes), merge_indexed(reduce(DataFrame.unionByName, edges))
 
 
 def merge_nodes(nodes: DataFrame) -> DataFrame:
     """A row per id: the latest label and type, the earliest creation."""
-    latest = F.struct("createdAt", "label")
-    return nodes.groupBy("id", "projectId").agg(F.max_by("type", latest).alias("type"), F.max_by("label", latest).alias("label"), F.min("createdAt").alias("createdAt"))
+    latest = F.struct("seen", "at", "label")
+    return nodes.groupBy("id", "projectId", "role").agg(F.max_by("type", latest).alias("type"), F.max_by("label", latest).alias("label"), F.min("at").alias("createdAt"))
+
+
+def merge_indexed(edges: DataFrame) -> DataFrame:
+    """A row per id with the greatest weight."""
+    return edges.groupBy("id", "projectId", "fromNode", "toNode", "type", "relation").agg(F.max("weight").alias("weight"), F.max("operation").alias("operation"))
+
+
+def index_counts(memories: DataFrame, snapshots: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: what was scanned and upserted, nodes by role, edges by what they relate."""
+    role, relation = F.col("role"), F.col("relation")
+    by_role = [F.count_if(role == r).alias(f"{n}Nodes") for r, n in (("memory", "memory"), ("session", "session"), ("day", "temporal"))]
+    by_relation = [F.count_if(relation.isin("memory_session", "session_snapshot")).alias("sessionEdges"), F.count_if(relation.isin("memory_time_bucket", "session_time_bucket", "snapshot_event")).alias("temporalEdges"), F.count_if(relation == "chat_to_code").alias("chatToCodeEdges")]
+    one = [memories.agg(F.count("*").alias("scannedMemories")), snapshots.agg(F.count("*").alias("scannedSnapshots")), nodes.agg(F.count("*").alias("nodesUpserted"), *by_role), edges.agg(F.count("*").alias("edgesUpserted"), *by_relation)]
+    return reduce(DataFrame.crossJoin, one)  # one row each
+
+
+def upsert_graph(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Nodes or edges after a write: fresh rows win by id, and keep the creation of those they replace."""
+    born = stored.select("id", F.col("createdAt").alias("__born"))
+    kept = fresh.join(born, "id", "left").withColumn("createdAt", F.coalesce("__born", "createdAt")).drop("__born")
+    return stored.join(fresh.select("id"), "id", "left_anti").unionByName(kept, allowMissingColumns=True)
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
@@ -50,9 +140,11 @@ def merge_edges(edges: DataFrame) -> DataFrame:
     return merged.withColumn("id", hashing.stable_id("gx_edge", F.col("projectId"), F.col("fromNode"), F.col("toNode"), F.col("type")))
 
 
-def neighbors(edges: DataFrame, node: str, limit: int, least: float = 0.0, types: tuple[str, ...] = ()) -> DataFrame:
+def neighbors(edges: DataFrame, node: str, limit: int, least: float = 0.0, types: tuple[str, ...] = (), project: str | None = None) -> DataFrame:
     """Edges at a node, in either direction, the heaviest first; two filters instead of an OR."""
     keep = edges.where(F.col("weight") >= least)
+    if project:
+        keep = keep.where(F.col("projectId") == project)
     if types:
         keep = keep.where(F.col("type").isin(*types))
     out = keep.where(F.col("fromNode") == node).select(F.col("toNode").alias("neighbor"), "type", "weight", F.lit("out").alias("direction"))
@@ -95,6 +187,11 @@ def traverse(edges: DataFrame, start: str, depth: int = 2, most_edges: int = 64,
     return out.select(F.col("place").cast("long").alias("place"), "fromNode", "toNode", "type", "weight", "depth")
 
 
+def limit_traversal(edges: DataFrame, depth: int = 2) -> DataFrame:
+    """The heaviest 12 edges for each step, at least three; ties by their ends."""
+    return edges.orderBy(F.desc("weight"), "fromNode", "toNode", "type").limit(max(3, 12 * max(1, depth)))
+
+
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: nodes, edges, projects among both."""
     projects = nodes.select("projectId").unionByName(edges.select("projectId")).agg(F.count_distinct("projectId").alias("projects"))

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scoring import in_apply_window
+
 # Bucket bounds in seconds, and window lengths in minutes.
 HTTP_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
+RUN_BUCKETS = (0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 5.0, 10.0, 30.0, 60.0)
 SLO_MINUTES = (60, 1440, 10080)
 OUTCOMES = {"applied": "applied", "dryRunOnly": "dry-run-only", "indexed": "indexed", "skipped": "skipped", "error": "error"}
 
@@ -35,7 +42,7 @@ def consecutive_failures(runs: DataFrame) -> DataFrame:
     told = runs.where("outcome <> 'skipped'")
     last = told.groupBy("schedulerScope").agg(F.max(F.when(F.col("outcome") != "error", F.struct("startedAt", "runId"))).alias("good"))
     newer = F.col("good").isNull() | (F.struct("startedAt", "runId") > F.col("good"))
-    return told.join(F.broadcast(last), "schedulerScope").groupBy("schedulerScope").agg(F.count_if(newer & (F.col("outcome") == "error")).alias("consecutiveFailures"))
+    return told.join(last, "schedulerScope").groupBy("schedulerScope").agg(F.count_if(newer & (F.col("outcome") == "error")).alias("consecutiveFailures"))
 
 
 def histogram(df: DataFrame, labels: list[str], value: str, bounds: tuple[float, ...]) -> DataFrame:
@@ -45,9 +52,91 @@ def histogram(df: DataFrame, labels: list[str], value: str, bounds: tuple[float,
     return counted.select(*labels, each.alias("x")).select(*labels, "x.le", "x.n")
 
 
-def decision(blockers: dict[str, Column]) -> Column:
-    """The names of the guardrails that hold a run back; empty: it may apply."""
-    return F.array_compact(F.array(*(F.when(c, name) for name, c in blockers.items())))
+def held_back(*rules: tuple[Column, Column]) -> Column:
+    """The reasons whose conditions hold, in order; empty: a run may apply."""
+    return F.array_compact(F.array(*(F.when(when, why) for when, why in rules)))
+
+
+DRY, OFF, NO_LIMIT = "Manual dry-run only mode requested.", "Apply mode is disabled by configuration.", "Apply limit resolved to 0 rows."
+
+
+@dataclass
+class Guardrails:
+    """What a maintenance run must keep to before it changes anything."""
+
+    apply_enabled: bool = True
+    max_anomalies: int = 0
+    min_opportunity: float = 0.05
+    min_compacted: int = 1
+    window_start: int = 0
+    window_end: int = 0
+    backfill_limit: int = 5000
+    max_apply_rows: int = 5000
+
+    @property
+    def limit(self) -> int:
+        return max(0, min(self.backfill_limit, self.max_apply_rows))
+
+
+def apply_decision(runs: DataFrame, g: Guardrails) -> DataFrame:
+    """Runs (dryRunOnly, anomalies, opportunityRate, dryRunCompacted, hour) with reasons, allowApply and applyLimit.
+
+    The guardrails, in order: a dry run was asked for, applying is off, too many anomalies, too little to gain, too
+    few rows that a dry run compacted, outside the window of hours, a limit of no rows.
+    """
+    c = F.col
+    said = held_back(
+        (c("dryRunOnly"), F.lit(DRY)), (F.lit(not g.apply_enabled), F.lit(OFF)), (c("anomalies") > g.max_anomalies, anomalies_said(g)),
+        (c("opportunityRate") < g.min_opportunity, F.concat(F.lit("Compaction opportunity below threshold ("), F.format_string("%.4f", c("opportunityRate")), F.lit(f" < {g.min_opportunity:.4f})."))),
+        (c("dryRunCompacted") < g.min_compacted, F.concat(F.lit("Dry-run compacted rows below threshold ("), c("dryRunCompacted").cast("string"), F.lit(f" < {g.min_compacted})."))),
+        (~in_apply_window(c("hour"), F.lit(g.window_start), F.lit(g.window_end)), F.lit(f"Current time is outside apply window [{g.window_start}:00-{g.window_end}:00).")), (F.lit(g.limit <= 0), F.lit(NO_LIMIT)),
+    )
+    return runs.withColumn("reasons", said).withColumns({"allowApply": F.size("reasons") == 0, "applyLimit": F.lit(g.limit)})
+
+
+def anomalies_said(g: Guardrails) -> Column:
+    return F.concat(F.lit("Anomaly guardrail blocked apply ("), F.col("anomalies").cast("string"), F.lit(f" > {g.max_anomalies})."))
+
+
+def session_decision(runs: DataFrame, g: Guardrails) -> DataFrame:
+    """The same for runs that ingest first (dryRunOnly, ingestionErrors, anomalies, dryRunCompacted): any error of the
+    ingestion and a dry run that compacted nothing hold them back; hours and rates don't matter."""
+    c, limit = F.col, max(0, g.backfill_limit)
+    said = held_back(
+        (c("dryRunOnly"), F.lit(DRY)), (F.lit(not g.apply_enabled), F.lit(OFF)), (c("ingestionErrors") > 0, F.concat(F.lit("Ingestion produced "), c("ingestionErrors").cast("string"), F.lit(" errors; apply mode blocked."))),
+        (c("anomalies") > g.max_anomalies, anomalies_said(g)), (F.lit(limit <= 0), F.lit(NO_LIMIT)), (c("dryRunCompacted") <= 0, F.lit("Dry-run detected no compactable rows.")),
+    )
+    return runs.withColumn("reasons", said).withColumns({"allowApply": F.size("reasons") == 0, "applyLimit": F.lit(limit)})
+
+
+def single_flight(runs: DataFrame) -> DataFrame:
+    """Runs (schedulerScope, runId, startedAt, durationMs) with ``overlaps``: another run of the scope was still going on,
+    so this one is skipped; a skipped run holds nobody up.
+
+    A stream over runs in order of time, with one number per scope.
+    """
+    n = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def step(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, busy = None, -1
+        for p in parts:
+            out = []
+            for scope, run, start, took in zip(p.schedulerScope, p.runId, p.startedAt, p.durationMs, strict=True):
+                if scope != at:
+                    at, busy = scope, -1
+                overlaps = start < busy
+                busy = busy if overlaps else start + took
+                out.append((scope, run, bool(overlaps)))
+            yield pd.DataFrame(out, columns=["schedulerScope", "runId", "overlaps"])
+
+    dealt = runs.select("schedulerScope", "runId", "startedAt", "durationMs").repartition(n, "schedulerScope").sortWithinPartitions("schedulerScope", "startedAt", "runId")
+    return dealt.mapInPandas(step, "schedulerScope string, runId long, overlaps boolean")
+
+
+def run_metrics(runs: DataFrame) -> DataFrame:
+    """(trigger, outcome, runs, seconds and cumulative counts of durations by bucket as an array) of scheduler runs."""
+    seconds = F.col("durationMs") / 1000
+    return runs.groupBy("trigger", "outcome").agg(F.count("*").alias("runs"), F.sum(seconds).alias("seconds"), F.array(*(F.count_if(seconds <= b) for b in RUN_BUCKETS)).alias("buckets"))
 
 
 def newest_runs(runs: DataFrame, scope: str, limit: int) -> DataFrame:
