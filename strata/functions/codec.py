@@ -67,19 +67,26 @@ def analyse(content: str | None) -> tuple[bool, str, int, int, bool, bool]:
     return True, text, len(content), original, False, False
 
 
-def analysed(df: DataFrame, content: str = "content") -> DataFrame:
-    """``df`` with the analysis of its contents; only rows with the prefix enter Python."""
+def analysed(df: DataFrame, content: str = "content", texts: bool = True) -> DataFrame:
+    """``df`` with the analysis of its contents, in one scan; only contents with the prefix enter Python.
+
+    Without ``texts`` neither contents nor restored texts are kept, so that only lengths and packed contents travel.
+    """
 
     @F.pandas_udf(ANALYSIS)
     def of_packed(values: pd.Series) -> pd.DataFrame:
-        rows = [analyse(v) for v in values]
+        rows = [analyse(v) if v else (False, None, 0, 0, False, False) for v in values]
         return pd.DataFrame(rows, columns=["compacted", "restored", "storedChars", "originalChars", "invalidChecksum", "decodeError"])
 
     c = F.coalesce(F.col(content), F.lit(""))
-    n = F.length(c).cast("long")
-    plain = df.where(~F.startswith(c, F.lit(PREFIX))).select("*", F.lit(False).alias("compacted"), c.alias("restored"), n.alias("storedChars"), n.alias("originalChars"), F.lit(False).alias("invalidChecksum"), F.lit(False).alias("decodeError"))
-    packed = df.where(F.startswith(c, F.lit(PREFIX))).withColumn("__a", of_packed(c)).select(*df.columns, "__a.*")
-    return plain.unionByName(packed)
+    kept = df.columns if texts else [x for x in df.columns if x != content]
+    made = df.select(*kept, F.length(c).cast("long").alias("__n"), F.when(F.startswith(c, F.lit(PREFIX)), c).alias("__packed"))
+    made = made.withColumn("__a", of_packed("__packed"))
+    packed = F.col("__a.compacted")
+    out = {"compacted": packed, "storedChars": F.col("__n"), "originalChars": F.when(packed, F.col("__a.originalChars")).otherwise(F.col("__n")), "invalidChecksum": F.col("__a.invalidChecksum"), "decodeError": F.col("__a.decodeError")}
+    if texts:
+        out["restored"] = F.when(packed, F.col("__a.restored")).otherwise(c)
+    return made.select(*kept, *(v.alias(k) for k, v in out.items()))
 
 
 def compacted(content: Column) -> Column:

@@ -30,12 +30,12 @@ def finalised(df: DataFrame) -> DataFrame:
 def stats(memories: DataFrame, project: str | None = None) -> DataFrame:
     """One row over all memories, or one project's."""
     rows = memories.where(F.col("projectId") == project) if project else memories
-    return finalised(codec.analysed(rows.select("projectId", "content", "lastAccessedAt")).agg(*sums()))
+    return finalised(codec.analysed(rows.select("projectId", "content", "lastAccessedAt"), texts=False).agg(*sums()))
 
 
 def breakdown(memories: DataFrame) -> DataFrame:
     """A row per project and one for all (projectId null), in one pass, with the newest access and the risk."""
-    a = codec.analysed(memories.select("projectId", "content", "lastAccessedAt")).withColumn("projectId", F.coalesce("projectId", F.lit("")))
+    a = codec.analysed(memories.select("projectId", "content", "lastAccessedAt"), texts=False).withColumn("projectId", F.coalesce("projectId", F.lit("")))
     rolled = a.rollup("projectId").agg(*sums(), F.max("lastAccessedAt").alias("lastAccessedAt"))
     return finalised(rolled).withColumn("risk", scoring.project_risk(F.col("anomalies"), F.col("totalRows"), F.col("compactionRate"), F.col("savedPercent")))
 
@@ -56,7 +56,7 @@ def opportunities(memories: DataFrame, least: int = 240, limit: int = 50) -> tup
 def audit(memories: DataFrame, limit: int = 5000, most_issues: int = 10) -> tuple[DataFrame, DataFrame]:
     """(counts and rates over the newest ``limit`` rows, the first broken rows among them)."""
     newest = memories.orderBy(F.desc("lastAccessedAt"), "id").limit(limit)
-    a = codec.analysed(newest.select("id", "projectId", "content", "lastAccessedAt"))
+    a = codec.analysed(newest.select("id", "projectId", "content", "lastAccessedAt"), texts=False)
     rows = a.agg(*sums())
     c = F.col
     summary = finalised(rows).withColumns({"anomalyRate": F.when(c("compactedRows") > 0, c("anomalies") / c("compactedRows")).otherwise(0.0), "opportunityRate": F.when(c("totalRows") > 0, c("plainRows") / c("totalRows")).otherwise(0.0)})

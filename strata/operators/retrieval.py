@@ -22,9 +22,42 @@ def contains_ci(df: DataFrame, query: str) -> DataFrame:
 
 def lexical_scores(df: DataFrame, query: str, now: int) -> DataFrame:
     """Hits with similarity, recency and score."""
+    return scored(contains_ci(df, query), query, now)
+
+
+def scored(rows: DataFrame, query: str, now: int) -> DataFrame:
+    """Rows with similarity, recency and score, whether or not they contain the query."""
     age = F.lit(now) - F.col("lastAccessedAt")
     sim = scoring.lexical_similarity(F.col("title"), F.col("summary"), F.col("content"), query)
-    return contains_ci(df, query).select("*", sim.alias("similarity"), scoring.temporal_score(age).alias("recency"), scoring.hybrid_score(sim, F.col("importance"), age).alias("score"))
+    return rows.select("*", sim.alias("similarity"), scoring.temporal_score(age).alias("recency"), scoring.hybrid_score(sim, F.col("importance"), age).alias("score"))
+
+
+def best(rows: DataFrame, k: int, min_score: float) -> DataFrame:
+    return rows.where(F.col("score") >= min_score).orderBy(F.desc("score"), "id").limit(k)
+
+
+def search_main(rows: DataFrame, vectors: DataFrame | None, query: str, now: int, k: int, min_score: float = 0.0, vector: list[float] | None = None) -> DataFrame:
+    """A search of stored rows: the newest 3 ``k`` that match ``%query%`` as stored; if they are fewer, also those of the
+    newest rows whose restored contents contain the query; and the nearest 3 ``k`` vectors."""
+    from ..functions import codec
+
+    newest = [F.desc("lastAccessedAt"), F.asc("id")]
+    most = 3 * k
+    stored = like_any(rows, query).orderBy(*newest).limit(most).withColumn("order", F.lit(0))
+    recent = rows.orderBy(*newest).limit(min(1500, max(250, 40 * k)))
+    filled = codec.analysed(recent).withColumn("content", F.col("restored")).select(rows.columns)
+    more = contains_ci(filled, query).join(stored.select("id"), "id", "left_anti").select(rows.columns).withColumn("order", F.lit(1))
+    opened = codec.analysed(stored).withColumn("content", F.col("restored")).select(*rows.columns, "order")
+    lexical = scored(opened.unionByName(more).orderBy("order", *newest).limit(most).drop("order"), query, now)
+    if vectors is None or vector is None:
+        return best(lexical, k, min_score)
+    age = F.lit(now) - F.col("lastAccessedAt")
+    hits = nearest_vectors(vectors, vector, most)
+    near = codec.analysed(hits.join(rows, "id")).withColumn("content", F.col("restored")).select(*rows.columns, "similarity")
+    near = near.select(*rows.columns, "similarity", scoring.temporal_score(age).alias("recency"), scoring.hybrid_score(F.col("similarity"), F.col("importance"), age).alias("score"))
+    both = lexical.unionByName(near)
+    first = F.struct(*(c for c in rows.columns if c != "id"))
+    return best(both.groupBy("id").agg(F.first(first).alias("r"), F.max("similarity").alias("similarity"), F.first("recency").alias("recency"), F.max("score").alias("score")).select("id", "r.*", "similarity", "recency", "score"), k, min_score)
 
 
 def nearest_vectors(vectors: DataFrame, query: list[float], k: int) -> DataFrame:

@@ -72,6 +72,26 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, "logicalId", "full_outer").select("logicalId", kind.alias("change"), F.col("b.title").alias("beforeTitle"), F.col("a.title").alias("afterTitle")).where("change IS NOT NULL")
 
 
+#: The order of changes in a listing.
+CHANGES = ("modified", "added", "removed")
+
+
+def diff_items(before: DataFrame, after: DataFrame, limit: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(totals, items) of a diff: a row with how many were added, removed and modified; the first ``limit`` changes,
+    modified ones first, then by logical id, with kind, source and title from after (before, where removed), and
+    what they were and are."""
+    told = lambda side: F.struct(*(F.col(f"{side}.{c}").alias(c) for c in ("summary", "content", "sourceRef", "confidence", "importance")))
+    cols = [c for c in before.columns if c != "logicalId"]
+    changes = diff(before, after).select("logicalId", "change")
+    b, a = (df.where("operation <> 'delete'").select("logicalId", F.struct(*cols).alias(n)) for df, n in ((before, "b"), (after, "a")))
+    both = changes.join(b, "logicalId", "left").join(a, "logicalId", "left")
+    totals = changes.agg(*(F.count_if(F.col("change") == c).alias(c) for c in ("added", "removed", "modified")))
+    shown = [F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ("kind", "sourceType", "title", "branch") if c in cols]
+    place = F.array_position(F.array(*map(F.lit, CHANGES)), F.col("change"))
+    items = both.select("logicalId", F.col("change").alias("changeType"), *shown, F.when(F.col("b").isNotNull(), told("b")).alias("before"), F.when(F.col("a").isNotNull(), told("a")).alias("after"), place.alias("__place"))
+    return totals, items.orderBy("__place", "logicalId").limit(limit).drop("__place")
+
+
 def merge_rows(target: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
     """Insert-or-replace: ``delta`` wins over ``target`` by ``keys``; columns that one lacks are null."""
     return target.join(delta.select(*keys), keys, "left_anti").unionByName(delta, allowMissingColumns=True)

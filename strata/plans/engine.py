@@ -1,70 +1,88 @@
-"""One object with the tables and the clock, and a method per read operator."""
+"""One object with the tables and the clock, and a method per operator."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codec
-from ..operators import compaction, context, graph, retrieval, temporal
+from ..operators import compaction, context, graph, store, temporal
+from ..schema import MAIN
 
 
 @dataclass
 class MemoryEngine:
-    """``now`` in epoch milliseconds; nothing reads a clock. Tables that a method doesn't need may be None."""
+    """``now`` in epoch milliseconds; nothing reads a clock. Tables that a method doesn't need may be None: without
+    history, branches and overlays all there is is main. Writes give a new engine, whose tables the caller stores."""
 
     spark: SparkSession
     memories: DataFrame
     now: int
     vectors: DataFrame | None = None
-    snapshots: DataFrame | None = None
+    log: DataFrame | None = None
     branches: DataFrame | None = None
     overlays: DataFrame | None = None
     tombstones: DataFrame | None = None
 
-    def restored(self) -> DataFrame:
-        """Memories with their contents restored."""
-        a = codec.analysed(self.memories)
-        return a.withColumn("content", F.col("restored")).select(self.memories.columns)
+    def tables(self) -> store.Tables:
+        """All tables, empty ones for those that are None."""
+        rows = self.memories
+        for name, value in (("logicalId", F.col("id")), ("branch", F.lit(MAIN)), ("sourceRef", F.lit(None).cast("string")), ("sourceType", F.lit("manual"))):
+            rows = rows if name in rows.columns else rows.withColumn(name, value)
+        rows = rows.select(*store.ROW)
+        none = rows.limit(0)
+        log = none.withColumns({"storageId": F.col("id"), "operation": F.lit(""), "validFrom": F.lit(0).cast("long"), "event_id": F.lit(0).cast("long")}).select(*store.LOG)
+        tombstones = none.select("projectId", "branch", "logicalId", "createdAt")
+        branches = none.select("projectId", "branch", F.lit("").alias("parentBranch"), F.lit("").alias("forkedFromCommit"), "createdAt", F.col("createdAt").alias("updatedAt"))
+        given = lambda df, otherwise: otherwise if df is None else df
+        return store.Tables(rows, given(self.overlays, none), given(self.tombstones, tombstones), given(self.log, log), given(self.branches, branches), self.vectors)
 
-    def line(self, project: str, branch: str) -> DataFrame:
-        return temporal.lineage(self.spark, self.branches, project, branch)
+    def having(self, t: store.Tables) -> MemoryEngine:
+        return replace(self, memories=t.memories, overlays=t.overlays, tombstones=t.tombstones, log=t.log, branches=t.branches, vectors=t.vectors)
 
-    def get(self, key: str) -> DataFrame:
-        return self.restored().where(F.col("id") == key).limit(1)
+    def upsert(self, inputs: DataFrame) -> MemoryEngine:
+        return self.having(store.upsert(self.tables(), inputs, self.now))
 
-    def list(self, project: str | None = None, limit: int = 100) -> DataFrame:
-        rows = self.memories.where(F.col("projectId") == project) if project else self.memories
-        return rows.orderBy(F.desc("lastAccessedAt"), "id").limit(limit)
+    def delete(self, ids: DataFrame, project: str, branch: str = MAIN) -> MemoryEngine:
+        return self.having(store.delete(self.tables(), ids, project, branch, self.now))
 
-    def search(self, query: str, vector: list[float] | None = None, k: int = 10, min_score: float = 0.0, caps: bool = False) -> DataFrame:
-        if vector is None or self.vectors is None:
-            return retrieval.lexical_scores(self.restored(), query, self.now).where(F.col("score") >= min_score).orderBy(F.desc("score"), "id").limit(k)
-        return retrieval.hybrid_search(self.restored(), self.vectors, query, vector, self.now, k, min_score, caps)
+    def delete_everywhere(self, ids: DataFrame) -> tuple[MemoryEngine, DataFrame]:
+        t, count = store.delete_everywhere(self.tables(), ids, self.now)
+        return self.having(t), count
+
+    def get(self, key: str, project: str | None = None, branch: str | None = None, at: int | None = None) -> DataFrame:
+        return store.by_id(self.tables(), key, project, branch, at)
+
+    def list(self, project: str | None = None, limit: int = 100, branch: str | None = None, at: int | None = None) -> DataFrame:
+        return store.listed(self.tables(), project, limit, branch, at)
+
+    def search(self, query: str, vector: list[float] | None = None, k: int = 10, min_score: float = 0.0, project: str | None = None, branch: str | None = None, at: int | None = None) -> DataFrame:
+        return store.search(self.tables(), query, self.now, project, branch, at, k, min_score, vector)
 
     def as_of(self, project: str, branch: str, at: int) -> DataFrame:
-        state = temporal.state_as_of(self.snapshots.where(F.col("projectId") == project), self.line(project, branch), at)
-        return state.where("operation <> 'delete'")
+        return store.state(self.tables(), project, branch, at)
 
     def view(self, project: str, branch: str) -> DataFrame:
-        mine = F.col("projectId") == project
-        return temporal.branch_view(self.overlays.where(mine), self.tombstones.where(mine).select("branch", "logicalId"), self.line(project, branch))
+        return store.view(self.tables(), project, branch)
 
-    def diff(self, project: str, branch: str, a: int, b: int) -> DataFrame:
-        rows, line = self.snapshots.where(F.col("projectId") == project), self.line(project, branch)
-        return temporal.diff(temporal.state_as_of(rows, line, min(a, b)), temporal.state_as_of(rows, line, max(a, b)))
+    def diff(self, project: str, branch: str, a: int, b: int, limit: int = 200) -> tuple[DataFrame, DataFrame]:
+        t = self.tables()
+        rows, line = store.snapshots(t).where(F.col("projectId") == project), store.line(t, project, branch)
+        return temporal.diff_items(temporal.state_as_of(rows, line, min(a, b)), temporal.state_as_of(rows, line, max(a, b)), limit)
 
     def compile_context(self, query: str, max_tokens: int = 4000, k: int = 12) -> DataFrame:
-        hits = self.search(query, k=k).select("id", "score").join(self.restored().select("id", "title", "content"), "id")
-        return context.compile_context(hits, max_tokens)
+        return context.compile_context(self.search(query, k=k).select("id", "score", "title", "content"), max_tokens)
 
     def stats(self, project: str | None = None) -> DataFrame:
         return compaction.stats(self.memories, project)
 
+    def health(self, project: str | None = None) -> DataFrame:
+        return compaction.health(self.stats(project))
+
     def audit(self, limit: int = 5000) -> tuple[DataFrame, DataFrame]:
         return compaction.audit(self.memories, limit)
 
-    def graph(self) -> tuple[DataFrame, DataFrame]:
-        return graph.index_memories(self.memories)
+    def graph(self, branch: str = MAIN, since: int | None = None) -> tuple[DataFrame, DataFrame]:
+        t = self.tables()
+        return graph.index_memories(t.memories.where(F.col("branch") == branch) if branch == MAIN else t.overlays.where(F.col("branch") == branch), store.snapshots(t), branch, since)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.functions import codec
-from strata.operators import compaction, consolidation, context, evolution, graph, ingest, ngram, records, retrieval, scheduler, temporal
+from strata.operators import compaction, consolidation, context, evolution, graph, ingest, ngram, records, retrieval, scheduler, store, temporal
 from strata.plans import catalog
 from strata.plans.engine import MemoryEngine
 from strata.sources import chat
@@ -412,3 +412,115 @@ def test_tags_and_continuations_know_rarer_tokens(spark, tmp_path):
     assert got[2].startswith("t351 t352")
     tags = {r["token"] for r in catalog.QUERIES["suggest_tags"](spark, str(tmp_path)).where("doc_id = 2").collect()}
     assert tags == {"t350", "t351"}
+
+
+class Store:
+    """The store, with dicts: rows and tombstones by (branch, logical id), a list of versions."""
+
+    parents = {"feature": "release", "release": "main"}
+
+    def __init__(self):
+        self.rows, self.gone, self.log = {}, set(), []
+
+    def line(self, branch):
+        out = [branch]
+        while out[-1] != "main":
+            out.append(self.parents.get(out[-1], "main"))
+        return out
+
+    def upsert(self, branch, key, content, now):
+        self.rows[branch, key] = (content, now)
+        self.gone.discard((branch, key))
+        self.log.append((branch, key, now, content))
+
+    def view(self, branch):
+        out, hidden = {}, set()
+        for b in self.line(branch):
+            # what a branch has itself isn't hidden by a tombstone of its parents
+            out |= {k: c for (x, k), (c, _) in self.rows.items() if x == b and k not in out and k not in hidden and (b, k) not in self.gone}
+            hidden |= {k for x, k in self.gone if x == b}
+        return out
+
+    def delete(self, branch, key, now):
+        prior = self.view(branch).get(key)
+        self.rows.pop((branch, key), None)
+        if branch != "main":
+            self.gone.add((branch, key))
+        self.log.append((branch, key, now, None))
+        return prior
+
+    def at(self, branch, t):
+        out, seen = {}, set()
+        for b in self.line(branch):
+            latest = {}
+            for x, k, when, content in self.log:
+                if x == b and when <= t:
+                    latest[k] = content
+            out |= {k: c for k, c in latest.items() if k not in seen and c is not None}
+            seen |= set(latest)
+        return out
+
+
+def test_store_of_branches_equals_dicts(spark):
+    rng = random.Random(3)
+    want = Store()
+    empty = spark.createDataFrame([], FULL)
+    branches = spark.createDataFrame([("p", "release", "main", None, 1, 1), ("p", "feature", "release", None, 1, 1)], "projectId string, branch string, parentBranch string, forkedFromCommit string, createdAt long, updatedAt long")
+    e = MemoryEngine(spark, empty, 0, branches=branches)
+    long = "words that repeat " * 60
+    for now in range(10, 120, 10):
+        branch = rng.choice(["main", "release", "feature"])
+        keys = rng.sample("abcd", 2)
+        e.now = now
+        if now < 40 or rng.random() < 0.6:
+            rows = [("p", branch, k, f"title {k}", f"{long if k == 'a' else 'short'} version {now} {k}") for k in keys]
+            e = e.upsert(spark.createDataFrame(rows, "projectId string, branch string, id string, title string, content string").selectExpr("*", "'semantic' AS kind", "'s' AS summary"))
+            for r in rows:
+                want.upsert(branch, r[2], r[4], now)
+        else:
+            e = e.delete(spark.createDataFrame([(keys[0],), (keys[0],)], "id string"), "p", branch)
+            want.delete(branch, keys[0], now)
+        t = e.tables()  # stored and read again, as a caller would
+        e = e.having(store.Tables(*(spark.createDataFrame(x.collect(), x.schema) for x in (t.memories, t.overlays, t.tombstones, t.log, t.branches))))
+    for b in ("main", "release", "feature"):
+        assert {r["logicalId"]: r["content"] for r in e.view("p", b).collect()} == want.view(b)
+        for t in (5, 25, 55, 200):
+            assert {r["logicalId"]: r["content"] for r in e.as_of("p", b, t).collect()} == want.at(b, t)
+        assert {r["logicalId"] for r in e.list("p", branch=b).collect()} == set(want.view(b))
+        for k in "abcd":
+            got = e.get(k, "p", b).collect()
+            assert [r["content"] for r in got] == [c for x, c in want.view(b).items() if x == k]
+            assert [r["content"] for r in e.get(k, "p", b, 55).collect()] == [c for x, c in want.at(b, 55).items() if x == k]
+        assert {r["logicalId"] for r in e.search("VERSION", project="p", branch=b, at=55).collect()} == set(want.at(b, 55))
+    stored = {(r["branch"], r["logicalId"]): codec.analyse(r["content"]) for r in e.tables().memories.unionByName(e.tables().overlays).collect()}
+    assert {k: v[1] for k, v in stored.items()} == {k: c for k, (c, _) in want.rows.items()} and all(v[0] == (k[1] == "a") for k, v in stored.items())
+    assert {(r["branch"], r["logicalId"]) for r in e.tables().tombstones.collect()} == want.gone
+    gone, count = e.delete_everywhere(spark.createDataFrame([("a",), ("nothing",)], "id string"))
+    assert count.first()["deleted"] == (("main", "a") in want.rows) and gone.get("a").count() == 0
+
+
+def test_search_on_main_fills_up_from_packed_contents(spark):
+    packed = [f"needle {i} " + "straw of the same kind " * 60 for i in range(4)]
+    rows = [(f"m{i}", "p", "semantic", f"t{i}", "s", codec.compact(x), ["t"], 0.5, 0.5, i, i) for i, x in enumerate(packed)]
+    rows += [(f"n{i}", "p" if i else "q", "semantic", "needle" if i == 2 else "t", "s", f"a needle {i}", ["t"], 0.9, 0.5, 100 + i, 100 + i) for i in range(4)]
+    m = spark.createDataFrame(rows, "id string, projectId string, kind string, title string, summary string, content string, tags array<string>, importance double, confidence double, createdAt long, lastAccessedAt long")
+    e = MemoryEngine(spark, m, 1000)
+    got = e.search("Needle", k=3).collect()
+    assert [r["id"] for r in got] == ["n2", "n3", "n1"] and got[0]["similarity"] == 0.82
+    every = e.search("needle", k=10).collect()
+    assert {r["id"] for r in every} == {f"m{i}" for i in range(4)} | {f"n{i}" for i in range(4)} and all("needle" in r["content"] for r in every)
+    assert {r["id"] for r in e.search("needle", k=10, project="q").collect()} == {"n0"} and e.search("  ").count() == 0
+    v = spark.createDataFrame([("m0", [1.0, 0.0]), ("n0", [0.0, 1.0]), ("x", [1.0, 0.0])], "id string, embedding array<double>")
+    near = MemoryEngine(spark, m, 1000, vectors=v).search("nothing of this", [1.0, 0.1], k=5).collect()
+    assert [r["id"] for r in near] == ["m0", "n0"] and near[0]["content"] == packed[0]
+
+
+def test_diff_lists_changes_in_order(spark):
+    snap = temporal.close_intervals(writes(spark)).withColumn("kind", F.lit("semantic"))
+    line = temporal.lineage(spark, branches(spark), "p", "feature")
+    totals, items = temporal.diff_items(temporal.state_as_of(snap, line, 10), temporal.state_as_of(snap, line, 50))
+    assert tuple(totals.first()) == (2, 0, 1)
+    got = items.collect()
+    assert [(r["changeType"], r["logicalId"], r["title"]) for r in got] == [("modified", "a", "again"), ("added", "b", "bee"), ("added", "c", "new")]
+    assert got[0]["before"]["content"] == "alpha" and got[0]["after"]["content"] == "made again" and got[1]["before"] is None
+    assert temporal.diff_items(temporal.state_as_of(snap, line, 10), temporal.state_as_of(snap, line, 50), 1)[1].count() == 1
