@@ -10,9 +10,9 @@ sketch, which filters; the exact Jaccard of the full sets verifies. Pairs that a
 needn't be verified, as only components are wanted.
 
 Large groups are compared in blocks: first each block with itself and with the first. Once components are known,
-rows outside a group's main component still have to meet the others. For that a large group is cut again, by the
-rarest values of the whole sets, so that a passage which many texts share brings together only those that hardly
-have anything else; these are compared block by block. No task holds more than two blocks.
+rows outside a group's main component still have to meet the others. Where they are many, the group is cut again, by
+the rarest values of the whole sets, so that a passage which many texts share brings together only those that
+hardly have anything else; these are compared block by block. No task holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -32,6 +32,9 @@ from .words import WORD, forgetting, hashes_of, shingles
 #: Rows, and bytes of sets, in a block of a group.
 BLOCK_ROWS, BLOCK_BYTES = 512, 16 << 20
 
+#: Blocks of outer rows that meet all others directly, as that is linear; groups with more are cut again.
+FEW = 2
+
 #: Candidates up to this many, of 8 bytes each, are sent to the scan; beyond it they meet the texts in a join.
 SENT_IDS = 1_000_000
 
@@ -218,8 +221,13 @@ def similar_links(documents: DataFrame, sketched: DataFrame, key: str, text: str
     found = written(found, "found")
     label = found.withColumnRenamed("node", "key").withColumnRenamed("component", "label")
     outside = written(with_outer(many, label), "outside")
-    small = written(with_outer(narrowed(outside, sets, percent), label), "again")
-    counts = small.groupBy("g").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("nb"), F.ceil(F.count_if("outer") / BLOCK_ROWS).cast("int").alias("no")).where("no > 0")
+    counts = block_counts(outside)
+    several = outside.join(counts.where(F.col("no") > FEW).select("g"), "g", "left_semi")
+    small = outside.join(counts.where(F.col("no") <= FEW).select("g"), "g", "left_semi")
+    if not several.isEmpty():
+        small = small.unionByName(with_outer(narrowed(several, sets, percent), label))
+    small = written(small, "again")
+    counts = block_counts(small)
     labelled = small.join(counts, "g").withColumns({"block": F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"), "own": F.pmod(F.xxhash64("key"), F.col("no")).cast("int")})
     # outer block i meets every outer block and every block of the main component
     with_own = F.transform(F.sequence(F.lit(0), F.col("no") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j")))
@@ -231,6 +239,11 @@ def similar_links(documents: DataFrame, sketched: DataFrame, key: str, text: str
     return components(more.unionByName(stars))
 
 
+def block_counts(rows: DataFrame) -> DataFrame:
+    """(g, nb, no): how many blocks a group has, and its outer rows; only groups that have some."""
+    return rows.groupBy("g").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("nb"), F.ceil(F.count_if("outer") / BLOCK_ROWS).cast("int").alias("no")).where("no > 0")
+
+
 def with_outer(groups: DataFrame, label: DataFrame) -> DataFrame:
     """(g, key, label, outer): the component that each row is known to be in, and whether it isn't the group's most frequent one."""
     labelled = groups.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
