@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import hashing, scoring, text
 from . import compaction
@@ -37,6 +38,12 @@ def ensure_branches(branches: DataFrame, wanted: DataFrame, now: int) -> DataFra
     return both.select(*keys, F.coalesce("parentBranch", "p").alias("parentBranch"), F.coalesce("forkedFromCommit", "c").alias("forkedFromCommit"), F.coalesce("createdAt", F.lit(now)).alias("createdAt"), F.when(F.col("asked"), F.lit(now)).otherwise(F.col("updatedAt")).alias("updatedAt"))
 
 
+def list_branches(branches: DataFrame, project: str) -> DataFrame:
+    """A project's branches, a few, in order of their making and name, with their place."""
+    order = Window.orderBy("createdAt", "branch")
+    return branches.where(F.col("projectId") == project).withColumn("place", F.row_number().over(order)).orderBy("place")
+
+
 def upsert_fingerprints(stored: DataFrame, new: DataFrame, now: int) -> DataFrame:
     """Fingerprints of this run replace stored ones; the first time stays."""
     keys = ["projectId", "sourceType", "sourceRef"]

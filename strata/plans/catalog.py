@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import core_queries, graph_queries, record_queries, temporal_queries, text_queries  # noqa: F401  they register their queries
+from . import core_queries, graph_queries, record_queries, store_queries, temporal_queries, text_queries  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -94,30 +94,11 @@ def vector_hit_lookup(spark, d):
     return v.join(T.memories(spark, d), "id").select("id", "kind", "label")
 
 
-STATS = """count(*) AS totalRows, 0 AS compactedRows, count(*) AS plainRows, sum(length(content)) AS storedChars, sum(length(content)) AS originalChars, 0 AS savedChars, 0 AS invalidChecksum, 0 AS decodeError,
-  0.0::DOUBLE AS savedPercent, 0.0::DOUBLE AS compactionRate, 1.0::DOUBLE AS averageCompressionRatio, 0 AS anomalies"""
-
-
-@query(f"WITH {MEM} SELECT {STATS} FROM mem WHERE projectId = 'src1'")
-def compaction_stats(spark, d):
-    return compaction.stats(T.memories(spark, d), "src1")
-
-
-@query(f"WITH {MEM} SELECT projectId, {STATS}, max(lastAccessedAt) AS lastAccessedAt, CASE WHEN count(*) >= 25 THEN 'warning' ELSE 'healthy' END AS risk FROM mem GROUP BY GROUPING SETS ((projectId), ())")
-def project_breakdown(spark, d):
-    return compaction.breakdown(T.memories(spark, d))
-
-
 @query()
 def compaction_opportunities(spark, d):
     return compaction.opportunities(T.memories(spark, d))[1]
 
 
-@query()
-def resurrection_audit(spark, d):
-    return compaction.audit(T.memories(spark, d))[0]
-
-
 @query()
 def backfill_compaction(spark, d):
     return compaction.backfill(T.memories(spark, d))[0]

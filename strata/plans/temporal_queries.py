@@ -172,12 +172,6 @@ def http_histogram(spark, d):
     return scheduler.histogram(e, ["route", "status"], "seconds", scheduler.HTTP_BUCKETS)
 
 
-@query(f"""WITH {RUNS}, s AS (SELECT runId, (startedAt // 60000) % 60 AS anomalies, durationMs, dryRunOnly, outcome FROM runs) SELECT runId, list_filter([CASE WHEN dryRunOnly THEN 'dry_run_only' END, CASE WHEN outcome = 'error' THEN 'ingestion_errors' END, CASE WHEN anomalies > 50 THEN 'integrity_anomalies' END, CASE WHEN durationMs < 100 THEN 'nothing_compactable' END], lambda x: x IS NOT NULL) AS reasons FROM s""")
-def apply_decision(spark, d):
-    r = T.run_history(spark, d)
-    return r.select("runId", scheduler.decision({"dry_run_only": F.col("dryRunOnly"), "ingestion_errors": F.col("outcome") == "error", "integrity_anomalies": F.expr("(startedAt div 60000) % 60 > 50"), "nothing_compactable": F.col("durationMs") < 100}).alias("reasons"))
-
-
 @query(f"""WITH {RUNS}, day AS (SELECT schedulerScope AS projectId, startedAt // 86400000 AS day, avg(durationMs) AS savedPercent, count_if(outcome = 'error') AS anomalies FROM runs GROUP BY ALL)
 SELECT projectId, round(arg_max(savedPercent, day) - arg_min(savedPercent, day), 6) AS savedDelta, arg_max(anomalies, day) - arg_min(anomalies, day) AS anomalyDelta FROM day GROUP BY 1""")
 def trend_delta(spark, d):

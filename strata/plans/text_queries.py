@@ -306,10 +306,3 @@ def quantize_and_link_weight(spark, d):
     return docs(spark, d).select("doc_id", scoring.quantize_weight(k % 100 / 100).alias("q"), scoring.link_weight(k % 4 / 4, F.lit(1.0), F.lit(0.5)).alias("weight"))
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda t: length(t) > 1))) AS word FROM documents), e AS (SELECT DISTINCT regexp_extract(lower(text), '[a-z0-9_]{4,}') AS word FROM benchmark) SELECT doc_id, word AS name, 0.81::DOUBLE AS weight FROM w JOIN e USING (word)""")
-def link_memory_entity(spark, d):
-    from ..operators.evolution import link_entities
-
-    names = T.read(spark, d, "benchmark").select(F.regexp_extract(F.lower("text"), "[a-z0-9_]{4,}", 0).alias("name"), F.array().cast("array<string>").alias("dependencies")).distinct()
-    m = docs(spark, d).select(F.col("doc_id").alias("id"), F.lit(0.5).alias("importance"), F.col("text").alias("content"))
-    return link_entities(m, names).select(F.col("id").alias("doc_id"), "name", "weight")
