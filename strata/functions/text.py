@@ -85,6 +85,21 @@ def trim_at_sentence(text: Column, most: int) -> Column:
     return F.when(F.length(text) <= most, text).when(end * 100 >= most * 55, trim(head.substr(F.lit(1), end + 1))).otherwise(trim(head))
 
 
+def compress_agent(text: Column, most: int = 320, keep_lines: bool = False) -> Column:
+    """A text without repeated lines, or on one line, of at most ``most`` characters and an ellipsis; cut after a
+    sentence, clause or phrase that ends beyond 55 % of them."""
+    clean = dedupe_lines(text) if keep_lines else compact(text)
+    head = F.substring(clean, 1, most)
+    end = F.greatest(*(last_place(head, m) for m in (". ", "; ", ", ")))
+    kept = F.when(end > int(most * 0.55), head.substr(F.lit(1), end + 1)).otherwise(head)
+    return F.when(F.length(clean) <= most, clean).otherwise(F.concat(F.regexp_replace(kept, f"{WHITE}+$", ""), F.lit("…")))
+
+
+def to_fixed(x: Column, places: int) -> Column:
+    """A number as text with so many places."""
+    return F.format_string(f"%.{places}f", x.cast("double"))
+
+
 def encode_symbolic(text: Column) -> Column:
     return replace_all(text, SYMBOLIC_RULES)
 

@@ -13,26 +13,30 @@ from ..functions import scoring, text
 
 # Intents with their patterns, top-k and token budgets; the first of the most hits wins.
 INTENT_RULES = (
-    ("debugging", (r"\berror\b", r"\bexception\b", r"\bbug\b", r"\bfail(?:ed|ing)?\b", r"\bcrash\b", r"stack trace"), 16, 5600, "runtime + diagnostics + memory"),
-    ("testing", (r"\btest(?:s|ing)?\b", r"\bunit\b", r"\bintegration\b", r"\be2e\b", r"\bcoverage\b"), 14, 5200, "tests + related implementation"),
-    ("refactor", (r"\brefactor\b", r"\bcleanup\b", r"\bsimplif(?:y|ication)\b", r"\bextract\b", r"\brename\b"), 12, 4600, "design + dependencies + hotspots"),
-    ("performance", (r"\bperformance\b", r"\bslow\b", r"\blatency\b", r"optimi[sz]e", r"\bthroughput\b", r"\bmemory leak\b"), 15, 5200, "hot paths + algorithmic complexity"),
-    ("security", (r"\bsecurity\b", r"\bvuln(?:erability)?\b", r"\bcve\b", r"\bauth(?:entication|orization)?\b", r"\bxss\b", r"\bcsrf\b"), 16, 5400, "auth + input validation + secret handling"),
-    ("documentation", (r"\bdocs?\b", r"\breadme\b", r"\bexplain\b", r"\bguide\b", r"\bhow to\b"), 10, 3800, "architecture + APIs + examples"),
-    ("feature", (r"\bimplement\b", r"\badd\b", r"\bbuild\b", r"\bcreate\b", r"\bsupport\b", r"\bfeature\b"), 13, 4800, "requirements + touched modules"),
+    ("debugging", (r"\berror\b", r"\bexception\b", r"\bbug\b", r"\bfail(?:ed|ing)?\b", r"\bcrash\b", r"stack trace"), 16, 5600, "runtime + diagnostics + memory", ("prioritize failure context", "prefer latest affected entities")),
+    ("testing", (r"\btest(?:s|ing)?\b", r"\bunit\b", r"\bintegration\b", r"\be2e\b", r"\bcoverage\b"), 14, 5200, "tests + related implementation", ("include assertions and edge cases", "surface flaky points")),
+    ("refactor", (r"\brefactor\b", r"\bcleanup\b", r"\bsimplif(?:y|ication)\b", r"\bextract\b", r"\brename\b"), 12, 4600, "design + dependencies + hotspots", ("preserve behavior", "highlight coupling")),
+    ("performance", (r"\bperformance\b", r"\bslow\b", r"\blatency\b", r"optimi[sz]e", r"\bthroughput\b", r"\bmemory leak\b"), 15, 5200, "hot paths + algorithmic complexity", ("prioritize hot-path code", "highlight complexity drivers")),
+    ("security", (r"\bsecurity\b", r"\bvuln(?:erability)?\b", r"\bcve\b", r"\bauth(?:entication|orization)?\b", r"\bxss\b", r"\bcsrf\b"), 16, 5400, "auth + input validation + secret handling", ("surface trust boundaries", "flag dangerous defaults")),
+    ("documentation", (r"\bdocs?\b", r"\breadme\b", r"\bexplain\b", r"\bguide\b", r"\bhow to\b"), 10, 3800, "architecture + APIs + examples", ("prefer concise context", "include canonical references")),
+    ("feature", (r"\bimplement\b", r"\badd\b", r"\bbuild\b", r"\bcreate\b", r"\bsupport\b", r"\bfeature\b"), 13, 4800, "requirements + touched modules", ("identify dependencies", "capture migration impacts")),
 )
-GENERAL = ("general", 12, 4200, "project + memory + retrieval")
+GENERAL = ("general", 12, 4200, "project + memory + retrieval", ("prefer high-confidence memories", "keep context concise"))
 
 
 def infer_intent(queries: DataFrame, column: str, history: Column | None = None) -> DataFrame:
-    """category, confidence, topK, maxTokens and scope; ``history``: how often the category came up before in a row."""
+    """category, confidence, topK, maxTokens, scope, constraints and reason; ``history``: how often the category came up
+    before in a row. Of intents with equally many hits the first counts."""
     q = F.col(column)
-    hits = F.array(*(F.struct(sum((q.rlike("(?i)" + p).cast("int") for p in patterns), F.lit(0)).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("category"), F.lit(k).alias("topK"), F.lit(m).alias("maxTokens"), F.lit(scope).alias("scope")) for i, (name, patterns, k, m, scope) in enumerate(INTENT_RULES)))
+    listed = lambda xs: F.array(*map(F.lit, xs))
+    hits = F.array(*(F.struct(sum((q.rlike("(?i)" + p).cast("int") for p in patterns), F.lit(0)).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("category"), F.lit(k).alias("topK"), F.lit(m).alias("maxTokens"), F.lit(scope).alias("scope"), listed(limits).alias("constraints")) for i, (name, patterns, k, m, scope, limits) in enumerate(INTENT_RULES)))
     best = queries.withColumn("__b", F.array_max(hits))
-    some, n = F.col("__b.n") > 0, F.col("__b.n")
+    some, n = F.coalesce(F.col("__b.n") > 0, F.lit(False)), F.col("__b.n")
     bonus = F.least(F.lit(0.12), F.lit(0.02) * history) if history is not None else F.lit(0.0)
-    base = F.when(text.trim(q) == "", 0.0).when(some, scoring.clamp01(F.lit(0.38) + n * 0.12)).otherwise(0.45)
-    return best.withColumns({"category": F.when(some, F.col("__b.category")).otherwise(GENERAL[0]), "confidence": scoring.clamp01(base + bonus), "topK": F.when(some, F.col("__b.topK")).otherwise(GENERAL[1]), "maxTokens": F.when(some, F.col("__b.maxTokens")).otherwise(GENERAL[2]), "scope": F.when(some, F.col("__b.scope")).otherwise(GENERAL[3])}).drop("__b")
+    base = F.when(F.coalesce(text.trim(q), F.lit("")) == "", 0.0).when(some, scoring.clamp01(F.lit(0.38) + n * 0.12)).otherwise(0.45)
+    chosen = {name: F.when(some, F.col(f"__b.{name}")).otherwise(listed(v) if isinstance(v, tuple) else F.lit(v)) for name, v in zip(("category", "topK", "maxTokens", "scope", "constraints"), GENERAL, strict=True)}
+    reason = F.when(some, F.concat(F.lit("Detected "), F.col("__b.category"), F.lit(" intent from query signals; proactively tuned context packing."))).otherwise("No dominant intent detected. Using balanced context defaults.")
+    return best.withColumns(chosen | {"confidence": scoring.clamp01(base + bonus), "reason": reason}).drop("__b")
 
 
 def atom_rank(priority: Column, recency: Column, relevance: Column, tags: Column) -> Column:
@@ -82,21 +86,84 @@ def compile_context(ranked: DataFrame, max_tokens: int = 4000) -> DataFrame:
     return made.crossJoin(parts.agg(F.count("*").alias("n"))).select("context", "used", (F.col("n") - F.col("used")).alias("dropped"), text.estimate_tokens(F.col("context")).alias("tokens"))  # one row each
 
 
+def two(name: str) -> Column:
+    return F.format_string("%.2f", F.col(name).cast("double"))
+
+
 def render_atoms(atoms: DataFrame, mode: str = "compact") -> DataFrame:
     """``text`` of each atom (title, kind, body, tags, sourceRef, priority, recency, relevance) in one of three modes."""
     c = F.col
-    two = lambda n: F.format_number(c(n), 2)
-    tags = F.when(F.size("tags") > 0, F.array_join("tags", ", "))
+    tags, plain = F.when(F.size("tags") > 0, F.array_join("tags", ", ")), F.when(F.size("tags") > 0, F.array_join("tags", ","))
+    source = F.nullif(c("sourceRef"), F.lit(""))
     dot = F.concat(F.lit("• "), c("title"))
     if mode == "symbolic":
-        out = F.concat(dot, F.lit(" :: "), F.upper("kind"), F.lit(" p="), two("priority"), F.lit(" r="), two("relevance"), F.coalesce(F.concat(F.lit(" tags="), F.array_join("tags", ",")), F.lit("")))
+        out = F.concat(dot, F.lit(" :: "), F.upper("kind"), F.lit(" p="), two("priority"), F.lit(" r="), two("relevance"), F.coalesce(F.concat(F.lit(" tags="), plain), F.lit("")))
     elif mode == "compact":
-        out = F.concat_ws("\n", dot, F.concat(F.lit("  "), text.cut(text.compact(c("body")), 240)), F.concat(F.lit("  tags: "), tags), F.concat(F.lit("  source: "), c("sourceRef")))
+        out = F.concat_ws("\n", dot, F.concat(F.lit("  "), text.cut(text.compact(c("body")), 180)), F.concat(F.lit("  tags: "), tags), F.concat(F.lit("  source: "), source))
     else:
-        out = F.concat_ws("\n", dot, F.concat(F.lit("kind: "), c("kind")), F.concat(F.lit("priority: "), two("priority"), F.lit("  recency: "), two("recency"), F.lit("  relevance: "), two("relevance")), F.concat(F.lit("source: "), c("sourceRef")), F.concat(F.lit("tags: "), tags), c("body"))
+        measures = F.concat(F.lit("priority: "), two("priority"), F.lit("  recency: "), two("recency"), F.lit("  relevance: "), two("relevance"))
+        out = F.concat_ws("\n", dot, F.concat(F.lit("kind: "), c("kind")), measures, F.concat(F.lit("source: "), source), F.concat(F.lit("tags: "), tags), F.nullif(c("body"), F.lit("")))
     return atoms.withColumn("text", out)
 
 
+TABLE_HEAD = "| # | kind | title | priority | relevance | recency |\n|---:|---|---|---:|---:|---:|"
+
+
+def render_context(atoms: DataFrame, query: str, mode: str = "compact", table: bool = False, head: str = "[CONTEXT]") -> DataFrame:
+    """One row, ``rendered``: a heading, a table if asked for, and the text of each atom, in order of ``place``. Atoms
+    are those that a budget took, so they are few."""
+    escape = lambda x: F.replace(x, F.lit("|"), F.lit("\\|"))
+    cells = F.concat_ws(" | ", F.col("place").cast("string"), escape(F.col("kind")), escape(text.cut(text.compact(F.col("title")), 48)), two("priority"), two("relevance"), two("recency"))
+    rows = render_atoms(atoms, mode).select(F.struct("place", F.concat(F.lit("| "), cells, F.lit(" |")).alias("cells"), "text").alias("r"))
+    made = rows.agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    joined = lambda name: F.array_join(F.transform("rs", lambda r: r[name]), "\n")
+    begin = F.concat(F.lit(f"{head}\nintent: "), F.lit(query), F.lit("\natoms: "), F.size("rs").cast("string"), F.lit("\n"))
+    listing = F.when((F.size("rs") > 0) & F.lit(table), F.concat(F.lit("\n" + TABLE_HEAD + "\n"), joined("cells"), F.lit("\n"))).otherwise(F.lit(""))
+    return made.select(F.concat(begin, listing, F.when(F.size("rs") > 0, F.concat(F.lit("\n"), joined("text"))).otherwise(F.lit(""))).alias("rendered"))
+
+
+def format_context(memories: DataFrame, query: str, scope: str = "current_file + project + memory", constraints: tuple[str, ...] = (), scores: bool = False, head: str = "[CONTEXT]") -> DataFrame:
+    """One row, ``formatted``: memories (kind, title, summary, tags, score) in order of ``place`` under a heading, with
+    the constraints below; of the few memories that a search gave."""
+    lines = F.concat_ws("\n", F.concat(F.lit("  - ["), "kind", F.lit("] "), "title"), F.concat(F.lit("    summary: "), "summary"), F.when(F.lit(scores), F.format_string("    score: %.4f", F.col("score").cast("double"))), F.when(F.size("tags") > 0, F.concat(F.lit("    tags: "), F.array_join("tags", ", "))))
+    made = memories.select(F.struct("place", lines.alias("t")).alias("r")).agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    body = F.when(F.size("rs") > 0, F.array_join(F.transform("rs", lambda r: r["t"]), "\n")).otherwise("  - none")
+    end = "".join(["\n\nconstraints:", *(f"\n  - {c}" for c in constraints)]) if constraints else ""
+    return made.select(F.concat(F.lit(f"{head}\n\nintent: {query}\nscope: {scope}\n\nmemories:\n"), body, F.lit(end)).alias("formatted"))
+
+
+def prompt_envelope(rendered: Column, query: str, system: str = "", stats: dict[str, Column] | None = None) -> Column:
+    """A prompt: guidance, context, its counts of tokens, atoms and dropped atoms, and the query."""
+    parts = [F.lit(f"[SYSTEM]\n{system}")] if system else []
+    parts.append(F.nullif(rendered, F.lit("")))
+    if stats:
+        parts.append(F.concat(F.lit("\n[CONTEXT_STATS]\ntokens="), stats["tokens"].cast("string"), F.lit(" atoms="), stats["atoms"].cast("string"), F.lit(" dropped="), stats["dropped"].cast("string")))
+    asked = query.strip()
+    return F.concat_ws("\n\n", *parts, F.lit("\n[USER_QUERY]"), *([F.lit(asked)] if asked else []))
+
+
+def bundle(memories: DataFrame, query: str, health: DataFrame, agent: str = "daemon") -> DataFrame:
+    """One row: the memories (id, kind, title, summary, content, tags, sourceRef, importance, recency, similarity,
+    place) that a search gave as atoms, what the agent's budget takes of them rendered and as an envelope, the same
+    as sections, and the health of memory."""
+    m = memories
+    body = text.trim(F.concat("summary", F.lit("\n"), text.preview(F.col("content"), 320)))
+    atoms = m.select("id", "place", F.lit("memory").alias("kind"), "title", body.alias("body"), F.col("importance").alias("priority"), "recency", F.col("similarity").alias("relevance"), "sourceRef", "tags")
+    taken = resolve_context(atoms, agent).withColumn("place", F.row_number().over(Window.orderBy(F.desc("rank"), "id")))
+    tokens, most, mode = HUB_POLICIES[agent]
+    rendered = render_context(taken, query, mode)
+    used = taken.agg(F.count("*").alias("atoms"), F.coalesce(F.sum(text.estimate_tokens(F.concat_ws("\n", "title", "body"))), F.lit(0)).alias("tokens"))
+    listed = m.agg(F.array_sort(F.collect_list(F.struct("place", "title", F.concat("kind", F.lit(" -> "), "title").alias("link")))).alias("ms"))
+    names = lambda f: F.slice(F.transform("ms", lambda x: x[f]), 1, 10)
+    one = listed.crossJoin(rendered).crossJoin(used).crossJoin(health.select(F.col("status").alias("healthStatus"), "recommendation"))  # one row each
+    stats = {"tokens": F.col("tokens"), "atoms": F.col("atoms"), "dropped": F.size("ms") - F.col("atoms")}
+    return one.select(F.lit(query).alias("query"), names("title").alias("concepts"), names("link").alias("graph"), F.array(*map(F.lit, BUNDLE_LIMITS)).alias("constraints"), "rendered", prompt_envelope(F.col("rendered"), query, stats=stats).alias("envelope"), "tokens", "atoms", "healthStatus", "recommendation")
+
+
+# Constraints of a bundle.
+BUNDLE_LIMITS = ("local-first", "token-bounded", "high-confidence-preferred")
+
+
 # Token and atom budgets and render modes by agent.
 HUB_POLICIES = {"copilot": (2000, 20, "compact"), "cli": (4000, 40, "full"), "gpt": (8000, 60, "compact"), "daemon": (4000, 24, "compact")}
 

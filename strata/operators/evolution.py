@@ -107,6 +107,31 @@ def planner_intent(query: Column) -> Column:
     return out.otherwise("general")
 
 
+# Strategy, constraint, risk and steps of plans by intent; what all plans have; what compatibility calls for.
+PLANS = {
+    "debugging": ("diagnostic", "reproduce before patching", "fixing symptoms instead of root cause", (("Reproduce and isolate", "Capture a deterministic repro and isolate the smallest failing path."), ("Inspect signals", "Use logs, stack traces, and memory anchors to identify likely root causes."), ("Patch incrementally", "Implement a narrow fix, then verify with targeted regression tests."))),
+    "refactor": ("refactor", "preserve public behavior", "behavior drift due to interface changes", (("Define invariants", "Preserve public behavior and identify contracts that cannot change."), ("Split and extract", "Break large units into focused modules with explicit boundaries."), ("Validate parity", "Run existing tests and add coverage for modified control flow."))),
+    "feature": ("delivery", None, "scope creep and incomplete acceptance criteria", (("Define acceptance criteria", "Translate request into measurable behavior and edge cases."), ("Implement minimal vertical slice", "Ship the smallest end-to-end behavior before broadening scope."), ("Expand safely", "Iterate with tests, telemetry, and backward-compatible interfaces."))),
+    "performance": ("incremental", "measure before and after optimization", "micro-optimizations without real impact", (("Profile hotspots", "Measure bottlenecks before optimization to avoid premature tuning."), ("Optimize dominant path", "Target the largest cost center with algorithmic or data-structure improvements."), ("Verify gains", "Re-measure and ensure correctness remains intact under representative load."))),
+    "testing": ("incremental", None, None, (("Map risk boundaries", "Prioritize brittle paths and integration seams for deeper validation."), ("Add focused tests", "Cover high-risk behavior with deterministic assertions and fixtures."), ("Automate regression loop", "Ensure tests run in CI and gate merges for repeated confidence."))),
+    "general": ("incremental", None, None, (("Clarify objective", "Convert request into explicit outcomes and constraints."), ("Execute in bounded steps", "Implement iteratively and validate each change before proceeding."), ("Close with verification", "Summarize outcomes and capture follow-up actions."))),
+}
+PLAN_LIMITS, PLAN_RISK, COMPATIBLE = ("token-bounded context", "small reversible changes"), "regression risk in related modules", "maintain backward compatibility"
+
+
+def plans(queries: DataFrame, column: str, context: Column | None = None) -> DataFrame:
+    """``queries`` with intent, objective, strategy, constraints, risks and three steps (title, detail) of a plan."""
+    spark = queries.sparkSession
+    rows = [(intent, strategy, [*PLAN_LIMITS, *([limit] if limit else [])], [PLAN_RISK, *([risk] if risk else [])], [{"id": i, "title": t, "detail": d} for i, (t, d) in enumerate(steps, 1)]) for intent, (strategy, limit, risk, steps) in PLANS.items()]
+    table = spark.createDataFrame(rows, "intent string, strategy string, constraints array<string>, risks array<string>, steps array<struct<id: int, title: string, detail: string>>")
+    asked = text.trim(F.col(column))
+    made = queries.withColumns({"objective": asked, "intent": planner_intent(asked)}).join(F.broadcast(table), "intent")  # six rows
+    if context is None:
+        return made
+    keeps = F.lower(F.coalesce(context, F.lit(""))).rlike("backward|compat")
+    return made.withColumn("constraints", F.when(keeps, F.concat("constraints", F.array(F.lit(COMPATIBLE)))).otherwise(F.col("constraints")))
+
+
 def draft(body: Column) -> list[Column]:
     """title, summary and tags of a note."""
     clean = text.trim(body)

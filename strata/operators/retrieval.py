@@ -90,15 +90,21 @@ def dedupe_best(df: DataFrame, key: str = "id", score: str = "score") -> DataFra
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
-def token_search(memories: DataFrame, query: str, now: int, k: int = 10, project: str | None = None, preferred: tuple[str, ...] = ()) -> DataFrame:
-    """Rows that share a word with the query (all, if the query has none), by the weighted memory score."""
+def token_search(memories: DataFrame, query: str, now: int, k: int = 10, project: str | None = None, preferred: tuple[str, ...] = (), archived: DataFrame | None = None) -> DataFrame:
+    """The best ``k`` rows by the weighted memory score: those whose title, summary or tags share a word with the query;
+    if none does, all of the project. Rows among ``archived`` (id) don't count. Blank queries find nothing."""
     import re
 
     words = [w for w in re.split(r"[^a-z0-9_]+", query.lower()) if len(w) > 1]
-    have = text.tokenize_words(F.concat_ws("\n", "title", "summary", "content"))
-    pool = memories.where(F.arrays_overlap(have, F.array(*map(F.lit, words)))) if words else memories
-    if project:
-        pool = pool.where(F.col("projectId") == project)
+    pool = memories.where(F.col("projectId") == project) if project else memories
+    pool = pool.where(F.lit(bool(query.strip())))
+    if words:
+        have = text.tokenize_words(F.concat_ws("\n", "title", "summary", F.array_join("tags", " ")))
+        pool = pool.withColumn("__hit", F.arrays_overlap(have, F.array(*map(F.lit, words))))
+        some = pool.agg(F.coalesce(F.max("__hit"), F.lit(False)).alias("__some"))  # one row
+        pool = pool.crossJoin(F.broadcast(some)).where("__hit OR NOT __some").drop("__hit", "__some")
+    if archived is not None:
+        pool = pool.join(archived.select("id"), "id", "left_anti")
     lex = scoring.token_similarity(F.col("title"), F.col("summary"), F.col("content"), query)
     tags = F.size(F.array_intersect("tags", F.array(*map(F.lit, preferred)).cast("array<string>"))) if preferred else F.lit(0)
     same = F.lit(project is not None)
@@ -106,6 +112,20 @@ def token_search(memories: DataFrame, query: str, now: int, k: int = 10, project
     return pool.select("id", "kind", "title", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+def touched(memories: DataFrame, found: DataFrame, now: int) -> DataFrame:
+    """``memories`` after those found were read."""
+    hit = found.select("id", F.lit(True).alias("__hit"))
+    return memories.join(F.broadcast(hit), "id", "left").withColumn("lastAccessedAt", F.when(F.col("__hit"), F.lit(now)).otherwise(F.col("lastAccessedAt"))).drop("__hit")
+
+
+def store_stats(memories: DataFrame, archived: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """A row per kind, also of those without rows: total, active and archived rows."""
+    gone = archived.select("id").distinct().withColumn("__gone", F.lit(True))
+    counted = memories.join(gone, "id", "left").groupBy("kind").agg(F.count("*").alias("total"), F.count_if(F.col("__gone").isNull()).alias("active"), F.count_if(F.col("__gone")).alias("archived"))
+    every = memories.sparkSession.createDataFrame([(k,) for k in kinds], "kind string")
+    return F.broadcast(every).join(counted, "kind", "left").fillna(0, ["total", "active", "archived"])
+
+
 def rerank(memories: DataFrame, query: str, now: int, k: int, diversify: bool = False) -> DataFrame:
     """Rows by signal; diversified, the kinds take turns in the order of their best rows."""
     affinity = scoring.lexical_affinity(F.col("title"), F.col("summary"), F.col("content"), query)

@@ -104,11 +104,11 @@ def backfill_compaction(spark, d):
     return compaction.backfill(T.memories(spark, d))[0]
 
 
-@query(f"WITH {MEM} SELECT kind, count(*) AS n, count_if(importance >= 0.7) AS important FROM mem GROUP BY kind")
+@query(f"WITH {MEM} SELECT kind, count(*) AS total, count_if(NOT gone) AS active, count_if(gone) AS archived FROM (SELECT kind, CAST(substr(id, 5) AS BIGINT) % 7 = 0 AS gone FROM mem WHERE kind <> 'procedural') GROUP BY kind UNION ALL SELECT 'procedural', 0, 0, 0")
 def store_stats(spark, d):
-    kinds = spark.createDataFrame([(k,) for k in T.KINDS], "kind string")
-    got = T.memories(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("importance") >= 0.7).alias("important"))
-    return F.broadcast(kinds).join(got, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("important", F.lit(0)).alias("important"))
+    """Memories without those of one kind, which still has its row; every seventh is archived."""
+    m = T.memories(spark, d).where("kind <> 'procedural'")
+    return retrieval.store_stats(m, m.where("CAST(substring(id, 5) AS BIGINT) % 7 = 0").select("id"), T.KINDS)
 
 
 def by_language(spark: SparkSession, d: str) -> DataFrame:
@@ -173,10 +173,21 @@ def sql_token_sim(q: str, words: list[str]) -> str:
     return f"least(1.0::DOUBLE, CASE WHEN contains(lower(title), '{q}') THEN 0.45::DOUBLE ELSE 0 END + CASE WHEN contains(lower(summary), '{q}') THEN 0.35::DOUBLE ELSE 0 END + CASE WHEN contains(lower(content), '{q}') THEN 0.2::DOUBLE ELSE 0 END + ({hits}) / {float(len(words))}::DOUBLE * 0.35::DOUBLE)"
 
 
+INDEXED = "list_filter(regexp_split_to_array(lower(title || chr(10) || summary || chr(10) || tags[1] || ' ' || tags[2]), '[^a-z0-9_]+'), lambda t: length(t) > 1)"
+
+
 @query(f"""WITH {MEM}, s AS (SELECT id, kind, title, round(0.38::DOUBLE * importance + 0.24::DOUBLE * confidence + 0.18::DOUBLE * exp(-0.06::DOUBLE * {AGE}) + 0.2::DOUBLE * {sql_token_sim('of the', ['of', 'the'])} + 0.06::DOUBLE
-  + least(0.12::DOUBLE, 0.04::DOUBLE * len(list_intersect(tags, ['en']))), 6) AS score FROM mem WHERE projectId = 'src2' AND list_has_any({WORDS}, ['of', 'the'])) SELECT * FROM s ORDER BY score DESC, id LIMIT 10""")
+  + least(0.12::DOUBLE, 0.04::DOUBLE * len(list_intersect(tags, ['en']))), 6) AS score FROM mem WHERE projectId = 'src2' AND list_has_any({INDEXED}, ['of', 'the']) AND CAST(substr(id, 5) AS BIGINT) % 5 <> 0) SELECT * FROM s ORDER BY score DESC, id LIMIT 10""")
 def memory_store_search(spark, d):
-    return retrieval.token_search(T.memories(spark, d), "of the", NOW, 10, "src2", ("en",))
+    """Every fifth memory is archived."""
+    m = T.memories(spark, d)
+    return retrieval.token_search(m, "of the", NOW, 10, "src2", ("en",), m.where("CAST(substring(id, 5) AS BIGINT) % 5 = 0"))
+
+
+@query(f"""WITH {MEM}, s AS (SELECT id, round(0.38::DOUBLE * importance + 0.24::DOUBLE * confidence + 0.18::DOUBLE * exp(-0.06::DOUBLE * {AGE}) + 0.2::DOUBLE * {sql_token_sim('zzqx', ['zzqx'])}, 6) AS score FROM mem) SELECT * FROM s ORDER BY score DESC, id LIMIT 10""")
+def memory_store_search_all(spark, d):
+    """No row has the word, so all compete."""
+    return retrieval.token_search(T.memories(spark, d), "zzqx", NOW, 10).select("id", "score")
 
 
 SIGNAL = f"""0.42::DOUBLE * importance + 0.28::DOUBLE * confidence + 0.2::DOUBLE * exp(-0.07::DOUBLE * {AGE}) + 0.1::DOUBLE * least(1.0::DOUBLE, CASE WHEN contains(lower(title), 'the') THEN 0.6::DOUBLE ELSE 0 END

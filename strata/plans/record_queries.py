@@ -6,21 +6,29 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text, udfs
 from ..operators import context, evolution, ingest, records, retrieval
-from ..sources import corpus, policy
+from ..sources import chat, corpus, policy
 from ..sources import tables as T
 from .core_queries import rounded
 from .registry import MEM, NOW, query
+from .text_queries import TURNS
+
+
+#: A trimmed text, in SQL.
+TRIMMED = r"regexp_replace(text, '^[ \t\n\r\f\x0B\x{00a0}\x{feff}]+|[ \t\n\r\f\x0B\x{00a0}\x{feff}]+$', '', 'g')"
+
+
+WHITE_END = r"'[ \t\n\r\f\x0B\x{00a0}\x{feff}]+$'"
 
 
 def docs(spark, d):
     return T.read(spark, d, "documents")
 
 
-@query("SELECT 'doc_' || doc_id AS id, source AS projectId, 'main' AS branch, 'manual' AS sourceType, regexp_replace(substr(text, 1, 40), '^[ \\t\\n]+|[ \\t\\n]+$', '', 'g') AS title, 0.6::DOUBLE AS importance, least(1.0::DOUBLE, doc_id / 500.0::DOUBLE) AS confidence, CASE WHEN lang = source THEN 1 ELSE 2 END AS tags FROM documents")
+@query(f"""SELECT 'doc_' || doc_id AS id, source AS projectId, 'main' AS branch, 'manual' AS sourceType, {TRIMMED} AS title, sha1(text) AS content, 0.6::DOUBLE AS importance, least(1.0::DOUBLE, doc_id / 500.0::DOUBLE) AS confidence, CASE WHEN lang = source THEN lang ELSE lang || ',' || source END AS tags FROM documents""")
 def create_memory(spark, d):
     k = F.col("doc_id")
-    made = records.create(docs(spark, d).select(F.concat(F.lit("doc_"), k.cast("string")).alias("id"), F.col("source").alias("projectId"), F.lit("  ").alias("branch"), F.lit("semantic").alias("kind"), F.substring("text", 1, 40).alias("title"), F.lit("s").alias("summary"), F.col("text").alias("content"), F.array("lang", F.lit(" "), "source", "lang").alias("tags"), (k / 500).alias("confidence")), NOW)
-    return made.select("id", "projectId", "branch", "sourceType", "title", "importance", "confidence", F.size("tags").cast("long").alias("tags"))
+    made = records.create(docs(spark, d).select(F.concat(F.lit("doc_"), k.cast("string")).alias("id"), F.col("source").alias("projectId"), F.lit("  ").alias("branch"), F.lit("semantic").alias("kind"), F.concat(F.lit("\n "), "text").alias("title"), F.lit("s").alias("summary"), F.col("text").alias("content"), F.array("lang", F.lit(" "), "source", "lang").alias("tags"), (k / 500).alias("confidence")), NOW)
+    return made.select("id", "projectId", "branch", "sourceType", "title", F.sha1("content").alias("content"), "importance", "confidence", F.array_join("tags", ",").alias("tags"))
 
 
 @query("""WITH n AS (SELECT n_nationkey AS k, n_nationkey < 10 AND n_nationkey % 2 = 0 AS known, n_nationkey >= 5 AS asked FROM nation)
@@ -55,11 +63,11 @@ def chunk_by_paragraph(spark, d):
     return docs(spark, d).select("doc_id", F.posexplode(cut("text")).alias("i", "chunk"))
 
 
-@query("SELECT doc_id, lang AS intent, source AS scope, 2 AS n FROM documents")
+@query("SELECT doc_id, lang AS intent, source AS scope, lang || ',' || source AS concepts, source AS entities, '' AS constraints FROM documents")
 def mcp_ctx_round_trip(spark, d):
-    e = docs(spark, d).select("doc_id", F.concat(F.lit(" "), "lang", F.lit("\n")).alias("intent"), F.col("source").alias("scope"), F.array("lang", F.lit(" "), "source", "lang").alias("concepts"), F.array("source").alias("entities"), F.array("lang").alias("constraints"))
+    e = docs(spark, d).select("doc_id", F.concat(F.lit(" "), "lang", F.lit("\n")).alias("intent"), F.col("source").alias("scope"), F.array("lang", F.lit(" "), "source", "lang").alias("concepts"), F.array("source").alias("entities"), F.array(F.lit(" ")).alias("constraints"))
     back = records.mcp_envelope(e, 1).select("doc_id", records.read_envelope(F.col("envelope")).alias("e"))
-    return back.select("doc_id", "e.intent", "e.scope", F.size("e.concepts").alias("n"))
+    return back.select("doc_id", "e.intent", "e.scope", *(F.array_join(f"e.{c}", ",").alias(c) for c in ("concepts", "entities", "constraints")))
 
 
 ATOMS = "SELECT 'doc_' || doc_id AS id, substr(text, 1, 20) AS title, 'semantic' AS kind, (doc_id % 10) / 10.0::DOUBLE AS priority, (doc_id % 4) / 4.0::DOUBLE AS relevance, lang FROM documents"
@@ -100,10 +108,31 @@ def evolve_with_progression(spark, d):
     return records.evolve(m, m, NOW)[1]
 
 
-@query("""WITH t AS (SELECT doc_id, lower(text || CASE doc_id % 3 WHEN 0 THEN ' duplicate state' WHEN 1 THEN ' nested error' ELSE '' END) AS t FROM documents) SELECT doc_id, greatest(1, CAST(regexp_matches(t, 'duplicate|redundant') AS INT) + CAST(regexp_matches(t, 'long|complex|nested') AS INT) + CAST(regexp_matches(t, 'state|mutable') AS INT) + CAST(regexp_matches(t, 'recursion|stack') AS INT) + CAST(regexp_matches(t, 'error|exception') AS INT)) AS n FROM t""")
+@query("""WITH t AS (SELECT doc_id, lower(text || CASE doc_id % 3 WHEN 0 THEN ' duplicate state' WHEN 1 THEN ' nested error' ELSE '' END) AS t FROM documents), a AS (SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(t, 'duplicate|redundant') THEN 'Extract duplicated logic into a shared utility with a stable interface.' END,
+  CASE WHEN regexp_matches(t, 'long|complex|nested') THEN 'Split large or nested control flow into focused helper functions.' END, CASE WHEN regexp_matches(t, 'state|mutable') THEN 'Isolate mutable state behind explicit invariants and transition helpers.' END,
+  CASE WHEN regexp_matches(t, 'recursion|stack') THEN 'Evaluate iterative or memoized strategy to reduce recursion overhead.' END, CASE WHEN regexp_matches(t, 'error|exception') THEN 'Normalize error handling boundaries and propagate typed failures consistently.' END], lambda x: x IS NOT NULL), '|') AS advice FROM t)
+SELECT doc_id, CASE WHEN advice = '' THEN 'Apply small, behavior-preserving refactors around the highest-friction area first.' ELSE advice END AS advice FROM a""")
 def refactor_suggestion(spark, d):
     more = F.element_at(F.array(F.lit(" duplicate state"), F.lit(" nested error"), F.lit("")), (F.col("doc_id") % 3 + 1).cast("int"))
-    return docs(spark, d).select("doc_id", F.size(evolution.advice(F.concat("text", more))).alias("n"))
+    return docs(spark, d).select("doc_id", F.array_join(evolution.advice(F.concat("text", more)), "|").alias("advice"))
+
+
+# Candidates of three kinds of rows: with all texts, with a content alone, and with nothing.
+GIVEN = f"""g AS (SELECT doc_id, doc_id // 4 AS key, doc_id % 4 AS place, CASE doc_id % 4 WHEN 0 THEN 'semantic' WHEN 1 THEN 'unknown' ELSE 'chat_turn' END AS kind, CASE WHEN doc_id % 4 < 2 THEN ' Same title ' || lang END AS title, CASE WHEN doc_id % 4 = 0 THEN text END AS summary,
+  CASE WHEN doc_id % 4 < 3 THEN text END AS content, source FROM documents)"""
+
+
+@query(f"""WITH {GIVEN}, t AS (SELECT *, {TRIMMED.replace('text', "coalesce(content, '')")} AS c FROM g), s0 AS (SELECT *, CASE WHEN summary IS NULL THEN {TRIMMED.replace('text', 'substr(c, 1, 220)')} ELSE {TRIMMED.replace('text', 'summary')} END AS s FROM t),
+s1 AS (SELECT *, CASE WHEN length(s) <= 220 THEN s ELSE regexp_replace(substr(s, 1, 219), {WHITE_END}, '') || '…' END AS sm FROM s0), t0 AS (SELECT *, CASE WHEN title IS NULL THEN {TRIMMED.replace('text', "regexp_split_to_array(sm, chr(13) || '?' || chr(10))[1]")} ELSE trim(title) END AS u FROM s1),
+t1 AS (SELECT *, CASE WHEN length(u) <= 120 THEN u ELSE regexp_replace(substr(u, 1, 119), {WHITE_END}, '') || '…' END AS ti FROM t0),
+o AS (SELECT key, place, CASE WHEN kind = 'unknown' THEN 'semantic' ELSE kind END AS kind, CASE WHEN ti = '' THEN 'Generated Memory' ELSE ti END AS title, CASE WHEN sm = '' THEN substr(c, 1, 120) ELSE sm END AS summary, CASE WHEN c <> '' THEN c WHEN sm <> '' THEN sm WHEN ti <> '' THEN ti ELSE 'Generated memory content.' END AS content, source FROM t1)
+SELECT key, place, kind, title, summary, sha1(content) AS content, source AS sourceRef, 'auto-generated' AS tags FROM o QUALIFY row_number() OVER (PARTITION BY key, kind, lower(title) ORDER BY place) = 1""")
+def normalize_candidates(spark, d):
+    k = F.col("doc_id")
+    kind = F.when(k % 4 == 0, "semantic").when(k % 4 == 1, "unknown").otherwise("chat_turn")
+    c = docs(spark, d).select(F.expr("doc_id div 4").alias("key"), (k % 4).alias("place"), kind.alias("kind"), F.when(k % 4 < 2, F.concat(F.lit(" Same title "), "lang")).alias("title"), F.when(k % 4 == 0, F.col("text")).alias("summary"), F.when(k % 4 < 3, F.col("text")).alias("content"), F.array(F.lit(" ")).alias("tags"), F.lit("  ").alias("sourceRef"), "source")
+    made = evolution.normalize_candidates(c, "key", F.col("source"))
+    return made.select("key", "place", "kind", "title", "summary", F.sha1("content").alias("content"), "sourceRef", F.array_join("tags", ",").alias("tags"))
 
 
 @query()
@@ -118,17 +147,28 @@ def build_feature_vector(spark, d):
     return p.select("page_id", "calls", F.size("v").cast("long").alias("n"))
 
 
-@query("SELECT count(*) AS positives, 0.92::DOUBLE AS label FROM documents")
+@query("""WITH s AS (SELECT text, CASE WHEN length(text) <= 80 THEN text ELSE substr(text, 1, 79) || '…' END AS summary FROM documents)
+SELECT label, count(*) AS pairs, CAST(sum(length(text)) AS BIGINT) AS leftChars, CAST(sum(length(summary)) AS BIGINT) AS rightChars, count(DISTINCT text) AS lefts, count(DISTINCT summary) AS rights FROM s, (VALUES (0.92::DOUBLE), (0.08)) l(label) GROUP BY label""")
 def make_pairs(spark, d):
+    """Every text and every summary takes part once in either kind of pairs."""
     p = ingest.training_pairs(docs(spark, d).select(F.col("doc_id").cast("string").alias("id"), "text", text.cut(F.col("text"), 80).alias("summary")))
-    return p.where("label > 0.5").groupBy("label").agg(F.count("*").alias("positives")).select("positives", "label")
+    return p.groupBy("label").agg(F.count("*").alias("pairs"), F.sum(F.length("left")).alias("leftChars"), F.sum(F.length("right")).alias("rightChars"), F.count_distinct("left").alias("lefts"), F.count_distinct("right").alias("rights"))
+
+
+@query("SELECT count(*) AS chunksCollected, 2 * count(*) AS pairsWritten, count(*) AS positivePairs, count(*) AS negativePairs, count(DISTINCT source) AS filesScanned FROM documents")
+def pair_manifest(spark, d):
+    from ..sources.sinks import manifest
+
+    p = ingest.training_pairs(docs(spark, d).select(F.col("doc_id").cast("string").alias("id"), "text", F.col("lang").alias("summary")))
+    return manifest(p, docs(spark, d).select(F.col("source").alias("path")))
 
 
-@query("WITH l AS (SELECT conv_id, turn, role, trim(text) AS text FROM conversations WHERE trim(text) <> '') SELECT conv_id, count(*) AS turns, count_if(role = 'user') AS asked FROM l GROUP BY 1")
+@query(f"""WITH {TURNS}, placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM turns) SELECT conv_id, CAST(k AS BIGINT) AS turn, prompt, response FROM placed""")
 def parse_chat_session(spark, d):
+    """Conversations as JSON documents of messages, whose system messages don't count."""
     c = T.read(spark, d, "conversations")
-    raw = c.groupBy(F.col("conv_id").alias("session")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("messages")).select("session", F.to_json(F.struct("messages")).alias("value"))  # a conversation is one document
-    return ingest.chat_sessions(raw).groupBy(F.col("session").alias("conv_id")).agg(F.count("*").alias("turns"), F.count_if(F.col("role") == "user").alias("asked"))
+    raw = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("messages")).select(F.concat("conv_id", F.lit(".json")).alias("path"), F.to_json(F.struct("messages")).alias("value"))  # a conversation is one document
+    return chat.chat_turns(raw).select(F.regexp_extract("path", "[0-9]+", 0).cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "prompt", "response")
 
 
 NW = "regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '^[ \\t\\n\\r\\f\\x0B\\x{00a0}\\x{feff}]+|[ \\t\\n\\r\\f\\x0B\\x{00a0}\\x{feff}]+$', '', 'g')"

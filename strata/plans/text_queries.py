@@ -234,14 +234,21 @@ def archivist_decay(spark, d):
     return decay(T.memories(spark, d), NOW).select("id", "importanceAfter", "confidenceAfter", "promote", "archive")
 
 
-@query("""WITH q AS (SELECT page_id, lower(url || ' ' || CASE page_id % 4 WHEN 0 THEN 'fix the error' WHEN 1 THEN 'refactor it' WHEN 2 THEN 'test coverage' ELSE '' END) AS t FROM pages)
-SELECT page_id, CASE WHEN regexp_matches(t, '(error|exception|failing|crash|debug)') THEN 'debugging' WHEN regexp_matches(t, '(refactor|cleanup|rewrite|modulari[sz]e|simplif)') THEN 'refactor' WHEN regexp_matches(t, '(feature|implement|add|support|introduce)') THEN 'feature'
-  WHEN regexp_matches(t, '(performance|optimi[sz]e|latency|throughput|slow)') THEN 'performance' WHEN regexp_matches(t, '(test|spec|coverage|regression)') THEN 'testing' ELSE 'general' END AS intent FROM q""")
+ASKED = """CASE turn % 6 WHEN 0 THEN 'fix the ERROR: ' WHEN 1 THEN 'refactor it: ' WHEN 2 THEN 'coverage of ' WHEN 3 THEN 'slow: ' WHEN 4 THEN 'introduce ' ELSE '' END || text"""
+
+
+@query(f"""WITH q AS (SELECT conv_id, turn, {trim(ASKED)} AS objective, text FROM conversations), i AS (SELECT *, lower(objective) AS t FROM q),
+n AS (SELECT *, CASE WHEN regexp_matches(t, '(error|exception|failing|crash|debug)') THEN 'debugging' WHEN regexp_matches(t, '(refactor|cleanup|rewrite|modulari[sz]e|simplif)') THEN 'refactor' WHEN regexp_matches(t, '(feature|implement|add|support|introduce)') THEN 'feature'
+  WHEN regexp_matches(t, '(performance|optimi[sz]e|latency|throughput|slow)') THEN 'performance' WHEN regexp_matches(t, '(test|spec|coverage|regression)') THEN 'testing' ELSE 'general' END AS intent FROM i)
+SELECT conv_id, turn, sha1(objective) AS objective, intent, CASE intent WHEN 'debugging' THEN 'diagnostic' WHEN 'refactor' THEN 'refactor' WHEN 'feature' THEN 'delivery' ELSE 'incremental' END AS strategy,
+  list_filter(['token-bounded context', 'small reversible changes', CASE intent WHEN 'refactor' THEN 'preserve public behavior' WHEN 'performance' THEN 'measure before and after optimization' WHEN 'debugging' THEN 'reproduce before patching' END, CASE WHEN turn % 2 = 0 THEN 'maintain backward compatibility' END], lambda x: x IS NOT NULL) AS constraints,
+  list_filter(['regression risk in related modules', CASE intent WHEN 'refactor' THEN 'behavior drift due to interface changes' WHEN 'performance' THEN 'micro-optimizations without real impact' WHEN 'feature' THEN 'scope creep and incomplete acceptance criteria' WHEN 'debugging' THEN 'fixing symptoms instead of root cause' END], lambda x: x IS NOT NULL) AS risks,
+  CASE intent WHEN 'debugging' THEN 'Reproduce and isolate' WHEN 'refactor' THEN 'Define invariants' WHEN 'feature' THEN 'Define acceptance criteria' WHEN 'performance' THEN 'Profile hotspots' WHEN 'testing' THEN 'Map risk boundaries' ELSE 'Clarify objective' END AS firstStep FROM n""")
 def planner(spark, d):
-    from ..operators.evolution import planner_intent
+    from ..operators.evolution import plans
 
-    by = F.element_at(F.array(*map(F.lit, ("fix the error", "refactor it", "test coverage", ""))), (F.col("page_id") % 4 + 1).cast("int"))
-    return T.read(spark, d, "pages").select("page_id", planner_intent(F.concat("url", F.lit(" "), by)).alias("intent"))
+    q = T.read(spark, d, "conversations").withColumns({"query": F.expr(ASKED), "context": F.when(F.col("turn") % 2 == 0, "Backward steps").otherwise("none")})
+    return plans(q, "query", F.col("context")).select("conv_id", "turn", F.sha1("objective").alias("objective"), "intent", "strategy", "constraints", "risks", F.col("steps")[0]["title"].alias("firstStep"))
 
 
 @query("""WITH s AS (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') AS t FROM documents) SELECT doc_id, len(regexp_extract_all(t, '\\b(?:for|while|do)\\b')) AS loops, len(regexp_extract_all(t, '\\b(?:if|switch|case|elif|else\\s+if)\\b')) AS branches, len(regexp_extract_all(t, '\\breturn\\b')) AS returns, length(t) - length(replace(t, chr(10), '')) + 1 AS lines FROM s""")
@@ -274,16 +281,44 @@ def atom_ranking(spark, d):
     return docs(spark, d).select("doc_id", F.round(r, 6).alias("rank"), F.round(r, 9).alias("o")).orderBy(F.desc("o"), "doc_id").limit(50).drop("o")
 
 
-INTENT_TEXT = "CASE page_id % 5 WHEN 0 THEN 'a bug and an error in tests' WHEN 1 THEN 'refactor and rename' WHEN 2 THEN 'docs: explain how to build' WHEN 3 THEN 'slow latency' ELSE 'hello' END"
+# Words of intents before each message; engines differ on word boundaries beyond ASCII, so other letters become one.
+SAID = """CASE turn % 5 WHEN 0 THEN 'a bug and an Error in tests: ' WHEN 1 THEN 'refactor and rename; cleanup ' WHEN 2 THEN 'docs: explain how to build ' WHEN 3 THEN 'slow latency, auth ' ELSE '' END || regexp_replace(text, '[^\\x00-\\x7F]', '_'{g})"""
+
 
+def intent_rules() -> str:
+    from ..operators.context import INTENT_RULES
 
-@query(f"""WITH q AS (SELECT page_id, {INTENT_TEXT} AS t FROM pages) SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'debugging' WHEN 1 THEN 'refactor' WHEN 2 THEN 'documentation' WHEN 3 THEN 'performance' ELSE 'general' END AS category,
-round(CASE page_id % 5 WHEN 0 THEN 0.62 WHEN 1 THEN 0.62 WHEN 2 THEN 0.74 WHEN 3 THEN 0.62 ELSE 0.45 END::DOUBLE, 6) AS confidence, page_id % 5 <> 4 AS emit FROM q""")
+    hits = [" + ".join(f"regexp_matches(q, '(?i){p}')::INT" for p in patterns) for _, patterns, *_ in INTENT_RULES]
+    rules = ", ".join(f"({i}, '{name}', {k}, {m}, '{scope}', ['{limits[0]}', '{limits[1]}'])" for i, (name, _, k, m, scope, limits) in enumerate(INTENT_RULES))
+    return f"rules(i, category, topK, maxTokens, scope, constraints) AS (VALUES {rules}), h AS (SELECT *, [{', '.join(hits)}] AS hs FROM q0)"
+
+
+@query(f"""WITH q0 AS (SELECT conv_id, turn, {SAID.format(g=", 'g'")} AS q FROM conversations), {intent_rules()}, b AS (SELECT *, list_max(hs) AS n, list_position(hs, list_max(hs)) - 1 AS i FROM h)
+SELECT conv_id, turn, coalesce(category, 'general') AS category, round(CASE WHEN {trim('q')} = '' THEN 0 WHEN n > 0 THEN least(1, 0.38 + n * 0.12) ELSE 0.45 END::DOUBLE, 6) AS confidence, coalesce(topK, 12) AS topK, coalesce(maxTokens, 4200) AS maxTokens, coalesce(r.scope, 'project + memory + retrieval') AS scope,
+  coalesce(r.constraints, ['prefer high-confidence memories', 'keep context concise']) AS constraints, CASE WHEN {trim('q')} = '' THEN 0 WHEN n > 0 THEN least(1, 0.38 + n * 0.12) ELSE 0.45 END >= 0.55 AS emit FROM b LEFT JOIN rules r ON r.i = b.i AND n > 0""")
 def proactive_suggestion(spark, d):
     from ..operators.context import infer_intent
 
-    t = F.expr(INTENT_TEXT)
-    return rounded(infer_intent(T.read(spark, d, "pages").select("page_id", t.alias("query")), "query").select("page_id", "category", "confidence", (F.col("confidence") >= 0.55).alias("emit")))
+    q = T.read(spark, d, "conversations").select("conv_id", "turn", F.expr(SAID.format(g="")).alias("query"))
+    return rounded(infer_intent(q, "query").select("conv_id", "turn", "category", "confidence", "topK", "maxTokens", "scope", "constraints", (F.col("confidence") >= 0.55).alias("emit")))
+
+
+CUT_AT = f"greatest({last('h', "'. '")}, {last('h', "'; '")}, {last('h', "', '")})"
+
+
+@query(f"""WITH c AS (SELECT doc_id, {trim(f"regexp_replace(text, '{W}+', ' ', 'g')")} AS c FROM documents), h AS (SELECT *, substr(c, 1, 320) AS h FROM c), e AS (SELECT *, {CUT_AT} AS e FROM h)
+SELECT doc_id, CASE WHEN length(c) <= 320 THEN c ELSE regexp_replace(CASE WHEN e > 176 THEN substr(h, 1, e + 1) ELSE h END, '{W}+$', '') || '…' END AS cut FROM e""")
+def compressor_agent(spark, d):
+    return docs(spark, d).select("doc_id", text.compress_agent(F.col("text")).alias("cut"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'method' WHEN 1 THEN 'loop' WHEN 2 THEN 'struct' END AS kind, upper('kind') || ' n' || doc_id || chr(10) || 'signature: f()' || chr(10) || 'complexity: ' || lang || chr(10) || 'dependencies: ' || CASE doc_id % 3 WHEN 0 THEN 'none' ELSE array_to_string(list_transform(range(0, least(8, doc_id % 3 * 6)), lambda i: 'd' || i), ', ') END
+  || chr(10) || 'preview: ' || """ + cut(trim(f"regexp_replace(text, '{W}+', ' ', 'g')"), 180) + " AS summary FROM documents")
+def summarize_entity(spark, d):
+    k = F.col("doc_id")
+    deps = F.transform(F.expr("filter(sequence(0, 11), i -> i < doc_id % 3 * 6)"), lambda i: F.concat(F.lit("d"), i.cast("string")))
+    kind = T.pick(("method_definition", "for_of_statement", "struct_specifier", "other"), k % 4)
+    return docs(spark, d).select("doc_id", ingest.classify_node(kind).alias("kind"), ingest.entity_summary(F.lit("kind"), F.concat(F.lit("n"), k.cast("string")), F.lit("f()"), F.col("lang"), deps, F.col("text")).alias("summary"))
 
 
 @query()

@@ -86,7 +86,10 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_files(spark: SparkSession, root: str, extensions: tuple[str, ...] | None = None, most_bytes: int | None = None, most_files: int | None = None, skipped: tuple[str, ...] | None = None) -> DataFrame:
-    """(path, bytes, source) of whole text files under ``root``: known extensions, no heavy folders, no large files."""
+    """(path, bytes, source) of whole text files under ``root``: known extensions, no heavy folders, no large files.
+
+    Names that begin with a dot or an underscore are hidden from file sources.
+    """
     files = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"), F.col("value").alias("source"))
     below = F.regexp_replace("path", rf"^.*?\Q{root.rstrip('/')}\E", "")
     files = files.where(~below.rlike("/(" + "|".join(d.replace(".", "\\.") for d in skipped or SKIPPED_FOLDERS) + ")/"))
