@@ -41,6 +41,14 @@ def struct_stats(source: Column) -> dict[str, Column]:
     }
 
 
+def code_summary(path: Column, stats: dict[str, Column], depth: Column, identifiers: Column, dependencies: Column) -> Column:
+    """A line about a piece of code: its counts, first identifiers and dependencies."""
+    counts = [("functions", stats["functions"]), ("classes", stats["classes"]), ("loops", stats["loops"]), ("branches", stats["branches"]), ("calls", stats["calls"]), ("imports", stats["imports"]), ("depth", depth), ("cyclomatic_proxy", stats["loops"] + stats["branches"] + 1)]
+    told = F.concat_ws(", ", *(F.concat(F.lit(f"{n}="), c.cast("string")) for n, c in counts))
+    some = lambda xs, n, none: F.when(F.size(xs) > 0, F.array_join(F.slice(xs, 1, n), ", ")).otherwise(none)
+    return F.concat(path, F.lit(": "), told, F.lit("; top_identifiers=["), some(identifiers, 6, "n/a"), F.lit("], dependencies=["), some(dependencies, 4, "none"), F.lit("]"))
+
+
 def parse_code(files: DataFrame, most: int = 1400) -> DataFrame:
     """A row per chunk of (path, source): index, title, content, tags; the i-th function or class names the i-th chunk."""
     f = code_facts(F.col("source"))

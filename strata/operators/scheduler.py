@@ -146,3 +146,44 @@ def newest_runs(runs: DataFrame, scope: str, limit: int) -> DataFrame:
     total = mine.agg(F.count("*").alias("total"))
     placed = newest.withColumn("place", F.row_number().over(Window.orderBy(F.desc("startedAt"), F.desc("runId"))).cast("long"))  # ``limit`` rows
     return placed.join(F.broadcast(total)).select("place", "runId", "outcome", "total")
+
+
+@dataclass
+class Loop:
+    """When a scheduler's next run is due; times in milliseconds, jitter given by the caller.
+
+    Failures since the last success lengthen the interval; a run that is due while another goes on is skipped and
+    counts neither as success nor as failure.
+    """
+
+    interval: int
+    multiplier: float = 2.0
+    longest: int = 3_600_000
+    on_start: bool = False
+    failures: int = 0
+    busy: bool = False
+
+    @classmethod
+    def resumed(cls, runs: DataFrame, scope: str, interval: int, **settings) -> Loop:
+        """With the failures that the history of a scope ends with."""
+        last = consecutive_failures(runs.where(F.col("schedulerScope") == scope)).first()
+        return cls(interval, failures=last["consecutiveFailures"] if last else 0, **settings)
+
+    def delay(self, jitter: int = 0) -> int:
+        """Until the next run: the interval, grown by failures up to the longest, at least a second."""
+        grown = min(float(self.longest), self.interval * self.multiplier ** max(0, self.failures - 1))
+        return max(1000, int(grown + jitter))
+
+    def first(self, jitter: int = 0) -> int:
+        return 0 if self.on_start else self.delay(jitter)
+
+    def begin(self) -> bool:
+        """Whether a run may start; False: it is skipped."""
+        free = not self.busy
+        self.busy = True
+        return free
+
+    def end(self, outcome: str) -> None:
+        self.busy = False
+        if outcome != "skipped":
+            self.failures = self.failures + 1 if outcome == "error" else 0

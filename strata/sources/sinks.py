@@ -85,3 +85,14 @@ def dashboard_text(parts: dict[str, DataFrame], now: int, scope: str | None = No
         *trend_lines("Global trend", of(None), points), "", *trend_lines(f"Scoped trend ({scope})" if scope else "Scoped trend", of(scope) if scope else [], points), "", "Per-project breakdown", *per_project,
     ]
     return "\n".join(lines)
+
+
+def prometheus(name: str, kind: str, what: str, rows: DataFrame, labels: list[str], value: str) -> str:
+    """A metric as text for a scraper: a line for each of its few label sets."""
+    escaped = lambda x: str(x).replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n")
+    told = lambda x: str(int(x)) if float(x).is_integer() else repr(float(x))
+    lines = [f"# HELP {name} {what}", f"# TYPE {name} {kind}"]
+    for r in (rows.orderBy(*labels) if labels else rows).collect():
+        at = ",".join(f'{n}="{escaped(r[n])}"' for n in labels)
+        lines.append(f"{name}{{{at}}} {told(r[value])}" if at else f"{name} {told(r[value])}")
+    return "\n".join(lines) + "\n"

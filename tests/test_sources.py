@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.functions import text
-from strata.operators import compaction, context, ingest, records, scheduler
+from strata.operators import agents, compaction, context, ingest, ngram, records, scheduler
 from strata.sources import corpus, options, policy, sinks
 from strata.sources import tables as T
 from strata.streaming.files import watch_files
@@ -127,3 +127,44 @@ def test_bundle(spark):
 @pytest.mark.parametrize(("value", "places", "want"), [(1.0, 2, "1.00"), (0.125, 2, "0.13"), (-3.5, 0, "-4")])
 def test_to_fixed(spark, value, places, want):
     assert spark.range(1).select(text.to_fixed(F.lit(value), places).alias("x")).first()["x"] == want
+
+
+def test_metrics_as_text(spark):
+    rows = spark.createDataFrame([("timer", "applied", 3, 0.5), ("manual", 'a"b', 1, 2.0)], "trigger string, outcome string, runs long, seconds double")
+    assert sinks.prometheus("runs_total", "counter", "Runs.", rows, ["trigger", "outcome"], "runs") == '# HELP runs_total Runs.\n# TYPE runs_total counter\nruns_total{trigger="manual",outcome="a\\"b"} 1\nruns_total{trigger="timer",outcome="applied"} 3\n'
+    assert sinks.prometheus("s", "gauge", "S.", rows.limit(1), [], "seconds").endswith("\ns 0.5\n")
+
+
+def test_scheduler_loop(spark):
+    loop = scheduler.Loop(1000, longest=5000)
+    waits = []
+    for outcome in ("error", "error", "error", "skipped", "error", "applied"):
+        waits.append(loop.delay())
+        assert loop.begin() and not loop.begin()
+        loop.end(outcome)
+    assert [*waits, loop.delay()] == [1000, 1000, 2000, 4000, 4000, 5000, 1000] and loop.first(5) == 1005 and scheduler.Loop(1000, on_start=True).first() == 0
+    runs = spark.createDataFrame([(1, "s", "applied", 1), (2, "s", "error", 2), (3, "s", "skipped", 3), (4, "s", "error", 4)], "runId long, schedulerScope string, outcome string, startedAt long")
+    assert scheduler.Loop.resumed(runs, "s", 1000).delay() == 2000 and scheduler.Loop.resumed(runs, "none", 1000).delay() == 1000
+
+
+def test_agents(spark):
+    t = spark.createDataFrame([(1, " Fix the error in state handling. Fix it\n\nfix IT\nfix it "), (2, "  "), (3, None)], "id int, text string")
+    got = {r["id"]: r for r in agents.loop(t).collect()}
+    assert got[1]["planner"]["intent"] == "debugging" and got[1]["writer"]["tags"] == ["bugfix"] and got[1]["compressor"]["compressed"] == "Fix the error in state handling. Fix it\nfix IT"
+    assert len(got[1]["refactor"]["recommendations"]) == 2 and got[1]["critic"]["novelty"] == 1.0
+    assert all(got[k][a] is None for k in (2, 3) for a in agents.AGENTS)
+    with pytest.raises(ValueError, match="nobody"):
+        agents.run_agent(t, "nobody")
+    c = spark.createDataFrame([("a", {"title": " ", "summary": "sum", "content": None, "tags": ["t", "t"], "confidence": 0.9}, [{"title": "n1", "summary": "near words"}, {"title": "n2", "summary": ""}])], "id string, candidate struct<title: string, summary: string, content: string, tags: array<string>, confidence: double>, neighbors array<struct<title: string, summary: string>>")
+    r = agents.consolidate_candidates(c).first()
+    assert (r["title"], r["summary"], r["content"], r["tags"]) == ("Generated Memory", "sum near words n2", "sum\n\nNeighbor overlap summary:\nnear words n2", ["t", "near", "words", "consolidated"]) and r["confidence"] == pytest.approx(0.94)
+    model = ngram.ephemeral("fix it now and then")
+    w = agents.write_candidates(t, model).orderBy("id").collect()
+    assert len(w) == 3 and w[0]["confidence"] == 0.72 and "mini-llm" in w[0]["tags"] and "Model-guided continuation:\n" in w[0]["content"] and w[1]["content"].startswith("generated memory candidate")
+
+
+def test_code_summary(spark):
+    src = "import x from 'y'\nfunction sum(a) { for (;;) { if (a) { b() } } }\n"
+    s = ingest.struct_stats(F.col("s"))
+    made = spark.createDataFrame([(src,)], "s string").select(ingest.code_summary(F.lit("a.ts"), s, F.lit(3), F.array(F.lit("sum")), F.array().cast("array<string>")).alias("x")).first()["x"]
+    assert made.startswith("a.ts: functions=1, classes=0, loops=1, branches=1, calls=") and made.endswith("depth=3, cyclomatic_proxy=3; top_identifiers=[sum], dependencies=[none]")
