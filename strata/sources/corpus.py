@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from ..operators.lineage import checkpointed
 
 # What a dataset text must mention anywhere, or look like, to count as technical.
 TECHNICAL = (
@@ -23,10 +24,21 @@ SKIPPED_FOLDERS = (".git", "node_modules", "dist", "build", "coverage", "out", "
 
 
 def project_corpus(files: DataFrame, budget: int = 2_000_000, least: int = 32, group: str = "projectId", order: str = "path", column: str = "source") -> DataFrame:
-    """Normalised texts of each project in order of path until ``budget`` characters; the last one is cut to fit."""
+    """Normalised texts of each project in order of path until ``budget`` characters; the last one is cut to fit, and
+    texts of one path count together.
+
+    Lengths alone are summed in order, over ranges of paths, so neither texts nor all of a project's rows meet in a task.
+    """
     clean = files.withColumn("snippet", text.normalize_whitespace(F.col(column))).where(F.length("snippet") >= least)
-    before = F.coalesce(F.sum(F.length("snippet")).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = clean.withColumn("before", before).where(F.col("before") < budget)
+    sizes = clean.groupBy(F.col(group).alias("g"), F.col(order).alias("o")).agg(F.sum(F.length("snippet")).alias("n"))
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = checkpointed(sizes.repartitionByRange(parts, "g", "o").withColumn("part", F.spark_partition_id()))
+    totals = ranged.groupBy("g", "part").agg(F.sum("n").alias("n"))  # a row per partition, and one more per project
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("g", "part").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    open_parts = totals.select(F.col("g").alias("og"), F.col("part").alias("op"), earlier.alias("earlier")).where(F.col("earlier") < budget)
+    before = ranged.join(open_parts, F.col("g").eqNullSafe(F.col("og")) & (F.col("part") == F.col("op"))).select("g", "o", (F.col("earlier") + within).alias("before")).where(F.col("before") < budget)
+    kept = clean.join(before, clean[group].eqNullSafe(before["g"]) & clean[order].eqNullSafe(before["o"])).drop("g", "o")
     return kept.withColumn("snippet", F.substr("snippet", F.lit(1), (F.lit(budget) - F.col("before")).cast("int"))).drop("before")
 
 

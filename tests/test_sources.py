@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,3 +169,19 @@ def test_code_summary(spark):
     s = ingest.struct_stats(F.col("s"))
     made = spark.createDataFrame([(src,)], "s string").select(ingest.code_summary(F.lit("a.ts"), s, F.lit(3), F.array(F.lit("sum")), F.array().cast("array<string>")).alias("x")).first()["x"]
     assert made.startswith("a.ts: functions=1, classes=0, loops=1, branches=1, calls=") and made.endswith("depth=3, cyclomatic_proxy=3; top_identifiers=[sum], dependencies=[none]")
+
+
+def test_corpus_of_a_project_ends_at_its_budget(spark):
+    rng = random.Random(4)
+    rows = [(f"p{i % 3}", f"f{i:03}", "w" * rng.randint(1, 90)) for i in range(200)] + [("p0", "f000", "v" * 50), (None, "x", "n" * 40)]
+    df = spark.createDataFrame(rows, "projectId string, path string, source string").repartition(5)
+    got = sorted((r["projectId"] or "", r["path"], r["snippet"]) for r in corpus.project_corpus(df, 1000, 32).collect())
+    want = []
+    for p in ("p0", "p1", "p2", None):
+        paths = sorted({r[1] for r in rows if r[0] == p})
+        used = 0
+        for path in paths:
+            mine = [r[2] for r in rows if r[0] == p and r[1] == path and len(r[2]) >= 32]
+            want += [(p or "", path, s[: 1000 - used]) for s in mine if used < 1000]
+            used += sum(map(len, mine))
+    assert got == sorted(want) and len(got) > 40
