@@ -10,7 +10,7 @@ from ..sources import chat, corpus, policy
 from ..sources import tables as T
 from .core_queries import rounded
 from .registry import MEM, NOW, query
-from .text_queries import TURNS
+from .text_queries import COMPRESSED, TURNS
 
 
 #: A trimmed text, in SQL.
@@ -46,21 +46,25 @@ def path_matcher(spark, d):
     return T.read(spark, d, "pages").select("page_id", policy.path_matches(F.col("url"), ["**/en/**"], ["*.html"]).alias("kept"))
 
 
-@query()
+@query("""WITH c AS (SELECT doc_id, unicode(unnest(string_split(text, ''))) AS code, unnest(range(0, length(text))) AS i FROM documents WHERE length(text) > 0), b AS (SELECT doc_id, i % 64 AS k, sum((code * (i + 17)) % 997 / 997.0::DOUBLE) AS v FROM c GROUP BY ALL),
+n AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM b GROUP BY 1) SELECT doc_id, round(coalesce(max(CASE WHEN k = 0 THEN v / n END), 0), 6) AS first, round(coalesce(max(CASE WHEN k = 40 THEN v / n END), 0), 6) AS later, round(sum(v / n), 5) AS total FROM b JOIN n USING (doc_id) GROUP BY doc_id""")
 def deterministic_embedding(spark, d):
-    e = docs(spark, d).select("doc_id", udfs.embedding(F.col("text"), 64).alias("v"))
-    return e.select("doc_id", F.round(F.col("v")[0], 6).alias("first"), F.round(scoring.norm(F.col("v")), 6).alias("norm"))
+    """Over texts within the basic plane, where characters are code units."""
+    e = docs(spark, d).where("length(text) > 0").select("doc_id", udfs.embedding(F.col("text"), 64).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return e.select("doc_id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[40], 6).alias("later"), F.round(total, 5).alias("total"))
 
 
 @query()
 def chunk_by_paragraph(spark, d):
+    """Sentences as paragraphs, since the texts have no blank lines."""
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("array<string>")
     def cut(v):
         return v.map(lambda x: udfs.paragraphs(x or ""))
 
-    return docs(spark, d).select("doc_id", F.posexplode(cut("text")).alias("i", "chunk"))
+    return docs(spark, d).select("doc_id", F.posexplode(cut(F.regexp_replace("text", r"\. ", ".\n\n"))).alias("i", "chunk"))
 
 
 @query("SELECT doc_id, lang AS intent, source AS scope, lang || ',' || source AS concepts, source AS entities, '' AS constraints FROM documents")
@@ -83,16 +87,29 @@ def render_atom(spark, d):
     return context.render_atoms(atoms(spark, d), "symbolic").select("id", "text")
 
 
-@query()
+FLAT_BODY = TRIMMED.replace("text", f"regexp_replace(body, {WHITE_END.replace('+$', '+')}, ' ', 'g')")
+
+
+@query(f"""WITH RECURSIVE a AS ({ATOMS}), m AS (SELECT a.*, 0.42::DOUBLE * priority + 0.22::DOUBLE * 0.5 + 0.28::DOUBLE * relevance + 0.08::DOUBLE AS rank, d.text AS body FROM a JOIN documents d ON a.id = 'doc_' || d.doc_id),
+t AS (SELECT *, row_number() OVER (ORDER BY rank DESC, id) AS i, CAST(greatest(1, ceil(length(title || chr(10) || body) / 4)) AS BIGINT) AS n FROM (SELECT * FROM m ORDER BY rank DESC, id LIMIT 60)),
+f(i, used, ok) AS (SELECT i, CASE WHEN n <= 2000 THEN n ELSE 0 END, n <= 2000 FROM t WHERE i = 1 UNION ALL SELECT t.i, CASE WHEN used + n <= 2000 THEN used + n ELSE used END, used + n <= 2000 FROM f JOIN t ON t.i = f.i + 1),
+c AS (SELECT t.*, {FLAT_BODY} AS flat FROM t JOIN f USING (i) WHERE ok ORDER BY i LIMIT 20)
+SELECT id, round(rank, 6) AS rank, '• ' || title || chr(10) || '  ' || CASE WHEN length(flat) <= 180 THEN flat ELSE substr(flat, 1, 179) || '…' END || chr(10) || '  tags: ' || lang AS text FROM c""")
 def resolve_context(spark, d):
-    return context.resolve_context(atoms(spark, d), "copilot").select("id", "rank", "text")
+    return context.resolve_context(atoms(spark, d), "copilot").select("id", F.round("rank", 6).alias("rank"), "text")
 
 
-@query()
+BODY = COMPRESSED.replace("text", "content")
+
+
+@query(f"""WITH {MEM}, s AS (SELECT *, CASE WHEN contains(lower(title), 'the') OR contains(lower(summary), 'the') THEN 0.82::DOUBLE ELSE 0.72::DOUBLE END AS similarity FROM mem WHERE contains(lower(title || chr(10) || summary || chr(10) || content), 'the')),
+t AS (SELECT *, 0.5::DOUBLE * similarity + 0.3::DOUBLE * importance + 0.2::DOUBLE * exp(-1e-8::DOUBLE * greatest(0, {NOW} - lastAccessedAt)) AS score FROM s), k AS (SELECT *, row_number() OVER (ORDER BY t.score DESC, id) AS place, {BODY} AS c FROM t QUALIFY place <= 12),
+p AS (SELECT place, '- ' || title || ': ' || CASE WHEN length(c) <= 240 THEN c ELSE substr(c, 1, 239) || '…' END AS body FROM k), r AS (SELECT *, sum(length(body) + 1) OVER (ORDER BY place) - 1 AS chars FROM p), u AS (SELECT * FROM r WHERE ceil(chars / 4) <= 700)
+SELECT string_agg(body, chr(10) ORDER BY place) AS context, count(*) AS used, 12 - count(*) AS dropped, CAST(ceil(length(string_agg(body, chr(10) ORDER BY place)) / 4) AS BIGINT) AS tokens FROM u""")
 def compile_context(spark, d):
     m = T.memories(spark, d)
     hits = retrieval.lexical_scores(m, "the", NOW).orderBy(F.desc("score"), "id").limit(12).select("id", "score", "title", "content")
-    return context.compile_context(hits)
+    return context.compile_context(hits, 1000)
 
 
 @query(f"""WITH {MEM}, s AS (SELECT *, CASE WHEN contains(lower(title), 'on') OR contains(lower(summary), 'on') THEN 0.82::DOUBLE WHEN contains(lower(content), 'on') THEN 0.72::DOUBLE ELSE 0.6::DOUBLE END AS similarity FROM mem WHERE contains(lower(title || chr(10) || summary || chr(10) || content), 'on')),
@@ -135,9 +152,14 @@ def normalize_candidates(spark, d):
     return made.select("key", "place", "kind", "title", "summary", F.sha1("content").alias("content"), "sourceRef", F.array_join("tags", ",").alias("tags"))
 
 
-@query()
+@query(f"""WITH c AS (SELECT doc_id, {TRIMMED} AS c, lower({TRIMMED}) AS l FROM documents), t AS (SELECT *, substr(regexp_split_to_array(c, '\\r?\\n')[1], 1, 72) AS t, array_to_string(list_filter([CASE WHEN regexp_matches(l, '(refactor|cleanup|rewrite)') THEN 'refactor' END, CASE WHEN regexp_matches(l, '(bug|fix|error|exception)') THEN 'bugfix' END,
+  CASE WHEN regexp_matches(l, '(optimi[sz]e|performance|latency)') THEN 'performance' END, CASE WHEN regexp_matches(l, '(test|spec|assert)') THEN 'testing' END, CASE WHEN contains(l, 'typescript') OR contains(l, 'node') OR regexp_matches(regexp_replace(l, '[^\\x00-\\x7F]', '_', 'g'), 'ts\\b') THEN 'typescript' END], lambda x: x IS NOT NULL), ',') AS g FROM c)
+SELECT doc_id, CASE WHEN t = '' THEN 'Untitled memory' ELSE t END AS title, CASE WHEN length(c) <= 180 THEN c ELSE substr(c, 1, 179) || '…' END AS summary, CASE WHEN g = '' THEN 'general' ELSE g END AS tags FROM t""")
 def writer_draft(spark, d):
-    return docs(spark, d).select("doc_id", *evolution.draft(F.col("text")))
+    # engines differ on word boundaries beyond ASCII, so the tags are those of a text without such letters
+    title, summary, _ = evolution.draft(F.col("text"))
+    tags = evolution.draft(F.regexp_replace("text", r"[^\x00-\x7F]", "_"))[2]
+    return docs(spark, d).select("doc_id", title, summary, F.array_join(tags, ",").alias("tags"))
 
 
 @query("SELECT page_id, len(regexp_extract_all(regexp_replace(html, '[^\\x00-\\x7F]', '_', 'g'), '\\b[A-Za-z_][A-Za-z0-9_]*\\s*\\(')) AS calls, 15 AS n FROM pages")

@@ -265,7 +265,9 @@ def pack_prefix(spark, d):
     return run(docs(spark, d), "source", "doc_id", "text", 2000).select("doc_id", "tokens")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT source, doc_id, CAST(greatest(1, ceil(length(text) / 4)) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id % 101 DESC, doc_id) AS i FROM documents),
+f(source, i, doc_id, tokens, used, accepted) AS (SELECT source, i, doc_id, tokens, CASE WHEN tokens <= 2000 THEN tokens ELSE 0 END, tokens <= 2000 FROM r WHERE i = 1
+  UNION ALL SELECT r.source, r.i, r.doc_id, r.tokens, CASE WHEN f.used + r.tokens <= 2000 THEN f.used + r.tokens ELSE f.used END, f.used + r.tokens <= 2000 FROM f JOIN r ON r.source = f.source AND r.i = f.i + 1) SELECT source, doc_id, tokens, accepted FROM f""")
 def pack_greedy(spark, d):
     from ..operators.context import pack_greedy as run
 

@@ -468,7 +468,7 @@ def test_store_of_branches_equals_dicts(spark):
     branches = spark.createDataFrame([("p", "release", "main", None, 1, 1), ("p", "feature", "release", None, 1, 1)], "projectId string, branch string, parentBranch string, forkedFromCommit string, createdAt long, updatedAt long")
     e = MemoryEngine(spark, empty, 0, branches=branches)
     long = "words that repeat " * 60
-    for now in range(10, 120, 10):
+    for now in range(10, 90, 10):
         branch = rng.choice(["main", "release", "feature"])
         keys = rng.sample("abcd", 2)
         e.now = now
@@ -484,7 +484,7 @@ def test_store_of_branches_equals_dicts(spark):
         e = e.having(store.Tables(*(spark.createDataFrame(x.collect(), x.schema) for x in (t.memories, t.overlays, t.tombstones, t.log, t.branches))))
     for b in ("main", "release", "feature"):
         assert {r["logicalId"]: r["content"] for r in e.view("p", b).collect()} == want.view(b)
-        for t in (5, 25, 55, 200):
+        for t in (25, 55):
             assert {r["logicalId"]: r["content"] for r in e.as_of("p", b, t).collect()} == want.at(b, t)
         assert {r["logicalId"] for r in e.list("p", branch=b).collect()} == set(want.view(b))
         for k in "abcd":
