@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,13 +51,13 @@ def code_summary(path: Column, stats: dict[str, Column], depth: Column, identifi
     return F.concat(path, F.lit(": "), told, F.lit("; top_identifiers=["), some(identifiers, 6, "n/a"), F.lit("], dependencies=["), some(dependencies, 4, "none"), F.lit("]"))
 
 
-def parse_code(files: DataFrame, most: int = 1400) -> DataFrame:
+def parse_code(files: DataFrame, most: int = 1400, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row per chunk of (path, source): index, title, content, tags; the i-th function or class names the i-th chunk."""
     f = code_facts(F.col("source"))
     named = files.select("*", F.concat(f["functions"], f["classes"]).alias("names"), f["complexityHint"].alias("hint"), text.detect_language(F.col("path")).alias("language"))
-    each = named.select("path", "names", "hint", "language", F.posexplode(text.fixed_chunks(F.col("source"), most)).alias("i", "content"))
+    each = named.select(*keep, "path", "names", "hint", "language", F.posexplode(text.fixed_chunks(F.col("source"), most)).alias("i", "content"))
     anchor = F.coalesce(F.get("names", F.col("i")), text.basename(F.col("path")))
-    return each.select("path", "i", F.concat(anchor, F.lit(" ["), (F.col("i") + 1).cast("string"), F.lit("]")).alias("title"), text.redact(F.col("content")).alias("content"), F.array("language", F.concat(F.lit("file:"), "path")).alias("tags"), F.when(F.size("names") > 0, 0.72).otherwise(0.58).alias("importance"), F.lit(0.7).alias("confidence"), hashing.stable_id("code", F.col("path"), F.col("i"), F.col("content")).alias("id"))
+    return each.select(*keep, "path", "i", F.concat(anchor, F.lit(" ["), (F.col("i") + 1).cast("string"), F.lit("]")).alias("title"), text.redact(F.col("content")).alias("content"), F.array("language", F.concat(F.lit("file:"), "path")).alias("tags"), F.when(F.size("names") > 0, 0.72).otherwise(0.58).alias("importance"), F.lit(0.7).alias("confidence"), hashing.stable_id("code", F.col("path"), F.col("i"), F.col("content")).alias("id"))
 
 
 def pair_turns(turns: DataFrame) -> DataFrame:
@@ -77,15 +79,16 @@ def pair_turns(turns: DataFrame) -> DataFrame:
 CHAT_TITLE, CHAT_TAGS, CHAT_FILES = "Copilot Interaction", ("copilot", "chat"), 25
 
 
-def chat_memories(turns: DataFrame, project: str = "default", ref: str = "conv_id") -> DataFrame:
+def chat_memories(turns: DataFrame, project: str | Column = "default", ref: str = "conv_id") -> DataFrame:
     """Turns (``ref``, turn, prompt, response, and timestamp and files if there are any) as redacted memories."""
+    project = F.lit(project) if isinstance(project, str) else project
     prompt, response = text.redact(F.col("prompt")), text.redact(F.col("response"))
     source = F.col(ref).cast("string")
     at = F.col("timestamp") if "timestamp" in turns.columns else F.lit(None)
     files = F.transform(F.slice("files", 1, CHAT_FILES), lambda f: F.concat(F.lit("file:"), text.trim(F.regexp_replace(f, r"\\", "/")))) if "files" in turns.columns else F.array().cast("array<string>")
     made = turns.withColumns({"__p": prompt, "__r": response}).where("__p <> '' OR __r <> ''")
     return made.select(
-        hashing.stable_id("chat", F.lit(project), source, F.col("turn"), at, F.col("prompt"), F.col("response")).alias("id"), F.lit(project).alias("projectId"), F.lit("chat_turn").alias("kind"), F.lit("chat").alias("sourceType"), F.lit(CHAT_TITLE).alias("title"),
+        hashing.stable_id("chat", project, source, F.col("turn"), at, F.col("prompt"), F.col("response")).alias("id"), project.alias("projectId"), F.lit("chat_turn").alias("kind"), F.lit("chat").alias("sourceType"), F.lit(CHAT_TITLE).alias("title"),
         text.cut(F.when(F.col("__p") != "", F.col("__p")).otherwise(F.col("__r")), 240).alias("summary"), text.trim(F.concat("__p", F.lit("\n\n---\n\n"), "__r")).alias("content"),
         F.slice(F.array_distinct(F.concat(F.array(*map(F.lit, CHAT_TAGS), F.concat(F.lit("chat-file:"), source)), files)), 1, 24).alias("tags"), F.lit(0.65).alias("importance"), F.lit(0.75).alias("confidence"), source.alias("sourceRef"),
     )
@@ -162,23 +165,53 @@ def training_pairs(chunks: DataFrame, key: str = "id", seed: int = 42) -> DataFr
     return own.unionByName(other)
 
 
-def run_ingestion(files: DataFrame, stored: DataFrame, memories: DataFrame, policy, now: int, force: bool = False) -> dict[str, DataFrame]:
-    """memories, fingerprints and one-row report after reading (projectId, path, bytes, source) under a policy:
-    unchanged sources are skipped, chunks redacted and stored, chunks that a changed source no longer has removed."""
+#: Columns that ingestion writes of a memory.
+INGESTED = ("id", "projectId", "kind", "sourceType", "title", "summary", "content", "tags", "importance", "confidence", "sourceRef")
+
+
+def run_ingestion(files: DataFrame, stored: DataFrame, memories: DataFrame, policy, now: int, force: bool = False, chats: DataFrame | None = None) -> dict[str, DataFrame]:
+    """memories, fingerprints and one-row report after reading code (projectId, path, bytes, source) and chats (projectId,
+    path, value) under a policy.
+
+    Sources whose fingerprint is stored are skipped unless forced; chunks and turns are redacted and stored; what a
+    source that was read no longer has is removed. Files that are too large count as scanned, and chats that can't be
+    parsed as errors. ``memories`` have ``INGESTED`` and any other columns.
+    """
+    from ..sources.chat import chat_turns, readable
     from ..sources.policy import extensions, path_matches
     from .records import upsert_fingerprints
     from .temporal import merge_rows
 
-    kept = files.where((F.col("bytes") <= policy.max_file_bytes) & path_matches(F.col("path"), policy.include, policy.exclude))
+    found = files.where(path_matches(F.col("path"), policy.include, policy.exclude))
     if policy.languages:
-        kept = kept.where(text.extension(F.col("path")).isin(*extensions(policy.languages)[0]))
-    prints = fingerprints(kept.withColumnRenamed("path", "sourceRef").withColumn("sourceType", F.lit("code")))
-    state = changed_sources(prints, stored)
-    work = state if force else state.where("state <> 'unchanged'")
-    chunks = parse_code(work.select("projectId", F.col("sourceRef").alias("path"), "source"))
-    fresh = chunks.select("id", F.lit("code_entity").alias("kind"), "title", "content", "tags", "importance", "confidence", F.col("path").alias("sourceRef"), F.lit(now).alias("createdAt"), F.lit(now).alias("lastAccessedAt"))
-    touched = memories.join(work.select("sourceRef").distinct(), "sourceRef", "left_semi")
-    gone = stale(touched, fresh, ["id"])
+        found = found.where(text.extension(F.col("path")).isin(*extensions(policy.languages)[0]))
+    read = found.where(F.col("bytes") <= policy.max_file_bytes).withColumnRenamed("path", "sourceRef").withColumn("sourceType", F.lit("code"))
+    prints = fingerprints(read)
+    keys = ("projectId", "sourceType", "sourceRef")
+    code = changed_sources(prints, stored, keys)
+    code_work = code if force else code.where("state <> 'unchanged'")
+    chunks = parse_code(code_work.select("projectId", F.col("sourceRef").alias("path"), "source"), keep=("projectId",))
+    facts = F.concat(F.lit("chunk "), (F.col("i") + 1).cast("string"), F.lit(" of "), "path")
+    fresh = chunks.select("id", "projectId", F.lit("code_entity").alias("kind"), F.lit("code").alias("sourceType"), "title", facts.alias("summary"), "content", "tags", "importance", "confidence", F.col("path").alias("sourceRef"))
+    none = chats if chats is not None else files.select("projectId", "path", F.lit("").alias("value")).limit(0)
+    talk = none.withColumnRenamed("path", "sourceRef").withColumns({"sourceType": F.lit("chat"), "contentHash": F.sha1(F.concat(F.lit("ingest-v2|chat|"), "value")), "ingestVersion": F.lit("ingest-v2")})
+    talk = changed_sources(talk, stored, keys)
+    talk_work = (talk if force else talk.where("state <> 'unchanged'")).withColumn("fine", readable(F.col("sourceRef"), F.col("value")))
+    turns = chat_turns(talk_work.where("fine"), "sourceRef", "value").withColumnRenamed("path", "ref").join(talk_work.select(F.col("sourceRef").alias("ref"), F.col("projectId").alias("project")), "ref")
+    said = chat_memories(turns, F.col("project"), "ref")
+    every = fresh.unionByName(said.select(*INGESTED))
+    done = code_work.select(*keys).unionByName(talk_work.where("fine").select(*keys))
+    touched = memories.join(done.distinct(), list(keys), "left_semi")
+    gone = stale(touched, every, ["id"])
     left = memories.join(gone.select("id"), "id", "left_anti")
-    report = state.agg(F.count("*").alias("filesScanned"), F.count_if(F.col("state") == "unchanged").alias("filesUnchanged")).crossJoin(fresh.agg(F.count("*").alias("chunksStored"))).crossJoin(gone.agg(F.count("*").alias("chunksStale")))  # one row each
-    return {"memories": merge_rows(left, fresh, ["id"]), "fingerprints": upsert_fingerprints(stored, prints.select("projectId", "sourceType", "sourceRef", "contentHash", "ingestVersion"), now), "report": report}
+    one = [
+        found.agg(F.count("*").alias("filesScanned")), code.agg(F.count_if(F.lit(not force) & (F.col("state") == "unchanged")).alias("codeFilesSkippedUnchanged")),
+        talk.agg(F.count("*").alias("chatFilesScanned"), F.count_if(F.lit(not force) & (F.col("state") == "unchanged")).alias("chatFilesSkippedUnchanged")),
+        fresh.agg(F.count("*").alias("codeChunks")), said.agg(F.count("*").alias("chatTurns")),
+        gone.agg(F.count("*").alias("staleMemoriesRemoved"), F.count_if(F.col("sourceType") == "code").alias("staleCodeMemoriesRemoved"), F.count_if(F.col("sourceType") == "chat").alias("staleChatMemoriesRemoved")),
+        talk_work.agg(F.sort_array(F.collect_list(F.when(~F.col("fine"), F.concat(F.lit("chat:"), "sourceRef")))).alias("errors")),
+    ]
+    report = reduce(DataFrame.crossJoin, one).withColumns({"memoriesStored": F.col("codeChunks") + F.col("chatTurns"), "ingestVersion": F.lit("ingest-v2"), "skipUnchanged": F.lit(not force)})  # one row each
+    kept_prints = prints.select(*keys, "contentHash", "ingestVersion").unionByName(talk_work.where("fine").select(*keys, "contentHash", "ingestVersion")).unionByName(talk.where("state = 'unchanged'").select(*keys, "contentHash", "ingestVersion")).distinct()
+    stamped = every.withColumns({"createdAt": F.lit(now), "lastAccessedAt": F.lit(now)})
+    return {"memories": merge_rows(left, stamped, ["id"]), "fingerprints": upsert_fingerprints(stored, kept_prints, now), "report": report}

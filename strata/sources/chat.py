@@ -11,7 +11,7 @@ from pathlib import Path
 from urllib.parse import unquote, urlparse
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Where transcripts lie in a workspace's storage, their extensions, and parts of an answer that aren't text.
@@ -164,6 +164,16 @@ def parsed(path: str, raw: str) -> object:
     return out
 
 
+def readable(path: Column, value: Column) -> Column:
+    """Whether a transcript can be parsed."""
+
+    @F.pandas_udf("boolean")
+    def run(names: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([parsed(n or "", v or "") is not None for n, v in zip(names, values, strict=True)], dtype="bool")
+
+    return run(path, value)
+
+
 def chat_turns(files: DataFrame, path: str = "path", value: str = "value") -> DataFrame:
     """(path, turn, prompt, response, timestamp, files) of whole transcripts, one per row; broken ones have none."""
 

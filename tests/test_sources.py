@@ -185,3 +185,33 @@ def test_corpus_of_a_project_ends_at_its_budget(spark):
             want += [(p or "", path, s[: 1000 - used]) for s in mine if used < 1000]
             used += sum(map(len, mine))
     assert got == sorted(want) and len(got) > 40
+
+
+def test_ingestion_skips_forces_and_removes(spark):
+    p = policy.Policy(include=["src/*"], exclude=["*.spec.ts"], languages=["typescript"], max_file_bytes=3000)
+    talk = json.dumps([{"role": "user", "content": "ask a.b@c.org"}, {"role": "assistant", "content": "told"}, {"role": "user", "content": "more"}])
+
+    def files(body):
+        rows = [("p", "src/a.ts", len(body), body), ("p", "src/b.spec.ts", 5, "let b"), ("p", "src/big.ts", 9999, "x"), ("p", "src/c.py", 3, "c=1")]
+        return spark.createDataFrame(rows, "projectId string, path string, bytes long, source string")
+
+    def chats(value):
+        return spark.createDataFrame([("p", "s.json", value), ("p", "bad.json", "{")], "projectId string, path string, value string")
+
+    def run(body, value, before=None, force=False):
+        prints, rows = before or (spark.createDataFrame([], "projectId string, sourceType string, sourceRef string, contentHash string, ingestVersion string, firstIngestedAt long, lastIngestedAt long"), spark.createDataFrame([], "id string, projectId string, kind string, sourceType string, title string, summary string, content string, tags array<string>, importance double, confidence double, sourceRef string, createdAt long, lastAccessedAt long"))
+        out = ingest.run_ingestion(files(body), prints, rows, p, 100, force, chats(value))
+        kept = [spark.createDataFrame(x.collect(), x.schema) for x in (out["fingerprints"], out["memories"])]
+        return out["report"].first().asDict(), kept
+
+    body = "function sum(a) { return a }\n" * 60
+    first, kept = run(body, talk)
+    assert first["filesScanned"] == 2 and first["codeChunks"] == 2 and first["chatTurns"] == 2 and first["memoriesStored"] == 4 and first["chatFilesScanned"] == 2 and first["errors"] == ["chat:bad.json"] and first["staleMemoriesRemoved"] == 0
+    rows = kept[1].collect()
+    assert len(rows) == 4 and {r["sourceType"] for r in rows} == {"code", "chat"} and not any("a.b@c.org" in r["content"] for r in rows) and {r["projectId"] for r in rows} == {"p"}
+    again, kept2 = run(body, talk, kept)
+    assert (again["codeFilesSkippedUnchanged"], again["chatFilesSkippedUnchanged"], again["memoriesStored"], again["staleMemoriesRemoved"]) == (1, 1, 0, 0) and kept2[1].count() == 4
+    forced, kept3 = run(body, talk, kept2, True)
+    assert (forced["codeFilesSkippedUnchanged"], forced["memoriesStored"], forced["staleMemoriesRemoved"]) == (0, 4, 0) and kept3[1].count() == 4
+    changed, kept4 = run(body[: 29 * 40], json.dumps([{"role": "user", "content": "new"}]), kept3)
+    assert changed["staleCodeMemoriesRemoved"] >= 1 and changed["staleChatMemoriesRemoved"] == 2 and kept4[1].count() == changed["memoriesStored"] == 2
