@@ -99,6 +99,25 @@ def decay(memories: DataFrame, now: int) -> DataFrame:
     return after.withColumns({"promote": (i >= 0.82) & (c >= 0.82), "archive": (i < 0.22) & (c < 0.45) & ~F.col("protected")})
 
 
+PROMOTED = "promoted"
+
+
+def settle(reviewed: DataFrame, now: int) -> DataFrame:
+    """Reviewed candidates (id, projectId, kind, title, summary, content, tags, action, score, clarity) as memories to
+    store: rejected ones drop; those to compress are shortened; importance and confidence are score and clarity after
+    ageing; promoted ones get at least 0.9 and a tag; ``stored`` is false for those that are archived at once."""
+    short = F.col("action") == "compress"
+    kept = reviewed.where(F.col("action") != "reject")
+    made = kept.withColumns({
+        "summary": F.when(short, text.compress_agent(F.col("summary"), 180)).otherwise(F.col("summary")), "content": F.when(short, text.compress_agent(F.col("content"), 1200, True)).otherwise(F.col("content")),
+        "importance": scoring.clamp01(F.col("score")), "confidence": scoring.clamp01(F.col("clarity")), "createdAt": F.lit(now), "lastAccessedAt": F.lit(now), "sourceType": F.lit("system"),
+    })
+    aged = decay(made, now)
+    importance = F.when(F.col("promote"), F.greatest(F.col("importanceAfter"), F.lit(0.9))).otherwise(F.col("importanceAfter"))
+    tags = F.when(F.col("promote"), F.array_distinct(F.concat("tags", F.array(F.lit(PROMOTED))))).otherwise(F.col("tags"))
+    return aged.withColumns({"importance": importance, "confidence": F.col("confidenceAfter"), "tags": tags, "stored": ~F.col("archive")}).drop("importanceAfter", "confidenceAfter", "protected", "archive")
+
+
 def planner_intent(query: Column) -> Column:
     q = F.lower(query)
     out = F.when(q.rlike(INTENTS[0][1]), INTENTS[0][0])

@@ -12,6 +12,7 @@ from ..operators import compaction, evolution, records, scheduler, store
 from ..sources import tables as T
 from .core_queries import rounded
 from .registry import MEM, MID_MS, NOW, RUNS, WRITES, query
+from .text_queries import CUT_AT
 
 P, B = "p0", "feature"
 
@@ -282,6 +283,24 @@ def critic_ngram(spark, d):
     return rounded(made.select("doc_id", "r.score", "r.novelty", "r.clarity", "r.action", "r.mergeKey"))
 
 
+SHORT = "regexp_replace(CASE WHEN e > 99 THEN substr(h, 1, e + 1) ELSE h END, '[ \\t\\n\\r]+$', '') || '…'"
+
+
+@query(f"""WITH {CANDIDATE}, r AS (SELECT doc_id, title, summary, ((novelty * 0.62::DOUBLE + c1 * 0.38::DOUBLE) + (novelty * 0.6::DOUBLE + c2 * 0.4::DOUBLE)) / 2 AS score, (c1 + c2) / 2 AS clarity, doc_id % 4 AS k FROM v),
+a AS (SELECT *, {ACTION} AS action, CASE k WHEN 0 THEN 'code_entity' WHEN 1 THEN 'procedural' ELSE 'semantic' END AS kind, substr(summary, 1, 180) AS h FROM r), e AS (SELECT *, {CUT_AT} AS e FROM a WHERE score >= 0.42),
+f AS (SELECT *, round(least(1, score + CASE k WHEN 0 THEN 0.03 WHEN 1 THEN 0.02 ELSE 0 END + CASE WHEN clarity >= 0.85 THEN 0.02 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 0.08 ELSE 0 END), 4)::DOUBLE AS i, round(clarity, 4)::DOUBLE AS c FROM e)
+SELECT doc_id AS id, action, CASE WHEN action <> 'compress' OR length(summary) <= 180 THEN summary ELSE {SHORT} END AS summary, CASE WHEN i >= 0.82 AND c >= 0.82 THEN greatest(i, 0.9::DOUBLE) ELSE i END AS importance, c AS confidence, CASE WHEN doc_id % 5 = 0 THEN 'Keep' ELSE 'x' END || CASE WHEN i >= 0.82 AND c >= 0.82 THEN ',promoted' ELSE '' END AS tags,
+  NOT (i < 0.22 AND c < 0.45 AND doc_id % 5 <> 0) AS stored FROM f""")
+def settle_candidates(spark, d):
+    """Reviewed candidates as what is stored; every fifth has a tag that protects it."""
+    k = F.col("doc_id")
+    r = candidates(spark, d).withColumn("r", evolution.critic_fallback(F.col("title"), F.col("summary"), F.col("snippets")))
+    kind = F.when(k % 4 == 0, "code_entity").when(k % 4 == 1, "procedural").otherwise("semantic")
+    made = r.select(k.alias("id"), F.lit(P).alias("projectId"), kind.alias("kind"), "title", "summary", F.col("summary").alias("content"), F.array(F.when(k % 5 == 0, "Keep").otherwise("x")).alias("tags"), "r.action", "r.score", "r.clarity")
+    out = evolution.settle(made, NOW)
+    return out.select("id", "action", "summary", "importance", "confidence", F.array_join("tags", ",").alias("tags"), "stored")
+
+
 @query("""WITH b(branch, createdAt) AS (SELECT 'b' || n_nationkey, n_nationkey % 4 FROM nation) SELECT branch, createdAt, row_number() OVER (ORDER BY createdAt, branch) AS place FROM b""")
 def list_branches(spark, d):
     k = F.col("n_nationkey")
