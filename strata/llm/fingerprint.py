@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import columns_of, pieces, text_batches
+from .shared import columns_of, parts_of, pieces, text_batches
 
 BUCKETS = 256
 #: The most the length codes may add to a difference, and the most bucket codes can.
@@ -137,7 +137,8 @@ def edit_likeness(documents: DataFrame, key: str = "doc_id", text: str = "text",
     next. Null texts are empty, texts of any length are used whole; an empty table gives no rows; other columns
     are ignored. Keys are integers.
     """
-    spark = text_batches(documents).sparkSession
+    documents = text_batches(documents)
+    spark = documents.sparkSession
     parallel = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     whole = documents.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     sizes = whole.select("key", (F.octet_length("text") + 1).cast("long").alias("bytes"))
@@ -194,5 +195,5 @@ def edit_likeness(documents: DataFrame, key: str = "doc_id", text: str = "text",
                 yield batch_out()
 
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("n_chars", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())])
-    made = dealt.select("key", "text", "to", "copy").mapInArrow(run, schema)
+    made = dealt.select("key", "text", "to", "copy").coalesce(parts_of(documents)).mapInArrow(run, schema)
     return made.withColumn("key", F.col("key").cast(documents.schema[key].dataType)).withColumnRenamed("key", key)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import columns_of, lowered, pieces, text_batches, written
+from .shared import columns_of, lowered, parts_of, pieces, text_batches, written
 from .words import WORD, forgetting, hashes_of, shingles
 
 #: Rows, and bytes of sets, in a block of a group.
@@ -140,7 +140,7 @@ def links_of(tasks: DataFrame, k: int | None, percent: int) -> DataFrame:
     return tasks.repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j", "key").mapInArrow(run, "a long, b long")
 
 
-def listed_groups(rows: DataFrame, needed: Column) -> DataFrame:
+def listed_groups(rows: DataFrame, needed: Column, parts: int | None = None) -> DataFrame:
     """(g, key): smaller groups of rows (g, key, n, values) that may hold similar pairs.
 
     Rows of one group that are similar share ``needed`` of their n values at least, so they share one of the
@@ -153,19 +153,19 @@ def listed_groups(rows: DataFrame, needed: Column) -> DataFrame:
     # values that no other has are the rarest; they take the first places and list nobody
     places = F.col("n") - needed + 1 - (F.col("n") - F.size("s"))
     entries = listed.where(places > 0).select("g", "key", F.explode(F.slice("s", F.lit(1), places)).alias("x")).select("g", "key", F.col("x.v").alias("v"))
-    entries = written(entries, "entries")
+    entries = written(entries, "entries", parts)
     leaders = entries.groupBy("g", "v").agg(F.min(F.struct(F.xxhash64("key").alias("h"), F.col("key").alias("k"))).alias("m"), F.count("*").alias("c")).where("c > 1").select("g", "v", F.xxhash64("g", "m.k").alias("leader"))
     return entries.join(leaders, ["g", "v"]).select(F.col("leader").alias("g"), "key").distinct()
 
 
-def candidates(sketched: DataFrame, k: int | None, percent: int) -> DataFrame:
+def candidates(sketched: DataFrame, k: int | None, percent: int, parts: int | None = None) -> DataFrame:
     """(g, key): groups of classes that may hold similar pairs, from inverted lists of retained values."""
     n = F.size("sketch")
     share = 50 if k else percent  # whole sets share as many values as asked; two sketches about half of them
-    return listed_groups(sketched.select(F.lit(0).cast("long").alias("g"), "key", n.alias("n"), F.col("sketch").alias("values")), F.ceil(F.col("n") * share / 100).cast("int"))
+    return listed_groups(sketched.select(F.lit(0).cast("long").alias("g"), "key", n.alias("n"), F.col("sketch").alias("values")), F.ceil(F.col("n") * share / 100).cast("int"), parts)
 
 
-def narrowed(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def narrowed(many: DataFrame, sets: DataFrame, percent: int, parts: int | None = None) -> DataFrame:
     """(g, key): rows (g, key, outer) of large groups in the groups that the rarest values of their whole sets make.
 
     A template that many rows have is among the rarest values only of rows that have little else. Groups without
@@ -178,7 +178,7 @@ def narrowed(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in made], pa.int32()), pa.array(made, pa.list_(pa.int64()))], ["g", "key", "n", "values"])
 
     rows = many.select("g", "key").join(sets, "key").select("g", "key", "set").mapInArrow(run, "g long, key long, n int, values array<long>")
-    groups = written(listed_groups(rows, F.ceil(F.col("n") * percent / 100).cast("int")), "narrowed")
+    groups = written(listed_groups(rows, F.ceil(F.col("n") * percent / 100).cast("int"), parts), "narrowed", parts)
     outer = groups.join(many.where("outer").select("key").distinct(), "key").select("g").distinct()
     return groups.join(outer, "g", "left_semi")
 
@@ -201,32 +201,32 @@ def full_sets(documents: DataFrame, wanted: DataFrame, key: str, text: str, n: i
     return slim.mapInArrow(forgetting(run), "key long, set binary").where(F.octet_length("set") > 0).dropDuplicates(["key"])
 
 
-def similar_links(documents: DataFrame, sketched: DataFrame, key: str, text: str, n: int, k: int | None, percent: int) -> DataFrame:
+def similar_links(documents: DataFrame, sketched: DataFrame, key: str, text: str, n: int, k: int | None, percent: int, parts: int | None = None) -> DataFrame:
     """(node, component) of the classes that are linked with another."""
-    groups = written(candidates(sketched, k, percent), "groups")
-    sets = written(full_sets(documents, groups.select("key").distinct(), key, text, n), "sets")
+    groups = written(candidates(sketched, k, percent, parts), "groups", parts)
+    sets = written(full_sets(documents, groups.select("key").distinct(), key, text, n), "sets", parts)
     sized = groups.join(sets.select("key", F.octet_length("set").alias("bytes")), "key")
     sizes = sized.groupBy("g").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")).where("rows > 1")
     blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     placed = groups.join(sizes.select("g", blocks.alias("nb")), "g").withColumn("block", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
-    placed = written(placed, "placed")
+    placed = written(placed, "placed", parts)
     # each block with itself; the first also with every other
     first = F.when(F.col("block") == 0, F.array_union(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))), F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.lit(0).alias("i"), j.alias("j"))))).otherwise(F.array(F.struct(F.col("block").alias("i"), F.col("block").alias("j")), F.struct(F.lit(0).alias("i"), F.col("block").alias("j"))))
     tasks = placed.select("g", "key", F.explode(first).alias("t")).select("g", "t.i", "t.j", "key", F.col("key").alias("label"), F.lit(True).alias("outer"))
-    links = written(links_of(tasks.join(sets, "key"), k, percent), "links")
-    found = components(links)
+    links = written(links_of(tasks.join(sets, "key"), k, percent), "links", parts)
+    found = components(links, parts=parts or 1 << 30)
     many = placed.where("nb > 2").select("g", "key")
     if many.isEmpty():
         return found
-    found = written(found, "found")
+    found = written(found, "found", parts)
     label = found.withColumnRenamed("node", "key").withColumnRenamed("component", "label")
-    outside = written(with_outer(many, label), "outside")
+    outside = written(with_outer(many, label), "outside", parts)
     counts = block_counts(outside)
     several = outside.join(counts.where(F.col("no") > FEW).select("g"), "g", "left_semi")
     small = outside.join(counts.where(F.col("no") <= FEW).select("g"), "g", "left_semi")
     if not several.isEmpty():
-        small = small.unionByName(with_outer(narrowed(several, sets, percent), label))
-    small = written(small, "again")
+        small = small.unionByName(with_outer(narrowed(several, sets, percent, parts), label))
+    small = written(small, "again", parts)
     counts = block_counts(small)
     labelled = small.join(counts, "g").withColumns({"block": F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"), "own": F.pmod(F.xxhash64("key"), F.col("no")).cast("int")})
     # outer block i meets every outer block and every block of the main component
@@ -236,7 +236,7 @@ def similar_links(documents: DataFrame, sketched: DataFrame, key: str, text: str
     again = labelled.select("g", "key", "label", "outer", F.explode(F.when(F.col("outer"), F.concat(with_own, with_main)).otherwise(as_main)).alias("t")).select("g", "t.i", "t.j", "key", "label", "outer")
     more = links_of(again.join(sets, "key"), k, percent)
     stars = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return components(more.unionByName(stars))
+    return components(more.unionByName(stars), parts=parts or 1 << 30)
 
 
 def block_counts(rows: DataFrame) -> DataFrame:
@@ -265,12 +265,14 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     With ``k`` None whole sets are listed and no link is lost, at the price of larger lists. Texts of any length
     are used whole.
     """
-    sketched = written(sketches(text_batches(documents), key, text, n, k), "sketches")
-    classes = written(sketched.where("set_id IS NOT NULL AND key IS NOT NULL").groupBy("set_id").agg(F.min("key").alias("class")), "classes")
+    documents = text_batches(documents)
+    parts = parts_of(documents)
+    sketched = written(sketches(documents, key, text, n, k), "sketches")
+    classes = written(sketched.where("set_id IS NOT NULL AND key IS NOT NULL").groupBy("set_id").agg(F.min("key").alias("class")), "classes", parts)
     members = sketched.select("key", "size", "set_id").join(classes, "set_id", "left")
     of_class = classes.select(F.col("class").alias("key"))
-    found = similar_links(documents, sketched.join(of_class, "key", "left_semi").dropDuplicates(["key"]), key, text, n, k, percent)
+    found = similar_links(documents, sketched.join(of_class, "key", "left_semi").dropDuplicates(["key"]), key, text, n, k, percent, parts)
     labelled = members.join(found.select(F.col("node").alias("class"), "component"), "class", "left")
     component = F.coalesce("component", "class", "key").alias("component_id")
     out = labelled.select("key", F.col("size").alias("n_shingles"), component)
-    return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)).alias("kept")).coalesce(parts)

@@ -134,7 +134,8 @@ def pack(documents: DataFrame, path: str, key: str = "doc_id", text: str = "text
     whole. Rows with equal or null keys are documents of their own; other columns, whatever their names, are
     ignored; an empty table gives no rows.
     """
-    key_type = text_batches(documents).schema[key].dataType.simpleString()
+    documents = text_batches(documents)
+    key_type = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = pretokenizer(path).ids

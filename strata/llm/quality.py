@@ -184,13 +184,13 @@ def feature_rows(texts: DataFrame, *keep: str) -> DataFrame:
             x = [features(t) for t in columns_of(batch, "text")[0]]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(x, pa.list_(pa.float64()))], [*keep, "x"])
 
-    kinds = dict(text_batches(texts).dtypes)
+    kinds = dict(texts.dtypes)
     return texts.mapInArrow(forgetting(run), ", ".join(f"{c} {kinds[c]}" for c in keep) + ", x array<double>")
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", most_rows: int = 20_000) -> Model:
     """A model fitted on at most ``most_rows`` labelled rows, none of them held out; only features reach the driver."""
-    rows = feature_rows(sample(documents, labels, label, key, text, most_rows), "key", "label").orderBy("key").collect()
+    rows = feature_rows(sample(text_batches(documents), labels, label, key, text, most_rows), "key", "label").orderBy("key").collect()
     x = np.array([r["x"] for r in rows], float).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([r["label"] for r in rows], float))
 
@@ -207,6 +207,7 @@ def quality_scores(documents: DataFrame, model: Model, key: str = "doc_id", text
             x = np.array([features(t) for t in columns_of(batch, "text")[0]], float).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["key", "score"])
 
-    kind = text_batches(documents).schema[key].dataType.simpleString()
+    documents = text_batches(documents)
+    kind = documents.schema[key].dataType.simpleString()
     scored = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(forgetting(run), f"key {kind}, score double")
     return scored.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -32,8 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH_BYTES = 4 << 20
 
 
+#: Bytes of input for a partition, as long as there are three for each core.
+PART_BYTES = 16 << 20
+
+
+def parts_of(df: DataFrame) -> int:
+    """How many partitions a table of this size needs at most; small ones in many parts make many tiny files."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(1 << 30, max(3 * df.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES)))
+
+
 def text_batches(df: DataFrame) -> DataFrame:
-    """``df``, after the session's Arrow batches have been limited to ``BATCH_BYTES``, if they were larger.
+    """``df`` in no more partitions than it needs, after the session's Arrow batches have been limited to
+    ``BATCH_BYTES``, if they were larger.
 
     A longer text travels alone and whole. The setting is read when a query starts, so it stays.
     """
@@ -42,15 +53,17 @@ def text_batches(df: DataFrame) -> DataFrame:
     factor = {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
     if not now or not 0 < int(now[1]) * factor[now[2]] <= BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
-    return df
+    return df.coalesce(parts_of(df))
 
 
 #: Paths of the tables that ``written`` has made in this process, in order.
 MADE: list[str] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage and outlives executors; see ``remove_written``."""
+def written(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """``df`` as a Parquet table of at most ``parts`` files in the shared folder: cuts lineage and outlives executors;
+    see ``remove_written``."""
+    df = df.coalesce(parts) if parts else df
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strata-{name}-{uuid.uuid4().hex}"
     MADE.append(path)

@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import columns_of, fresh, pieces, text_batches, written
+from .shared import columns_of, fresh, parts_of, pieces, text_batches, written
 from .words import WORD, forgetting, hashes_of, run_hashes
 
 GRAM = 16
 #: Suffixes with the same start that one task sorts: some 20 MB.
 HOT = 1 << 15
+#: Suffixes times words to the left that are compared at once.
+AT_ONCE = 1 << 16
 #: Windows whose minimisers are sought at a time.
 CHUNK = 1 << 15
 
@@ -99,31 +101,38 @@ def repeated_contexts(contexts: list[tuple[int, int, bytes]], places: list[list[
     most, least = (np.array([c[i] for c in contexts]) for i in (0, 1))
     least_key, most_key = (np.array([p[i][0] for p in places], np.int64) for i in (0, -1))
     many = np.array([len(p) > 1 for p in places])
-    # for each number of words to the left: runs of suffixes that agree far enough to the right, extended to the
-    # left by a hash of so many words; one number at a time, so that memory grows with the contexts alone
-    of = np.full((n, int(most.max()) + 1), -1, np.int32)
+    # runs of suffixes that agree far enough to the right, for each number of words to the left, extended to the left
+    # by a hash of so many words; as many numbers at once as there is room for
+    wide = int(most.max()) + 1
+    of = np.full((n, wide), -1, np.int32)
+    lefts = np.arange(wide, dtype=np.uint64)
+    before = np.zeros((n, min(wide, max(1, AT_ONCE // n))), np.uint64)  # words to the left, by their distance
     left = np.zeros(n, np.uint64)
-    for by in range(of.shape[1]):
-        if by:
-            reach = np.flatnonzero(most >= by)
-            word = np.fromiter((arrays[k][contexts[k][0] - by] for k in reach.tolist()), np.uint64, len(reach))
-            left[reach] += word * np.uint64(2 * by + 1) * np.uint64(0x9E3779B97F4A7C15)
-        run = np.empty(n, np.uint64)
-        run[order] = np.cumsum(agree < length - by)
-        inside = np.flatnonzero((least <= by) & (by <= most))
-        if not len(inside):
+    for low in range(0, wide, before.shape[1]):
+        by = lefts[low : low + before.shape[1]]
+        before[:] = 0
+        for k in np.flatnonzero(most >= max(1, low)).tolist():
+            nearest, furthest = max(1, low), min(int(most[k]), low + before.shape[1] - 1)
+            before[k, nearest - low : furthest - low + 1] = arrays[k][most[k] - furthest : most[k] - nearest + 1][::-1]
+        sums = left[:, None] + np.cumsum(before[:, : len(by)] * (2 * by + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), axis=1)
+        left = sums[:, -1].copy()
+        run = np.empty(sums.shape, np.uint64)
+        run[order] = np.cumsum(agree[:, None] < length - by.astype(np.int64), axis=0)
+        inside = (least[:, None] <= by.astype(np.int64)) & (by.astype(np.int64) <= most[:, None])
+        if not inside.any():
             continue
-        key = (left ^ run * np.uint64(0xBF58476D1CE4E5B9)) * np.uint64(0x94D049BB133111EB)
+        rows = np.broadcast_to(np.arange(n)[:, None], inside.shape)[inside]
+        key = ((sums ^ run * np.uint64(0xBF58476D1CE4E5B9)) * np.uint64(0x94D049BB133111EB) + by)[inside]
         # np.unique names the earliest place of each key, which is the earliest context
-        _, first, group = np.unique(key[inside], return_index=True, return_inverse=True)
+        _, first, group = np.unique(key, return_index=True, return_inverse=True)
         if across:
-            lowest, highest = least_key[inside[first]], most_key[inside[first]]
-            np.minimum.at(lowest, group, least_key[inside])
-            np.maximum.at(highest, group, most_key[inside])
+            lowest, highest = least_key[rows[first]], most_key[rows[first]]
+            np.minimum.at(lowest, group, least_key[rows])
+            np.maximum.at(highest, group, most_key[rows])
             again = lowest < highest
         else:
-            again = (np.bincount(group) > 1) | (np.bincount(group, many[inside]) > 0)
-        of[inside, by] = np.where(again[group], inside[first[group]], -1)
+            again = (np.bincount(group) > 1) | (np.bincount(group, many[rows]) > 0)
+        of[:, low : low + len(by)][inside] = np.where(again[group], rows[first[group]], -1)
     out = []
     for k in range(n):
         cuts = [0, *(np.flatnonzero(of[k, 1:] != of[k, :-1]) + 1).tolist(), of.shape[1]]
@@ -137,7 +146,8 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
 
 def repeated_windows(documents: DataFrame, key: str, text: str, length: int, across: bool) -> DataFrame:
     """(key, low, high, first_key, first_low): runs of windows that occur more than once, with ``across`` in two keys."""
-    n_parts = int(text_batches(documents).sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    documents = text_batches(documents)
+    n_parts, parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts_of(documents)
     slim = documents.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
 
     def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +182,7 @@ def repeated_windows(documents: DataFrame, key: str, text: str, length: int, acr
                             column.append(value)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.list_(pa.int64()))), strict=True))], ["start", "key", "place", "low", "high", "words", "windows"])
 
-    found = written(slim.join(hits, "key").mapInArrow(forgetting(suffixes), "start long, key long, place int, low int, high int, words binary, windows array<array<long>>"), "suffixes")
+    found = written(slim.join(hits, "key").mapInArrow(forgetting(suffixes), "start long, key long, place int, low int, high int, words binary, windows array<array<long>>"), "suffixes", parts)
 
     def sort_and_compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -260,7 +270,7 @@ def repeated_passages(documents: DataFrame, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32()), strict=True)], ["key", "start_word", "end_word", "first", "first_doc_id", "first_start_word"])
 
     made = per_text.mapInArrow(merge, "key long, start_word int, end_word int, first boolean, first_doc_id long, first_start_word int")
-    return made.select(F.col("key").alias(key), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first", "first_doc_id", "first_start_word")
+    return made.select(F.col("key").alias(key), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first", "first_doc_id", "first_start_word").coalesce(parts_of(documents))
 
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:

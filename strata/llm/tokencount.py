@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import pretokenizer
-from .shared import checked_broadcast, columns_of, pieces, text_batches, written
+from .shared import checked_broadcast, columns_of, parts_of, pieces, text_batches, written
 
 #: Distinct pre-tokens a worker holds before it hands them on.
 FLUSH = 200_000
@@ -66,8 +66,9 @@ def token_counts(documents: DataFrame, path: str, key: str = "doc_id", text: str
     a partition, so ``documents`` must come in the same order when a lost task is run again, as tables do: write
     the result of a shuffle first.
     """
-    spark = text_batches(documents).sparkSession
-    counted = written(piece_counts(pretoken_counts(documents, path, text), path), "pieces")
+    documents = text_batches(documents)
+    spark, parts = documents.sparkSession, parts_of(documents)
+    counted = written(piece_counts(pretoken_counts(documents, path, text), path), "pieces", parts)
     most = {r[0]: r[1] for r in counted.where(F.octet_length("pretoken") <= 64).orderBy(F.desc("n"), "pretoken").limit(head).select("pretoken", "n_pieces").toLocalIterator()}
     sent = checked_broadcast(most, 160 * len(most), spark, "frequent pre-tokens")
     key_type = documents.schema[key].dataType.simpleString()
@@ -101,4 +102,4 @@ def token_counts(documents: DataFrame, path: str, key: str = "doc_id", text: str
     joined = per_document.join(counted.select("pretoken", "n_pieces"), "pretoken", "left")
     tokens = F.sum(F.when(F.col("times") < 0, -1 - F.col("times")).otherwise(F.col("times") * F.col("n_pieces"))).alias("n_tokens")
     summed = joined.groupBy("row", "key", "n_bytes").agg(tokens)
-    return summed.select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return summed.select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")).coalesce(parts)

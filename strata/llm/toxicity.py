@@ -176,7 +176,8 @@ def toxicity(documents: DataFrame, model: Model, key: str = "doc_id", text: str
     wordless texts get the score of a text without known words. Only the text enters a score, all of it however
     long; null keys and repeated rows stay; other columns are ignored; an empty table gives no rows.
     """
-    kind = text_batches(documents).schema[key].dataType.simpleString()
+    documents = text_batches(documents)
+    kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 512):
