@@ -45,40 +45,57 @@ def critic_action(score: Column) -> Column:
     return F.when(score >= 0.8, "merge").when(score >= 0.6, "store").when(score >= 0.42, "compress").otherwise("reject")
 
 
-def reviewed(novelty: Column, redundancy: Column, clarity: Column, score: Column, low: Column, title: Column, otherwise: str) -> Column:
-    """A review as a struct; a merge has the title as its key."""
-    action = critic_action(score)
-    key = F.regexp_replace(F.lower(title), "[^a-z0-9]+", "-")
-    return F.struct((action != "reject").alias("accepted"), score.alias("score"), novelty.alias("novelty"), redundancy.alias("redundancy"), clarity.alias("clarity"), action.alias("action"), F.when(action == "reject", low).otherwise(otherwise).alias("reason"), F.when(action == "merge", key).alias("mergeKey"))
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def reviewed(m: Column, low: Column, otherwise: str) -> Column:
+    """A review as a struct from title, novelty, redundancy, clarity and score; a merge has the title as its key."""
+    action = critic_action(m["score"])
+    key = F.regexp_replace(F.lower(m["title"]), "[^a-z0-9]+", "-")
+    return F.struct((action != "reject").alias("accepted"), m["score"].alias("score"), m["novelty"].alias("novelty"), m["redundancy"].alias("redundancy"), m["clarity"].alias("clarity"), action.alias("action"), F.when(action == "reject", low).otherwise(otherwise).alias("reason"), F.when(action == "merge", key).alias("mergeKey"))
+
+
+ACCEPTED, LOW, EMPTY = "accepted-by-heuristic", "low-signal", "empty-candidate"
 
 
 def critic_fallback(title: Column, summary: Column, snippets: Column) -> Column:
     """The review of a candidate against snippets, as the mean of two judges; an empty candidate is rejected."""
-    title, summary = text.trim(title), text.trim(summary)
-    body = text.trim(F.concat(title, F.lit("\n"), summary))
     known = F.filter(F.transform(snippets, text.trim), lambda s: s != "")
-    novelty = overlap_novelty(body, known)
-    clarity = quality(body, 320, 5, (0.7, 0.3))
-    score = scoring.clamp01(novelty * 0.62 + clarity * 0.38)
-    other = quality(body, 350, 6, (0.65, 0.35))
-    other_score = scoring.clamp01(novelty * 0.6 + other * 0.4)
-    low = F.when(other_score >= 0.35, "accepted-by-heuristic").otherwise("low-signal")
-    made = reviewed(novelty, 1 - novelty, (clarity + other) / 2, (score + other_score) / 2, low, title, "fallback-heuristic")
+    trimmed = F.struct(text.trim(title).alias("title"), text.trim(F.concat(text.trim(title), F.lit("\n"), text.trim(summary))).alias("body"), known.alias("known"))
     none = F.lit(0.0)
-    return F.when(body != "", made).otherwise(F.struct(F.lit(False).alias("accepted"), none.alias("score"), none.alias("novelty"), F.lit(1.0).alias("redundancy"), none.alias("clarity"), F.lit("reject").alias("action"), F.lit("empty-candidate").alias("reason"), F.lit(None).cast("string").alias("mergeKey")))
+    empty = F.struct(F.lit(False).alias("accepted"), none.alias("score"), none.alias("novelty"), F.lit(1.0).alias("redundancy"), none.alias("clarity"), F.lit("reject").alias("action"), F.lit(EMPTY).alias("reason"), F.lit(None).cast("string").alias("mergeKey"))
+
+    def measured(c: Column) -> Column:
+        parts = F.struct(c["title"].alias("title"), overlap_novelty(c["body"], c["known"]).alias("novelty"), quality(c["body"], 320, 5, (0.7, 0.3)).alias("one"), quality(c["body"], 350, 6, (0.65, 0.35)).alias("two"))
+        return F.when(c["body"] != "", let(parts, judged)).otherwise(empty)
+
+    def judged(p: Column) -> Column:
+        first, second = scoring.clamp01(p["novelty"] * 0.62 + p["one"] * 0.38), scoring.clamp01(p["novelty"] * 0.6 + p["two"] * 0.4)
+        mean = F.struct(p["title"].alias("title"), p["novelty"].alias("novelty"), (1 - p["novelty"]).alias("redundancy"), ((p["one"] + p["two"]) / 2).alias("clarity"), ((first + second) / 2).alias("score"), second.alias("second"))
+        return let(mean, lambda m: reviewed(m, F.when(m["second"] >= 0.35, ACCEPTED).otherwise(LOW), "fallback-heuristic"))
+
+    return let(trimmed, measured)
 
 
 def critic_ngram(title: Column, summary: Column, snippets: Column, expected: Column) -> Column:
     """The review with a model's novelty ``expected`` of title and summary."""
-    body = text.trim(F.concat(title, F.lit("\n"), summary))
-    blank = body == ""
-    base = F.when(blank, 0.0).otherwise(overlap_novelty(body, snippets))
-    clarity = F.when(blank, 0.0).otherwise(quality(body, 350, 6, (0.65, 0.35)))
-    novelty = scoring.clamp01(base * 0.7 + expected * 0.3)
-    clear = scoring.clamp01(clarity * 0.9 + F.least(F.lit(1.0), F.length(summary) / F.lit(300)) * 0.1)
-    score = scoring.clamp01(novelty * 0.62 + clear * 0.38)
-    low = F.when(blank, "empty-candidate").when(scoring.clamp01(base * 0.6 + clarity * 0.4) >= 0.35, "accepted-by-heuristic").otherwise("low-signal")
-    made = reviewed(novelty, scoring.clamp01(1 - novelty), clear, score, low, title, "ngram-review")
+    given = F.struct(title.alias("title"), F.length(summary).alias("n"), text.trim(F.concat(title, F.lit("\n"), summary)).alias("body"), snippets.alias("known"), expected.alias("expected"))
+
+    def measured(c: Column) -> Column:
+        blank = c["body"] == ""
+        parts = F.struct(c["title"].alias("title"), c["n"].alias("n"), blank.alias("blank"), c["expected"].alias("expected"), F.when(blank, 0.0).otherwise(overlap_novelty(c["body"], c["known"])).alias("base"), F.when(blank, 0.0).otherwise(quality(c["body"], 350, 6, (0.65, 0.35))).alias("clarity"))
+        return let(parts, judged)
+
+    def judged(p: Column) -> Column:
+        novelty = scoring.clamp01(p["base"] * 0.7 + p["expected"] * 0.3)
+        clear = scoring.clamp01(p["clarity"] * 0.9 + F.least(F.lit(1.0), p["n"] / F.lit(300)) * 0.1)
+        low = F.when(p["blank"], EMPTY).when(scoring.clamp01(p["base"] * 0.6 + p["clarity"] * 0.4) >= 0.35, ACCEPTED).otherwise(LOW)
+        both = F.struct(p["title"].alias("title"), novelty.alias("novelty"), scoring.clamp01(1 - novelty).alias("redundancy"), clear.alias("clarity"), scoring.clamp01(novelty * 0.62 + clear * 0.38).alias("score"), low.alias("low"))
+        return let(both, lambda m: reviewed(m, m["low"], "ngram-review"))
+
+    made = let(given, measured)
     return made.withField("mergeKey", F.regexp_replace(made["mergeKey"], "^-+|-+$", ""))
 
 
