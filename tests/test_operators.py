@@ -524,3 +524,42 @@ def test_diff_lists_changes_in_order(spark):
     assert [(r["changeType"], r["logicalId"], r["title"]) for r in got] == [("modified", "a", "again"), ("added", "b", "bee"), ("added", "c", "new")]
     assert got[0]["before"]["content"] == "alpha" and got[0]["after"]["content"] == "made again" and got[1]["before"] is None
     assert temporal.diff_items(temporal.state_as_of(snap, line, 10), temporal.state_as_of(snap, line, 50), 1)[1].count() == 1
+
+
+def test_graph_rows_keep_their_creation(spark):
+    schema = "id string, type string, label string, createdAt long"
+    after = graph.upsert_graph(spark.createDataFrame([("a", "memory", "old", 1), ("b", "chat", "stays", 2)], schema), spark.createDataFrame([("a", "function", "new", 9), ("c", "memory", "made", 9)], schema))
+    assert sorted(map(tuple, after.collect())) == [("a", "function", "new", 1), ("b", "chat", "stays", 2), ("c", "memory", "made", 9)]
+    first = spark.createDataFrame([("p", "code", "a", "h1", "v", 1, 1), ("p", "code", "b", "h2", "v", 1, 1)], "projectId string, sourceType string, sourceRef string, contentHash string, ingestVersion string, firstIngestedAt long, lastIngestedAt long")
+    new = first.where("sourceRef = 'a'").select("projectId", "sourceType", "sourceRef", F.lit("h3").alias("contentHash"), "ingestVersion").unionByName(spark.createDataFrame([("p", "chat", "a", "h4", "v")], "projectId string, sourceType string, sourceRef string, contentHash string, ingestVersion string"))
+    got = {(r["sourceType"], r["sourceRef"]): (r["contentHash"], r["firstIngestedAt"], r["lastIngestedAt"]) for r in records.upsert_fingerprints(first, new, 7).collect()}
+    assert got == {("code", "a"): ("h3", 1, 7), ("code", "b"): ("h2", 1, 1), ("chat", "a"): ("h4", 7, 7)}
+
+
+def test_graph_of_deleted_snapshots(spark):
+    m = spark.createDataFrame([("code", "p", "code_entity", "code", "src\\auth.ts", ["file:src/auth.ts"], "auth", 86_400_000, 86_400_000), ("chat", "p", "chat_turn", "chat", " s/one.json ", ["file:src/auth.ts"], "talk", 86_400_001, 86_400_001)], "id string, projectId string, kind string, sourceType string, sourceRef string, tags array<string>, title string, createdAt long, lastAccessedAt long")
+    s = spark.createDataFrame([("p", "main", "gone", "delete", 5, "chat_turn", "chat", "s/one.json", [], ""), ("p", "other", "x", "upsert", 5, "semantic", "manual", None, [], "t"), ("p", "main", "bad", "upsert", 0, "semantic", "manual", None, [], "t")], "projectId string, branch string, logicalId string, operation string, validFrom long, kind string, sourceType string, sourceRef string, tags array<string>, title string")
+    nodes, edges = graph.index_memories(m, s)
+    got = {(r["relation"], r["operation"]): r["weight"] for r in edges.collect()}
+    assert got == {("memory_time_bucket", None): 0.62, ("memory_session", None): 0.88, ("session_time_bucket", None): 0.67, ("chat_to_code", None): 0.74, ("snapshot_event", "delete"): 0.45, ("session_snapshot", "delete"): 0.42}
+    labels = {(r["type"], r["label"]) for r in nodes.collect()}
+    assert labels == {("function", "auth"), ("chat", "talk"), ("chat", "Memory gone"), ("concept", "Day 1970-01-02"), ("concept", "Day 1970-01-01"), ("session", "Session one.json")}
+    assert graph.index_memories(m, s, since=86_400_001)[1].count() == 3
+
+
+def test_searched_memories_are_touched_and_vectors_written(spark):
+    m = memories(spark, ["a", "b", "c"])
+    after = retrieval.touched(m, m.where("id = 'm1'"), 99).orderBy("id").collect()
+    assert [r["lastAccessedAt"] for r in after] == [0, 99, 2]
+    v = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "id string, embedding array<double>")
+    new = spark.createDataFrame([("b", [3.0]), ("c", []), ("d", [4.0])], "id string, embedding array<double>")
+    assert sorted(map(tuple, store.upsert_vectors(v, new).collect())) == [("a", [1.0]), ("b", [3.0]), ("d", [4.0])]
+
+
+def test_names_inside_words_are_linked(spark):
+    m = spark.createDataFrame([("m1", "Uses authService here", "t", ["en"], 0.5), ("m2", "nothing", "AUTH  service", [], 1.0), ("m3", "x", "y", ["Dep"], 0.0), ("m4", "x", None, [], 0.0)], "id string, summary string, title string, tags array<string>, importance double")
+    e = spark.createDataFrame([("e1", "AuthService", []), ("e2", "auth service", ["dep", "other"]), ("e3", "", ["x"]), ("e4", "äü+", [])], "id string, name string, dependencies array<string>")
+    want = {("m1", "e1", True, 0.0): 0.81, ("m2", "e2", True, 0.0): 0.82, ("m3", "e2", False, 0.5): 0.64}
+    for size in (1 << 20, 1):
+        got = {(r["id"], r["entityId"], r["lexicalMatch"], r["depMatch"]): r["weight"] for r in evolution.link_entities(m, e, size).collect()}
+        assert got == pytest.approx(want)
