@@ -292,3 +292,35 @@ def test_very_long_texts(spark, long_text):
     assert len(quality.quality_scores(docs, quality.fit(np.zeros((0, len(quality.FEATURES))), np.zeros(0))).collect()) == len(rows)
     urls = spark.createDataFrame([(None, "http://x.com/" + "a/" * 1_000_000), (1, "http://" + "a." * 2000 + "net/es/")], "page_id long, url string")
     assert {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.judge_urls(urls, URL_RULES).collect()} == {None: ("com/", "allow"), 1: ("net/es/", "block")}
+
+
+@pytest.mark.parametrize("across", [True, False])
+def test_groups_are_compared_alike_in_any_portions(monkeypatch, across):
+    """Suffixes of one start against a dict of their windows, however many extensions are compared at once."""
+    rng = random.Random(30)
+    length = 50
+    start = [rng.getrandbits(64) for _ in range(16)]
+    sides = [[rng.getrandbits(64) for _ in range(60)] for _ in range(4)]
+    rows, windows = [], {}
+    for key in range(25):
+        for place in (rng.randint(40, 60), rng.randint(140, 160)):  # a window belongs to one of them
+            low, high = place - rng.randint(0, 34), place
+            low = max(low, 0)
+            high = rng.randint(low, place)
+            before = [rng.choice(sides)[-1 - k] if rng.random() < 0.01 else sides[key % 3][-1 - k] for k in range(place - low)][::-1]
+            after = [rng.choice(sides)[k] if rng.random() < 0.005 else sides[key % 2][k] for k in range(high + length - place - 16)]
+            words = (before + start + after)[: high + length - low]
+            rows.append((key, place, low, high, np.array(words, np.uint64).tobytes()))
+            for w in range(low, high + 1):
+                windows.setdefault((place - w, *words[w - low : w - low + length]), set()).add((key, w))
+    want = {}
+    for places in windows.values():
+        if len({k for k, _ in places} if across else places) > 1:
+            for p in places:
+                want[p] = min(places)
+    for at_once in (1, 40, 1 << 16):
+        monkeypatch.setattr(suffixdedup, "AT_ONCE", at_once)
+        got = {}
+        for key, low, high, first_key, first_low in suffixdedup.repeated_in(rows, length, across):
+            got |= {(key, w): (first_key, first_low + w - low) for w in range(low, high + 1)}
+        assert got == want and len(want) > 100
