@@ -109,22 +109,6 @@ def depth(code: str) -> int:
     return max([most, *((len(x) - len(x.lstrip(" "))) // 4 for x in code.splitlines() if x.strip())])
 
 
-def continuation(model: dict[str, list[tuple[str, int]]], seed_text: str, n: int, seed: int = 0) -> str:
-    """``n`` more tokens from a bigram model (token: followers with weights), drawn by a seeded generator; stops without followers."""
-    tokens = re.findall(r"[a-z0-9_]+|[^\s]", seed_text.lower())
-    rng = np.random.default_rng(hashing.fnv1a(seed_text) ^ seed)
-    out: list[str] = []
-    now = tokens[-1] if tokens else None
-    for _ in range(n):
-        after = [(t, w / (1 + 2 * out[-8:].count(t))) for t, w in model.get(now, [])]
-        if not after:
-            break
-        total = sum(w for _, w in after)
-        now = after[min(len(after) - 1, int(np.searchsorted(np.cumsum([w / total for _, w in after]), rng.random())))][0]
-        out.append(now)
-    return detokenize(out)
-
-
 def register(spark: SparkSession) -> None:
     """SQL functions: compact_memory, restore_memory, embed_text, fnv1a_float, paragraph_chunks, code_chunks, nesting_depth."""
 

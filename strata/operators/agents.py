@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text, udfs
+from ..functions import text
 from . import evolution, ngram
 
 # What each agent is for.
@@ -73,10 +73,7 @@ def cut_flat(value: str, most: int) -> str:
 
 
 def continued(model: ngram.Model | None, value: str, n: int) -> str:
-    if model is None:
-        return ""
-    after = {model.names[a]: [(model.names[b], q) for b, q in follow if b] for a, follow in model.followers.items() if a}
-    return udfs.continuation(after, value, n)
+    return ngram.continuation(model, value, n) if model else ""
 
 
 def consolidator_output(candidate: dict, neighbors: list[dict], generated: str) -> dict:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import scoring, text
+from ..functions import hashing, scoring, text, udfs
 
 # Words that are no tags, for texts and for domain terms.
 STOP_WORDS = ("the", "and", "for", "with", "this", "that", "from", "into", "when", "where", "how", "what", "why", "should", "could", "would", "about", "using")
@@ -261,3 +261,111 @@ def ephemeral(value: str, size: int = 512, most: int = 16) -> Model:
         followers[a] = [(b, quantised(n, total)) for b, n in top]
     most_often = max(counts.values(), default=1)
     return Model(ids, names, followers, [(ids[t], quantised(counts[t], most_often)) for t in names[1:65]])
+
+
+# Fixed values of sampling: how many followers compete, temperature, remembered tokens, how repeats decay, tokens before an end.
+CANDIDATES, TEMPERATURE, REMEMBERED, REPEAT_DECAY, LEAST_TOKENS = 12, 0.95, 28, 0.9, 16
+# Factors of a token's chance, and marks that open, close and end.
+AGAIN, STREAK_END, STREAK, MARK, EARLY_END, WORD, NO_WORD, TERM, PREFIX = 0.14, 0.55, 0.18, 0.92, 0.45, 1.15, 0.9, 1.9, 1.28
+OPENING, CLOSING, ENDING = "([{", ")]}", ".!?"
+
+
+def generator(seed: int) -> Iterator[float]:
+    """Numbers from 0 to 1 of a 32-bit generator that adds a constant and mixes."""
+    state, mask = seed & 0xFFFFFFFF, 0xFFFFFFFF
+    while True:
+        state = state + 0x6D2B79F5 & mask
+        x = (state ^ state >> 15) * (1 | state) & mask
+        x ^= x + ((x ^ x >> 7) * (61 | x) & mask) & mask
+        yield (x ^ x >> 14) / 2**32
+
+
+def has_word(token: str) -> bool:
+    return any(c.isascii() and (c.isalnum() and not c.isupper() or c == "_") for c in token)
+
+
+def repeats(history: list[int], n: int) -> bool:
+    """Whether the last ``n`` of a history stood there before."""
+    tail = history[-n:]
+    return len(history) > n and any(history[i : i + n] == tail for i in range(len(history) - n))
+
+
+class Writer:
+    """A text that goes on, token by token, from the end of a seed."""
+
+    def __init__(self, model: Model, seed_text: str):
+        self.model = model
+        tokens = TOKEN.findall(seed_text.lower())
+        self.terms, self.prefixes = domain_terms(tokens)
+        self.otherwise = model.unigrams[0][0] if model.unigrams else 0
+        self.now = model.ids.get(tokens[-1] if tokens else "", self.otherwise)
+        self.seed = hashing.fnv1a(seed_text)
+        self.chance = generator(self.seed or 1)
+        self.ids: list[int] = []
+        self.tokens: list[str] = []
+        self.open = self.marks = 0  # brackets that are open; marks in a row
+
+    def relevance(self, token: str) -> float:
+        return TERM if token in self.terms else PREFIX if token.startswith(tuple(self.prefixes)) else 1.0
+
+    def factor(self, i: int, token: str) -> float:
+        """What a candidate's weight is multiplied by; 0 where it may not come now."""
+        mark, end = not has_word(token), token in ENDING
+        closes = any(c in token for c in CLOSING)
+        if not token or token == "<unk>" or (mark and not self.ids) or (closes and self.open <= 0) or repeats([*self.ids, i], 3):
+            return 0.0
+        out = 1 / (1 + self.ids[-REMEMBERED:].count(i) * REPEAT_DECAY) * (WORD if not mark else NO_WORD) * self.relevance(token)
+        out *= AGAIN if i == self.now else 1.0
+        if mark:
+            out *= (STREAK_END if end else STREAK) if self.marks >= 2 else MARK
+        return out * (EARLY_END if end and len(self.ids) < 8 else 1.0)
+
+    def chosen(self, followers: list[tuple[int, int]], step: int) -> int:
+        names = self.model.names
+        words = [f for f in followers if has_word(names[f[0]])]
+        pool = (words if words and step % 6 else followers)[:CANDIDATES]
+        scored = [(i, s) for i, q in pool if (s := max(0.0001, q / 127) ** (1 / TEMPERATURE) * self.factor(i, names[i])) > 1e-6]
+        if not scored:
+            return next((i for i, _ in pool if i != self.now), pool[0][0]) if pool else 0
+        at = next(self.chance) * sum(s for _, s in scored)
+        run = 0.0
+        for i, s in scored:
+            run += s
+            if run >= at:
+                return i
+        return scored[-1][0]
+
+    def step(self, k: int) -> bool:
+        """Takes the next token; False: the text ends here."""
+        followers = self.model.followers.get(self.now) or self.model.unigrams
+        if not followers:
+            return False
+        i = self.chosen(followers, k) or followers[(self.seed + 31 * k) % min(3, len(followers))][0]
+        token = self.model.names[i]
+        if not i:
+            self.now = self.otherwise
+            return True
+        self.ids.append(i)
+        self.tokens.append(token)
+        self.now = i
+        self.open += 1 if token in OPENING else -1 if self.open > 0 and any(c in token for c in CLOSING) else 0
+        self.marks = 0 if has_word(token) else self.marks + 1
+        n, told = len(self.tokens), not self.terms or any(t in self.terms for t in self.tokens)
+        if n >= LEAST_TOKENS and (self.marks >= 6 or token in ENDING and (told or len(set(self.ids[-14:])) < 4)):
+            return False
+        return not (n >= 8 and repeats(self.ids, 4))
+
+
+def continuation(model: Model, seed_text: str, most: int) -> str:
+    """At most ``most`` more tokens of a text, drawn by a generator that its hash seeds: the same text always goes on
+    alike. Marks at the ends that neither open nor end anything are cut."""
+    w = Writer(model, seed_text)
+    for k in range(most):
+        if not w.step(k):
+            break
+    kept = list(w.tokens)
+    while kept and not has_word(kept[0]) and kept[0] not in OPENING:
+        kept.pop(0)
+    while kept and not has_word(kept[-1]) and kept[-1] not in ENDING and not any(c in kept[-1] for c in CLOSING):
+        kept.pop()
+    return udfs.detokenize(kept or w.tokens)

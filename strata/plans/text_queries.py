@@ -325,14 +325,11 @@ def summarize_entity(spark, d):
 
 @query()
 def generate_continuation(spark, d):
-    from ..functions import udfs
-
-    m = model_of(spark, d)
-    model = {m.names[a]: [(m.names[b], q) for b, q in after if b] for a, after in m.followers.items() if a}
+    model = model_of(spark, d)
 
     @F.pandas_udf("string")
     def run(values):
-        return values.map(lambda x: udfs.continuation(model, x, 20))
+        return values.map(lambda x: ngram.continuation(model, x or "", 20))
 
     return docs(spark, d).select("doc_id", run("text").alias("continuation"))
 

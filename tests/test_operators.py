@@ -563,3 +563,28 @@ def test_names_inside_words_are_linked(spark):
     for size in (1 << 20, 1):
         got = {(r["id"], r["entityId"], r["lexicalMatch"], r["depMatch"]): r["weight"] for r in evolution.link_entities(m, e, size).collect()}
         assert got == pytest.approx(want)
+
+
+def test_continuations_follow_the_policy(spark):
+    text = "the parser reads a token . the parser reads a file ( large ) . the lexer reads a file , then it stops ! " * 3
+    m = ngram.ephemeral(text)
+    known = {(m.names[a], m.names[b]) for a, after in m.followers.items() for b, _ in after}
+    outs = []
+    for seed in ("the", "reads a", "the lexer", "nothing known", "", "a (", "token .", "parser file lexer stops"):
+        w = ngram.Writer(m, seed)
+        for k in range(60):
+            if not w.step(k):
+                break
+        outs.append(w.tokens)
+        assert w.tokens and all(p in known for p in zip(w.tokens, w.tokens[1:], strict=False)) and len(w.tokens) <= 60
+        assert ngram.continuation(m, seed, 60) == ngram.continuation(m, seed, 60)
+        assert len(w.tokens) < 60 or not ngram.repeats(w.ids, 4)
+        depth = 0
+        for t in w.tokens:
+            depth += (t in "([{") - (t in ")]}")
+            assert depth >= -1
+    assert len({tuple(o) for o in outs}) > 3
+    assert ngram.continuation(m, "x", 5)[0] not in ".,!)" and ngram.continuation(ngram.ephemeral(""), "x", 5) == ""
+    first = ngram.generator(1)
+    assert [round(next(first), 10) for _ in range(2)] == [0.6270739406, 0.0027357212] and not ngram.has_word("é") and ngram.has_word("a1")
+    assert ngram.repeats([1, 2, 3, 9, 1, 2, 3], 3) and not ngram.repeats([1, 2, 3], 3) and ngram.repeats([1, 1, 1, 1], 3)
