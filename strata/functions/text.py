@@ -116,9 +116,12 @@ def tokenize_ngram(text: Column, most: int | None = None) -> Column:
 
 def shingle(text: Column) -> Column:
     """Distinct words, and pairs of neighbours."""
-    w = tokenize_words(text)
-    pairs = F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    return F.array_union(w, pairs)
+
+    def of(w: Column) -> Column:
+        pairs = F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+        return F.when(F.size(w) > 1, F.array_union(w, pairs)).otherwise(F.array_distinct(w))
+
+    return F.get(F.transform(F.array(tokenize_words(text)), of), F.lit(0))  # the words are found once
 
 
 def fixed_chunks(text: Column, most: int = 800) -> Column:

@@ -87,7 +87,8 @@ def transitions(docs: DataFrame, vocab: DataFrame, most: int = 24, column: str =
     vocabulary's size times ``most`` rows, counted at once."""
     top = bigrams(docs, vocab, column).withColumn("rank", F.row_number().over(Window.partitionBy("fromId").orderBy(F.desc("n"), "toId"))).where(F.col("rank") <= most)
     made = top.select(F.col("fromId").cast("int").alias("fromId"), F.col("toId").cast("int").alias("toId"), "rank", scoring.quantize_weight(F.col("n") / F.sum("n").over(Window.partitionBy("fromId"))).alias("q"))
-    return docs.sparkSession.createDataFrame(made.toArrow()) if not made.isEmpty() else made
+    table = made.toArrow()
+    return docs.sparkSession.createDataFrame(table if table.num_rows else [], made.schema)
 
 
 @dataclass

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scoring, text
+from .lineage import checkpointed
 
 
 def like_any(df: DataFrame, query: str) -> DataFrame:
@@ -146,8 +147,8 @@ def fuzzy_classes(df: DataFrame, threshold: float = 0.72) -> tuple[DataFrame, Da
     that do, and whose sizes allow it, are joined; the whole sets verify.
     """
     keys = ["projectId", "kind"]
-    sets = df.select("id", *keys, F.array_distinct(text.shingle(F.concat_ws(" ", "title", "summary"))).alias("s")).where(F.size("s") > 0)
-    sets = sets.withColumn("h", F.sha1(F.concat_ws("\x01", F.array_sort("s"))))
+    sets = df.select("id", *keys, text.shingle(F.concat_ws(" ", "title", "summary")).alias("s")).withColumn("h", F.sha1(F.concat_ws("\x01", F.array_sort("s"))))
+    sets = checkpointed(sets).where(F.size("s") > 0)  # used several times
     first = sets.groupBy(*keys, "h").agg(F.min("id").alias("class"))
     classes = sets.select("id", *keys, "h").join(first, [*keys, "h"]).select("id", "class")
     sets = sets.join(first.select(F.col("class").alias("id")), "id", "left_semi").select("id", *keys, "s", F.size("s").alias("n"))
