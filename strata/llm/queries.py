@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, neardup, packing, quality, sharding, suffixdedup, tokencount, toxicity, urlfilter
-from .shared import table
+from . import decontam, fingerprint, merkle, neardup, packing, quality, sharding, suffixdedup, tokencount, toxicity, urlfilter
+from .shared import ascii_lower, table
 
 
 def tokenizer_path() -> str:
@@ -64,6 +64,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op13(documents: DataFrame) -> DataFrame:
+    tampered = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 == 0
+    made = merkle.manifest(documents, changed={"text": F.when(tampered, ascii_lower(F.col("text"))).otherwise(F.col("text"))})
+    back = made.withColumn("folded_root", merkle.folded(F.col("changed_leaf"), F.col("steps")))
+    return back.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -76,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": op8_fingerprints,
         "op9_repeated_passages": op9_repeated_passages,
         "op10_packing": op10_packing,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -116,5 +128,31 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, s.doc_id =
 """
 
 
+def op13_sql(levels: int = 10, tops: int = 4) -> str:
+    """SQL for op13: ``levels`` and ``tops`` bound the depth of a language's tree and of the tree of subroots."""
+    field = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
+    head = " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    out = [
+        "crc(t) AS MATERIALIZED (SELECT list(v ORDER BY i) FROM (SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)))",
+        "d AS (SELECT *, CASE WHEN doc_id IS NULL THEN text WHEN xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8)), 4294967295) % 3 = 0"
+        " THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other FROM documents, crc)",
+        f"leaves AS (SELECT doc_id, coalesce('+' || lang, '') AS k, sha256({head} || {field.format('text')}) AS leaf, sha256({head} || {field.format('other')}) AS changed FROM d)",
+        "t0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY k) AS c, leaf AS digest FROM leaves)",
+    ]
+    for n in range(levels):
+        out.append(f"t{n + 1} AS MATERIALIZED (SELECT k, i // 8 AS i, any_value((c + 7) // 8) AS c, any_value(c) AS below, list(digest ORDER BY i) AS kids, CASE WHEN any_value(c) = 1 THEN any_value(digest) ELSE sha256(string_agg(digest, '' ORDER BY i)) END AS digest FROM t{n} GROUP BY k, i // 8)")
+    out.append(f"s0 AS MATERIALIZED (SELECT k, digest AS subroot, digest, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS c FROM t{levels})")
+    for n in range(tops):
+        out.append(f"s{n + 1} AS MATERIALIZED (SELECT i // 8 AS i, any_value((c + 7) // 8) AS c, any_value(c) AS below, list(digest ORDER BY i) AS kids, CASE WHEN any_value(c) = 1 THEN any_value(digest) ELSE sha256(string_agg(digest, '' ORDER BY i)) END AS digest FROM s{n} GROUP BY i // 8)")
+    step = "CASE WHEN below = 1 THEN folded ELSE sha256(array_to_string(list_concat(list_concat(kids[:pos % 8], [folded]), kids[pos % 8 + 2:]), '')) END AS folded, CASE WHEN below = 1 THEN proof ELSE proof || array_to_string(list_concat(kids[:pos % 8], kids[pos % 8 + 2:]), '') END AS proof"
+    out.append("f0 AS (SELECT doc_id, k, leaf, i AS pos, changed AS folded, '' AS proof FROM t0)")
+    for n in range(levels):
+        out.append(f"f{n + 1} AS (SELECT doc_id, f.k, leaf, pos // 8 AS pos, {step} FROM f{n} f JOIN t{n + 1} t ON f.k = t.k AND f.pos // 8 = t.i)")
+    out.append(f"g0 AS (SELECT doc_id, leaf, subroot, s.i AS pos, folded, proof FROM f{levels} f JOIN s0 s USING (k))")
+    for n in range(tops):
+        out.append(f"g{n + 1} AS (SELECT doc_id, leaf, subroot, pos // 8 AS pos, {step} FROM g{n} g JOIN s{n + 1} s ON g.pos // 8 = s.i)")
+    return f"WITH {', '.join(out)} SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = digest AS verified FROM g{tops}, s{tops}"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op6_decontamination": OP6_SQL, "op7_near_duplicates": OP7_SQL}
+    return {"op2_url_filter": OP2_SQL, "op6_decontamination": OP6_SQL, "op7_near_duplicates": OP7_SQL, "op13_merkle_manifest": op13_sql()}
