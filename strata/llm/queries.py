@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, merkle, neardup, packing, quality, sharding, suffixdedup, tokencount, toxicity, urlfilter
+from . import decontam, fingerprint, merkle, neardup, packing, quality, sharding, suffixdedup, swappacking, tokencount, toxicity, urlfilter, vectorcodes
 from .shared import ascii_lower, table
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 #: Rules of op2: verdict, host and path.
@@ -64,6 +64,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whole_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return swappacking.pack_whole(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op13(documents: DataFrame) -> DataFrame:
     tampered = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 == 0
     made = merkle.manifest(documents, changed={"text": F.when(tampered, ascii_lower(F.col("text"))).otherwise(F.col("text"))})
@@ -87,6 +95,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": op8_fingerprints,
         "op9_repeated_passages": op9_repeated_passages,
         "op10_packing": op10_packing,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_whole_packing": op12_whole_packing,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 
@@ -128,6 +138,21 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, s.doc_id =
 """
 
 
+def op11_sql(rounds: int = 6) -> str:
+    out = [
+        "q AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "p AS MATERIALIZED (SELECT vec_id, part, v[part * (len(v) // 8) + 1 : (part + 1) * (len(v) // 8)] AS x FROM q, range(8) r(part))",
+        "c0 AS (SELECT part, e, x FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM q ORDER BY vec_id LIMIT 16) USING (vec_id))",
+    ]
+    for n in range(rounds + 1):
+        out.append(f"a{n} AS MATERIALIZED (SELECT vec_id, part, x, e, list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN (SELECT part, e, x AS y FROM c{n}) USING (part) QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY d, e) = 1)")
+        if n < rounds:
+            out.append(f"m{n} AS (SELECT part, e, list(CAST((s - ((s % c) + c) % c) // c AS BIGINT) ORDER BY i) AS x FROM (SELECT part, e, i, sum(v) AS s, count(*) AS c FROM (SELECT part, e, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM a{n}) GROUP BY part, e, i) GROUP BY part, e)")
+            out.append(f"c{n + 1} AS MATERIALIZED (SELECT part, e, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN m{n} m USING (part, e))")
+    last = f"b AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM c{rounds}), f AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)"
+    return f"WITH {', '.join(out)}, {last} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM f JOIN q USING (vec_id), b"
+
+
 def op13_sql(levels: int = 10, tops: int = 4) -> str:
     """SQL for op13: ``levels`` and ``tops`` bound the depth of a language's tree and of the tree of subroots."""
     field = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
@@ -155,4 +180,4 @@ def op13_sql(levels: int = 10, tops: int = 4) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op6_decontamination": OP6_SQL, "op7_near_duplicates": OP7_SQL, "op13_merkle_manifest": op13_sql()}
+    return {"op2_url_filter": OP2_SQL, "op6_decontamination": OP6_SQL, "op7_near_duplicates": OP7_SQL, "op11_vector_codes": op11_sql(), "op13_merkle_manifest": op13_sql()}
