@@ -206,7 +206,8 @@ def codes(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding",
     # labels as text of bounded length, never null
     marked = F.when(F.col("label").isNull(), "").otherwise(F.sha2(F.col("label").cast("string"), 256))
     coded = written(made.coded().select("key", marked.alias("mark"), "code", "error"), "coded")
-    total = F.least(F.sum(F.col("error").cast("decimal(38,0)")), F.lit(MOST).cast("decimal(38,0)")).cast("long")
+    total = F.sum(F.col("error").cast("decimal(38,0)"))
+    total = F.when(total > MOST, MOST).otherwise(total.cast("long"))  # null where no row of a label has an error
     sums = written(coded.groupBy("mark").agg(total.alias("label_error"), F.count("*").alias("n")), "labels", 64)
     least = -(-(coded.count()) // FREQUENT)
     frequent = sums.where(F.col("n") >= least).select("mark", "label_error")  # at most FREQUENT rows of 72 bytes
