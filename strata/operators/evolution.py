@@ -106,6 +106,16 @@ def choose(candidates: DataFrame, key: str) -> DataFrame:
     return candidates.groupBy(key).agg(F.max_by(F.struct("id", "action", "score"), order).alias("best")).select(key, "best.*")
 
 
+def choose_candidate(reviews: DataFrame, key: str) -> DataFrame:
+    """The best reviewed candidate of each key, with ``index``, its place among them from 0, and ``n``, how many there
+    are: accepted first, then by action, score and novelty; the first of equals."""
+    weight = F.element_at(F.create_map(*[F.lit(x) for p in {"merge": 4, "store": 3, "compress": 2, "reject": 1}.items() for x in p]), F.col("action"))
+    order = F.struct(F.col("accepted").cast("int"), weight, "score", "novelty", -F.col("place"))
+    columns = [c for c in reviews.columns if c != key]
+    best = reviews.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("b"), F.count("*").alias("n"), F.min("place").alias("first"))
+    return best.select(key, "b.*", (F.col("b.place") - F.col("first")).cast("int").alias("index"), F.col("n").cast("int").alias("n"))
+
+
 def decay(memories: DataFrame, now: int) -> DataFrame:
     """Importance and confidence after ageing, and whether a row is promoted or archived."""
     days = F.greatest(F.lit(0), F.lit(now) - F.col("createdAt")) / scoring.DAY

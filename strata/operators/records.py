@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -86,73 +84,3 @@ def read_envelope(column: Column) -> Column:
     e = F.from_json(column, "version string, createdAt long, intent string, scope string, concepts array<string>, entities array<string>, constraints array<string>")
     whole = e["intent"].isNotNull() & e["scope"].isNotNull() & e["concepts"].isNotNull() & e["entities"].isNotNull() & e["constraints"].isNotNull()
     return F.when(whole, e)
-
-
-#: Distinct titles, and candidates, of a project that one task compares at a time.
-TITLES, CANDIDATES = 4096, 1024
-
-
-def nearest_titles(candidates: DataFrame, memories: DataFrame, k: int) -> DataFrame:
-    """(id, near, t): each candidate's ``k`` memories of the project, other than itself, whose titles share most words
-    with its content (at least one; ties by id), with their lower-cased titles. Exact.
-
-    Equal titles count as one that has its first k + 1 ids, as more can't be among the nearest. Titles and candidates
-    meet in blocks, where a list of titles per word gives all counts; no row is made for a shared word.
-    """
-    each = memories.where("projectId IS NOT NULL AND title IS NOT NULL").select("projectId", F.lower("title").alias("t"), "id")
-    firsts = F.slice(F.array_sort(F.collect_list("id")), 1, k + 1)
-    salted = each.groupBy("projectId", "t", F.pmod(F.xxhash64("id"), F.lit(256)).alias("salt")).agg(firsts.alias("ids"))
-    titles = salted.groupBy("projectId", "t").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
-    titles = titles.withColumn("words", F.array_distinct(text.tokenize_words(F.col("t")))).where(F.size("words") > 0)
-    mine = candidates.where("projectId IS NOT NULL").select("projectId", "id", F.array_distinct(text.tokenize_words(F.col("content"))).alias("words")).where(F.size("words") > 0)
-
-    n_titles = titles.groupBy("projectId").agg(F.ceil(F.count("*") / TITLES).cast("long").alias("nt"))
-    n_mine = mine.groupBy("projectId").agg(F.ceil(F.count("*") / CANDIDATES).cast("long").alias("nc"))
-    blocks = F.broadcast(n_titles.join(n_mine, "projectId"))  # a row per project
-    left = mine.join(blocks, "projectId").select("projectId", F.pmod(F.xxhash64("id"), F.col("nc")).alias("cb"), F.explode(F.expr("sequence(0L, nt - 1L)")).alias("tb"), "id", "words")
-    right = titles.join(blocks, "projectId").select(F.col("projectId").alias("p"), F.explode(F.expr("sequence(0L, nc - 1L)")).alias("c"), F.pmod(F.xxhash64("t"), F.col("nt")).alias("b"), "t", "ids", "words")
-
-    def nearest(cs: pd.DataFrame, ts: pd.DataFrame) -> pd.DataFrame:
-        ids, names = [list(x) for x in ts["ids"]], list(ts["t"])
-        order = sorted(range(len(names)), key=lambda i: ids[i][0])
-        listed: dict[str, list[int]] = {}
-        words = list(ts["words"])
-        for place, i in enumerate(order):
-            for w in words[i]:
-                listed.setdefault(w, []).append(place)
-        lists = {w: np.asarray(x) for w, x in listed.items()}
-        out = []
-        for me, mine in zip(cs["id"], cs["words"], strict=True):
-            hit = [lists[w] for w in mine if w in lists]
-            if not hit:
-                continue
-            counts = np.bincount(np.concatenate(hit), minlength=len(order))
-            # places are in the order of first ids; one of the k + 1 best titles may have no other id than its own
-            best = np.flatnonzero(counts)
-            rank = counts[best] * len(order) - best
-            if len(best) > k + 1:
-                best = best[np.argpartition(-rank, k)[: k + 1]]
-            rows = sorted((-int(counts[b]), near, names[order[b]]) for b in best for near in ids[order[b]] if near != me)
-            out += [(me, *r) for r in rows[:k]]
-        return pd.DataFrame(out, columns=["id", "s", "near", "t"])
-
-    id_type, near_type = candidates.schema["id"].dataType.simpleString(), memories.schema["id"].dataType.simpleString()
-    found = left.groupBy("projectId", "cb", "tb").cogroup(right.groupBy("p", "c", "b")).applyInPandas(nearest, f"id {id_type}, s long, near {near_type}, t string")
-    top = found.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "near", "t"))), 1, k).alias("n"))  # at most k per block of titles
-    return top.select("id", F.explode("n").alias("n")).select("id", "n.near", "n.t")
-
-
-def evolve(candidates: DataFrame, memories: DataFrame, now: int, neighbors: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(decisions, stages): each candidate's novelty against its ``neighbors`` most word-sharing memories of the
-    project decides, with its clarity, whether it is merged, stored, compressed or rejected; kept ones age.
-
-    Neighbours are exact, see ``nearest_titles``: frequent words count as rare ones do.
-    """
-    from .evolution import critic, critic_action
-
-    top = nearest_titles(candidates, memories, neighbors)
-    overlap = top.join(candidates.select("id", F.lower("content").alias("c")), "id").groupBy("id").agg((1 - F.count_if(F.contains("c", "t")) / F.count("*")).alias("novelty"))
-    scored = candidates.join(overlap, "id", "left").withColumn("novelty", F.coalesce("novelty", F.lit(1.0)))
-    judged = scored.select("id", "projectId", "kind", "title", "content", "novelty", *critic(text.trim(F.col("content")), F.col("novelty"))).withColumn("action", critic_action(F.col("score")))
-    stages = judged.groupBy("action").agg(F.count("*").alias("n"), F.avg("score").alias("score"))
-    return judged.withColumn("decidedAt", F.lit(now)), stages

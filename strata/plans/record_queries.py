@@ -118,13 +118,6 @@ def retrieve_top_k(spark, d):
     return rounded(context.retrieve_top_k(retrieval.lexical_scores(T.memories(spark, d), "on", NOW), 15, "src4", 0.5).select("id", "score"))
 
 
-@query()
-def evolve_with_progression(spark, d):
-    """Every memory is a candidate, judged against all others of its project."""
-    m = T.memories(spark, d)
-    return records.evolve(m, m, NOW)[1]
-
-
 @query("""WITH t AS (SELECT doc_id, lower(text || CASE doc_id % 3 WHEN 0 THEN ' duplicate state' WHEN 1 THEN ' nested error' ELSE '' END) AS t FROM documents), a AS (SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(t, 'duplicate|redundant') THEN 'Extract duplicated logic into a shared utility with a stable interface.' END,
   CASE WHEN regexp_matches(t, 'long|complex|nested') THEN 'Split large or nested control flow into focused helper functions.' END, CASE WHEN regexp_matches(t, 'state|mutable') THEN 'Isolate mutable state behind explicit invariants and transition helpers.' END,
   CASE WHEN regexp_matches(t, 'recursion|stack') THEN 'Evaluate iterative or memoized strategy to reduce recursion overhead.' END, CASE WHEN regexp_matches(t, 'error|exception') THEN 'Normalize error handling boundaries and propagate typed failures consistently.' END], lambda x: x IS NOT NULL), '|') AS advice FROM t)

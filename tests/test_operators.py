@@ -295,34 +295,6 @@ def test_consolidation_replays_the_merges(spark):
         assert sorted(map(lambda r: (*r[:6], tuple(r[6]), *r[7:]), map(tuple, got.select(order).collect()))) == [(*r[:6], tuple(r[6]), *r[7:]) for r in consolidated(rows)]
 
 
-def test_evolution_finds_neighbours_by_common_words(spark):
-    titles = ["common words of all"] * 70 + [f"common note {i % 9}" for i in range(60)] + ["common alone zeta", "none"]
-    contents = [f"{t} and more" if i % 2 else f"common note {i % 5} words" for i, t in enumerate(titles)]
-    m = memories(spark, contents).withColumn("title", F.element_at(F.array(*map(F.lit, titles)), (F.col("createdAt") + 1).cast("int")))
-
-    def words(x):
-        return {w for w in x.split() if len(w) > 1}
-
-    def near(i):
-        shared = [(-len(words(contents[i]) & words(t)), f"m{j}", j) for j, t in enumerate(titles) if j != i]
-        return [j for s, _, j in sorted(shared) if s][:3]
-
-    got = {r["id"]: r["novelty"] for r in records.evolve(m, m, 200)[0].collect()}
-    want = {f"m{i}": 1 - sum(titles[j] in contents[i] for j in near(i)) / len(near(i)) if near(i) else 1.0 for i in range(len(titles))}
-    assert got == pytest.approx(want) and got["m1"] == 0.0
-    records.TITLES, records.CANDIDATES, kept = 4, 16, (records.TITLES, records.CANDIDATES)
-    try:
-        assert {r["id"]: r["novelty"] for r in records.evolve(m, m, 200)[0].collect()} == pytest.approx(want)
-    finally:
-        records.TITLES, records.CANDIDATES = kept
-
-
-def test_evolution_query_judges_every_memory(spark, tmp_path):
-    spark.createDataFrame([(i, f"text {i} of some words", "en", "s") for i in range(20)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    assert sum(r["n"] for r in catalog.QUERIES["evolve_with_progression"](spark, str(tmp_path)).collect()) == 20
-
-
 def test_groups_of_a_long_chain(spark):
     links = [(f"n{i:03}", f"n{i + 1:03}") for i in range(70)] + [("x", "y")]
     got = {r["id"]: r["g"] for r in consolidation.groups(spark.createDataFrame(links, "a string, b string")).collect()}
