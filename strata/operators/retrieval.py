@@ -106,6 +106,11 @@ def token_search(memories: DataFrame, query: str, now: int, k: int = 10, project
         pool = pool.crossJoin(F.broadcast(some)).where("__hit OR NOT __some").drop("__hit", "__some")
     if archived is not None:
         pool = pool.join(archived.select("id"), "id", "left_anti")
+    return best_by_words(pool, query, now, k, project, preferred)
+
+
+def best_by_words(pool: DataFrame, query: str, now: int, k: int, project: str | None, preferred: tuple[str, ...]) -> DataFrame:
+    """The best ``k`` rows by the weighted memory score."""
     lex = scoring.token_similarity(F.col("title"), F.col("summary"), F.col("content"), query)
     tags = F.size(F.array_intersect("tags", F.array(*map(F.lit, preferred)).cast("array<string>"))) if preferred else F.lit(0)
     same = F.lit(project is not None)
@@ -116,7 +121,7 @@ def token_search(memories: DataFrame, query: str, now: int, k: int = 10, project
 def touched(memories: DataFrame, found: DataFrame, now: int) -> DataFrame:
     """``memories`` after those found were read."""
     hit = found.select("id", F.lit(True).alias("__hit"))
-    return memories.join(F.broadcast(hit), "id", "left").withColumn("lastAccessedAt", F.when(F.col("__hit"), F.lit(now)).otherwise(F.col("lastAccessedAt"))).drop("__hit")
+    return memories.join(hit, "id", "left").withColumn("lastAccessedAt", F.when(F.col("__hit"), F.lit(now)).otherwise(F.col("lastAccessedAt"))).drop("__hit")
 
 
 def store_stats(memories: DataFrame, archived: DataFrame, kinds: tuple[str, ...]) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import evolve
+from ..operators import evolve, tokenindex, vectorindex
+from ..operators.lineage import shared_folder
 from ..sources import tables as T
+from .core_queries import AGE, sql_token_sim
 from .registry import MEM, NOW, query
 
 WHITE = r"[ \t\n\r\f\x0B\x{00a0}\x{feff}]"
@@ -33,7 +37,7 @@ sh AS (SELECT qw.id, tw.id AS near, count(*) AS s FROM qw JOIN tw ON qw.projectI
 rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, near) AS p FROM sh QUALIFY p <= 5),
 sn AS (SELECT rk.id, p, {trimmed("title || ' ' || summary")} AS t FROM rk JOIN mem ON mem.id = rk.near), st AS (SELECT id, p, CASE WHEN length(t) <= 180 THEN t ELSE regexp_replace(substr(t, 1, 179), '{WHITE}+$', '') || '…' END AS snippet FROM sn),
 bd AS (SELECT *, {trimmed(f"{trimmed('title')} || chr(10) || {trimmed('summary')}")} AS body FROM c),
-nv AS (SELECT bd.id, any_value(body) AS body, any_value(kind) AS kind, count(p) AS neighbors, 1 - count_if(p <= 3 AND snippet <> '' AND contains(lower(body), lower(snippet))) / greatest(1, count_if(p <= 3 AND snippet <> ''))::DOUBLE AS novelty FROM bd LEFT JOIN st USING (id) GROUP BY bd.id),
+nv AS (SELECT bd.id, any_value(body) AS body, any_value(kind) AS kind, count(p) AS neighbors, 1 - count(*) FILTER (p <= 3 AND snippet <> '' AND contains(lower(body), lower(snippet))) / greatest(1, count(*) FILTER (p <= 3 AND snippet <> ''))::DOUBLE AS novelty FROM bd LEFT JOIN st USING (id) GROUP BY bd.id),
 q AS (SELECT *, length(body) AS n, len(regexp_extract_all(body, '[.;:!?]')) AS m FROM nv),
 v AS (SELECT *, least(1, n / 320.0::DOUBLE) * 0.7::DOUBLE + least(1, m / 5.0::DOUBLE) * 0.3::DOUBLE AS c1, least(1, n / 350.0::DOUBLE) * 0.65::DOUBLE + least(1, m / 6.0::DOUBLE) * 0.35::DOUBLE AS c2 FROM q),
 w AS (SELECT *, novelty * 0.62::DOUBLE + c1 * 0.38::DOUBLE AS s1, novelty * 0.6::DOUBLE + c2 * 0.4::DOUBLE AS s2 FROM v),
@@ -62,3 +66,48 @@ def evolved_table(spark, d):
     new = F.col("sourceType") == "system"
     fresh = F.col("createdAt") == NOW
     return made.agg(F.count("*").alias("memories"), F.count_if(new & fresh).alias("evolved"), F.count_if(new & fresh & F.array_contains("tags", "promoted")).alias("promoted"), F.round(F.sum(F.when(new & fresh, F.col("importance"))), 2).alias("importance"))
+
+
+INDEXED = "list_filter(regexp_split_to_array(lower(concat_ws(chr(10), title, summary, array_to_string(tags, ' '))), '[^a-z0-9_]+'), lambda t: length(t) > 1)"
+
+#: Queries of the token index: of two words, of a word that only changed rows have, of one that none has, blank.
+ASKED = ("of the", "renamed", "zzqx", " ")
+
+
+def asked_sql(n: int, q: str) -> str:
+    ws = tokenindex.query_words(q)
+    if not ws:
+        return f"SELECT {n} AS asked, '' AS id, 0.0::DOUBLE AS score WHERE false"
+    hit = f"list_has_any({INDEXED}, {ws!r})"
+    return f"""(SELECT {n} AS asked, id, round(0.38::DOUBLE * importance + 0.24::DOUBLE * confidence + 0.18::DOUBLE * exp(-0.06::DOUBLE * {AGE}) + 0.2::DOUBLE * {sql_token_sim(q, ws)} + 0.06::DOUBLE, 6) AS score
+  FROM now WHERE projectId = 'src2' AND NOT archived AND ({hit} OR NOT (SELECT bool_or({hit}) FROM now WHERE projectId = 'src2')) ORDER BY score DESC, id LIMIT 10)"""
+
+
+@query(f"""WITH {MEM}, now AS (SELECT * REPLACE (CASE WHEN n % 3 = 0 THEN 'renamed ' || title ELSE title END AS title, CASE WHEN n % 3 = 0 THEN lang ELSE summary END AS summary), n % 5 = 0 AS archived FROM (SELECT mem.*, lang, doc_id AS n FROM mem JOIN documents ON id = 'doc_' || doc_id) WHERE n % 7 <> 0)
+{" UNION ALL ".join(asked_sql(n, q) for n, q in enumerate(ASKED))}""")
+def token_index_search(spark, d):
+    """Searches an index that was built, then changed: every third memory has a new title and a summary of one word,
+    every fifth is archived, every seventh removed."""
+    m = T.memories(spark, d)
+    n = F.substring("id", 5, 20).cast("long")
+    index = tokenindex.TokenIndex(spark, f"{shared_folder(spark)}/strata-token-index-{uuid.uuid4().hex}", 32).build(m)
+    delta = m.where(n % 3 == 0).withColumns({"title": F.concat(F.lit("renamed "), "title"), "summary": F.get("tags", F.lit(0))})
+    index.upsert(delta, 1)
+    index.remove(m.where(n % 7 == 0), 2)
+    index.archive(m.where(n % 5 == 0), 3)
+    gone = n % 7 == 0
+    now = m.where(~gone & (n % 3 != 0)).unionByName(delta.where(~gone))
+    found = [index.search(now, q, NOW, 10, "src2").select(F.lit(i).alias("asked"), "id", F.round("score", 6).alias("score")) for i, q in enumerate(ASKED)]
+    out = found[0]
+    for other in found[1:]:
+        out = out.unionByName(other)
+    return out
+
+
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query, v.vec_id AS id, round(list_cosine_similarity(q.e, v.e), 9) AS similarity FROM v q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)
+SELECT query, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS place, id, round(similarity, 6) AS similarity FROM s QUALIFY place <= 10""")
+def vector_index_search(spark, d):
+    """The ten nearest others of every twentieth vector, by the index."""
+    v = T.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    best, _ = vectorindex.build_index(v).nearest(v.where("id % 20 = 0"), 10)
+    return best.select("query", F.col("place").cast("long").alias("place"), "id", F.round("similarity", 6).alias("similarity"))
