@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import hashing, text
 
+# Patterns of code facts.
 NAME = "[A-Za-z_][A-Za-z0-9_]*"
 FUNCTIONS = (rf"\bfunction\s+({NAME})\s*\(", rf"\bdef\s+({NAME})\s*\(", rf"\b({NAME})\s*=\s*\([^)]*\)\s*=>")
 IMPORTS = r"(?m)^\s*(?:import\s+.*from\s+[\"'][^\"']+[\"']|#include\s+[<\"][^>\"]+[>\"])"
@@ -35,20 +36,68 @@ def code_facts(source: Column) -> dict[str, Column]:
     return {"imports": F.transform(found(source, IMPORTS, group=0), text.trim), "functions": found(source, *FUNCTIONS), "classes": found(source, *CLASSES), "loops": loops, "branches": branches, "complexityHint": hint}
 
 
-def struct_stats(source: Column) -> dict[str, Column]:
-    """Structural counts of a piece of code."""
-    return {
-        "functions": F.size(found(source, *FUNCTIONS)), "classes": F.size(found(source, rf"(?m)^\s*(?:export\s+)?class\s+({NAME})")), "loops": count(source, r"\b(?:for|while|do)\b"), "branches": count(source, r"\b(?:if|switch|case|elif|else\s+if)\b"),
-        "returns": count(source, r"\breturn\b"), "calls": count(source, rf"\b{NAME}\s*\("), "imports": count(source, IMPORTS), "lines": count(source, "\n") + 1, "identifiers": F.size(found(source, r"\b([A-Za-z_][A-Za-z0-9_]{2,})\b")),
-    }
+# Words that are no identifiers and no calls, and patterns of structural counts; lines end as Python's do.
+KEYWORDS = (
+    "if", "else", "for", "while", "switch", "case", "return", "class", "function", "def", "import", "from", "try", "catch", "finally", "public", "private", "protected", "static", "new", "const", "let", "var", "async", "await", "true", "false", "null", "undefined", "None",
+)
+IMPORT_LINES = r"(?mdU)^\s*(?:import\s+.+|from\s+\S+\s+import\s+.+|#include\s+[<\"][^>\"]+[>\"])"
+FUNCTION_LINES = (rf"^\s*(?:async\s+)?function\s+({NAME})\s*\(", rf"^\s*def\s+({NAME})\s*\(", rf"\b({NAME})\s*=\s*\([^\)]*\)\s*=>")
+CLASS_LINES = rf"(?mdU)^\s*(?:export\s+)?class\s+({NAME})"
+LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+#: The order of a feature vector.
+STRUCT_NAMES = (
+    "num_functions", "num_classes", "num_interfaces", "num_loops", "num_branches", "num_calls", "num_imports", "num_returns", "max_depth", "line_count", "identifier_count", "recursion_flag", "cyclomatic_proxy", "avg_identifier_len", "unique_dependency_count",
+)
+
+
+def dependency(line: Column) -> Column:
+    """What an import line names: an included file, the module after ``from``, or the first one after ``import``."""
+    bare = text.trim(line)
+    first = text.trim(F.split(F.split(F.substring(bare, 8, 1 << 30), " as ")[0], ",")[0])
+    return F.when(bare.startswith("#include"), F.regexp_extract(bare, r"#include\s+[<\"]([^>\"]+)[>\"]", 1)).when(bare.startswith("from "), F.split(bare, r"\s+")[1]).when(bare.startswith("import "), first).otherwise("")
+
+
+def nesting(source: Column) -> Column:
+    """The greater of the depth of braces, where one that closes nothing is skipped, and of four-space indents."""
+    marks = F.filter(F.split(F.regexp_replace(source, r"[^{}]", ""), ""), lambda x: x != "")
+    start = F.struct(F.lit(0).alias("d"), F.lit(0).alias("m"))
+    step = lambda a, x: F.struct(F.when(x == "{", a["d"] + 1).otherwise(F.greatest(F.lit(0), a["d"] - 1)).alias("d"), F.when(x == "{", F.greatest(a["m"], a["d"] + 1)).otherwise(a["m"]).alias("m"))
+    written = F.filter(F.split(source, LINE_ENDS), lambda x: text.trim(x) != "")
+    indent = F.array_max(F.transform(written, lambda x: F.floor((F.length(x) - F.length(F.ltrim(x))) / 4).cast("int")))
+    return F.greatest(F.aggregate(marks, start, step, lambda a: a["m"]), F.coalesce(indent, F.lit(0)))
+
+
+def structure(source: Column) -> Column:
+    """A struct of ``stats`` (the fifteen counts of ``STRUCT_NAMES``), ``identifiers`` (sorted, at most 120), sorted
+    ``dependencies`` and ``imports``; word boundaries are those of Unicode. Null is as empty."""
+    s = F.coalesce(source, F.lit(""))
+    whole = "(?mdU)" + "|".join(FUNCTION_LINES)
+    named = lambda m: F.coalesce(*(F.nullif(F.regexp_extract(m, f"(?mdU){p}", 1), F.lit("")) for p in FUNCTION_LINES))
+    words = F.regexp_extract_all(s, F.lit(r"(?U)\b[A-Za-z_][A-Za-z0-9_]{2,}\b"), F.lit(0))
+    last = F.element_at(F.split(s, LINE_ENDS), -1)
+    parts = F.struct(
+        F.array_distinct(F.transform(F.regexp_extract_all(s, F.lit(whole), F.lit(0)), named)).alias("functions"), F.size(F.array_distinct(F.regexp_extract_all(s, F.lit(CLASS_LINES), F.lit(1)))).alias("classes"), count(s, r"(?U)\b(for|while|do)\b").alias("loops"),
+        count(s, r"(?U)\b(if|switch|case|elif|else\s+if)\b").alias("branches"), F.size(F.filter(F.regexp_extract_all(s, F.lit(rf"(?U)\b({NAME})\s*\("), F.lit(1)), lambda x: ~x.isin(*KEYWORDS))).alias("calls"), F.regexp_extract_all(s, F.lit(IMPORT_LINES), F.lit(0)).alias("imports"),
+        count(s, r"(?U)\breturn\b").alias("returns"), nesting(s).alias("depth"), (F.size(F.split(s, LINE_ENDS)) - F.when(last == "", 1).otherwise(0)).alias("lines"), F.array_sort(F.array_distinct(F.filter(words, lambda x: ~x.isin(*KEYWORDS)))).alias("identifiers"), s.alias("source"),
+    )
+
+    def told(p: Column) -> Column:
+        calls_itself = F.exists(p["functions"], lambda f: F.length(p["source"]) - F.length(F.replace(p["source"], F.concat(f, F.lit("(")))) >= 2 * (F.length(f) + 1))
+        needed = F.array_sort(F.array_distinct(F.filter(F.transform(p["imports"], dependency), lambda x: x != "")))
+        n = F.size(p["identifiers"])
+        letters = F.aggregate(p["identifiers"], F.lit(0), lambda a, x: a + F.length(x))
+        counts = (F.size(p["functions"]), p["classes"], F.lit(0), p["loops"], p["branches"], p["calls"], F.size(p["imports"]), p["returns"], p["depth"], p["lines"], n, calls_itself, 1 + p["loops"] + p["branches"], F.when(n > 0, letters / n).otherwise(0.0), F.size(needed))
+        return F.struct(F.struct(*(c.alias(x) for x, c in zip(STRUCT_NAMES, counts, strict=True))).alias("stats"), F.slice(p["identifiers"], 1, 120).alias("identifiers"), needed.alias("dependencies"), p["imports"].alias("imports"))
+
+    return F.get(F.transform(F.array(parts), told), F.lit(0))
 
 
-def code_summary(path: Column, stats: dict[str, Column], depth: Column, identifiers: Column, dependencies: Column) -> Column:
-    """A line about a piece of code: its counts, first identifiers and dependencies."""
-    counts = [("functions", stats["functions"]), ("classes", stats["classes"]), ("loops", stats["loops"]), ("branches", stats["branches"]), ("calls", stats["calls"]), ("imports", stats["imports"]), ("depth", depth), ("cyclomatic_proxy", stats["loops"] + stats["branches"] + 1)]
-    told = F.concat_ws(", ", *(F.concat(F.lit(f"{n}="), c.cast("string")) for n, c in counts))
+def code_summary(path: Column, made: Column) -> Column:
+    """A line about a piece of code from its ``structure``: counts, first identifiers and dependencies."""
+    counts = (("functions", "num_functions"), ("classes", "num_classes"), ("loops", "num_loops"), ("branches", "num_branches"), ("calls", "num_calls"), ("imports", "num_imports"), ("depth", "max_depth"), ("cyclomatic_proxy", "cyclomatic_proxy"))
+    told = F.concat_ws(", ", *(F.concat(F.lit(f"{n}="), made["stats"][c].cast("string")) for n, c in counts))
     some = lambda xs, n, none: F.when(F.size(xs) > 0, F.array_join(F.slice(xs, 1, n), ", ")).otherwise(none)
-    return F.concat(path, F.lit(": "), told, F.lit("; top_identifiers=["), some(identifiers, 6, "n/a"), F.lit("], dependencies=["), some(dependencies, 4, "none"), F.lit("]"))
+    return F.concat(path, F.lit(": "), told, F.lit("; top_identifiers=["), some(made["identifiers"], 6, "n/a"), F.lit("], dependencies=["), some(made["dependencies"], 4, "none"), F.lit("]"))
 
 
 def parse_code(files: DataFrame, most: int = 1400, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -139,9 +188,10 @@ def entities(files: DataFrame) -> DataFrame:
     return out.withColumn("id", hashing.stable_id("code", F.col("path"), F.col("name"), F.col("signature"))).dropDuplicates(["id"])
 
 
-def feature_vector(stats: dict[str, Column], n: int = 15) -> Column:
-    """Structural counts as floats, filled with zeros to ``n``."""
-    return F.slice(F.concat(F.array(*(c.cast("float") for c in stats.values())), F.array_repeat(F.lit(0.0).cast("float"), n)), 1, n)
+def feature_vector(stats: Column, n: int = len(STRUCT_NAMES)) -> Column:
+    """The structural counts in their order as floats, cut or filled with zeros to ``n``."""
+    each = F.array(*(stats[c].cast("float") for c in STRUCT_NAMES))
+    return F.slice(F.concat(each, F.array_repeat(F.lit(0.0).cast("float"), n)), 1, n)
 
 
 #: Buckets of hashes in which the order of pairs is made; a fixed number, so that no setting changes the pairs.

@@ -155,13 +155,6 @@ def writer_draft(spark, d):
     return docs(spark, d).select("doc_id", title, summary, F.array_join(tags, ",").alias("tags"))
 
 
-@query("SELECT page_id, len(regexp_extract_all(regexp_replace(html, '[^\\x00-\\x7F]', '_', 'g'), '\\b[A-Za-z_][A-Za-z0-9_]*\\s*\\(')) AS calls, 15 AS n FROM pages")
-def build_feature_vector(spark, d):
-    s = ingest.struct_stats(F.regexp_replace("html", r"[^\x00-\x7F]", "_"))
-    p = T.read(spark, d, "pages").select("page_id", s["calls"].cast("long").alias("calls"), ingest.feature_vector(s).alias("v"))
-    return p.select("page_id", "calls", F.size("v").cast("long").alias("n"))
-
-
 @query("""WITH s AS (SELECT text, CASE WHEN length(text) <= 80 THEN text ELSE substr(text, 1, 79) || '…' END AS summary FROM documents)
 SELECT label, count(*) AS pairs, CAST(sum(length(text)) AS BIGINT) AS leftChars, CAST(sum(length(summary)) AS BIGINT) AS rightChars, count(DISTINCT text) AS lefts, count(DISTINCT summary) AS rights FROM s, (VALUES (0.92::DOUBLE), (0.08)) l(label) GROUP BY label""")
 def make_pairs(spark, d):

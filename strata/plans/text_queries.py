@@ -127,18 +127,20 @@ turns AS (SELECT u.conv_id, u.turn, u.text AS prompt, coalesce(a.text, '') AS re
   UNION ALL SELECT a.conv_id, a.turn, '', a.text FROM o a LEFT JOIN o u ON u.conv_id = a.conv_id AND u.k = a.k - 1 AND u.role = 'user' WHERE a.role = 'assistant' AND u.conv_id IS NULL)"""
 
 
-def odd_conversations(spark, d):
-    """``conversations`` without every 7th message, so that prompts and answers without each other occur."""
-    return T.read(spark, d, "conversations").where("(conv_id + turn) % 7 <> 3")
+#: Rows that the adapter adds to ``conversations``: an answer before each conversation, and a question after it.
+GAPS = "SELECT conv_id, -1 AS turn, 'assistant' AS role, 'before ' || conv_id AS text FROM conversations GROUP BY 1 UNION ALL SELECT conv_id, max(turn) + 1, 'user', ' after ' || max(turn) FROM conversations GROUP BY 1 UNION ALL SELECT conv_id, max(turn) + 2, 'system', 'noted' FROM conversations GROUP BY 1"
+GAPPY_TURNS = TURNS.replace("FROM conversations WHERE", f"FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL {GAPS}) WHERE")
 
 
-ODD_TURNS = TURNS.replace("FROM conversations WHERE", "FROM conversations WHERE (conv_id + turn) % 7 <> 3 AND")
-
-
-@query(f"WITH {ODD_TURNS} SELECT * FROM turns")
+@query(f"WITH {GAPPY_TURNS} SELECT * FROM turns")
 def turn_pairing(spark, d):
-    """Pairs of a log with gaps, which the adapter makes; the operator sees every row it is given."""
-    return ingest.pair_turns(odd_conversations(spark, d))
+    """Pairs of all messages; rows that the adapter adds leave answers without a question, and questions without an answer."""
+    c = T.read(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    ends = c.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    made = [(F.lit(-1), "assistant", F.concat(F.lit("before "), F.col("conv_id").cast("string"))), (F.col("last") + 1, "user", F.concat(F.lit(" after "), F.col("last").cast("string"))), (F.col("last") + 2, "system", F.lit("noted"))]
+    for turn, role, said in made:
+        c = c.unionByName(ends.select("conv_id", turn.cast(c.schema["turn"].dataType).alias("turn"), F.lit(role).alias("role"), said.alias("text")))
+    return ingest.pair_turns(c)
 
 
 @query(f"""WITH {TURNS}, r AS (SELECT conv_id, turn, prompt, response, {replaced("prompt", (*text.SECRETS, *text.PERSONAL))} AS p, {replaced("response", (*text.SECRETS, *text.PERSONAL))} AS q FROM turns)
@@ -251,12 +253,6 @@ def planner(spark, d):
     return plans(q, "query", F.col("context")).select("conv_id", "turn", F.sha1("objective").alias("objective"), "intent", "strategy", "constraints", "risks", F.col("steps")[0]["title"].alias("firstStep"))
 
 
-@query("""WITH s AS (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') AS t FROM documents) SELECT doc_id, len(regexp_extract_all(t, '\\b(?:for|while|do)\\b')) AS loops, len(regexp_extract_all(t, '\\b(?:if|switch|case|elif|else\\s+if)\\b')) AS branches, len(regexp_extract_all(t, '\\breturn\\b')) AS returns, length(t) - length(replace(t, chr(10), '')) + 1 AS lines FROM s""")
-def build_struct(spark, d):
-    s = ingest.struct_stats(F.regexp_replace("text", r"[^\x00-\x7F]", "_"))  # engines differ on word boundaries beyond ASCII
-    return docs(spark, d).select("doc_id", s["loops"].cast("long").alias("loops"), s["branches"].cast("long").alias("branches"), s["returns"].cast("long").alias("returns"), s["lines"].cast("long").alias("lines"))
-
-
 @query("""WITH p AS (SELECT doc_id, source, text, sum(length(text) + 1) OVER (PARTITION BY source ORDER BY doc_id) AS run FROM documents), t AS (SELECT *, ceil((run - 1) / 4.0) AS tokens FROM p), b AS (SELECT source, min(doc_id) FILTER (tokens > 2000) AS stop FROM t GROUP BY 1)
 SELECT doc_id, CAST(greatest(1, tokens) AS BIGINT) AS tokens FROM t JOIN b USING (source) WHERE stop IS NULL OR doc_id < stop""")
 def pack_prefix(spark, d):

@@ -166,9 +166,8 @@ def test_agents(spark):
 
 def test_code_summary(spark):
     src = "import x from 'y'\nfunction sum(a) { for (;;) { if (a) { b() } } }\n"
-    s = ingest.struct_stats(F.col("s"))
-    made = spark.createDataFrame([(src,)], "s string").select(ingest.code_summary(F.lit("a.ts"), s, F.lit(3), F.array(F.lit("sum")), F.array().cast("array<string>")).alias("x")).first()["x"]
-    assert made.startswith("a.ts: functions=1, classes=0, loops=1, branches=1, calls=") and made.endswith("depth=3, cyclomatic_proxy=3; top_identifiers=[sum], dependencies=[none]")
+    made = spark.createDataFrame([(src,)], "s string").select(ingest.code_summary(F.lit("a.ts"), ingest.structure(F.col("s"))).alias("x")).first()["x"]
+    assert made == "a.ts: functions=1, classes=0, loops=1, branches=1, calls=2, imports=1, depth=3, cyclomatic_proxy=3; top_identifiers=[sum], dependencies=[x from 'y']"
 
 
 def test_corpus_of_a_project_ends_at_its_budget(spark):
