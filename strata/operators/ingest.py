@@ -50,10 +50,15 @@ STRUCT_NAMES = (
 )
 
 
+def stripped(x: Column) -> Column:
+    """Without white space of any kind at the ends, as Python has it."""
+    return F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def dependency(line: Column) -> Column:
     """What an import line names: an included file, the module after ``from``, or the first one after ``import``."""
-    bare = text.trim(line)
-    first = text.trim(F.split(F.split(F.substring(bare, 8, 1 << 30), " as ")[0], ",")[0])
+    bare = stripped(line)
+    first = stripped(F.split(F.split(F.substring(bare, 8, 1 << 30), " as ")[0], ",")[0])
     return F.when(bare.startswith("#include"), F.regexp_extract(bare, r"#include\s+[<\"]([^>\"]+)[>\"]", 1)).when(bare.startswith("from "), F.split(bare, r"\s+")[1]).when(bare.startswith("import "), first).otherwise("")
 
 
@@ -62,7 +67,7 @@ def nesting(source: Column) -> Column:
     marks = F.filter(F.split(F.regexp_replace(source, r"[^{}]", ""), ""), lambda x: x != "")
     start = F.struct(F.lit(0).alias("d"), F.lit(0).alias("m"))
     step = lambda a, x: F.struct(F.when(x == "{", a["d"] + 1).otherwise(F.greatest(F.lit(0), a["d"] - 1)).alias("d"), F.when(x == "{", F.greatest(a["m"], a["d"] + 1)).otherwise(a["m"]).alias("m"))
-    written = F.filter(F.split(source, LINE_ENDS), lambda x: text.trim(x) != "")
+    written = F.filter(F.split(source, LINE_ENDS), lambda x: stripped(x) != "")
     indent = F.array_max(F.transform(written, lambda x: F.floor((F.length(x) - F.length(F.ltrim(x))) / 4).cast("int")))
     return F.greatest(F.aggregate(marks, start, step, lambda a: a["m"]), F.coalesce(indent, F.lit(0)))
 

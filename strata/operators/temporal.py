@@ -33,6 +33,32 @@ def lineage(spark: SparkSession, branches: DataFrame, project: str, branch: str)
     return spark.createDataFrame([(b, i) for i, b in enumerate(out)], "branch string, depth int")
 
 
+def lineages(branches: DataFrame) -> DataFrame:
+    """(projectId, start, branch, depth): the lineage of every branch, by the rules of ``lineage``: a missing parent is
+    main, cycles end, at most 32 branches, main last.
+
+    Each round joins all lines to the next branch; a round's table is written, so plans stay small.
+    """
+    from .lineage import kept
+
+    edges = branches.where(F.col("branch") != MAIN).select("projectId", "branch", F.coalesce("parentBranch", F.lit(MAIN)).alias("up"))
+    known = kept(edges.groupBy("projectId", "branch").agg(F.min("up").alias("up")), "branches")
+    at = known.select("projectId", F.col("branch").alias("start"), F.array("branch").alias("line"), "up")
+    done: list[DataFrame] = []
+    step = known.select("projectId", F.col("branch").alias("up"), F.col("up").alias("next"))
+    for depth in range(LINEAGE_DEPTH):
+        goes_on = (F.col("up") != MAIN) & ~F.array_contains("line", F.col("up")) & F.lit(depth + 1 < LINEAGE_DEPTH)
+        done.append(at.where(~goes_on).select("projectId", "start", "line"))
+        longer = at.where(goes_on).join(step, ["projectId", "up"], "left")
+        at = kept(longer.select("projectId", "start", F.concat("line", F.array("up")).alias("line"), F.coalesce("next", F.lit(MAIN)).alias("up")), "lines")
+        if at.isEmpty():
+            break
+    every = done[0]
+    for d in done[1:]:
+        every = every.unionByName(d)
+    return every.select("projectId", "start", F.posexplode(F.concat("line", F.array(F.lit(MAIN)))).alias("depth", "branch"))
+
+
 def nearest(rows: DataFrame, line: DataFrame, *order: Column) -> DataFrame:
     """For each logicalId the row of the nearest branch of the lineage, by ``order`` within it."""
     w = Window.partitionBy("logicalId").orderBy("depth", *order)

@@ -47,12 +47,13 @@ def path_matcher(spark, d):
 
 
 @query("""WITH c AS (SELECT doc_id, unicode(unnest(string_split(text, ''))) AS code, unnest(range(0, length(text))) AS i FROM documents WHERE length(text) > 0), b AS (SELECT doc_id, i % 64 AS k, sum((code * (i + 17)) % 997 / 997.0::DOUBLE) AS v FROM c GROUP BY ALL),
-n AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM b GROUP BY 1) SELECT doc_id, round(coalesce(max(CASE WHEN k = 0 THEN v / n END), 0), 6) AS first, round(coalesce(max(CASE WHEN k = 40 THEN v / n END), 0), 6) AS later, round(sum(v / n), 5) AS total FROM b JOIN n USING (doc_id) GROUP BY doc_id""")
+n AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM b GROUP BY 1), e AS (SELECT doc_id, list(v / n ORDER BY k) AS v, list(k ORDER BY k) AS ks FROM b JOIN n USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, """ + ", ".join(f"round(coalesce(v[list_position(ks, {i})], 0), 6) AS v{i:02}" for i in range(64)) + " FROM documents LEFT JOIN e USING (doc_id)")
 def deterministic_embedding(spark, d):
-    """Over texts within the basic plane, where characters are code units."""
-    e = docs(spark, d).where("length(text) > 0").select("doc_id", udfs.embedding(F.col("text"), 64).alias("v"))
-    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
-    return e.select("doc_id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[40], 6).alias("later"), F.round(total, 5).alias("total"))
+    """All components, for all texts; those without characters have zeros. Texts lie within the basic plane, where
+    characters are code units."""
+    e = docs(spark, d).select("doc_id", udfs.embedding(F.col("text"), 64).alias("v"))
+    return e.select("doc_id", *(F.round(F.col("v")[i], 6).alias(f"v{i:02}") for i in range(64)))
 
 
 @query()

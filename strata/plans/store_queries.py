@@ -8,11 +8,11 @@ import json
 from pyspark.sql import functions as F
 
 from ..functions import codec
-from ..operators import compaction, evolution, records, scheduler, store
+from ..operators import compaction, evolution, ngram, records, scheduler, store
 from ..sources import tables as T
 from .core_queries import rounded
 from .registry import MEM, MID_MS, NOW, RUNS, WRITES, query
-from .text_queries import CUT_AT
+from .text_queries import CUT_AT, NGRAM, model_of
 
 P, B = "p0", "feature"
 
@@ -192,10 +192,10 @@ def dashboard_projects(spark, d):
     return records.dashboard(mixed_memories(spark, d), spark.createDataFrame([], "projectId string, createdAt long"), 4)["perProject"].select("projectId", "anomalies", "savedChars", "totalRows")
 
 
-@query(f"WITH {MIXED} SELECT id, sha1(CASE st WHEN 'good' THEN repeat('repeated words of a long memory ', 80) ELSE content END) AS content FROM mx WHERE st IN ('good', 'plain')")
+@query(f"WITH {MIXED} SELECT id, sha1(CASE WHEN st = 'good' THEN repeat('repeated words of a long memory ', 80) WHEN st IN ('bad', 'broken') THEN substr(repeat('repeated words of a long memory ', 80), 1, 319) || '…' ELSE content END) AS content FROM mx")
 def restore_contents(spark, d):
-    m = store.restored(mixed_memories(spark, d).where(F.expr(STATE.format(p="projectId", k="CAST(substring(id, 5) AS BIGINT)")).isin("good", "plain")))
-    return m.select("id", F.sha1("content").alias("content"))
+    """Whole contents; the preview where the checksum is wrong or the payload is broken."""
+    return store.restored(mixed_memories(spark, d)).select("id", F.sha1("content").alias("content"))
 
 
 DECIDED = f"""{RUNS}, r AS (SELECT runId, dryRunOnly, (startedAt // 60000) % 60 AS anomalies, (runId % 100) / 500.0::DOUBLE AS rate, runId % 7 AS compacted, hour(make_timestamp(startedAt * 1000)) AS h, CASE WHEN outcome = 'error' THEN runId % 3 ELSE 0 END AS errors FROM runs)"""
@@ -257,36 +257,39 @@ def link_entity_dependency(spark, d):
 
 # A candidate: title and summary, and snippets two of which it contains where its id is even.
 CANDIDATE = """c AS (SELECT doc_id, trim(regexp_replace(substr(text, 1, 30), '[ \\t\\n\\r]+', ' ', 'g')) AS title, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) AS summary FROM documents),
-s AS (SELECT *, title || chr(10) || summary AS body, CASE WHEN doc_id % 2 = 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS novelty FROM c WHERE length(title) > 5),
-q AS (SELECT *, length(body) AS n, len(regexp_extract_all(body, '[.;:!?]')) AS p FROM s), v AS (SELECT *, least(1, n / 320.0::DOUBLE) * 0.7::DOUBLE + least(1, p / 5.0::DOUBLE) * 0.3::DOUBLE AS c1, least(1, n / 350.0::DOUBLE) * 0.65::DOUBLE + least(1, p / 6.0::DOUBLE) * 0.35::DOUBLE AS c2 FROM q)"""
+s AS (SELECT *, title || chr(10) || summary AS body, CASE WHEN doc_id % 2 = 0 AND title <> '' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS novelty FROM c),
+cq AS (SELECT *, length(body) AS n, len(regexp_extract_all(body, '[.;:!?]')) AS p FROM s), cv AS (SELECT *, least(1, n / 320.0::DOUBLE) * 0.7::DOUBLE + least(1, p / 5.0::DOUBLE) * 0.3::DOUBLE AS c1, least(1, n / 350.0::DOUBLE) * 0.65::DOUBLE + least(1, p / 6.0::DOUBLE) * 0.35::DOUBLE AS c2 FROM cq)"""
 ACTION = "CASE WHEN score >= 0.8 THEN 'merge' WHEN score >= 0.6 THEN 'store' WHEN score >= 0.42 THEN 'compress' ELSE 'reject' END"
 
 
 def candidates(spark, d):
     flat = F.trim(F.regexp_replace("text", "[ \t\n\r]+", " "))
-    c = T.read(spark, d, "documents").select("doc_id", F.trim(F.regexp_replace(F.substring("text", 1, 30), "[ \t\n\r]+", " ")).alias("title"), flat.alias("summary")).where(F.length("title") > 5)
+    c = T.read(spark, d, "documents").select("doc_id", F.trim(F.regexp_replace(F.substring("text", 1, 30), "[ \t\n\r]+", " ")).alias("title"), flat.alias("summary"))
     own = F.when(F.col("doc_id") % 2 == 0, F.col("title")).otherwise(F.lit("\x02 nowhere"))
     return c.withColumn("snippets", F.array(own, F.lit("\x02 no text has this")))
 
 
-@query(f"""WITH {CANDIDATE}, r AS (SELECT *, novelty * 0.62::DOUBLE + c1 * 0.38::DOUBLE AS s1, novelty * 0.6::DOUBLE + c2 * 0.4::DOUBLE AS s2 FROM v), w AS (SELECT *, (s1 + s2) / 2 AS score FROM r)
+@query(f"""WITH {CANDIDATE}, r AS (SELECT *, novelty * 0.62::DOUBLE + c1 * 0.38::DOUBLE AS s1, novelty * 0.6::DOUBLE + c2 * 0.4::DOUBLE AS s2 FROM cv), w AS (SELECT *, (s1 + s2) / 2 AS score FROM r)
 SELECT doc_id, round(score, 6) AS score, novelty, 1 - novelty AS redundancy, round((c1 + c2) / 2, 6) AS clarity, {ACTION} AS action, score >= 0.42 AS accepted, CASE WHEN score >= 0.42 THEN 'fallback-heuristic' WHEN s2 >= 0.35 THEN 'accepted-by-heuristic' ELSE 'low-signal' END AS reason FROM w""")
 def critic_fallback(spark, d):
     made = candidates(spark, d).select("doc_id", evolution.critic_fallback(F.col("title"), F.col("summary"), F.col("snippets")).alias("r"))
     return rounded(made.select("doc_id", "r.score", "r.novelty", "r.redundancy", "r.clarity", "r.action", "r.accepted", "r.reason"))
 
 
-@query(f"""WITH {CANDIDATE}, r AS (SELECT *, novelty * 0.7::DOUBLE + (doc_id % 10) / 10.0::DOUBLE * 0.3::DOUBLE AS nv, c2 * 0.9::DOUBLE + least(1, length(summary) / 300.0::DOUBLE) * 0.1::DOUBLE AS cl FROM v), w AS (SELECT *, nv * 0.62::DOUBLE + cl * 0.38::DOUBLE AS score FROM r)
+@query(f"""WITH {CANDIDATE}, {NGRAM}, db AS (SELECT doc_id, unnest(ts[:-2]) AS a, unnest(ts[2:]) AS b FROM tok WHERE len(ts) > 1), ex0 AS (SELECT doc_id, avg(1 - coalesce(q, 0) / 127) AS e FROM db LEFT JOIN v x ON a = x.token LEFT JOIN v y ON b = y.token LEFT JOIN tr ON fromId = coalesce(x.tokenId, 0) AND toId = coalesce(y.tokenId, 0) GROUP BY 1),
+r AS (SELECT cv.*, novelty * 0.7::DOUBLE + coalesce(e, 0.5) * 0.3::DOUBLE AS nv, c2 * 0.9::DOUBLE + least(1, length(summary) / 300.0::DOUBLE) * 0.1::DOUBLE AS cl FROM cv LEFT JOIN ex0 USING (doc_id)), w AS (SELECT *, nv * 0.62::DOUBLE + cl * 0.38::DOUBLE AS score FROM r)
 SELECT doc_id, round(score, 6) AS score, round(nv, 6) AS novelty, round(cl, 6) AS clarity, {ACTION} AS action, CASE WHEN score >= 0.8 THEN regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') END AS mergeKey FROM w""")
 def critic_ngram(spark, d):
-    made = candidates(spark, d).select("doc_id", evolution.critic_ngram(F.col("title"), F.col("summary"), F.col("snippets"), F.col("doc_id") % 10 / 10).alias("r"))
+    """The novelty that the review expects is that of the whole text under a model of all texts."""
+    expected = ngram.novelty(T.read(spark, d, "documents"), model_of(spark, d)).select("doc_id", F.col("novelty").alias("expected"))
+    made = candidates(spark, d).join(expected, "doc_id").select("doc_id", evolution.critic_ngram(F.col("title"), F.col("summary"), F.col("snippets"), F.col("expected")).alias("r"))
     return rounded(made.select("doc_id", "r.score", "r.novelty", "r.clarity", "r.action", "r.mergeKey"))
 
 
 SHORT = "regexp_replace(CASE WHEN e > 99 THEN substr(h, 1, e + 1) ELSE h END, '[ \\t\\n\\r]+$', '') || '…'"
 
 
-@query(f"""WITH {CANDIDATE}, r AS (SELECT doc_id, title, summary, ((novelty * 0.62::DOUBLE + c1 * 0.38::DOUBLE) + (novelty * 0.6::DOUBLE + c2 * 0.4::DOUBLE)) / 2 AS score, (c1 + c2) / 2 AS clarity, doc_id % 4 AS k FROM v),
+@query(f"""WITH {CANDIDATE}, r AS (SELECT doc_id, title, summary, ((novelty * 0.62::DOUBLE + c1 * 0.38::DOUBLE) + (novelty * 0.6::DOUBLE + c2 * 0.4::DOUBLE)) / 2 AS score, (c1 + c2) / 2 AS clarity, doc_id % 4 AS k FROM cv),
 a AS (SELECT *, {ACTION} AS action, CASE k WHEN 0 THEN 'code_entity' WHEN 1 THEN 'procedural' ELSE 'semantic' END AS kind, substr(summary, 1, 180) AS h FROM r), e AS (SELECT *, {CUT_AT} AS e FROM a WHERE score >= 0.42),
 f AS (SELECT *, round(least(1, score + CASE k WHEN 0 THEN 0.03 WHEN 1 THEN 0.02 ELSE 0 END + CASE WHEN clarity >= 0.85 THEN 0.02 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 0.08 ELSE 0 END), 4)::DOUBLE AS i, round(clarity, 4)::DOUBLE AS c FROM e)
 SELECT doc_id AS id, action, CASE WHEN action <> 'compress' OR length(summary) <= 180 THEN summary ELSE {SHORT} END AS summary, CASE WHEN i >= 0.82 AND c >= 0.82 THEN greatest(i, 0.9::DOUBLE) ELSE i END AS importance, c AS confidence, CASE WHEN doc_id % 5 = 0 THEN 'Keep' ELSE 'x' END || CASE WHEN i >= 0.82 AND c >= 0.82 THEN ',promoted' ELSE '' END AS tags,

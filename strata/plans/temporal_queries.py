@@ -45,9 +45,21 @@ def close_open_snapshot(spark, d):
     return snapshots(spark, d).select("event_id", "logicalId", "branch", "validFrom", F.coalesce("validUntil", F.lit(-1)).alias("validUntil"))
 
 
-@query("""WITH RECURSIVE b(branch, parent) AS (VALUES ('main', NULL), ('release', 'main'), ('feature', 'release')), l AS (SELECT branch, parent, 0 AS depth FROM b WHERE branch = 'feature' UNION ALL SELECT b.branch, b.parent, l.depth + 1 FROM l JOIN b ON b.branch = l.parent WHERE l.depth < 31) SELECT branch, depth FROM l""")
+# Every customer is a branch of its nation: it begins from the branch of half its number, if that is of the same nation.
+BRANCHES = "b AS (SELECT 'n' || c.c_nationkey AS projectId, 'b' || c.c_custkey AS branch, 'b' || p.c_custkey AS parent, c.c_custkey AS k FROM customer c LEFT JOIN customer p ON p.c_nationkey = c.c_nationkey AND p.c_custkey = c.c_custkey // 2 AND p.c_custkey <> c.c_custkey)"
+
+
+def customer_branches(spark, d):
+    c = T.read(spark, d, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("projectId"), F.col("c_custkey").cast("long").alias("k"))
+    parent = c.select("projectId", F.col("k").alias("p"), F.concat(F.lit("b"), F.col("k").cast("string")).alias("parentBranch"))
+    return c.withColumns({"branch": F.concat(F.lit("b"), F.col("k").cast("string")), "p": F.expr("k div 2")}).join(parent, ["projectId", "p"], "left").select("projectId", "branch", "parentBranch")
+
+
+@query(f"""WITH RECURSIVE {BRANCHES}, l AS (SELECT projectId, branch AS start, branch, parent, 0 AS depth FROM b UNION ALL SELECT b.projectId, l.start, b.branch, b.parent, l.depth + 1 FROM l JOIN b ON b.projectId = l.projectId AND b.branch = l.parent WHERE l.depth < 31)
+SELECT projectId, start, branch, depth FROM l UNION ALL SELECT projectId, start, 'main', max(depth) + 1 FROM l GROUP BY ALL""")
 def branch_lineage(spark, d):
-    return line(spark)
+    """The lineages of all branches of all projects."""
+    return temporal.lineages(customer_branches(spark, d)).select("projectId", "start", "branch", "depth")
 
 
 @query(f"WITH {SNAP}, {LINE}, {as_of(MID_US, 's')} SELECT logicalId, branch, operation, validFrom, title FROM s")

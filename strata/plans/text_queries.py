@@ -195,12 +195,19 @@ def estimate_novelty(spark, d):
     return rounded(ngram.novelty(docs(spark, d), model_of(spark, d)))
 
 
-@query(f"""WITH {NGRAM}, c AS (SELECT count(*) * 2 AS snippets, sum(len(ts)) * 2 AS tokenCount FROM tok WHERE len(ts) >= 2), m AS (SELECT fromId, count(*) AS b FROM tr GROUP BY 1)
-SELECT snippets, tokenCount, (SELECT count(*) FROM documents) AS sourceCount, (SELECT sum(length(text)) FROM documents) AS corpusChars, (SELECT count(*) + 1 FROM v) AS vocabSize, (SELECT count(*) FROM m) AS transitionRows, (SELECT round(avg(b), 6) FROM m) AS averageBranchingFactor FROM c""")
+#: Texts of projects and notes of memories count twice, turns once.
+CORPORA = "SELECT text, 2 AS w FROM documents UNION ALL SELECT title || chr(10) || summary, 2 FROM mem UNION ALL SELECT text, 1 FROM conversations"
+
+
+@query(f"""WITH {MEM}, s AS ({CORPORA}), tok AS (SELECT regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+|[^\\s]') AS ts, w FROM s), v AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS tokenId FROM (SELECT token, sum(w) AS n FROM (SELECT unnest(ts) AS token, w FROM tok WHERE len(ts) > 1) GROUP BY 1 ORDER BY n DESC, token LIMIT 4095)),
+b AS (SELECT unnest(ts[:-2]) AS a, unnest(ts[2:]) AS b, w FROM tok WHERE len(ts) > 1), p AS (SELECT coalesce(x.tokenId, 0) AS f, coalesce(y.tokenId, 0) AS t, sum(w) AS n FROM b LEFT JOIN v x ON a = x.token LEFT JOIN v y ON b = y.token GROUP BY ALL),
+k AS (SELECT f, least(24, count(*)) AS b FROM p GROUP BY 1), c AS (SELECT CAST(sum(w) AS BIGINT) AS snippets, CAST(sum(len(ts) * w) AS BIGINT) AS tokenCount FROM tok WHERE len(ts) >= 2)
+SELECT snippets, tokenCount, (SELECT count(*) FROM s) AS sourceCount, (SELECT CAST(sum(length(text)) AS BIGINT) FROM s) AS corpusChars, (SELECT count(*) + 1 FROM v) AS vocabSize, (SELECT count(*) FROM k) AS transitionRows, (SELECT round(avg(b), 6) FROM k) AS averageBranchingFactor FROM c""")
 def train_ngram(spark, d):
-    """The summary of a model of project texts, which count twice."""
-    s = docs(spark, d).select(F.col("text").alias("snippet"))
-    return rounded(ngram.train(s, s.limit(0), s.limit(0))[2])
+    """The summary of a model of all three kinds of texts: documents, notes of memories, turns."""
+    notes = T.memories(spark, d).select(F.concat("title", F.lit("\n"), "summary").alias("snippet"))
+    turns = T.read(spark, d, "conversations").select(F.col("text").alias("snippet"))
+    return rounded(ngram.train(docs(spark, d).select(F.col("text").alias("snippet")), notes, turns)[2])
 
 
 STOPS = ", ".join(f"'{w}'" for w in ngram.STOP_WORDS)
