@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_dir
+from .shared import written
 
 
 def components(links: DataFrame, most_rounds: int = 60, parts: int = 1 << 30) -> DataFrame:
@@ -13,10 +13,10 @@ def components(links: DataFrame, most_rounds: int = 60, parts: int = 1 << 30) ->
 
     Each round hangs a node's larger neighbours, then its smaller ones, on its smallest; the links become
     stars after a logarithmic number of rounds. Nothing but a count and a checksum per round reaches the
-    driver; rounds are cut by reliable checkpoints of at most ``parts`` files.
+    driver; each round is a table of at most ``parts`` files.
     """
-    shared_dir(links.sparkSession)
-    links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().coalesce(parts).checkpoint()
+    links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    links = written(links, "stars", parts)
     before = None
     for _ in range(most_rounds):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -25,7 +25,7 @@ def components(links: DataFrame, most_rounds: int = 60, parts: int = 1 << 30) ->
         large = large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct().coalesce(parts).checkpoint()
+        links = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "stars", parts)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

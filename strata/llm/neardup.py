@@ -2,11 +2,11 @@
 
 A document's set is its distinct 5-word shingles, each a 64-bit hash; its sketch is the set's k smallest.
 Documents with equal sets form a class, which takes part once. Inverted lists of retained values generate
-overlaps: two sketches that belong to similar sets share at least ``k/2`` values (for sets smaller than k,
-half of the smaller), so it is enough to list each sketch under its rarest values, all but ``k/2 - 1`` of
-them; passages that many documents share then hardly generate anything. Lists with the same leading member
-are one group. Inside a group the overlap of sketches estimates each pair's similarity from the union's
-sketch, which filters; the exact Jaccard of the full sets verifies. Pairs that are linked already by others
+overlaps. The k smallest values of two sketches together are the sketch of the union, and the share of them that
+lies in both estimates the similarity; a pair whose estimate is more than ``MARGIN`` below what is asked is
+dropped. So it is enough to list each sketch under its rarest values, all but that share of them; passages that
+many documents share then hardly generate anything. Lists with the same leading member are one group, inside which
+the estimate filters pairs; the exact Jaccard of the full sets verifies. Pairs that are linked already by others
 needn't be verified, as only components are wanted.
 
 Large groups are compared in blocks: first each block with itself and with the first. Once components are known,
@@ -32,6 +32,10 @@ from .words import WORD, forgetting, hashes_of, shingles
 #: Rows, and bytes of sets, in a block of a group.
 BLOCK_ROWS, BLOCK_BYTES = 512, 16 << 20
 
+#: How far an estimate from the union's sketch may be below the similarity asked for, in percent: at 75 % and 64 values it
+#: is 7 standard deviations, a chance of about 2e-6.
+MARGIN = 25
+
 #: Blocks of outer rows that meet all others directly, as that is linear; groups with more are cut again.
 FEW = 2
 
@@ -59,6 +63,15 @@ def sketches(documents: DataFrame, key: str, text: str, n: int, k: int | None) -
     return slim.mapInArrow(forgetting(run), "key long, size long, set_id binary, sketch array<long>")
 
 
+def estimate(a: np.ndarray, b: np.ndarray, k: int) -> float:
+    """The share of the union's k smallest values that lie in both, in percent, from two sketches of k."""
+    both = np.sort(np.concatenate([a, b]))
+    again = both[1:] == both[:-1]
+    place = np.cumsum(~again) + 1  # of the second on, among the union's values
+    in_sketch = place <= k
+    return 100 * int((again & in_sketch).sum()) / min(k, int(place[-1]))
+
+
 def verified(sets: list[np.ndarray], label: list[int], left: np.ndarray, k: int | None, percent: int) -> list[tuple[int, int]]:
     """Links among ``sets`` that join their components, each checked on the full sets.
 
@@ -78,7 +91,8 @@ def verified(sets: list[np.ndarray], label: list[int], left: np.ndarray, k: int
         return i
 
     sizes = np.array([len(s) for s in sets], np.int64)
-    k = k or int(sizes.max())
+    sketched, k = k is not None, k or int(sizes.max())
+    share = percent - MARGIN if sketched else percent
     low = [s[:k] for s in sets]
     values, at = np.unique(np.concatenate(low), return_inverse=True)
     rows = np.repeat(np.arange(n), [len(x) for x in low])
@@ -95,15 +109,15 @@ def verified(sets: list[np.ndarray], label: list[int], left: np.ndarray, k: int
         m[rows[part], at[part] - first] = 1
         shared += m @ m.T
     small, large = np.minimum(sizes[:, None], sizes[None]), np.maximum(sizes[:, None], sizes[None])
-    # of the union's sketch, at least about half must lie in both
-    keep = (shared >= -(-np.minimum(small, k) // 2)) & (100 * small >= percent * large)
+    # what lies in both of the union's sketch lies in both sketches, and the union's is no smaller than either
+    keep = (100 * shared >= share * np.minimum(small, k)) & (100 * small >= percent * large)
     keep &= left[:, None] | left[None]
     i, j = np.nonzero(np.triu(keep, 1))
     order = np.argsort(-shared[i, j] / np.minimum(small[i, j], k), kind="stable")
     out = []
     for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
         x, y = root(a), root(b)
-        if x == y:
+        if x == y or sketched and estimate(low[a], low[b], k) < share:
             continue
         s, t = (sets[a], sets[b]) if sizes[a] <= sizes[b] else (sets[b], sets[a])
         found = np.searchsorted(t, s)
@@ -161,7 +175,7 @@ def listed_groups(rows: DataFrame, needed: Column, parts: int | None = None) ->
 def candidates(sketched: DataFrame, k: int | None, percent: int, parts: int | None = None) -> DataFrame:
     """(g, key): groups of classes that may hold similar pairs, from inverted lists of retained values."""
     n = F.size("sketch")
-    share = 50 if k else percent  # whole sets share as many values as asked; two sketches about half of them
+    share = percent - MARGIN if k else percent  # whole sets share as many values as asked
     return listed_groups(sketched.select(F.lit(0).cast("long").alias("g"), "key", n.alias("n"), F.col("sketch").alias("values")), F.ceil(F.col("n") * share / 100).cast("int"), parts)
 
 
@@ -189,23 +203,23 @@ def sent(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
 
 
 def full_sets(documents: DataFrame, wanted: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(key, set) of the documents whose keys are ``wanted``."""
+    """(key, set, bytes) of the documents whose keys are ``wanted``."""
     slim = documents.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     slim = sent(slim, wanted, "key", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 256):
             made = [shingle_set(x, n).tobytes() for x in columns_of(batch, "text")[0]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["key", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), pa.array([len(x) for x in made], pa.int64())], ["key", "set", "bytes"])
 
-    return slim.mapInArrow(forgetting(run), "key long, set binary").where(F.octet_length("set") > 0).dropDuplicates(["key"])
+    return slim.mapInArrow(forgetting(run), "key long, set binary, bytes long").where("bytes > 0").dropDuplicates(["key"])
 
 
 def similar_links(documents: DataFrame, sketched: DataFrame, key: str, text: str, n: int, k: int | None, percent: int, parts: int | None = None) -> DataFrame:
     """(node, component) of the classes that are linked with another."""
     groups = written(candidates(sketched, k, percent, parts), "groups", parts)
     sets = written(full_sets(documents, groups.select("key").distinct(), key, text, n), "sets", parts)
-    sized = groups.join(sets.select("key", F.octet_length("set").alias("bytes")), "key")
+    sized = groups.join(sets.select("key", "bytes"), "key")
     sizes = sized.groupBy("g").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")).where("rows > 1")
     blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     placed = groups.join(sizes.select("g", blocks.alias("nb")), "g").withColumn("block", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
@@ -213,35 +227,38 @@ def similar_links(documents: DataFrame, sketched: DataFrame, key: str, text: str
     # each block with itself; the first also with every other
     first = F.when(F.col("block") == 0, F.array_union(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))), F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.lit(0).alias("i"), j.alias("j"))))).otherwise(F.array(F.struct(F.col("block").alias("i"), F.col("block").alias("j")), F.struct(F.lit(0).alias("i"), F.col("block").alias("j"))))
     tasks = placed.select("g", "key", F.explode(first).alias("t")).select("g", "t.i", "t.j", "key", F.col("key").alias("label"), F.lit(True).alias("outer"))
-    links = written(links_of(tasks.join(sets, "key"), k, percent), "links", parts)
+    links = written(links_of(tasks.join(sets.drop("bytes"), "key"), k, percent), "links", parts)
     found = components(links, parts=parts or 1 << 30)
     many = placed.where("nb > 2").select("g", "key")
     if many.isEmpty():
         return found
     found = written(found, "found", parts)
     label = found.withColumnRenamed("node", "key").withColumnRenamed("component", "label")
-    outside = written(with_outer(many, label), "outside", parts)
+    outside = written(with_outer(many, label).join(sets.select("key", "bytes"), "key"), "outside", parts)
     counts = block_counts(outside)
     several = outside.join(counts.where(F.col("no") > FEW).select("g"), "g", "left_semi")
     small = outside.join(counts.where(F.col("no") <= FEW).select("g"), "g", "left_semi")
     if not several.isEmpty():
-        small = small.unionByName(with_outer(narrowed(several, sets, percent, parts), label))
+        small = small.unionByName(with_outer(narrowed(several, sets, percent, parts), label).join(sets.select("key", "bytes"), "key"))
     small = written(small, "again", parts)
     counts = block_counts(small)
-    labelled = small.join(counts, "g").withColumns({"block": F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"), "own": F.pmod(F.xxhash64("key"), F.col("no")).cast("int")})
+    labelled = small.drop("bytes").join(counts, "g").withColumns({"block": F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"), "own": F.pmod(F.xxhash64("key"), F.col("no")).cast("int")})
     # outer block i meets every outer block and every block of the main component
     with_own = F.transform(F.sequence(F.lit(0), F.col("no") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j")))
     with_main = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.col("own").alias("i"), (-1 - j).alias("j")))
     as_main = F.transform(F.sequence(F.lit(0), F.col("no") - 1), lambda i: F.struct(i.alias("i"), (-1 - F.col("block")).alias("j")))
     again = labelled.select("g", "key", "label", "outer", F.explode(F.when(F.col("outer"), F.concat(with_own, with_main)).otherwise(as_main)).alias("t")).select("g", "t.i", "t.j", "key", "label", "outer")
-    more = links_of(again.join(sets, "key"), k, percent)
+    more = links_of(again.join(sets.drop("bytes"), "key"), k, percent)
     stars = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     return components(more.unionByName(stars), parts=parts or 1 << 30)
 
 
 def block_counts(rows: DataFrame) -> DataFrame:
-    """(g, nb, no): how many blocks a group has, and its outer rows; only groups that have some."""
-    return rows.groupBy("g").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("nb"), F.ceil(F.count_if("outer") / BLOCK_ROWS).cast("int").alias("no")).where("no > 0")
+    """(g, nb, no): how many blocks a group (g, outer, bytes) has, and its outer rows; only groups that have some."""
+    outer_bytes = F.sum(F.when(F.col("outer"), F.col("bytes")))
+    nb = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    no = F.greatest(F.ceil(F.count_if("outer") / BLOCK_ROWS), F.ceil(outer_bytes / BLOCK_BYTES)).cast("int")
+    return rows.groupBy("g").agg(nb.alias("nb"), no.alias("no")).where("no > 0")
 
 
 def with_outer(groups: DataFrame, label: DataFrame) -> DataFrame:
@@ -257,11 +274,11 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     Documents are linked if 100 * intersection >= ``percent`` * union of their shingle sets. Null, empty and
     blank texts have no set, are linked with nothing and kept. A text of fewer words than ``n`` has one
     shingle, all its words. Rows with the same key are one document and have equal results as long as their
-    texts are equal; rows without a key are linked with nothing and have a null component. Equal rows, extra
-    columns and an empty table need no care. Keys are integers.
+    texts are equal; rows without a key, whatever their text, are linked with nothing and have a null component. Equal
+    rows, extra columns and an empty table need no care. Keys are integers.
 
-    Two sets as similar as asked share at least half of ``k`` retained values but for a chance of about
-    2e-6 at the threshold itself, far less above it, and no chance where either has at most ``k`` shingles.
+    Of two sets as similar as asked the estimate from the union's sketch falls short by more than ``MARGIN`` with a
+    chance of about 2e-6 at the threshold itself, far less above it, and never where both have at most ``k`` shingles.
     With ``k`` None whole sets are listed and no link is lost, at the price of larger lists. Texts of any length
     are used whole.
     """
@@ -273,6 +290,6 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     of_class = classes.select(F.col("class").alias("key"))
     found = similar_links(documents, sketched.join(of_class, "key", "left_semi").dropDuplicates(["key"]), key, text, n, k, percent, parts)
     labelled = members.join(found.select(F.col("node").alias("class"), "component"), "class", "left")
-    component = F.coalesce("component", "class", "key").alias("component_id")
+    component = F.when(F.col("key").isNotNull(), F.coalesce("component", "class", "key")).alias("component_id")
     out = labelled.select("key", F.col("size").alias("n_shingles"), component)
     return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)).alias("kept")).coalesce(parts)

@@ -237,9 +237,13 @@ def test_whole_sets_lose_no_link(spark):
     assert one == all_values and sum(not r[3] for r in one) > 20
 
 
-def test_a_template_of_many_rows_is_cut_again(spark, monkeypatch):
+@pytest.mark.parametrize("limit", ["rows", "bytes"])
+def test_a_template_of_many_rows_is_cut_again(spark, monkeypatch, limit):
     """Rows that share most of a sketch with all others, but are similar to few."""
-    monkeypatch.setattr(neardup, "BLOCK_ROWS", 8)
+    if limit == "rows":
+        monkeypatch.setattr(neardup, "BLOCK_ROWS", 8)
+    else:
+        monkeypatch.setattr(neardup, "BLOCK_BYTES", 8 * 100 * 8)
     rng = random.Random(13)
     template = words(rng, 60, 10**6)
     made = [(i, f"{template} {words(rng, 40, 10**6)}") for i in range(120)]  # alike by 0.43
@@ -264,6 +268,35 @@ def test_a_template_of_many_rows_is_cut_again(spark, monkeypatch):
     assert got == least and len(set(least.values())) == 121
 
 
+def test_blocks_of_the_second_pass_have_bounded_bytes(spark):
+    """600 rows of 1.6 MB: rows alone would make two blocks of them."""
+    rows = spark.createDataFrame([(1, i % 3 == 0, 1_600_000) for i in range(600)] + [(2, i == 0, 100) for i in range(600)] + [(3, False, 9)], "g long, outer boolean, bytes long")
+    got = {r["g"]: (r["nb"], r["no"]) for r in neardup.block_counts(rows).collect()}
+    assert got == {1: (-(-600 * 1_600_000 // neardup.BLOCK_BYTES), -(-200 * 1_600_000 // neardup.BLOCK_BYTES)), 2: (2, 1)}
+
+
+def test_the_estimate_is_the_share_of_the_unions_sketch():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        k = int(rng.integers(1, 40))
+        a, b = (np.unique(rng.integers(0, 90, rng.integers(1, 80)).astype(np.uint64)) for _ in range(2))
+        least = np.union1d(a, b)[:k]
+        want = 100 * np.isin(least, np.intersect1d(a, b)).sum() / len(least)
+        assert neardup.estimate(a[:k], b[:k], k) == pytest.approx(want)
+
+
+def test_pairs_far_below_the_threshold_are_dropped_by_their_estimate(monkeypatch):
+    """Two sets whose smallest values are alike, as a plain count of common values would have it, but no others."""
+    checked = []
+    monkeypatch.setattr(neardup.np, "searchsorted", lambda *x, f=np.searchsorted: checked.append(1) or f(*x))
+    common = np.arange(1000, 1032, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([common, np.arange(s, s + 900 * 7, 7, dtype=np.uint64) + 5000 * s])) for s in (1, 2)]
+    sets = [np.unique(np.concatenate([np.arange(10 * s, 10 * s + 32, dtype=np.uint64), x])) for s, x in zip((1, 5), sets, strict=True)]
+    before = len(checked)
+    assert neardup.verified(sets, [0, 1], np.array([True, True]), 64, 75) == []
+    assert len(checked) - before <= 1  # the one that cuts values into portions
+
+
 @pytest.fixture(scope="module")
 def long_text():
     return words(random.Random(20), 300_000, 10**7)

@@ -258,8 +258,10 @@ def near_brute(rows, percent=75):
 @pytest.mark.parametrize("block", [512, 3])
 def test_near_duplicates(spark, docs, rows, no_docs, monkeypatch, block):
     monkeypatch.setattr(neardup, "BLOCK_ROWS", block)
+    twin = spark.createDataFrame([(None, rows[6][1]), (None, rows[6][1])], "doc_id long, text string")  # a keyed row has this text
+    docs = docs.unionByName(twin, allowMissingColumns=True)
     got = neardup.near_duplicates(docs).collect()
-    assert len(got) == docs.count()
+    assert len(got) == docs.count() and all(r["component_id"] is None and r["kept"] for r in got if r[0] is None)
     assert {r[0]: tuple(r)[1:] for r in got if r[0] is not None} == near_brute(rows)
     assert next(r for r in got if r[0] is None)["kept"]
     assert neardup.near_duplicates(no_docs).count() == 0
