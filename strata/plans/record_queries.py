@@ -180,6 +180,22 @@ def parse_chat_session(spark, d):
     return chat.chat_turns(raw).select(F.regexp_extract("path", "[0-9]+", 0).cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "prompt", "response")
 
 
+@query(f"""WITH m AS (SELECT conv_id, CASE WHEN role = 'user' THEN turn ELSE turn - 1 END AS request, role, {TRIMMED} AS t FROM conversations WHERE role IN ('user', 'assistant')),
+r AS (SELECT conv_id, request, coalesce(arg_max(t, request) FILTER (role = 'user'), '') AS prompt, coalesce(arg_max(t, request) FILTER (role = 'assistant'), '') AS response FROM m WHERE request >= 0 GROUP BY ALL)
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY request) - 1 AS BIGINT) AS turn, prompt, response FROM r WHERE prompt <> '' OR response <> ''""")
+def parse_chat_log(spark, d):
+    """Conversations as logs of events, a line each: every answer is written twice, and the later one counts."""
+    c = T.read(spark, d, "conversations").where("role IN ('user', 'assistant')")
+    asked = F.col("role") == "user"
+    request = F.when(asked, F.col("turn")).otherwise(F.col("turn") - 1)
+    draft = F.array(F.struct(F.lit("thinking").alias("kind"), F.lit("hm").alias("value")), F.struct(F.lit("text").alias("kind"), F.lit("a draft").alias("value")))
+    final = F.array(F.struct(F.lit("thinking").alias("kind"), F.lit("hm").alias("value")), F.struct(F.lit("text").alias("kind"), F.col("text").alias("value")))
+    event = lambda field, v: F.to_json(F.struct(F.array(F.lit("requests"), request.cast("string"), F.lit(field)).alias("k"), v.alias("v")))
+    lines = F.when(asked, F.array(event("message", F.struct("text")))).otherwise(F.array(event("response", draft), event("response", final)))
+    log = c.where(request >= 0).select(F.col("conv_id").cast("string").alias("path"), F.lit(0).cast("long").alias("block"), F.posexplode(lines).alias("n", "value"), "turn").select("path", "block", (F.col("turn") * 2 + F.col("n")).cast("long").alias("row"), "value")
+    return chat.log_turns(log).select(F.col("path").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "prompt", "response")
+
+
 NW = "regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '^[ \\t\\n\\r\\f\\x0B\\x{00a0}\\x{feff}]+|[ \\t\\n\\r\\f\\x0B\\x{00a0}\\x{feff}]+$', '', 'g')"
 
 
@@ -196,6 +212,18 @@ def scan_memory_corpus(spark, d):
 TECHNICAL = "|".join((*corpus.TECHNICAL, corpus.CODE)).replace("'", "''")
 
 
+@query(f"""WITH c AS (SELECT doc_id, {NW} AS a, {NW.replace('text', "(lang || ' and ' || repeat(source || ' ', 6))")} AS b FROM documents), j AS (SELECT doc_id, substr(array_to_string(list_filter([b, a, b], lambda x: length(x) >= 24), chr(10)), 1, 3000) AS joined FROM c)
+SELECT doc_id, how, '# dataset:web' || chr(10) || joined AS snippet FROM j, (VALUES ('columns'), ('json')) h(how) WHERE joined <> '' AND regexp_matches(lower(joined), '{TECHNICAL}')""")
+def scan_nested_rows(spark, d):
+    """Rows with texts on each of four levels, and one on a fifth that isn't read: as nested columns and as JSON."""
+    note = F.concat("lang", F.lit(" and "), F.repeat(F.concat("source", F.lit(" ")), 6))
+    deep = F.struct(F.struct(F.lit("this lies too deep to be read at all").alias("z")).alias("y"), F.lit("short").alias("x"))
+    m = docs(spark, d).select("doc_id", F.array(F.struct(note.alias("note"), F.col("doc_id").alias("number"))).alias("notes"), F.struct(F.lit(1).alias("one"), F.struct("text").alias("body")).alias("page"), F.create_map(F.lit("k"), F.struct(note.alias("again"), deep.alias("deep"))).alias("more"))
+    one = corpus.nested_corpus(m, "notes", "page", "more", name="web").select("doc_id", F.lit("columns").alias("how"), "snippet")
+    raw = m.select("doc_id", F.to_json(F.struct("notes", "page", "more")).alias("row"))
+    return one.unionByName(corpus.nested_corpus(raw, "row", name="web", as_json=True).select("doc_id", F.lit("json").alias("how"), "snippet"))
+
+
 @query(f"""WITH c AS (SELECT doc_id, substr(array_to_string(list_filter([{NW.replace('text', 'source')}, {NW}], lambda x: length(x) >= 24), chr(10)), 1, 3000) AS joined FROM documents)
 SELECT doc_id, '# dataset:web' || chr(10) || joined AS snippet FROM c WHERE joined <> '' AND regexp_matches(lower(joined), '{TECHNICAL}')""")
 def scan_dataset_rows(spark, d):

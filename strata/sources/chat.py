@@ -113,6 +113,22 @@ def role_of(item: dict, inner: dict) -> str | None:
     return next((r for r in ("user", "assistant") if r in kind), role if role in ("user", "assistant") else None)
 
 
+def item_of(item: dict) -> tuple[str | None, str, str, float | None, list[str]]:
+    """(kind, prompt, response, time, files): a ``turn`` has either or both texts, a message of a ``user`` or
+    ``assistant`` one; kind is None for what is neither."""
+    inner = item["data"] if isinstance(item.get("data"), dict) else item
+    at = next((t for r in (inner, item) for n in TIMES if (t := moment(r.get(n))) is not None), None)
+    files = [s for n in FILE_NAMES for r in (inner, item) for s in strings(r.get(n))]
+    prompt = named(inner, PROMPT_NAMES) or said(inner.get("message")) or named(item, PROMPT_NAMES_OF_ITEM) or said(item.get("message"))
+    response = named(inner, ANSWER_NAMES) or next(filter(None, (answered(inner.get(n)) for n in ("response", "answer", "output"))), "") or named(item, ANSWER_NAMES_OF_ITEM) or answered(item.get("response")) or answered(item.get("answer"))
+    if prompt or response:
+        return "turn", prompt, response, at, files
+    role, content = role_of(item, inner), named(inner, CONTENT_NAMES) or named(item, CONTENT_NAMES_OF_ITEM)
+    if not role or not content:
+        return None, "", "", at, files
+    return (role, content, "", at, files) if role == "user" else (role, "", content, at, files)
+
+
 def turns_of(raw: object) -> list[tuple[str, str, float | None, list[str]]]:
     """(prompt, response, time, files) of a session: items that have both or either by themselves, else messages by
     role, where an answer belongs to the prompt before it; unanswered prompts and answers without a prompt stay."""
@@ -123,27 +139,18 @@ def turns_of(raw: object) -> list[tuple[str, str, float | None, list[str]]]:
         if waiting:
             turns.append((waiting[0], "", *waiting[1:]))
 
-    for item in items_of(raw):
-        inner = item["data"] if isinstance(item.get("data"), dict) else item
-        at = next((t for r in (inner, item) for n in TIMES if (t := moment(r.get(n))) is not None), None)
-        files = [s for n in FILE_NAMES for r in (inner, item) for s in strings(r.get(n))]
-        prompt = named(inner, PROMPT_NAMES) or said(inner.get("message")) or named(item, PROMPT_NAMES_OF_ITEM) or said(item.get("message"))
-        response = named(inner, ANSWER_NAMES) or next(filter(None, (answered(inner.get(n)) for n in ("response", "answer", "output"))), "") or named(item, ANSWER_NAMES_OF_ITEM) or answered(item.get("response")) or answered(item.get("answer"))
-        if prompt or response:
+    for kind, prompt, response, at, files in map(item_of, items_of(raw)):
+        if kind == "turn":
             turns.append((prompt, response, at, files))
             waiting = None
-            continue
-        role, content = role_of(item, inner), named(inner, CONTENT_NAMES) or named(item, CONTENT_NAMES_OF_ITEM)
-        if not role or not content:
-            continue
-        if role == "user":
+        elif kind == "user":
             unanswered()
-            waiting = (content, at, files)
-        elif waiting:
-            turns.append((waiting[0], content, waiting[1] if at is None else at, list(dict.fromkeys([*waiting[2], *files]))))
+            waiting = (prompt, at, files)
+        elif kind == "assistant" and waiting:
+            turns.append((waiting[0], response, waiting[1] if at is None else at, list(dict.fromkeys([*waiting[2], *files]))))
             waiting = None
-        else:
-            turns.append(("", content, at, files))
+        elif kind == "assistant":
+            turns.append(("", response, at, files))
     unanswered()
     return turns
 
@@ -188,6 +195,85 @@ def chat_turns(files: DataFrame, path: str = "path", value: str = "value") -> Da
     return files.select(F.col(path).alias("path"), F.col(value).alias("value")).mapInPandas(run, "path string, turn int, prompt string, response string, timestamp long, files array<string>")
 
 
+#: What a line of a log holds: a field of a request, by its place, or an item of its own, whose place is -1.
+PIECE = "path string, block long, row long, n int, request long, field string, value string"
+
+ITEM = "path string, block long, row long, request long, kind string, prompt string, response string, timestamp long, files array<string>"
+
+
+def pieces_of(line: str) -> list[tuple[int, str | None, str]]:
+    """(request, field, JSON) of a line: whole requests under ``v`` field by field, with an empty field for each so that none
+    is lost, a later field by its path under ``k``; and the line itself as an item."""
+    try:
+        r = json.loads(line)
+    except ValueError:
+        return []
+    if not isinstance(r, dict):
+        return []
+    out: list[tuple[int, str | None, str]] = [(-1, None, line)]
+    whole, at = r.get("v"), r.get("k")
+    if isinstance(whole, dict) and isinstance(whole.get("requests"), list):
+        for i, x in enumerate(whole["requests"]):
+            if isinstance(x, dict):
+                out += [(i, None, ""), *((i, n, json.dumps(v)) for n, v in x.items())]
+    if isinstance(at, list) and len(at) >= 3 and str(at[0]) == "requests" and str(at[1]).isdigit() and str(at[2]) in ("response", "message", *TIMES):
+        out.append((int(at[1]), str(at[2]), json.dumps(r.get("v"))))
+    return out
+
+
+def log_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, block, row, value): lines of logs of any length; block and row are in the order of the lines."""
+    if not paths:
+        return spark.createDataFrame([], "path string, block long, row long, value string")
+    return spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+
+
+def log_turns(log: DataFrame) -> DataFrame:
+    """(path, turn, prompt, response, timestamp, files) of logs given as lines (path, block, row, value), as
+    ``chat_turns`` has them of whole ones.
+
+    Of each field of a request the last writer counts; a log without requests has its lines as items. No log is in one
+    row or one task: fields and items are rows, and answers find their prompts by ``ordered.placed``.
+    """
+    from ..operators.lineage import kept
+    from ..operators.ordered import placed
+
+    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            out = [(*at, n, *piece) for *at, value in zip(p["path"], p["block"], p["row"], p["value"], strict=True) for n, piece in enumerate(pieces_of(value or ""))]
+            yield pd.DataFrame(out, columns=["path", "block", "row", "n", "request", "field", "value"])
+
+    def told(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            out = []
+            for path, block, row, request, value, fields in zip(p["path"], p["block"], p["row"], p["request"], p["value"], p["fields"], strict=True):
+                item = {f["field"]: json.loads(f["value"]) for f in fields} if fields is not None else json.loads(value)
+                kind, prompt, response, at, files = item_of(item)
+                if kind:
+                    out.append((path, block, row, request, kind, prompt, response, None if at is None else int(at), files))
+            yield pd.DataFrame(out, columns=["path", "block", "row", "request", "kind", "prompt", "response", "timestamp", "files"]).astype({"timestamp": "Int64"})
+
+    pieces = kept(log.select("path", "block", "row", "value").mapInPandas(cut, PIECE), "log-pieces")
+    fields = pieces.where("request >= 0")
+    last = fields.groupBy("path", "request", "field").agg(F.max_by("value", F.struct("block", "row", "n")).alias("value"))
+    named_fields = F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", "value")))  # fields of one request
+    requests = last.groupBy("path", "request").agg(named_fields.alias("fields"))
+    nowhere = F.lit(0).cast("long")
+    requests = requests.select("path", nowhere.alias("block"), nowhere.alias("row"), "request", F.lit(None).cast("string").alias("value"), "fields")
+    alone = pieces.where("request < 0").join(fields.select("path").distinct(), "path", "left_anti").select("path", "block", "row", "request", "value", F.lit(None).cast("array<struct<field: string, value: string>>").alias("fields"))
+    items = requests.unionByName(alone).mapInPandas(told, ITEM)
+    look = ["kind", "prompt", "timestamp", "files"]
+    met = placed(items, ["path"], ["request", "block", "row"], look)
+    answered_next = (F.col("kind") == "user") & F.coalesce(F.col("after.kind") == "assistant", F.lit(False))
+    dropped = (F.col("kind") == "user") & F.coalesce(F.col("after.kind") == "turn", F.lit(False))
+    pair = (F.col("kind") == "assistant") & F.coalesce(F.col("before.kind") == "user", F.lit(False))
+    made = met.where(~answered_next & ~dropped).select(
+        "path", "place", F.when(pair, F.col("before.prompt")).otherwise(F.col("prompt")).alias("prompt"), "response", F.when(pair, F.coalesce("timestamp", "before.timestamp")).otherwise(F.col("timestamp")).alias("timestamp"),
+        F.when(pair, F.array_distinct(F.concat("before.files", "files"))).otherwise(F.col("files")).alias("files"),
+    )
+    return placed(made.withColumnRenamed("place", "at"), ["path"], ["at"], ["at"]).select("path", F.col("place").cast("int").alias("turn"), "prompt", "response", "timestamp", "files")
+
+
 def located(value: str, base: Path | None = None) -> Path | None:
     """An absolute folder from a path or a file URL; relative ones need a base."""
     text = value.strip()

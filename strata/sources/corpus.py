@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text
@@ -48,11 +53,68 @@ def memory_corpus(memories: DataFrame, limit: int = 250, most: int = 4000) -> Da
     return newest.select("id", F.substring(F.concat(F.lit("# memory:"), "id", F.lit("\n"), F.concat_ws("\n", "title", "summary", "content")), 1, most).alias("snippet"))
 
 
+def leaves(value: Column, kind: T.DataType, least: int = 24, depth: int = 0, deepest: int = 4) -> Column:
+    """The normalised texts of ``least`` characters and more in a nested value, in the order of its fields and items, down
+    to ``deepest`` levels below it; an expression made from the value's type."""
+    none = F.expr("CAST(array() AS array<string>)")
+    if depth > deepest:
+        return none
+    if isinstance(kind, T.StringType):
+        clean = text.normalize_whitespace(value)
+        return F.filter(F.array(clean), lambda x: F.length(x) >= least)
+    if isinstance(kind, T.StructType):
+        parts = [leaves(value[f.name], f.dataType, least, depth + 1, deepest) for f in kind.fields]
+        return F.coalesce(F.concat(*parts), none) if parts else none
+    if isinstance(kind, T.MapType):
+        return F.coalesce(F.flatten(F.transform(F.map_values(value), lambda x: leaves(x, kind.valueType, least, depth + 1, deepest))), none)
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.flatten(F.transform(value, lambda x: leaves(x, kind.elementType, least, depth + 1, deepest))), none)
+    return none
+
+
+def json_texts(value: object, deepest: int = 4) -> Iterator[str]:
+    """The strings in a JSON value in the order of its keys and items, down to ``deepest`` levels."""
+    if isinstance(value, str):
+        yield value
+    elif deepest and isinstance(value, dict | list):
+        for x in value.values() if isinstance(value, dict) else value:
+            yield from json_texts(x, deepest - 1)
+
+
+def json_leaves(column: Column, least: int = 24) -> Column:
+    """The same of JSON objects as text, whose keys keep their order; what isn't JSON has none."""
+
+    @F.pandas_udf("array<string>")
+    def run(values: pd.Series) -> pd.Series:
+        def texts(value: str | None) -> list[str]:
+            try:
+                return list(json_texts(json.loads(value or "null")))
+            except ValueError:
+                return []
+
+        return values.map(texts)
+
+    return F.filter(F.transform(run(column), text.normalize_whitespace), lambda x: F.length(x) >= least)
+
+
+def technical(rows: DataFrame, parts: Column, name: str, most: int = 3000) -> DataFrame:
+    """Rows whose ``parts``, joined and cut to ``most``, are technical, as ``snippet`` under a heading."""
+    low = F.lower("joined")
+    told = low.rlike("|".join(TECHNICAL)) | low.rlike(CODE)
+    kept = rows.withColumn("joined", F.substring(F.array_join(parts, "\n"), 1, most)).where((text.trim(F.col("joined")) != "") & told)
+    return kept.withColumn("snippet", F.concat(F.lit(f"# dataset:{name}\n"), "joined")).drop("joined")
+
+
 def dataset_corpus(rows: DataFrame, *columns: str, name: str = "dataset", least: int = 24, most: int = 3000) -> DataFrame:
     """Technical rows of a dataset: their texts of ``least`` characters and more, joined, cut to ``most``, under a heading."""
     clean = [text.normalize_whitespace(F.col(c)) for c in columns]
-    joined = F.substring(F.array_join(F.filter(F.array(*clean), lambda x: F.length(x) >= least), "\n"), 1, most)
-    low = F.lower("joined")
-    technical = low.rlike("|".join(TECHNICAL)) | low.rlike(CODE)
-    kept = rows.withColumn("joined", joined).where((text.trim(F.col("joined")) != "") & technical)
-    return kept.withColumn("snippet", F.concat(F.lit(f"# dataset:{name}\n"), "joined")).drop("joined")
+    return technical(rows, F.filter(F.array(*clean), lambda x: F.length(x) >= least), name, most)
+
+
+def nested_corpus(rows: DataFrame, *columns: str, name: str = "dataset", as_json: bool = False, least: int = 24, most: int = 3000) -> DataFrame:
+    """The same of nested columns, whose texts are sought four levels down from the row; with ``as_json`` of one column
+    of JSON objects as text, each of which is a row."""
+    if as_json:
+        return technical(rows, json_leaves(F.col(columns[0]), least), name, most)
+    each = [leaves(F.col(c), rows.schema[c].dataType, least, 1) for c in columns]
+    return technical(rows, F.concat(*each), name, most)
