@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from ..sources import tables as T
-from ..streaming import suggestions
+from ..streaming import live, suggestions
 from .registry import EDGES, MEM, WRITES, query
 from .text_queries import trim
 
@@ -170,3 +170,19 @@ def intent_history(spark, d):
 def suggestion_ttl(spark, d):
     e = T.read(spark, d, "events").select((F.col("user_id") % 50).cast("string").alias("suggestionHash"), F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("atMs"), "event_type")
     return suggestions.expired(e.where("event_type = 'view'"), e.where("event_type = 'purchase'").withColumn("status", F.lit("applied")), 600_000)
+
+
+LIVES = """e AS (SELECT CAST(user_id % 50 AS VARCHAR) AS h, epoch_us(ts) // 1000 AS t, event_type, event_id FROM events), em AS (SELECT h, t, event_id FROM e WHERE event_type = 'view'),
+ak AS (SELECT h, t, CASE event_type WHEN 'purchase' THEN 'applied' WHEN 'error' THEN 'suppressed' ELSE 'ack' END AS s FROM e WHERE event_type IN ('purchase', 'error', 'click')),
+sd AS (SELECT em.h, em.t AS emitted, em.event_id, ak.t, s, coalesce(max(s <> 'ack') OVER (PARTITION BY em.event_id ORDER BY ak.t, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended FROM em JOIN ak ON ak.h = em.h AND ak.t BETWEEN em.t AND em.t + 600000),
+told AS (SELECT * FROM sd WHERE NOT ended)"""
+
+
+@query(f"""WITH {LIVES} SELECT h AS suggestionHash, emitted AS emittedMs, CASE s WHEN 'ack' THEN 'contextDeltaAcked' WHEN 'applied' THEN 'contextDeltaApplied' ELSE 'contextDeltaSuppressed' END AS eventType, t AS atMs FROM told
+UNION ALL SELECT h, t, 'contextDeltaExpired', t + 600000 FROM em WHERE event_id NOT IN (SELECT event_id FROM told WHERE s <> 'ack')""")
+def suggestion_lives(spark, d):
+    """What becomes of suggestions, of which views are; purchases apply, errors suppress and clicks acknowledge them."""
+    e = T.read(spark, d, "events").select((F.col("user_id") % 50).cast("string").alias("suggestionHash"), F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("atMs"), "event_type")
+    status = F.when(F.col("event_type") == "purchase", "applied").when(F.col("event_type") == "error", "suppressed").otherwise("ack")
+    acks = e.where("event_type IN ('purchase', 'error', 'click')").withColumn("status", status)
+    return live.lives_batch(e.where("event_type = 'view'"), acks, 600_000)

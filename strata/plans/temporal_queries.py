@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import scoring
-from ..operators import scheduler, temporal
+from ..operators import records, scheduler, temporal, windows
 from ..sources import tables as T
+from ..streaming import live
 from .core_queries import rounded
-from .registry import CUR, MID_MS, MID_US, RUNS, SNAP, WRITES, query
+from .registry import CUR, MEM, MID_MS, MID_US, NOW, RUNS, SNAP, WRITES, query
 
 
 def snapshots(spark, d):
@@ -36,8 +36,7 @@ def scan_snapshots_asof(spark, d):
 
 @query(f"WITH {WRITES} SELECT logicalId, event_id, validFrom, coalesce(nullif(trim(title), ''), 'Memory ' || logicalId) AS title FROM w WHERE branch = 'main' AND validFrom >= {MID_US} ORDER BY validFrom DESC, event_id DESC LIMIT 200")
 def scan_snapshots_since(spark, d):
-    w = T.writes(spark, d).where((F.col("branch") == "main") & (F.col("validFrom") >= MID_US))
-    return w.select("logicalId", "event_id", "validFrom", F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.concat(F.lit("Memory "), "logicalId")).alias("title")).orderBy(F.desc("validFrom"), F.desc("event_id")).limit(200)
+    return windows.history_since(T.writes(spark, d), "main", MID_US).select("logicalId", "event_id", "validFrom", "title")
 
 
 @query(f"WITH {SNAP} SELECT event_id, logicalId, branch, validFrom, coalesce(validUntil, -1) AS validUntil FROM snap")
@@ -148,7 +147,7 @@ def persist_run_history(spark, d):
 
 @query(f"WITH {RUNS} SELECT outcome, count(*) AS n FROM runs WHERE startedAt >= {MID_MS} AND schedulerScope = 'scope1' GROUP BY 1")
 def outcome_counts_since(spark, d):
-    return T.run_history(spark, d).where((F.col("startedAt") >= MID_MS) & (F.col("schedulerScope") == "scope1")).groupBy("outcome").agg(F.count("*").alias("n"))
+    return windows.outcomes_since(T.run_history(spark, d), "scope1", MID_MS)
 
 
 @query(f"""WITH {RUNS}, win(minutes) AS (VALUES (60), (1440), (10080)) SELECT minutes, count(runId) AS total, count_if(outcome = 'applied') AS applied, count_if(outcome = 'dry-run-only') AS dryRunOnly, count_if(outcome = 'indexed') AS indexed, count_if(outcome = 'skipped') AS skipped, count_if(outcome = 'error') AS error,
@@ -184,28 +183,51 @@ def http_histogram(spark, d):
     return scheduler.histogram(e, ["route", "status"], "seconds", scheduler.HTTP_BUCKETS)
 
 
-@query(f"""WITH {RUNS}, day AS (SELECT schedulerScope AS projectId, startedAt // 86400000 AS day, avg(durationMs) AS savedPercent, count_if(outcome = 'error') AS anomalies FROM runs GROUP BY ALL)
-SELECT projectId, round(arg_max(savedPercent, day) - arg_min(savedPercent, day), 6) AS savedDelta, arg_max(anomalies, day) - arg_min(anomalies, day) AS anomalyDelta FROM day GROUP BY 1""")
-def trend_delta(spark, d):
-    day = T.run_history(spark, d).groupBy(F.col("schedulerScope").alias("projectId"), F.expr("startedAt div 86400000").alias("day")).agg(F.avg("durationMs").alias("savedPercent"), F.count_if(F.col("outcome") == "error").alias("anomalies"))
-    return day.groupBy("projectId").agg(F.round(F.max_by("savedPercent", "day") - F.min_by("savedPercent", "day"), 6).alias("savedDelta"), (F.max_by("anomalies", "day") - F.min_by("anomalies", "day")).alias("anomalyDelta"))
+# Snapshots of the trend as they would be taken on four days: of the memories made until then.
+DAYS = [NOW - k * 5 * 86_400_000 for k in (4, 3, 2, 0)]
+TRENDS = f"""{MEM}, days(at_) AS (VALUES {', '.join(f'({t})' for t in DAYS)}), seen AS (SELECT at_, projectId, length(content) AS n FROM days JOIN mem ON createdAt + (CAST(substr(id, 5) AS BIGINT) % 41) * 86400000 <= at_),
+g AS (SELECT at_ AS createdAt, projectId, count(*) AS totalRows, sum(n) AS chars FROM seen GROUP BY GROUPING SETS ((at_, projectId), (at_))), tr AS (SELECT * FROM g QUALIFY projectId IS NULL OR row_number() OVER (PARTITION BY createdAt, projectId IS NULL ORDER BY totalRows DESC, projectId) <= 20)"""
+
 
+def trend_rows(spark, d):
+    """Each memory is made some days after its time, by its number, so that the days differ."""
+    m = T.memories(spark, d).withColumn("createdAt", F.col("createdAt") + F.substring("id", 5, 20).cast("long") % 41 * 86_400_000)
+    made = [records.trend_snapshots(m.where(F.col("createdAt") <= t), t) for t in DAYS]
+    out = made[0]
+    for other in made[1:]:
+        out = out.unionByName(other)
+    return out
 
-@query(f"""WITH {RUNS}, day AS (SELECT schedulerScope AS projectId, startedAt // 86400000 AS day, count(*) AS totalRows FROM runs GROUP BY ALL), n AS (SELECT * FROM day WHERE projectId = 'scope2' ORDER BY day DESC LIMIT 7) SELECT * FROM n ORDER BY day""")
+
+@query(f"WITH {TRENDS} SELECT projectId, totalRows, createdAt FROM (SELECT *, row_number() OVER (ORDER BY createdAt DESC) AS k FROM tr WHERE projectId IS NULL AND createdAt >= {DAYS[1]}) WHERE k <= 2")
 def scan_trend(spark, d):
-    day = T.run_history(spark, d).groupBy(F.col("schedulerScope").alias("projectId"), F.expr("startedAt div 86400000").alias("day")).agg(F.count("*").alias("totalRows"))
-    return day.where("projectId = 'scope2'").orderBy(F.desc("day")).limit(7).orderBy("day")
+    """The last two of the trend's rows of all projects, from the second day on."""
+    return windows.trend(trend_rows(spark, d), None, DAYS[1], 2).select("projectId", "totalRows", "createdAt")
+
+
+@query(f"WITH {TRENDS} SELECT projectId, arg_max(totalRows, createdAt) - arg_min(totalRows, createdAt) AS totalRows, count(*) AS rows FROM tr GROUP BY 1")
+def trend_delta(spark, d):
+    return windows.trend_change(trend_rows(spark, d), ("totalRows",))
 
 
 @query(f"""WITH {RUNS} SELECT runId, schedulerScope, count(*) OVER (PARTITION BY schedulerScope ORDER BY startedAt RANGE BETWEEN 60000 PRECEDING AND CURRENT ROW) AS inLastMinute, count(*) OVER (PARTITION BY schedulerScope ORDER BY startedAt RANGE BETWEEN 60000 PRECEDING AND CURRENT ROW) > 6 AS limited FROM runs""")
 def rate_limit_sliding_60s(spark, d):
-    n = F.count("*").over(Window.partitionBy("schedulerScope").orderBy("startedAt").rangeBetween(-60_000, 0))
-    return T.run_history(spark, d).select("runId", "schedulerScope", n.alias("inLastMinute"), (n > 6).alias("limited"))
+    return windows.rate_limited(T.run_history(spark, d), ["schedulerScope"], "startedAt", 6).select("runId", "schedulerScope", F.col("inLast").alias("inLastMinute"), "limited")
+
+
+# The bus of five projects: every event is a delta, and who signs up listens until an error.
+BUS_SQL = """e AS (SELECT 'p' || user_id % 5 AS projectId, event_id, 'u' || user_id AS client, event_type, epoch_us(ts) // 1000 AS atMs FROM events),
+b AS (SELECT *, count(*) OVER (PARTITION BY projectId ORDER BY atMs, CAST(event_id AS VARCHAR)) AS n FROM e), pl AS (SELECT projectId, n - 1 AS place, event_type || ' ' || event_id AS payload, atMs FROM b),
+j AS (SELECT projectId, client, atMs, (SELECT count(*) FROM e o WHERE o.projectId = s.projectId AND o.atMs <= s.atMs) AS n FROM (SELECT DISTINCT projectId, client, atMs FROM e WHERE event_type = 'signup') s)"""
 
 
-@query(f"WITH {RUNS} SELECT runId, outcome FROM (SELECT * FROM (SELECT * FROM runs ORDER BY startedAt DESC, runId DESC LIMIT 200) ORDER BY startedAt DESC, runId DESC LIMIT 20)")
+@query(f"WITH {BUS_SQL} SELECT client, j.projectId, place, 'replay' AS kind, payload, pl.atMs FROM j JOIN pl ON pl.projectId = j.projectId AND place < n AND place >= n - 50 UNION ALL SELECT client, projectId, -1, 'bootstrap', NULL, atMs FROM j")
 def bus_replay(spark, d):
-    return T.run_history(spark, d).orderBy(F.desc("startedAt"), F.desc("runId")).limit(200).select("runId", "outcome", "startedAt").orderBy(F.desc("startedAt"), F.desc("runId")).limit(20).select("runId", "outcome")
+    """What every client gets when it joins: a bootstrap and the last 50 of the 200 deltas that its project holds."""
+    e = T.read(spark, d, "events").select(F.concat(F.lit("p"), (F.col("user_id") % 5).cast("string")).alias("projectId"), "event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("client"), "event_type", F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("atMs"))
+    deltas = e.select("projectId", F.col("event_id").alias("id"), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("payload"), "atMs")
+    clients = e.where("event_type = 'signup'").select("projectId", "client", F.lit("join").alias("kind"), "atMs").distinct()
+    return live.bus_batch(deltas, clients, live=False)
 
 
 @query(f"""WITH {RUNS}, o AS (SELECT *, row_number() OVER (ORDER BY startedAt DESC, runId DESC) AS rn FROM runs WHERE schedulerScope = 'scope3') SELECT rn AS place, runId, outcome, (SELECT count(*) FROM o) AS total FROM o WHERE rn <= 25""")
