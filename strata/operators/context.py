@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scoring, text
+from .lineage import kept
 
 # Intents with their patterns, top-k and token budgets; the first of the most hits wins.
 INTENT_RULES = (
@@ -43,10 +45,32 @@ def atom_rank(priority: Column, recency: Column, relevance: Column, tags: Column
     return F.lit(0.42) * priority + F.lit(0.22) * recency + F.lit(0.28) * relevance + F.when(F.size(tags) > 0, 0.08).otherwise(0.0)
 
 
+def ranged(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows`` sorted by range into partitions whose number is ``part``, so that a group may lie in any number of them."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return kept(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranged")
+
+
 def pack_prefix(parts: DataFrame, group: str, order: str, body: str, budget: int) -> DataFrame:
-    """The longest prefix of each group whose joined text fits: parts before the first that overflows, with ``tokens`` so far."""
-    w = Window.partitionBy(group).orderBy(order)
-    run = F.sum(F.length(body) + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    """The longest prefix of each group whose joined text fits: parts before the first that overflows, with ``tokens`` so far.
+    Parts of one place in the order count together.
+
+    Lengths are summed within ranges first; texts meet the sums only where their range may still be in the prefix.
+    """
+    sizes = ranged(parts.select(F.col(group).alias("__g"), F.col(order).alias("__o"), (F.length(body) + 1).alias("n")), F.col("__g"), F.col("__o"))
+    sums = sizes.groupBy("__g", "part").agg(F.sum("n").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("__g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per partition of a group
+    may = sums.select(F.col("__g").alias("og"), F.col("part").alias("op"), earlier.alias("earlier")).where(F.col("earlier") <= 4 * budget)
+    near = sizes.join(may, F.col("__g").eqNullSafe(F.col("og")) & (F.col("part") == F.col("op")))
+    run = F.col("earlier") + F.sum("n").over(Window.partitionBy("__g", "part").orderBy("__o").rangeBetween(Window.unboundedPreceding, Window.currentRow)) - 1
+    tokens = F.greatest(F.lit(1), F.ceil(run / 4)).cast("long")
+    fits = near.select("__g", "__o", tokens.alias("tokens")).where(F.col("tokens") <= budget).groupBy("__g", "__o").agg(F.max("tokens").alias("tokens"))
+    return parts.join(fits, parts[group].eqNullSafe(fits["__g"]) & parts[order].eqNullSafe(fits["__o"])).drop("__g", "__o")
+
+
+def prefix_of_few(parts: DataFrame, order: str, body: str, budget: int) -> DataFrame:
+    """The same of a few rows, as a top-k has, which are one group."""
+    run = F.sum(F.length(body) + 1).over(Window.partitionBy().orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - 1
     tokens = F.greatest(F.lit(1), F.ceil(run / 4)).cast("long")
     return parts.withColumn("tokens", tokens).where(F.col("tokens") <= budget)  # totals only grow, so this is a prefix
 
@@ -54,26 +78,68 @@ def pack_prefix(parts: DataFrame, group: str, order: str, body: str, budget: int
 def pack_greedy(atoms: DataFrame, group: str, score: str, key: str, body: str, budget: int) -> DataFrame:
     """(group, key, tokens, accepted): in descending order of score an atom that overflows is skipped, later ones are tried.
 
-    A stream over sorted rows that holds one number per group, never a group.
+    A group of any size is many tasks. Atoms are sorted by range; what a range does to the room that is left when it
+    begins is a table with an entry for each possible room, so all ranges are gone through at once. A pass over these
+    tables, one for each range, tells the room with which each begins, and a second pass decides its atoms.
     """
-    n = int(atoms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = atoms.select(F.col(group).alias("g"), F.col(score).cast("double").alias("s"), F.col(key).alias("k"), text.estimate_tokens(F.col(body)).alias("tokens"))
+    rows = atoms.select(F.col(group).alias("g"), F.col(score).cast("double").alias("s"), F.col(key).alias("k"), text.estimate_tokens(F.col(body)).cast("long").alias("tokens"))
     kinds = dict(rows.dtypes)
+    order = (F.col("g"), F.desc("s"), F.col("k"))
+    sorted_rows = ranged(rows, *order)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, used = None, 0
+    def through(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of each range: its first and last group, where each possible room ends in the first, and the room after the last."""
+        at, first, room, table = None, None, budget, None
+        for p in parts:
+            for part, g, t in zip(p["part"], p["g"], p["tokens"], strict=True):
+                if part != at:
+                    if at is not None:
+                        yield told(at, first, last, table, room)
+                    at, first, last, table, room = part, g, g, np.arange(budget + 1), budget
+                elif g != last:
+                    last, room = g, budget
+                if g == first and table is not None and t <= table[-1]:
+                    table = np.where(table >= t, table - t, table)
+                room -= t if t <= room else 0
+        if at is not None:
+            yield told(at, first, last, table, room)
+
+    def told(part: int, first: object, last: object, table: np.ndarray, room: int) -> pd.DataFrame:
+        return pd.DataFrame({"part": [part], "first": [first], "last": [last], "table": [table.astype(np.int32)], "room": [int(room)]})
+
+    def along(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The room with which each range begins."""
+        before, room = None, budget
+        for p in parts:
+            starts = []
+            for first, last, table, after in zip(p["first"], p["last"], p["table"], p["room"], strict=True):
+                start = room if before is not None and first == before else budget
+                starts.append(start)
+                before, room = last, int(table[start]) if first == last else int(after)
+            yield pd.DataFrame({"part": p["part"], "start": starts})
+
+    def decide(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, last, room = None, None, 0
         for p in parts:
             accepted = []
-            for g, t in zip(p.g, p.tokens, strict=True):
-                if g != at:
-                    at, used = g, 0
-                ok = used + t <= budget
-                used += t if ok else 0
-                accepted.append(bool(ok))
-            yield pd.DataFrame({"g": p.g, "k": p.k, "tokens": p.tokens, "accepted": accepted})
-
-    dealt = rows.repartition(n, "g").sortWithinPartitions("g", F.desc("s"), "k")
-    return dealt.mapInPandas(run, f"g {kinds['g']}, k {kinds['k']}, tokens long, accepted boolean").withColumnsRenamed({"g": group, "k": key})
+            for part, start, g, t in zip(p["part"], p["start"], p["g"], p["tokens"], strict=True):
+                if part != at:
+                    at, last, room = part, g, start
+                elif g != last:
+                    last, room = g, budget
+                accepted.append(bool(t <= room))
+                room -= t if t <= room else 0
+            yield pd.DataFrame({"g": p["own"], "k": p["k"], "tokens": p["tokens"], "accepted": accepted})
+
+    # equal groups lie together in a range; null ones are told by a mark, as null equals nothing in Python
+    marked = sorted_rows.select("part", F.coalesce(F.sha2(F.col("g").cast("string"), 256), F.lit("")).alias("g"), "tokens", F.col("g").alias("own"), "s", "k")
+    n = int(atoms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = marked.repartition(n, "part").sortWithinPartitions("part", "own", F.desc("s"), "k")
+    tables = kept(dealt.select("part", "g", "tokens").mapInPandas(through, "part int, first string, last string, table array<int>, room long"), "rooms")
+    starts = tables.coalesce(1).sortWithinPartitions("part").mapInPandas(along, "part int, start long")  # a row per range
+    begun = marked.join(F.broadcast(starts), "part").repartition(n, "part").sortWithinPartitions("part", "own", F.desc("s"), "k")
+    made = begun.select("part", "start", "g", "own", "k", "tokens").mapInPandas(decide, f"g {kinds['g']}, k {kinds['k']}, tokens long, accepted boolean")
+    return made.withColumnsRenamed({"g": group, "k": key})
 
 
 def compile_context(ranked: DataFrame, max_tokens: int = 4000) -> DataFrame:
@@ -81,7 +147,7 @@ def compile_context(ranked: DataFrame, max_tokens: int = 4000) -> DataFrame:
     body = F.concat(F.lit("- "), "title", F.lit(": "), text.compress_summary(F.col("content"), 240))
     parts = ranked.select("id", "score", body.alias("body"), F.lit(0).alias("g"))
     parts = parts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # of top-k rows
-    used = pack_prefix(parts, "g", "place", "body", max(256, max_tokens - 300))
+    used = prefix_of_few(parts, "place", "body", max(256, max_tokens - 300))
     made = used.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "body"))), lambda x: x["body"]), "\n").alias("context"), F.count("*").alias("used"))
     return made.crossJoin(parts.agg(F.count("*").alias("n"))).select("context", "used", (F.col("n") - F.col("used")).alias("dropped"), text.estimate_tokens(F.col("context")).alias("tokens"))  # one row each
 
