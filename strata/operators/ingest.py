@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import hashing, text
+from ..functions import hashing, lexing, text
 
 # Patterns of code facts.
 NAME = "[A-Za-z_][A-Za-z0-9_]*"
@@ -183,14 +185,28 @@ def entity_summary(kind: Column, name: Column, signature: Column, hint: Column,
     return F.concat_ws("\n", F.concat(F.upper(kind), F.lit(" "), name), F.concat(F.lit("signature: "), signature), F.concat(F.lit("complexity: "), hint), F.concat(F.lit("dependencies: "), F.when(listed == "", "none").otherwise(listed)), F.concat(F.lit("preview: "), text.cut(text.compact(preview), 180)))
 
 
+ENTITY = "path string, kind string, name string, signature string, complexityHint string, dependencies array<string>, startLine int, endLine int, startIndex int, endIndex int, sourceHash string, id string, preview string, tokens int"
+
+
 def entities(files: DataFrame) -> DataFrame:
-    """(path, name, kind, signature, id) of Python functions and classes, by line patterns; files without any are modules."""
-    line = rf"(?m)^[ \t]*(?:async[ \t]+)?(?:def|class)[ \t]+{NAME}[^\n]*"
-    each = files.select("path", F.explode_outer(F.regexp_extract_all("source", F.lit(line), F.lit(0))).alias("signature"))
-    name = F.coalesce(F.nullif(F.regexp_extract("signature", rf"(?:def|class)[ \t]+({NAME})", 1), F.lit("")), text.basename(F.col("path")))
-    kind = F.when(F.col("signature").isNull(), "module").when(F.trim("signature").startswith("class"), "class").otherwise("function")
-    out = each.select("path", name.alias("name"), kind.alias("kind"), text.trim(F.coalesce("signature", F.lit(""))).alias("signature"))
-    return out.withColumn("id", hashing.stable_id("code", F.col("path"), F.col("name"), F.col("signature"))).dropDuplicates(["id"])
+    """The entities of files (path, source): functions, methods, classes, interfaces, structs, loops and branches of
+    TypeScript and C++, functions of Python, else the module; with signature, what they call (at most 16), a hint of
+    their complexity, places, hashes and a ``summary``. Blank files have none; see ``functions.lexing``."""
+    told = files.select("path", "source", text.detect_language(F.col("path")).alias("language"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split(" ")[0] for c in ENTITY.split(", ")]
+        out: list[dict] = []
+        for p in parts:
+            for path, source, language in zip(p["path"], p["source"], p["language"], strict=True):
+                out += [{"path": path} | e for e in lexing.entities(path or "", source, language)]
+                if len(out) > 1000:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+        yield pd.DataFrame(out, columns=columns)
+
+    made = told.mapInPandas(run, ENTITY)
+    return made.withColumn("summary", entity_summary(F.col("kind"), F.col("name"), F.col("signature"), F.col("complexityHint"), F.col("dependencies"), F.col("preview")))
 
 
 def feature_vector(stats: Column, n: int = len(STRUCT_NAMES)) -> Column:

@@ -82,3 +82,26 @@ def build_feature_vector(spark, d):
     """The vectors of whole pages, place by place."""
     v = T.read(spark, d, "pages").select("page_id", ingest.feature_vector(ingest.structure(F.col("html"))["stats"]).alias("v"))
     return v.select("page_id", *(F.round(F.col("v")[i], 4).alias(f"f{i:02}") for i in range(15)), F.size("v").cast("long").alias("n"))
+
+
+# A TypeScript file for each part, whose braces also stand in a comment and a string.
+TS_SQL = r"""ts AS (SELECT p_partkey, 'f_' || split_part(p_name, ' ', 1) AS a, 't_' || split_part(p_name, ' ', 2) AS b, upper('c_' || split_part(p_name, ' ', 2)) AS c FROM part),
+pieces AS (SELECT *, 'if (i) { ' || b || '.go("} {", ' || a || '[0]) } else { stop() }' AS br, 'run(n: string): void { return ' || a || '(n) }' AS me FROM ts), more AS (SELECT *, 'for (const i of x) { ' || br || ' }' AS lo, 'class ' || c || ' { ' || me || ' }' AS cl FROM pieces),
+fu AS (SELECT *, 'function ' || a || '(x: ' || b || ') {' || chr(10) || '  ' || lo || chr(10) || '}' AS fn FROM more)"""
+
+
+@query(f"""WITH {TS_SQL}, e AS (
+  SELECT p_partkey, 'function' AS kind, a AS name, 'function ' || a || '(x: ' || b || ')' AS signature, 'likely O(n) with branching' AS hint, b || '.go,stop' AS calls, 2 AS startLine, 4 AS endLine, fn AS piece FROM fu
+  UNION ALL SELECT p_partkey, 'loop', 'i', 'for (const i of x)', 'likely O(n) with branching', b || '.go,stop', 3, 3, lo FROM fu UNION ALL SELECT p_partkey, 'branch', 'i', 'if (i)', 'branch-heavy, data-dependent cost', b || '.go,stop', 3, 3, br FROM fu
+  UNION ALL SELECT p_partkey, 'class', c, 'class ' || c, 'structural helper, cost likely linear in its input size', a, 5, 5, cl FROM fu UNION ALL SELECT p_partkey, 'method', 'run', 'run(n: string): void', 'structural helper, cost likely linear in its input size', a, 5, 5, me FROM fu)
+SELECT p_partkey, kind, name, signature, hint, calls, startLine, endLine, sha256(replace(piece, '  ', ' ')) AS sourceHash, CAST(ceil(length(piece) / 4) AS INT) AS tokens FROM e""")
+def extract_entities(spark, d):
+    """The entities of a file for each part."""
+    p = T.read(spark, d, "part")
+    a, b, c = (F.concat(F.lit(x), F.split_part("p_name", F.lit(" "), F.lit(i))) for x, i in (("f_", 1), ("t_", 2), ("c_", 2)))
+    lit = F.lit
+    source = F.concat(
+        lit("// class "), a, lit(" {\nexport function "), a, lit("(x: "), b, lit(") {\n  for (const i of x) { if (i) { "), b, lit('.go("} {", '), a, lit("[0]) } else { stop() } }\n}\n/* { */ class "), F.upper(c), lit(" { run(n: string): void { return "), a, lit("(n) } }\n"),
+    )
+    e = ingest.entities(p.select(F.concat(lit("src/"), F.col("p_partkey").cast("string"), lit(".ts")).alias("path"), source.alias("source")))
+    return e.select(F.regexp_extract("path", "[0-9]+", 0).cast("long").alias("p_partkey"), "kind", "name", "signature", F.col("complexityHint").alias("hint"), F.array_join("dependencies", ",").alias("calls"), "startLine", "endLine", "sourceHash", "tokens")
