@@ -67,9 +67,12 @@ def compact(text: Column) -> Column:
 def dedupe_lines(text: Column) -> Column:
     """Trimmed lines without blanks, each once by its lower case, in order of first appearance."""
     lines = F.filter(F.transform(F.split(text, "\r?\n"), trim), lambda x: x != "")
-    lower = F.transform(lines, F.lower)
-    firsts = F.filter(lines, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1)
-    return F.array_join(firsts, "\n")
+    each = F.array_sort(F.transform(lines, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"), x.alias("x"))))
+    # equal lines lie together, the first in front; each is held against the one before it
+    before = F.concat(F.array(F.lit(None).cast("string")), F.transform(each, lambda e: e["low"]))
+    firsts = F.filter(F.arrays_zip(each.alias("e"), before.alias("b")), lambda z: z["e"].isNotNull() & ~z["e"]["low"].eqNullSafe(z["b"]))
+    ordered = F.array_sort(F.transform(firsts, lambda z: F.struct(z["e"]["i"].alias("i"), z["e"]["x"].alias("x"))))
+    return F.array_join(F.transform(ordered, lambda r: r["x"]), "\n")
 
 
 def last_place(text: Column, mark: str) -> Column:

@@ -46,6 +46,26 @@ def detokenize(tokens: list[str]) -> str:
     return "".join(out).strip()
 
 
+def of_text(text: Column, f, kind: str) -> Column:
+    """``f`` of each text that isn't null, in Arrow batches."""
+
+    @F.pandas_udf(kind)
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else f(v))
+
+    return run(text)
+
+
+def detokenized(tokens: Column) -> Column:
+    """Texts from arrays of tokens."""
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else detokenize(list(v)))
+
+    return run(tokens)
+
+
 def paragraphs(text: str, most: int = 1200) -> list[str]:
     """Paragraphs packed in order into chunks of ``most`` characters; without any, slices."""
     out, now = [], ""
