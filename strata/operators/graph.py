@@ -42,11 +42,16 @@ def node_type(kind: Column) -> Column:
     return F.when(kind == "chat_turn", "chat").when(kind == "code_entity", "function").otherwise("memory")
 
 
-def edges_of(rows: DataFrame, a: str, b: str, kind: str, weight: Column, relation: str, branch: str, *scope: Column) -> DataFrame:
-    """Edges under an id that their scope makes distinct."""
+def edge(a: str, b: str, kind: str, weight: Column, relation: str, branch: str, *scope: Column, operation: Column | None = None) -> Column:
+    """An edge as a struct, under an id that its scope makes distinct."""
     ends = [F.col("projectId"), F.lit(branch), F.col(a), F.col(b), F.lit(kind), F.concat_ws(":", *(x.cast("string") for x in scope))]
-    operation = F.col("operation") if "operation" in rows.columns else F.lit(None).cast("string")
-    return rows.select(hashing.stable_id("gx_edge", *ends).alias("id"), F.col(a).alias("fromNode"), F.col(b).alias("toNode"), F.lit(kind).alias("type"), weight.alias("weight"), "projectId", F.lit(relation).alias("relation"), operation.alias("operation"))
+    done = operation if operation is not None else F.lit(None).cast("string")
+    return F.struct(hashing.stable_id("gx_edge", *ends).alias("id"), F.col(a).alias("fromNode"), F.col(b).alias("toNode"), F.lit(kind).alias("type"), weight.cast("double").alias("weight"), F.col("projectId").alias("projectId"), F.lit(relation).alias("relation"), done.alias("operation"))
+
+
+def exploded(rows: DataFrame, *structs: Column) -> DataFrame:
+    """A row for each of the structs that isn't null, from one pass over ``rows``."""
+    return rows.select(F.explode(F.array_compact(F.array(*structs))).alias("x")).select("x.*")
 
 
 def placed(rows: DataFrame, at: Column, branch: str) -> DataFrame:
@@ -64,7 +69,7 @@ def nodes_of(rows: DataFrame, seen: int) -> DataFrame:
     label = F.coalesce(F.nullif(text.trim(F.col("title")), F.lit("")), F.col("logicalId"))
     named = F.concat(F.lit("Session "), F.coalesce(F.nullif(text.basename(F.col("session")), F.lit("")), F.col("session")))
     kinds = [("memoryNode", node_type(F.col("kind")), label), ("dayNode", F.lit("concept"), F.concat(F.lit("Day "), "day")), ("sessionNode", F.lit("session"), named)]
-    return reduce(DataFrame.unionByName, [rows.where(F.col(c).isNotNull()).select(F.col(c).alias("id"), kind.alias("type"), name.alias("label"), "projectId", F.lit(c.removesuffix("Node")).alias("role"), F.lit(seen).alias("seen"), "at") for c, kind, name in kinds])
+    return exploded(rows, *(F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("id"), kind.alias("type"), name.alias("label"), "projectId", F.lit(c.removesuffix("Node")).alias("role"), F.lit(seen).alias("seen"), "at")) for c, kind, name in kinds))
 
 
 def chat_links(rows: DataFrame, branch: str, most: int) -> DataFrame:
@@ -75,7 +80,7 @@ def chat_links(rows: DataFrame, branch: str, most: int) -> DataFrame:
     code = refs.where("kind = 'code_entity'").withColumn("rank", F.row_number().over(latest)).where(F.col("rank") <= most).select("projectId", "file", "rank", F.col("memoryNode").alias("code"))
     linked = refs.where("kind = 'chat_turn'").join(code, ["projectId", "file"]).where("memoryNode <> code")
     k = F.row_number().over(Window.partitionBy("memoryNode").orderBy("place", "rank")) - 1
-    return edges_of(linked.withColumn("k", k).where(F.col("k") < most), "memoryNode", "code", "explains", F.lit(CHAT_CODE), "chat_to_code", branch, F.lit("chat-code"), F.col("file"), F.col("k"))
+    return linked.withColumn("k", k).where(F.col("k") < most).select(edge("memoryNode", "code", "explains", F.lit(CHAT_CODE), "chat_to_code", branch, F.lit("chat-code"), F.col("file"), F.col("k")).alias("x")).select("x.*")
 
 
 def index_memories(memories: DataFrame, snapshots: DataFrame | None = None, branch: str = "main", since: int | None = None, most_links: int = 12) -> tuple[DataFrame, DataFrame]:
@@ -88,21 +93,26 @@ def index_memories(memories: DataFrame, snapshots: DataFrame | None = None, bran
     rows = memories if "logicalId" in memories.columns else memories.withColumn("logicalId", F.col("id"))
     rows = placed(rows, F.coalesce("lastAccessedAt", "createdAt"), branch)
     rows = rows if since is None else rows.where(F.col("at") >= since)
-    chat = rows.where("session IS NOT NULL")
-    edges = [
-        edges_of(rows, "memoryNode", "dayNode", "derived_from", F.lit(MEMORY_DAY), "memory_time_bucket", branch, F.lit("memory-day"), F.col("at")),
-        edges_of(chat, "memoryNode", "sessionNode", "derived_from", F.lit(MEMORY_SESSION), "memory_session", branch, F.lit("memory-session"), F.col("logicalId")),
-        edges_of(chat, "sessionNode", "dayNode", "derived_from", F.lit(SESSION_DAY), "session_time_bucket", branch, F.lit("session-day"), F.col("day")),
-        chat_links(rows, branch, most_links),
-    ]
+    chat = F.col("session").isNotNull()
+    own = exploded(
+        rows,
+        edge("memoryNode", "dayNode", "derived_from", F.lit(MEMORY_DAY), "memory_time_bucket", branch, F.lit("memory-day"), F.col("at")),
+        F.when(chat, edge("memoryNode", "sessionNode", "derived_from", F.lit(MEMORY_SESSION), "memory_session", branch, F.lit("memory-session"), F.col("logicalId"))),
+        F.when(chat, edge("sessionNode", "dayNode", "derived_from", F.lit(SESSION_DAY), "session_time_bucket", branch, F.lit("session-day"), F.col("day"))),
+    )
+    edges = [own, chat_links(rows, branch, most_links)]
     nodes = nodes_of(rows, 0)
     if snapshots is not None:
         s = placed(snapshots.where(F.col("branch") == branch), F.col("validFrom"), branch).where("validFrom > 0")
         s = s if since is None else s.where(F.col("at") >= since)
         s = s.withColumn("title", F.coalesce(F.nullif(text.trim(F.col("title")), F.lit("")), F.concat(F.lit("Memory "), "logicalId")))
         by = lambda w: F.when(F.col("operation") == "delete", w[1]).otherwise(w[0])
-        edges.append(edges_of(s, "dayNode", "memoryNode", "derived_from", by(DAY_SNAPSHOT), "snapshot_event", branch, F.lit("snapshot"), F.col("logicalId"), F.col("validFrom"), F.col("operation")))
-        edges.append(edges_of(s.where("session IS NOT NULL"), "sessionNode", "memoryNode", "derived_from", by(SESSION_SNAPSHOT), "session_snapshot", branch, F.lit("snapshot-session"), F.col("logicalId"), F.col("validFrom")))
+        done = F.col("operation")
+        edges.append(exploded(
+            s,
+            edge("dayNode", "memoryNode", "derived_from", by(DAY_SNAPSHOT), "snapshot_event", branch, F.lit("snapshot"), F.col("logicalId"), F.col("validFrom"), done, operation=done),
+            F.when(chat, edge("sessionNode", "memoryNode", "derived_from", by(SESSION_SNAPSHOT), "session_snapshot", branch, F.lit("snapshot-session"), F.col("logicalId"), F.col("validFrom"), operation=done)),
+        ))
         nodes = nodes.unionByName(nodes_of(s, 1))
     return merge_nodes(nodes), merge_indexed(reduce(DataFrame.unionByName, edges))
 

@@ -13,8 +13,24 @@ T0 = 1_704_067_200_000
 NOW = T0 + 40 * 86_400_000
 
 
+#: Tables between these sizes in bytes are dealt out anew if they have fewer partitions than there are cores.
+SPREAD_BYTES = (4 << 20, 1 << 30)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores: one written in few row groups would be a task or two, however it is split.
+
+    Larger tables, and those with a partition for each core, stay as they are, so what is shuffled has a bound.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if not SPREAD_BYTES[0] <= size <= SPREAD_BYTES[1] or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, df.columns[0])
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def pick(values: tuple[str, ...], index: Column) -> Column:
