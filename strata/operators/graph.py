@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import hashing, text
+from .lineage import kept
 
 
 def tag_values(prefix: str, tags: str = "tags"):
@@ -186,7 +187,8 @@ def traverse(edges: DataFrame, start: str, depth: int = 2, most_edges: int = 64,
     for step in range(1, depth + 1):
         order = [F.asc("parentPlace"), F.desc("weight"), F.asc("toNode"), F.asc("type")]
         level = e.join(F.broadcast(front), "fromNode").orderBy(*order).limit(most_edges - count)
-        level = level.withColumn("place", F.row_number().over(Window.orderBy(*order)) + count).withColumn("depth", F.lit(step)).drop("parentPlace").persist()
+        level = level.withColumn("place", F.row_number().over(Window.orderBy(*order)) + count).withColumn("depth", F.lit(step)).drop("parentPlace")
+        level = kept(level, "level")  # at most ``most_edges`` rows
         out = level if out is None else out.unionByName(level)
         count += level.count()
         if count >= most_edges:

@@ -51,3 +51,22 @@ def placed(rows: DataFrame, by: list[str], order: list[str], look: list[str]) ->
         F.coalesce("__b", F.when(first_group & (F.col("__k") == 0), F.col("from_before"))).alias("before"),
         F.coalesce("__a", F.when(F.lead("__n").over(Window.partitionBy("__part").orderBy("__n")).isNull(), F.col("goes_on"))).alias("after"),
     )
+
+
+def runs(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
+    """``rows`` with ``place`` and ``seen``: the how many-th it is of rows of its group with the same ``value`` one after
+    another.
+
+    A run is the places from where the value changes up to the next change; rows meet their run by their place, so a
+    run of any length is many tasks. Null equals null.
+    """
+    told = kept(placed(rows, by, order, [value]), "placed")
+    first = F.col("before").isNull() & (F.col("place") == 0)
+    begins = told.where(first | ~F.col(f"before.{value}").eqNullSafe(F.col(value))).select(*by, F.col("place").alias("start"))
+    counts = told.groupBy(*by).agg(F.count("*").alias("__all"))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
+    ends = placed(begins, by, ["start"], ["start"]).drop("place", "before")
+    ends = ends.alias("l").join(counts.alias("r"), same).select(*(F.col(f"l.{c}").alias(c) for c in by), "start", F.coalesce("after.start", "__all").alias("end"))
+    each = ends.select(*by, "start", F.explode(F.sequence("start", F.col("end") - 1)).alias("place"))
+    met = told.drop("before", "after").alias("l").join(each.alias("r"), [*same, F.col("l.place") == F.col("r.place")])
+    return met.select("l.*", (F.col("l.place") - F.col("r.start") + 1).alias("seen"))

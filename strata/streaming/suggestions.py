@@ -17,10 +17,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.window import Window
 
 from ..functions import hashing, text
 from ..operators.context import infer_intent
+from ..operators.ordered import runs
 
 OUTPUT = "projectId string, branch string, eventId long, atMs long, processedMs long, status string, confidence double, suggestionHash string"
 FIELDS = ("eventId", "atMs", "query", "category", "confidence", "critical", "known", "hash")
@@ -261,10 +261,6 @@ def expired(emitted: DataFrame, acks: DataFrame, ttl_ms: int = 60_000) -> DataFr
 
 def with_history(events: DataFrame, category: str = "category") -> DataFrame:
     """``seen``: how often a (project, branch) has had the same category in a row up to this event, and the bonus
-    of min(0.12, 0.02 * seen) that repeats earn."""
-    w = Window.partitionBy("projectId", "branch").orderBy("atMs", "eventId")
-    new = F.when(F.lag(category).over(w).eqNullSafe(F.col(category)), 0).otherwise(1)
-    numbered = events.withColumn("__new", new).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    seen = F.row_number().over(Window.partitionBy("projectId", "branch", "__run").orderBy("atMs", "eventId"))
-    out = numbered.withColumn("seen", seen)
-    return out.withColumn("bonus", F.when(F.col("seen") > 1, F.least(F.lit(0.12), F.lit(0.02) * F.col("seen"))).otherwise(0.0)).drop("__new", "__run")
+    of min(0.12, 0.02 * seen) that repeats earn. A project of any size is many tasks; see ``ordered.runs``."""
+    out = runs(events, ["projectId", "branch"], ["atMs", "eventId"], category).drop("place")
+    return out.withColumn("bonus", F.when(F.col("seen") > 1, F.least(F.lit(0.12), F.lit(0.02) * F.col("seen"))).otherwise(0.0))

@@ -77,3 +77,16 @@ def test_nested_rows(spark):
     typed = [(1, told(1), ([(told(3), (told(4),)), None], 7), {"k": [told(5), None]}), (2, None, None, None)]
     got = {r["i"]: r["snippet"] for r in corpus.nested_corpus(spark.createDataFrame(typed, kind), "b", "a", "m", name="d").collect()}
     assert got == {1: "# dataset:d\n" + "\n".join(told(k) for k in (1, 3, 5))}
+
+
+@pytest.mark.parametrize("groups", [["a"], ["a", None, "b"]])
+def test_runs_of_equal_values(spark, groups):
+    rng = random.Random(4)
+    rows = [(rng.choice(groups), i, None if i % 40 > 36 else "x" if rng.random() < 0.8 else "y") for i in range(400)]
+    got = {r["i"]: (r["place"], r["seen"]) for r in ordered.runs(spark.createDataFrame(rows, "g string, i int, v string").repartition(3), ["g"], ["i"], "v").collect()}
+    want, last, n, places = {}, {}, {}, {}
+    for g, i, v in rows:
+        n[g] = n.get(g, 0) + 1 if g in last and last[g] == v else 1
+        last[g], places[g] = v, places.get(g, -1) + 1
+        want[i] = (places[g], n[g])
+    assert got == want
