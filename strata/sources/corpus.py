@@ -99,8 +99,8 @@ def json_leaves(column: Column, least: int = 24) -> Column:
 
 def technical(rows: DataFrame, parts: Column, name: str, most: int = 3000) -> DataFrame:
     """Rows whose ``parts``, joined and cut to ``most``, are technical, as ``snippet`` under a heading."""
-    low = F.lower("joined")
-    told = low.rlike("|".join(TECHNICAL)) | low.rlike(CODE)
+    low = text.simple_lower(F.col("joined"))
+    told = low.rlike("|".join(TECHNICAL)) | low.rlike(text.ascii_bounds(CODE).replace(r"\s", r"[\t\n\f\r ]"))
     kept = rows.withColumn("joined", F.substring(F.array_join(parts, "\n"), 1, most)).where((text.trim(F.col("joined")) != "") & told)
     return kept.withColumn("snippet", F.concat(F.lit(f"# dataset:{name}\n"), "joined")).drop("joined")
 
