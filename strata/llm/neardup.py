@@ -163,13 +163,14 @@ def listed_groups(rows: DataFrame, needed: Column, parts: int | None = None) ->
     """
     values = rows.select("g", "key", "n", F.explode("values").alias("v"))
     often = values.groupBy("g", "v").agg(F.count("*").alias("df")).where("df > 1")
-    listed = values.join(often, ["g", "v"]).groupBy("g", "key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("s"))  # at most n each
+    # each row meets one at most; merged whatever the size, as neither side has a bound
+    listed = values.join(often.hint("merge"), ["g", "v"]).groupBy("g", "key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("s"))  # at most n each
     # values that no other has are the rarest; they take the first places and list nobody
     places = F.col("n") - needed + 1 - (F.col("n") - F.size("s"))
     entries = listed.where(places > 0).select("g", "key", F.explode(F.slice("s", F.lit(1), places)).alias("x")).select("g", "key", F.col("x.v").alias("v"))
     entries = written(entries, "entries", parts)
     leaders = entries.groupBy("g", "v").agg(F.min(F.struct(F.xxhash64("key").alias("h"), F.col("key").alias("k"))).alias("m"), F.count("*").alias("c")).where("c > 1").select("g", "v", F.xxhash64("g", "m.k").alias("leader"))
-    return entries.join(leaders, ["g", "v"]).select(F.col("leader").alias("g"), "key").distinct()
+    return entries.join(leaders.hint("merge"), ["g", "v"]).select(F.col("leader").alias("g"), "key").distinct()
 
 
 def candidates(sketched: DataFrame, k: int | None, percent: int, parts: int | None = None) -> DataFrame:

@@ -357,3 +357,16 @@ def test_groups_are_compared_alike_in_any_portions(monkeypatch, across):
         for key, low, high, first_key, first_low in suffixdedup.repeated_in(rows, length, across):
             got |= {(key, w): (first_key, first_low + w - low) for w in range(low, high + 1)}
         assert got == want and len(want) > 100
+
+
+def test_lists_meet_their_rows_by_merging_whatever_their_size(spark):
+    from pyspark.sql import functions as F
+
+    from strata.llm.neardup import listed_groups
+
+    rows = spark.range(40).select(F.lit(0).cast("long").alias("g"), F.col("id").alias("key"), F.lit(3).alias("n"), F.array(F.col("id") % 4, F.col("id") % 5 + 10, F.lit(99).cast("long")).alias("values"))
+    made = listed_groups(rows, F.ceil(F.col("n") * 0.5).cast("int"))
+    found = {frozenset(r["keys"]) for r in made.groupBy("g").agg(F.collect_set("key").alias("keys")).collect()}
+    assert len(found) > 1 and made.count() <= 40 * 2  # a row meets one list for each of its two places
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
