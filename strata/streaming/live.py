@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
+from ..operators.lineage import kept
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 #: What becomes of a suggestion.
@@ -102,18 +104,42 @@ def lives(emitted: DataFrame, acks: DataFrame, ttl_ms: int = 60_000, late: str =
 
 def lives_batch(emitted: DataFrame, acks: DataFrame, ttl_ms: int = 60_000) -> DataFrame:
     """The same of finished tables: a suggestion ends at the first ``applied`` or ``suppressed`` within its time, and
-    plain acknowledgements up to then are told."""
-    e = emitted.select("suggestionHash", F.col("atMs").alias("emittedMs"), F.monotonically_increasing_id().alias("__row"))
-    a = acks.where(F.col("status").isin(*OUTCOMES)).select("suggestionHash", "atMs", "status")
-    within = (F.col("atMs") >= F.col("emittedMs")) & (F.col("atMs") <= F.col("emittedMs") + ttl_ms)
-    said = e.join(a, "suggestionHash").where(within)
-    # of one moment, plain ones are told first, then the first in alphabetical order ends it
-    w = Window.partitionBy("__row").orderBy("atMs", "status").rowsBetween(Window.unboundedPreceding, -1)
-    told = said.withColumn("ended", F.coalesce(F.max(F.col("status") != "ack").over(w), F.lit(False))).where("NOT ended")
+    plain acknowledgements up to then are told.
+
+    Time is cut into buckets of ``ttl_ms``, and a bucket of a hash is a key of its own. What is said in a bucket has a
+    place there; a suggestion is told from its own place up to the first end, else up to its deadline in the next
+    bucket. Only those places are joined, so no more rows are made than are told.
+    """
+    width = max(ttl_ms, 1)
+    bucket = F.floor(F.col("atMs") / width).cast("long")
+    a = acks.where(F.col("status").isin(*OUTCOMES) & F.col("suggestionHash").isNotNull() & F.col("atMs").isNotNull())
+    # of one moment, suggestions come first, then plain acknowledgements, then the first in alphabetical order ends it
+    a = a.select("suggestionHash", bucket.alias("b"), "atMs", "status", F.when(F.col("status") == "ack", 1).when(F.col("status") == "applied", 2).otherwise(3).alias("rank"))
+    e = emitted.select("suggestionHash", F.col("atMs").alias("emittedMs"), bucket.alias("b"), F.monotonically_increasing_id().alias("id"))
+    begin = F.struct("b", F.col("emittedMs").alias("atMs"), F.lit(0).alias("rank"))
+    deadline = F.struct((F.col("b") + 1).alias("b"), (F.col("emittedMs") + ttl_ms).alias("atMs"), F.lit(4).alias("rank"))
+    marks = e.select("suggestionHash", "emittedMs", "id", F.explode(F.array(begin, deadline)).alias("x")).select("suggestionHash", "emittedMs", "id", "x.*")
+    both = marks.unionByName(a, allowMissingColumns=True)
+    order = ["atMs", "rank", "id"]
+    up = Window.partitionBy("suggestionHash", "b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy("suggestionHash", "b").orderBy(*map(F.desc, order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    says, ends = F.col("rank").isin(1, 2, 3), F.col("rank").isin(2, 3)
+    placed = both.withColumn("place", F.count_if(says).over(up)).withColumn("firstEnd", F.min(F.when(ends, F.col("place"))).over(up))
+    placed = kept(placed.withColumns({"nextEnd": F.min(F.when(ends, F.col("place"))).over(down), "rest": F.count_if(says).over(down)}), "lives")
+
+    own, late = F.col("rank") == 0, F.col("rank") == 4
+    take = {"from": (own, F.col("place") + 1), "to": (own, F.coalesce("nextEnd", F.col("place") + F.col("rest"))), "ended": (own, F.col("nextEnd").isNotNull()), "b": (own, F.col("b")), "to2": (late, F.coalesce("firstEnd", "place")), "ended2": (late, F.col("firstEnd").isNotNull())}
+    each = placed.where(own | late).groupBy("id").agg(F.first("suggestionHash").alias("suggestionHash"), F.first("emittedMs").alias("emittedMs"), *(F.max(F.when(when, value)).alias(k) for k, (when, value) in take.items()))
+    each = kept(each, "lives-each")
+    to2 = F.when(~F.col("ended"), F.col("to2")).otherwise(0)
+    spans = F.array(F.struct("b", F.col("from").alias("i"), F.col("to").alias("j")), F.struct((F.col("b") + 1).alias("b"), F.lit(1).cast("long").alias("i"), to2.cast("long").alias("j")))
+    wanted = each.select("suggestionHash", "emittedMs", F.explode(F.filter(spans, lambda x: x["j"] >= x["i"])).alias("x"))
+    wanted = wanted.select("suggestionHash", "emittedMs", "x.b", F.explode(F.sequence("x.i", "x.j")).alias("place"))
     names = F.create_map(*[F.lit(x) for p in OUTCOMES.items() for x in p])
-    settled = told.where("status <> 'ack'").select("__row")
-    left = e.join(settled, "__row", "left_anti").select("suggestionHash", "emittedMs", F.lit(EXPIRED).alias("eventType"), (F.col("emittedMs") + ttl_ms).alias("atMs"))
-    return told.select("suggestionHash", "emittedMs", names[F.col("status")].alias("eventType"), "atMs").unionByName(left)
+    said = placed.where(says).select("suggestionHash", "b", "place", "atMs", names[F.col("status")].alias("eventType"))
+    told = wanted.join(said, ["suggestionHash", "b", "place"]).select("suggestionHash", "emittedMs", "eventType", "atMs")
+    left = each.where(~F.col("ended") & ~F.col("ended2")).select("suggestionHash", "emittedMs", F.lit(EXPIRED).alias("eventType"), (F.col("emittedMs") + ttl_ms).alias("atMs"))
+    return told.unionByName(left)
 
 
 #: Deltas of a project that the bus holds, and those that a client gets when it joins.

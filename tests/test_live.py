@@ -122,3 +122,28 @@ def test_files_that_appear_change_and_go(spark, tmp_path):
     assert state == {"a.ts": 6, "e.go": 3, "b.py": 10}
     reader = files.FolderReader({"path": str(root), "existing": "false"})
     assert reader.partitions(reader.initialOffset(), reader.latestOffset()) == [] and files.differences({"x": [1, 1]}, {"y": [2, 5_000_000]}, 9) == [("unlink", "x", 1, 9), ("add", "y", 2, 5)]
+
+
+def test_lives_of_equal_moments_make_no_more_rows_than_are_told(spark):
+    import random
+
+    rng = random.Random(3)
+    hashes = ["a", "b", None]
+    emitted = [(rng.choice(hashes), rng.randint(-300, 900)) for _ in range(150)] + [("a", None)]
+    acks = [(rng.choice(hashes), rng.randint(-300, 900), rng.choice(["ack", "ack", "ack", "applied", "suppressed", "other"])) for _ in range(150)]
+    names = {"ack": live.ACKED, "applied": live.APPLIED, "suppressed": live.SUPPRESSED}
+    for ttl in (100, 0):
+        want = []
+        for h, t in emitted:
+            ended = False
+            for _, at, s in sorted((a for a in acks if h and t is not None and a[0] == h and a[2] in names and t <= a[1] <= t + ttl), key=lambda a: (a[1], a[2])):
+                want.append((h, t, names[s], at))
+                if s != "ack":
+                    ended = True
+                    break
+            if not ended:
+                want.append((h, t, live.EXPIRED, t + ttl if t is not None else None))
+        made = live.lives_batch(spark.createDataFrame(emitted, EMITTED), spark.createDataFrame(acks, ACK), ttl)
+        assert sorted(map(tuple, made.collect()), key=str) == sorted(want, key=str)
+        joins = [x for x in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+        assert joins and all("place" in x for x in joins)  # by hash and bucket alone, all would meet all
