@@ -120,3 +120,14 @@ def test_events_of_a_bus(spark):
     branches = spark.createDataFrame([("p", "main", None, None, 1, 1)], "projectId string, branch string, parentBranch string, forkedFromCommit string, createdAt long, updatedAt long")
     after, told = suggestions.branch_switch(branches, "p", " feature ", 9, "main")
     assert {r["branch"] for r in after.collect()} == {"main", "feature"} and json.loads(told.first()["payload"]) == {"eventType": "branchSwitched", "projectId": "p", "branch": "feature"}
+
+
+def test_a_burst_without_a_pause_waits_nowhere(spark):
+    rows = [("p", "main", i, i * 700, "change", f"/auth xss{i % 9}.ts") for i in range(300)]
+    made = suggestions.suggestion_batch(events(spark, rows))
+    gates = suggestions.Gates(Settings())
+    fed = [tuple(r) for r in suggestions.prepared(events(spark, rows)).orderBy("atMs", "eventId").select(*suggestions.FIELDS).collect()]
+    want = [*gates.feed(fed), *gates.process()]
+    assert [(r["eventId"], r["atMs"], r["processedMs"], r["status"], r["confidence"], r["suggestionHash"]) for r in made.orderBy("eventId").collect()] == want
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "processedMs" in plan.split("MapInPandas", 1)[1].split("\n", 1)[1]  # known before Python sees the events
