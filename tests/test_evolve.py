@@ -108,3 +108,22 @@ def test_evolution_of_nothing(spark):
     assert made.results.count() == 0 and made.memories.count() == 7
     one = evolve.evolve(spark.createDataFrame([candidate("a", 0, "T", LONG, project=None)], CANDIDATE), spark.createDataFrame([], MEMORY), 1)
     assert one.results.first()["neighbors"] == 0 and one.memories.first()["projectId"] == "default"
+
+
+@pytest.mark.parametrize("k,rows", [(3, 16), (40, 1 << 15), (1, 1)])
+def test_texts_of_frequent_words_are_counted_in_blocks(spark, monkeypatch, k, rows):
+    monkeypatch.setattr(overlap, "MEET", 0)
+    monkeypatch.setattr(overlap, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(overlap, "ASK_ROWS", 2 * rows)
+    met = []
+    monkeypatch.setattr(overlap, "first_rows", lambda df, by, order, n, original=overlap.first_rows: met.append(df) or original(df, by, order, n))
+    texts = made_texts(60, k)
+    texts[:20] = ["w1 w2 common"] * 20
+    texts[20] = " ".join(f"w{i}" for i in range(300))  # more shared words than a byte holds
+    listed = [(f"m{i:03}", "p" if i % 4 else "q", t) for i, t in enumerate(texts)]
+    asking = [(i, g, f"{t.upper()} extra", i) for i, g, t in listed] + [("far", "elsewhere", "w1", None)]
+    before = len(KEPT)
+    got = overlap.top_overlaps(spark.createDataFrame(asking, "id string, grp string, t string, own string"), spark.createDataFrame(listed, "id string, grp string, t string"), k)
+    assert sorted(map(tuple, got.collect())) == brute(asking, listed, k)
+    assert met[1].union(met[2]).union(met[3]).isEmpty() and not met[4].isEmpty()  # none meets in a join
+    remove_kept(spark, before)
