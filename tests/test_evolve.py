@@ -127,3 +127,14 @@ def test_texts_of_frequent_words_are_counted_in_blocks(spark, monkeypatch, k, ro
     assert sorted(map(tuple, got.collect())) == brute(asking, listed, k)
     assert met[1].union(met[2]).union(met[3]).isEmpty() and not met[4].isEmpty()  # none meets in a join
     remove_kept(spark, before)
+
+
+def test_contents_travel_with_the_chosen_alone(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(evolve, "kept", lambda df, name, original=evolve.kept: kept.setdefault(name, original(df, name)))
+    rows = [candidate("a", 0, "Primary pipeline note", LONG, content="one"), candidate("a", 0, "Primary pipeline note", LONG, content="one"), candidate("r", 0, "", "")]
+    made = evolve.evolve(spark.createDataFrame(rows, CANDIDATE), store(spark), 5_000)
+    assert {r["key"]: r["proposed"] for r in made.results.collect()} == {"a": 2, "r": 1}  # equal candidates don't meet each other
+    assert sorted(r["content"] for r in made.reviews.collect()) == ["body", "one", "one"]
+    assert made.memories.where("createdAt = 5000").first()["content"] == "one"
+    assert "content" not in kept["reviews"].columns + kept["best"].columns
