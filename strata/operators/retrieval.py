@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scoring, text
-from .lineage import checkpointed
+from .lineage import kept
 
 
 def like_any(df: DataFrame, query: str) -> DataFrame:
@@ -149,23 +149,44 @@ def fuzzy_classes(df: DataFrame, threshold: float = 0.72) -> tuple[DataFrame, Da
 
     Rows of one project and kind whose titles and summaries have equal shingles are one class, named by its least
     id. Prefix filtering: sets of similarity t share one of their (1 - t) * n + 1 rarest shingles, so only classes
-    that do, and whose sizes allow it, are joined; the whole sets verify.
+    that do, and whose sizes, places in the order and marks allow it, are joined; the whole sets verify. Numbers stand
+    for classes and shingles until then; equal ones of different shingles only bring pairs that the sets refuse.
     """
     keys = ["projectId", "kind"]
-    sets = df.select("id", *keys, text.shingle(F.concat_ws(" ", "title", "summary")).alias("s")).withColumn("h", F.sha1(F.concat_ws("\x01", F.array_sort("s"))))
-    sets = checkpointed(sets).where(F.size("s") > 0)  # used several times
+    sets = df.dropna(subset=keys).select("id", *keys, text.shingle(F.concat_ws(" ", "title", "summary")).alias("s")).where(F.size("s") > 0)
+    sets = kept(sets.withColumn("h", F.sha1(F.concat_ws("\x01", F.array_sort("s")))), "shingles")  # used several times
     first = sets.groupBy(*keys, "h").agg(F.min("id").alias("class"))
     classes = sets.select("id", *keys, "h").join(first, [*keys, "h"]).select("id", "class")
-    sets = sets.join(first.select(F.col("class").alias("id")), "id", "left_semi").select("id", *keys, "s", F.size("s").alias("n"))
-    each = sets.select("id", *keys, "n", F.explode("s").alias("x"))
-    often = each.groupBy(*keys, "x").agg(F.count("*").alias("c")).where("c > 1")
-    listed = each.join(often, [*keys, "x"]).groupBy("id", *keys, "n").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("o"))  # at most one per word
+    one = sets.join(first.select(F.col("class").alias("id")), "id", "left_semi").select("id", *keys, "s", F.size("s").alias("n"), F.transform("s", lambda x: F.xxhash64(*keys, x)).alias("x"))
+    one = kept(one.select("id", *keys, "s", "n", "x", *marks(F.col("x"))).withColumn("no", F.monotonically_increasing_id()), "shingle-classes")
+    each = one.select("no", F.explode("x").alias("x"))
+    often = each.groupBy("x").agg(F.count("*").alias("c")).where("c > 1")
+    listed = each.join(often, "x").groupBy("no").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("o"))  # at most one per word
+    listed = listed.join(one.select("no", "n", "low", "high"), "no")
     # shingles that no other class has are the rarest; they take the first places and list nobody
+    alone = F.col("n") - F.size("o")
     places = (F.size("o") - F.ceil(F.col("n") * threshold) + 1).cast("int")
-    listed = listed.where(places > 0).select("id", *keys, "n", F.explode(F.slice("o", F.lit(1), places)).alias("p")).select("id", *keys, "n", F.col("p.x").alias("x"))
-    left, right = listed.withColumnsRenamed({"id": "a", "n": "na"}), listed.withColumnsRenamed({"id": "b", "n": "nb"})
-    sized = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
-    pairs = left.join(right, [*keys, "x"]).where(sized).select("a", "b").distinct()
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb")), "b")
-    both = both.withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-    return classes, both.select("a", "b", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    listed = listed.where(places > 0).select("no", "n", "low", "high", alone.alias("alone"), F.posexplode(F.slice("o", F.lit(1), places)).alias("p", "o")).select("no", "n", "low", "high", (F.col("n") - F.col("alone") - F.col("p")).alias("rest"), F.col("o.x").alias("x"))
+    left, right = (listed.select("x", *(F.col(c).alias(c + side) for c in ("no", "n", "low", "high", "rest"))) for side in "ab")
+    total = F.col("na") + F.col("nb")
+    sized = (F.col("noa") < F.col("nob")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
+    # a pair's first common shingle and what follows it are all that both may share
+    placed = F.least("resta", "restb") >= total * (threshold / (1 + threshold)) - 1e-6
+    apart = F.bit_count(F.col("lowa").bitwiseXOR(F.col("lowb"))) + F.bit_count(F.col("higha").bitwiseXOR(F.col("highb")))
+    marked = apart <= total * ((1 - threshold) / (1 + threshold)) + 1e-6
+    pairs = left.join(right, "x").where(sized & placed & marked).select("noa", "nob").distinct()
+    of = lambda side: one.select(*(F.col(c).alias(c + side) for c in ("no", "id", "s", "n", *keys)))
+    both = pairs.join(of("a"), "noa").join(of("b"), "nob").where(" AND ".join(f"{c}a = {c}b" for c in keys)).withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+    found = both.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b"), (F.col("shared") / (total - F.col("shared"))).alias("jaccard"))
+    return classes, found.where(F.col("jaccard") >= threshold)
+
+
+def marks(x: Column) -> list[Column]:
+    """(low, high): 128 bits, each flipped by every number of ``x`` that falls on it. Two sets differ in as many numbers as
+    bits, at least."""
+
+    def of(word: int) -> Column:
+        mine = F.filter(x, lambda h: h.bitwiseAND(F.lit(64)) == 64 * word)
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda m, h: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
+
+    return [of(0).alias("low"), of(1).alias("high")]

@@ -295,6 +295,30 @@ def test_consolidation_replays_the_merges(spark):
         assert sorted(map(lambda r: (*r[:6], tuple(r[6]), *r[7:]), map(tuple, got.select(order).collect()))) == [(*r[:6], tuple(r[6]), *r[7:]) for r in consolidated(rows)]
 
 
+def test_only_what_may_be_similar_is_verified_and_linked(spark, monkeypatch):
+    rng = random.Random(3)
+    pool = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(pool, k=rng.randint(3, 90))) for _ in range(120)]
+    texts += [" ".join([*t.split(), "more"]) for t in texts[:30]]
+    rows = [(f"m{i:03}", None if i == 5 else "pq"[i % 2], "semantic", f"title {i}", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id string, projectId string, kind string, title string, summary string").withColumn("createdAt", F.lit(0))
+    sets = {r[0]: (r[1], shingles(f"{r[3]} {r[4]}")) for r in rows if r[1]}
+    classes, pairs = retrieval.fuzzy_classes(df)
+    want = {(a, b) for a, (g, x) in sets.items() for b, (h, y) in sets.items() if a < b and g == h and alike(x, y) >= 0.72}
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == want and len(want) > 5
+    assert {r["id"] for r in classes.collect()} == set(sets)
+    # bits never differ in more places than the sets
+    marked = spark.range(200).select(F.transform(F.sequence(F.lit(0), F.col("id") % 150), lambda x: F.xxhash64(x, F.col("id") % 3)).alias("x")).select("x", *retrieval.marks(F.col("x"))).collect()
+    bits = lambda r: (r["low"] & (1 << 64) - 1) | (r["high"] & (1 << 64) - 1) << 64
+    assert all((bits(a) ^ bits(b)).bit_count() <= len(set(a["x"]) ^ set(b["x"])) for a in marked[::7] for b in marked)
+    # a title that one class has links nothing
+    met = {}
+    monkeypatch.setattr(consolidation, "groups", lambda links, original=consolidation.groups: met.setdefault("n", links.count()) and original(links) or original(links))
+    case = [(f"t{i}", f"words of {i} alone here") for i in range(20)] + [("t3", "nothing of that"), ("t4", "")]
+    assert consolidation.consolidate_fuzzy(spark.createDataFrame([r for r in full_rows(case)], FULL).withColumn("projectId", F.lit("p"))).count() == 20
+    assert met["n"] == 4
+
+
 def test_groups_of_a_long_chain(spark):
     links = [(f"n{i:03}", f"n{i + 1:03}") for i in range(70)] + [("x", "y")]
     got = {r["id"]: r["g"] for r in consolidation.groups(spark.createDataFrame(links, "a string, b string")).collect()}
