@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import columns_of, lowered, parts_of, pieces, text_batches, written
+from .shared import checked_broadcast, columns_of, lowered, parts_of, pieces, text_batches, written
 from .words import WORD, forgetting, hashes_of, shingles
 
 #: Rows, and bytes of sets, in a block of a group.
@@ -42,6 +42,9 @@ FEW = 2
 #: Candidates up to this many, of 8 bytes each, are sent to the scan; beyond it they meet the texts in a join.
 SENT_IDS = 1_000_000
 
+#: Values of large groups, the most frequent ones, that are sent to the rows; the others meet their rows in a join.
+SENT_VALUES = 131_072
+
 
 def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
     return shingles(hashes_of(WORD.findall(lowered(text))), n) if text else np.zeros(0, np.uint64)
@@ -154,21 +157,23 @@ def links_of(tasks: DataFrame, k: int | None, percent: int) -> DataFrame:
     return tasks.repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j", "key").mapInArrow(run, "a long, b long")
 
 
-def listed_groups(rows: DataFrame, needed: Column, parts: int | None = None) -> DataFrame:
+def listed_groups(rows: DataFrame, needed: Column, parts: int | None = None, often: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
     """(g, key): smaller groups of rows (g, key, n, values) that may hold similar pairs.
 
     Rows of one group that are similar share ``needed`` of their n values at least, so they share one of the
     n - ``needed`` + 1 that are the rarest in the group. Rows are listed under these, and lists with the same
-    leading member are one group.
+    leading member are one group. ``often`` (g, v, df) is counted from the rows unless it is given; ``more`` (g, key, v)
+    are places that are known already.
     """
     values = rows.select("g", "key", "n", F.explode("values").alias("v"))
-    often = values.groupBy("g", "v").agg(F.count("*").alias("df")).where("df > 1")
+    if often is None:
+        often = values.groupBy("g", "v").agg(F.count("*").alias("df")).where("df > 1")
     # each row meets one at most; merged whatever the size, as neither side has a bound
     listed = values.join(often.hint("merge"), ["g", "v"]).groupBy("g", "key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("s"))  # at most n each
     # values that no other has are the rarest; they take the first places and list nobody
-    places = F.col("n") - needed + 1 - (F.col("n") - F.size("s"))
+    places = F.size("s") - needed + 1
     entries = listed.where(places > 0).select("g", "key", F.explode(F.slice("s", F.lit(1), places)).alias("x")).select("g", "key", F.col("x.v").alias("v"))
-    entries = written(entries, "entries", parts)
+    entries = written(entries.unionByName(more) if more is not None else entries, "entries", parts)
     leaders = entries.groupBy("g", "v").agg(F.min(F.struct(F.xxhash64("key").alias("h"), F.col("key").alias("k"))).alias("m"), F.count("*").alias("c")).where("c > 1").select("g", "v", F.xxhash64("g", "m.k").alias("leader"))
     return entries.join(leaders.hint("merge"), ["g", "v"]).select(F.col("leader").alias("g"), "key").distinct()
 
@@ -180,20 +185,60 @@ def candidates(sketched: DataFrame, k: int | None, percent: int, parts: int | No
     return listed_groups(sketched.select(F.lit(0).cast("long").alias("g"), "key", n.alias("n"), F.col("sketch").alias("values")), F.ceil(F.col("n") * share / 100).cast("int"), parts)
 
 
+def most_frequent(often: DataFrame, most: int) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], int]:
+    """At most ``most`` of the values (g, v, df), as g: (values in order, df of each), and a df that these have at least and
+    no other has."""
+    top = often.select("g", "v", "df").orderBy(F.desc("df")).limit(most + 1).toArrow()
+    g, v, df = (top[c].to_numpy() for c in ("g", "v", "df"))
+    least = int(df.min()) + 1 if len(df) > most else 2
+    order = np.lexsort((v, g))
+    order = order[df[order] >= least]
+    g, v, df = g[order], v[order], df[order]
+    ids, at = np.unique(g, return_index=True)
+    ends = np.append(at[1:], len(g))
+    return {int(i): (v[a:b], df[a:b]) for i, a, b in zip(ids, at, ends, strict=False)}, least  # without ids there is an end
+
+
+def split_places(made: np.ndarray, values: np.ndarray, df: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of a whole set: those not among the frequent ``values``, the frequent ones that get a place if all of these have
+    one, and how many of the others must be shared by a row without such a place."""
+    at = np.searchsorted(values, made)
+    common = at < len(values)
+    common[common] = values[at[common]] == made[common]
+    rest, often = made[~common], made[common]
+    places = len(made) * (100 - percent) // 100 + 1
+    return rest, often[np.lexsort((often, df[at[common]]))][: max(0, places - len(rest))], len(rest) + 1 - places
+
+
 def narrowed(many: DataFrame, sets: DataFrame, percent: int, parts: int | None = None) -> DataFrame:
     """(g, key): rows (g, key, outer) of large groups in the groups that the rarest values of their whole sets make.
 
-    A template that many rows have is among the rarest values only of rows that have little else. Groups without
-    an outer row are left out.
+    A template that many rows have is among the rarest values only of rows that have little else. Its values, the most
+    frequent ones, are sent to the rows, which then know the places of these by themselves; only the others meet their
+    counts in a join. Groups without an outer row are left out.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 256):
             made = [np.frombuffer(x, np.int64) for x in columns_of(batch, "set")[0]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in made], pa.int32()), pa.array(made, pa.list_(pa.int64()))], ["g", "key", "n", "values"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], ["g", "values"])
+
+    paired = many.select("g", "key").join(sets, "key").select("g", "key", "set")
+    often = paired.mapInArrow(whole, "g long, values array<long>").select("g", F.explode("values").alias("v"))
+    often = written(often.groupBy("g", "v").agg(F.count("*").alias("df")).where("df > 1"), "often", parts)
+    top, least = most_frequent(often, SENT_VALUES)
+    told = checked_broadcast(top, 16 * SENT_VALUES, many.sparkSession, "frequent values")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in pieces(batches, 256):
+            made = [split_places(np.frombuffer(x, np.int64), *told.value.get(g, none), percent) for g, x in zip(*columns_of(batch, "g", "set"), strict=True)]
+            rest, placed, needed = zip(*made, strict=True) if made else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(needed, pa.int32()), *(pa.array(x, pa.list_(pa.int64())) for x in (rest, placed))], ["g", "key", "n", "values", "placed"])
 
-    rows = many.select("g", "key").join(sets, "key").select("g", "key", "set").mapInArrow(run, "g long, key long, n int, values array<long>")
-    groups = written(listed_groups(rows, F.ceil(F.col("n") * percent / 100).cast("int"), parts), "narrowed", parts)
+    rows = written(paired.mapInArrow(split, "g long, key long, n int, values array<long>, placed array<long>"), "rest", parts)
+    placed = rows.select("g", "key", F.explode("placed").alias("v"))
+    groups = written(listed_groups(rows, F.col("n"), parts, often.where(F.col("df") < least), placed), "narrowed", parts)
     outer = groups.join(many.where("outer").select("key").distinct(), "key").select("g").distinct()
     return groups.join(outer, "g", "left_semi")
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -370,3 +371,44 @@ def test_lists_meet_their_rows_by_merging_whatever_their_size(spark):
     assert len(found) > 1 and made.count() <= 40 * 2  # a row meets one list for each of its two places
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def rows_of_joins(spark, since: int) -> tuple[int, int]:
+    """What joins on (g, v) made in the queries after number ``since``, and the last one's number."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    seen = store.executionsList()
+    ids = [seen.apply(i).executionId() for i in range(seen.size())]
+    made = 0
+    for e in (e for e in ids if e > since):
+        values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if re.search(r"Join \[g#\d+L?, v#", node.desc()):
+                metrics = [node.metrics().apply(i) for i in range(node.metrics().size())]
+                made += sum(int(values.apply(m.accumulatorId()).replace(",", "")) for m in metrics if m.name() == "number of output rows" and values.contains(m.accumulatorId()))
+    return made, max(ids)
+
+
+def test_values_of_a_template_travel_to_the_rows(spark, monkeypatch):
+    """120 rows of 40 common and 20 own values: whatever is sent, the groups are those of a join of all values, and what is sent isn't joined."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    template = rng.integers(-(2**62), 2**62, 40)
+    sets = [np.unique(np.concatenate([template[rng.random(40) < 0.9], rng.integers(0, 60, 8), rng.integers(-(2**62), 2**62, 12)])) for _ in range(120)]
+    made = [(1 + i % 2, i, i % 3 == 0, s.tobytes(), s.nbytes) for i, s in enumerate(sets)]
+    rows = spark.createDataFrame(made, "g long, key long, outer boolean, set binary, bytes long")
+    many, whole = rows.select("g", "key", "outer"), rows.select("key", "set", "bytes")
+    values = spark.createDataFrame([(g, k, len(s), s.tolist()) for (g, k, *_), s in zip(made, sets, strict=True)], "g long, key long, n int, values array<long>")
+    want = neardup.listed_groups(values, F.ceil(F.col("n") * 75 / 100).cast("int"))
+    with_outer = want.join(many.where("outer").select("key"), "key").select("g").distinct()
+    want = {tuple(r) for r in want.join(with_outer, "g", "left_semi").collect()}
+    joined = {}
+    for sent in (131_072, 70, 7, 0):
+        monkeypatch.setattr(neardup, "SENT_VALUES", sent, raising=False)
+        _, since = rows_of_joins(spark, 1 << 60)
+        got = neardup.narrowed(many, whole, 75)
+        assert {tuple(r) for r in got.collect()} == want and len(want) > 120, sent
+        joined[sent], _ = rows_of_joins(spark, since)
+    all_values = sum(len(s) for s in sets)
+    assert joined[131_072] < joined[7] < joined[0] and joined[131_072] < all_values / 2, joined
