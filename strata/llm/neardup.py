@@ -218,14 +218,18 @@ def narrowed(many: DataFrame, sets: DataFrame, percent: int, parts: int | None =
     counts in a join. Groups without an outer row are left out.
     """
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 256):
             made = [np.frombuffer(x, np.int64) for x in columns_of(batch, "set")[0]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], ["g", "values"])
+            g, v = np.repeat(batch.column(0).to_numpy(), [len(x) for x in made]), np.concatenate(made)
+            order = np.lexsort((v, g))
+            g, v = g[order], v[order]
+            at = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (v[1:] != v[:-1])))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g[at], v[at], np.diff(np.append(at, len(g))))], ["g", "v", "c"])
 
     paired = many.select("g", "key").join(sets, "key").select("g", "key", "set")
-    often = paired.mapInArrow(whole, "g long, values array<long>").select("g", F.explode("values").alias("v"))
-    often = written(often.groupBy("g", "v").agg(F.count("*").alias("df")).where("df > 1"), "often", parts)
+    often = paired.mapInArrow(counted, "g long, v long, c long").groupBy("g", "v").agg(F.sum("c").alias("df"))
+    often = written(often.where("df > 1"), "often", parts)
     top, least = most_frequent(often, SENT_VALUES)
     told = checked_broadcast(top, 16 * SENT_VALUES, many.sparkSession, "frequent values")
 
